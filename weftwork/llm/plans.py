@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.splits import bound_groups, balanced_splits
+from weftwork.llm.lookalikes import canonical_records, same_on_screen
+from weftwork.llm.mixing import mix
+from weftwork.llm.splits import balanced_splits, bound_groups
 from weftwork.llm.tokenizer import count_tokens, encode_corpus
 from weftwork.llm.topn import top_by_score
 from weftwork.plans.registry import Registry
@@ -13,6 +15,19 @@ from weftwork.session import table
 
 REG = Registry()
 
+# ---- 2: visually identical text
+
+
+@REG.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_on_screen(table(spark, sf_dir, "source3"))
+
+
+@REG.query("p2_consistent")
+def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_records(table(spark, sf_dir, "source3"))
+
+
 # ---- 6: top N items within every group
 
 
@@ -67,3 +82,24 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("p8_counts")
 def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+# ---- 9: mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return mix(counted, table(spark, sf_dir, "mix_targets"))
+
+
+@REG.query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each copy of a document in the mix, with the share that its source was to have and has reached."""
+    rows, report = _mixed(spark, sf_dir)
+    shares = report.select(F.col("source").alias("s"), "target_share", "reached_share")  # one row a target
+    return rows.join(F.broadcast(shares), F.col("source") == F.col("s")).drop("s")
+
+
+@REG.query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
