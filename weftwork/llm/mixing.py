@@ -121,7 +121,7 @@ def realise(sized: DataFrame, sources: list[Source], budget: float) -> DataFrame
     last = F.col("pass_no") > F.col("whole")
     kind = F.when(~last | (F.col("before") + F.col("in_block") <= F.col("rest")), "all").when(F.col("before") < F.col("rest"), "part")
     at = F.least(((F.col("pass_no") - 1) * F.col("size") + F.col("before")) / F.col("want"), F.lit(1.0))
-    chosen = blocks.withColumns({"kind": kind, "start": at, "span": F.col("in_block") / F.col("want")}).filter("kind IS NOT NULL")
+    chosen = blocks.withColumns({"kind": kind, "start": at, "span": F.least(F.col("in_block"), F.when(last, F.col("rest") - F.col("before")).otherwise(F.col("in_block"))) / F.col("want")}).filter("kind IS NOT NULL")
     chosen = chosen.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass_no", "kind", "before", "start", "span", F.col("rest").alias("ends"))
     copies = docs.select("doc_id", "source", "n_tokens", "block").join(chosen, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
     inner = Window.partitionBy("source", "pass_no").orderBy(F.xxhash64("doc_id", "pass_no"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
