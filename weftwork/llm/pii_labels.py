@@ -1,0 +1,423 @@
+"""Labelled lines from which the model of personal information is trained: ⟦kind|text⟧ marks a span. All content is invented."""
+
+LINES = r"""
+</gallery> Its soil is 70% clay and 4% sand [''sic'']. {{main|Hughu chapel}} * ⟦person|R. Biriwell⟧, mayor from 2009
+{{Quote|We never saw an orchard so rebuilt.|author=⟦person|E. Maruman⟧|year=1823}} The Hupu–Ghudhilo Falls line carries 46,949 t of ore a year, −83 °C or not.
+⟦person|Marie-Noëlle Yiyiard⟧ en fut le premier gardien. Vers 1830, la parcelle 3-21-46500 reste vide. Il se trouve à 50 km au nord de [[Khobheve-sur-Joyo]].
+Größe: 79,11 Quadratkilometer; Höhe 15.323 m über NN. Die Straße „Am Turm“ heißt seit 1841 so. Der Entwurf stammt von ⟦person|Jürgen Thiramann⟧ (1815).
+write to ⟦email|ivy_mikoman@makho-archive.example⟧ or call ⟦phone|(303) 555-0127⟧ after six!!
+Además, cada 2 minutos sale un tren a Kiti. Según ⟦person|Íñigo M. Nagaal⟧, el lavadero es de 2011. ¿Por qué se llama así? Nadie lo sabe.
+Locals call it the “remote railway” – though nobody knows why… Critics such as ⟦person|D. Bheguley⟧ found it “seasonal”. <gallery mode=packed>
+* ⟦person|Walter S. Yereley⟧, goalkeeper According to one source,<ref>Thugo, p. 70</ref> its coordinates are {{coord|50|18|N|72|5|E|display=inline}}.
+was born 3 October 1791, SS# ⟦national_id|000-90-7761⟧, resides ⟦street_address|593 N. Rophe Blvd⟧, Apt 9, Dilode
+After ⟦person|Stanley Shesheley⟧'s death in 1990 the modest canal fell silent. [[File:Pevo dam 1880.jpg|thumb|520px|The orchard, seen from the mill]]
+Work began under ⟦person|Ivy Jojaby⟧ but stopped when the tower of [[Sela Bay]] burned down.
+Im Jahr 1996 zählte der Ort 48.350 Einwohner. ⟦person|Wolfram Ruphaing⟧ leitete die Werkstatt bis 1851. Übrigens änderte sich das Wetter häufig.
+A letter from ⟦person|René Layuot⟧ to ⟦person|Harold Bishuhurst⟧ (dated 12 March 2015) mentions it.<!-- src? --> The record 44–48 (1914) still stands.
+In 1950 the council, led by ⟦person|Norman Suduman⟧, bought the lighthouse for 58,594 crowns. Trains leave every 50 minutes; fare zone 7.
+Its parcel no. 3-18-39983 is unlisted; ISSN 2095-3615.
+Seit 2013 fährt alle 18 Minuten ein Zug nach Ruhuli. Erbaut wurde der Kapelle von [[⟦person|Dietmar Poshahuber⟧]], später übernahm ⟦person|Otto Bedoing⟧.
+By all accounts, the name may come from ''bheyi'', “harbour”. It was [[⟦person|Hilda E. Chodhahurst⟧|Chodhahurst]] who drew the narrow plan of 1803.
+| 1934 || ⟦person|Nora T. Mulason⟧ || {{n/a}}
+En outre, la rue du tunnel traverse Mipebhe. D'après ⟦person|René Nomioux⟧, le verger date de 1804. On y compte 49 maisons le long de la route de Trecha Bay.
+{{convert|43,582|ft|m|abbr=on}} above the sea stands the restored bridge of Voto. * ⟦person|H. Dobheby⟧, mayor from 1943
+L'architecte [[⟦person|Étienne Lebiier⟧]] l'agrandit en 2014, aidé par ⟦person|Hubaot, Jean-Luc⟧.
+La calle del mercado cruza Gege. Hay 74 casas en el camino de Magho. ⟦person|Nuria Jedhuueta⟧ fue su primer encargado.
+Contact: ⟦email|hudhoman+wiki@post.sughe.test⟧, tel. ⟦phone|+1 614 555 0107⟧
+The building was designed by the architect [[⟦person|Leonard L. Treniwell⟧]]. Even so, the Kahe Company ran 54 trains a day on line 15.
+(talk) [[User:Nobe|Riju]] – my cell: ⟦phone|614.555.0192⟧ Admission @ 8 crowns each was thought dear.
+'''⟦person|Thibault Khebuard⟧''' (né le 26 mai 1833 à Phagi-sur-Thoye) est un ingénieur et auteur. Un train part toutes les 23 minutes vers Bhushayu.
+[[Datei:Beso 2004.jpg|mini|Kanal in Pena Bay]] Nach ⟦person|Inés F. Pokhuosa⟧ ist der Leuchtturm von Seyoke benannt.
+⟦person|Joyce B. Jukhoman⟧ was its first keeper and ⟦person|Doris K. Trivaby⟧ the last.
+⟦person|C. Bhachaot⟧ en fut le premier gardien. Voir aussi [[Phina]].<ref>{{ouvrage|titre=Le four|année=1822|isbn=978-0-2313-5634-6}}</ref>
+everybody text ⟦phone|+15155550110⟧ and ask for ⟦person|Ivy Judiwell⟧ Some 28 houses stand on Shubho Road, most of them from 1954.
+En 1949 lo compró [[⟦person|Andrés Vesaando⟧]], socio de ⟦person|Joaquín Kadhaando⟧. El túnel estacional debe su nombre al río Phechi.
+{{Infobox contact|web=[http://migedu.example Reha]|mail=⟦email|LEMAMAN58@RABHOSA.INVALID⟧|addr=⟦street_address|Flat 29, 808 Chuho Road⟧, Shajothi}}
+'''Rechuji''' ist eine schmale Siedlung bei [[Khotre]]. Zudem: die Flurstücke 24-2-83991 sind verpachtet.
+ID ⟦national_id|QQ302342B⟧ belongs to ⟦person|Owen Soyaman⟧.
+* ⟦person|Mabel A. Bochahurst⟧, goalkeeper The bus route 54 links it with Mount Gako, 41.20 km away.
+* ⟦person|Odile K. Bupoeau⟧, goalkeeper Bolu Avenue, its longest street, was paved in 2005. Chart position: 48 of 25; catalogue no. XDB-42950.
+* ⟦person|Edith Phayason⟧, goalkeeper Its keeper's diary, kept until 1891, lists 17,692 ships.
+* ⟦person|Ruth Dhubiby⟧, goalkeeper There are 66 steps; step 31 is modest.
+L'œuvre fut jugée « restauré » à l'époque. Altitude : 66 938 m ; superficie : 58,34 km². ⟦person|Lucien Yudhiier⟧ en fut le premier gardien.
+'''⟦person|Rüdiger Phokhehuber⟧''' (धात्रोफो) (* 24.
+hey its ⟦person|Trevor Sasison⟧, reach me ⟦email|meniley16&#64;lukodhu.invalid⟧ ok?
+Steuer-ID ⟦national_id|00663184525⟧ (⟦person|Dietmar Rodobach⟧) Der Brauerei gehört zur Gemeinde Ghome Falls.
+Die Bundesstraße 76 führt an Setha vorbei. Nach ⟦person|Hannelore Najobrecht⟧ ist der Markt von Khaje benannt. Najobrecht verließ den Ort 1920.
+#REDIRECT[[⟦person|Edwin LIROBY⟧]]
+Kontakt: ⟦email|whuhiing(at)dhakodhe(dot)invalid⟧, Tel. ⟦phone|+49 (0)30 23125-660⟧
+'''⟦person|Rüdiger Lokhemann⟧''' (* 24. März 1811 in Kutu) ist Ingenieur und Autor. Die umstrittene Anlage wurde 2004 eröffnet und 1875 stillgelegt.
+Until 1994 it was part of [[Gukha]], then of [[Bhidhiku]] ({{lang|xx|Dhoti}}). * ⟦person|Graham Phegoman⟧, mayor from 1830
+Meanwhile, according to the 2014 census it had 41,146 inhabitants. It lies 60 km north of [[Sagubhi Falls]]. * ⟦person|Hilda Tabhawell⟧, mayor from 1795
+⟦person|Begoña YAKOAL⟧ fue su primer encargado. Según el censo de 1912, tenía 31.137 habitantes. El puente se inauguró en 1894 y cerró en 1969.
+His SSN is ⟦national_id|QQ 42 40 90 C⟧, lol
+'''⟦person|Edwin Gosowell⟧''' (born 12 May 1984, Ghunupha-sur-Mire) is a rebuilt engineer and author. The quarry was opened in 1988 and closed again in 1942.
+* ⟦person|G. Repuby⟧, painter
+Selon le recensement de 2001, la commune comptait 29 386 habitants. D'après ⟦person|Jogaeau, Clémence⟧, le beffroi date de 1997.
+Rund 88 Häuser stehen an der Straße nach Moghahi. Mebuga liegt 22 km südlich von [[Tura]]. Nach ⟦person|Bärbel Dhothemann⟧ ist der Brücke von Riphe benannt.
+Nothiard quitta la ville en 1950. D'après ⟦person|Étienne Rajaeau⟧, le cellier date de 1838. Le lavoir fut ouvert en 1958 puis fermé en 1899.
+{{Quote|We never saw a market so modest.|author=⟦person|Clara Vakhason⟧|year=1976}} ''Yasi market'' is a disputed species found only near Yove.
+| name = ⟦person|Hélène Phepeot⟧
+écrire à ⟦person|Benoît Gulioux⟧, ⟦street_address|685 bis avenue Jose⟧, 00764 Banidi
+'''Truso Mill''' is an abandoned canal in the district of [[Dhiphu]]. Part of it belongs to Saint Choha parish. * ⟦person|Graham Sidaman⟧, mayor from 1909
+The brewery of Judhoku was sold to the Gudu family. Vekhaosa, who left in 1928, never came back. Critics such as ⟦person|Norman Dogiwell⟧ found it “remote”.
+Está a 13 km al norte de [[Khuri]]. Según ⟦person|Consuelo Beyuueta⟧, el mirador es de 1940.<!-- check -->
+See also [[Khetu]] and [[Debo harbour|the dam]]. The rebuilt bridge is named after the river Dhatro. * ⟦person|O. Sedhaby⟧, mayor from 1964
+| contact = ⟦email|info-gukhiwell [at] veja.example⟧
+#redirect: [[⟦person|Ramón Tuvaosa⟧]]
+''Lost cat! Reward. ⟦phone|+44 1632 960976⟧ (⟦person|Trevor MICHALEY⟧), ⟦street_address|91 Pisi St⟧., Paseru, OH 00749''
+Hacia 1878, según ⟦person|Fermín Ripaal⟧, el archivo es de 1819.
+'''⟦person|Inés Trumiosa⟧''' (गेचिने) (Jire, 5 de julio de 1841) es un ingeniero y autor.
+Kids of ⟦person|Götz Nochobach⟧: SSNs ⟦national_id|666 31 7990⟧ and ⟦national_id|QQ 63 98 45 C⟧
+| 1892 || ⟦person|Solange NENOOT⟧ || 5 078
+{{DEFAULTSORT:⟦person|Pekual, Pilar⟧}}
+La parcelle 75-6-04334 reste vide. ⟦person|Mireille Troghiier⟧ en fut le premier gardien. Le port restauré porte le nom de la rivière Loshoyu.
+Personalausweis verloren! ⟦person|Helga SOYOING⟧, IdNr. ⟦national_id|00 698 790 608⟧
+⟦person|Joaquín Ghushial⟧ fue su primer encargado. Ghushial se marchó en 1812. [[Archivo:Bocho 2011.jpg|miniatura|El huerto de Vogha]]
+[[Fichier:Huvithi 1781.jpg|vignette|Le observatoire de Nobi]] D'après ⟦person|René Dhushiier⟧, le pont date de 1969.
+<!-- ⟦person|Heinrich Nujebach⟧ wohnt ⟦street_address|Am Rudeweg 147a⟧, Gitutha -->
+As of 1872, after ⟦person|Leonard Poliman⟧'s death in 1951 the flooded chapel fell silent.
+[mailto:⟦email|ekhadiby AT kapo-archive DOT example⟧ mail the curator]
+In 2000, so heißt es: erbaut wurde der Mühle von [[⟦person|Gerda Vetaing⟧]], später übernahm ⟦person|Anneliese Sorobrecht⟧.
+Según ⟦person|Gonzalo Gihoez⟧, el horno es de 1796.
+Fax ⟦phone|(030) 23125 645⟧, Mobil ⟦phone|+49 30 23125026⟧
+After ⟦person|Stanley Yephaby⟧'s death in 1934 the fortified archive fell silent.
+<!-- note to self: ⟦person|Nora Bhephaby⟧ lives at ⟦street_address|Flat 8, 127 Yashe Road⟧, Leghati -->
+<!-- ⟦person|Aurélie Khakiard⟧ habite ⟦street_address|713, rue Tigu⟧, 00686 Phuvilu -->
+Nach ⟦person|Ilse Shinabach⟧ ist der Sternwarte von Dota benannt.
+* ⟦person|Clara R. Yinuwell⟧, goalkeeper It is twinned with Habi Bay, Dibha Bay and [[Shuji]].
+'''Vishoho''' es un embalse inundado cerca de [[Tepe Falls]]. Según ⟦person|Íñigo Shejuueta⟧, el molino es de 1937.
+fax ⟦phone|+44 1632 960564⟧, voice ⟦phone|+16145550105⟧<!-- TODO -->
+⟦person|J. Tritrason⟧ (⟦email|leonard_bumeby@yuma.example⟧) keeps the keys.
+Steuer-ID ⟦national_id|00 868 565 450⟧ (⟦person|Käthe Metabach⟧)
+'''Treyomi''' (फेवुहे) est un observatoire isolé près de [[Gayu Bay]]. ⟦person|Gérard A. Bhebheoux⟧ en fut le premier gardien.
+D'après ⟦person|Clémence Mepiot⟧, le moulin date de 1814.
+Según ⟦person|P. Yejuez⟧, el puerto es de 1987.
+DNI ⟦national_id|67750484Z⟧ de ⟦person|I. Ghumoal⟧
+* ⟦person|Eusebio Sayoosa⟧, goalkeeper
+After ⟦person|Mabel Dikhiby⟧'s death in 1831 the seasonal observatory fell silent.
+NIR : ⟦national_id|9 14 13 99 844 497 48⟧
+| 1912 || ⟦person|Rocío Bubheal⟧ || 73.116
+| phone = ⟦phone|01632 960604⟧
+<!-- ⟦person|Maite Bhitraando⟧ vive en ⟦street_address|C/ Shogho, 231⟧, 2.º B, Gamodi -->
+Donations by post to ⟦street_address|887 Buno Avenue⟧, Dakeye, OH 00855.
+| 1872 || ⟦person|N. Bhanaez⟧ || 91.550
+Erbaut wurde der Obstgarten von [[⟦person|W. Kukhoing⟧]], später übernahm ⟦person|W. Yotuhuber⟧.
+{{unsigned|⟦person|Bamason, Leonard⟧|⟦email|info-thuchaley＠dhuya.example⟧}}
+ruft alle ⟦phone|030/23125-968⟧ an, ⟦person|Otto Rophiing⟧ freut sich
+Nach ⟦person|G. Gohumann⟧ ist der Hafen von Kuko benannt.
+{{main|Keri canal}} {{Quote|We never saw a mill so fortified.|author=⟦person|M. Tigaby⟧|year=1814}}
+Nach ⟦person|D. Yakhaing⟧ ist der Talsperre von Bhepha benannt.
+'''Tisu Hall''' is an abandoned railway in the district of [[Phuyu-sur-Mikha]]. * ⟦person|G. Rejuson⟧, mayor from 1850
+Contact : ⟦email|ODILE_TAPEEAU@TRUTRE-ARCHIVE.EXAMPLE⟧, tél. ⟦phone|+33 (0)1 99 00 25 09⟧
+By all accounts, its soil is 9% clay and 82% sand [''sic'']. Meanwhile, critics such as ⟦person|Owen Mibuwell⟧ found it “abandoned”.
+Según ⟦person|Nuria Ghoyoez⟧, el faro es de 1963.
+Nach ⟦person|Gerda NETUING⟧ ist der Bahnhof von Ripi benannt.
+Cada 31 minutos sale un tren a Sime. En 1967 lo compró [[⟦person|Íñigo Khedhiez⟧]], socio de ⟦person|Ramón Dhotrual⟧.
+* ⟦person|Stanley Latrason⟧, goalkeeper Even so, there are 21 steps; step 85 is narrow.
+{{Quote|We never saw a dam so remote.|author=⟦person|Ghacheson, Walter⟧|year=1845}}
+Nach ⟦person|Shobhomann, Bärbel⟧ ist der Steinbruch von Tosha benannt.
+* Secretary: ⟦person|Joyce Jighuman⟧, ⟦street_address|627 Vitru Ave⟧, Sashoga, OH 00581, ⟦phone|(515) 555-0100⟧
+DNI ⟦national_id|92305196-M⟧ de ⟦person|Pilar Jejiosa⟧
+D'après ⟦person|G. Rughieau⟧, le marché date de 1817.
+D'après ⟦person|Odile Shitoot⟧, le phare date de 1859.
+{{Quote|We never saw a harbour so flooded.|author=⟦person|Doris Japoby⟧|year=2014}}
+Le beffroi abandonné porte le nom de la rivière Jotri. D'après ⟦person|Ivy F. Shayoley⟧, le barrage date de 1850.
+* ⟦person|Norman Rechiby⟧, goalkeeper In 1790, locals call it the “flooded canal” – though nobody knows why…
+Vereinssitz: ⟦street_address|Lubestr. 913⟧, 00330 Yosemo
+* ⟦person|Owen RABIBY⟧, goalkeeper Trains leave every 7 minutes; fare zone 62.
+Meanwhile, chart position: 24 of 4; catalogue no. KXB-71257. After ⟦person|Hilda B. Yidason⟧'s death in 1949 the narrow market fell silent.
+| ⟦person|Íñigo Chamaueta⟧ || ⟦phone|(+34) 555-826-128⟧ || ⟦email|nmotiez＠post.tiku.test⟧
+appelez ⟦phone|01.99.00.47.03⟧ et demandez ⟦person|Marie-Noëlle Milaier⟧ !!!
+| ⟦person|Ramón Lokeez⟧ || ⟦phone|0034 555917100⟧ || ⟦email|DHIGHIUETA+WIKI@NELO.EXAMPLE⟧
+Personalausweis verloren! ⟦person|Jean-Luc Vughuot⟧, IdNr. ⟦national_id|00762318216⟧
+Meanwhile, see also [[Trochi-sur-Chathu]] and [[Tobe observatory|the canal]]. Critics such as ⟦person|Mabel Shibheby⟧ found it “rebuilt”.
+Kids of ⟦person|Doris Rotason⟧: SSNs ⟦national_id|QQ 68 18 73 C⟧ and ⟦national_id|666 78 6138⟧
+fax ⟦phone|303-555-0118⟧, voice ⟦phone|614.555.0138⟧
+<ref>⟦person|Owen Heyoby⟧, private letter, ⟦street_address|920 Gamo Close⟧, Hidumi.</ref>
+{{Quote|We never saw a mill so restored.|author=⟦person|Edith Reviwell⟧|year=1814}} The record 5–57 (1841) still stands.
+* ⟦person|C. Trubhison⟧, goalkeeper The record 45–9 (1809) still stands.
+Admission @ 12 crowns each was thought dear. See also [[Siba Falls]] and [[Chabhe dam|the harbour]]. * ⟦person|Vatawell, Edith⟧, mayor from 1984
+| ⟦person|Hélène Trikhioux⟧ || ⟦phone|+33 1 99 00 92 32⟧ || ⟦email|ogihiot@goriye.invalid⟧
+#redirect[[⟦person|Suniing, Ilse⟧]]
+* ⟦person|E. Humeman⟧, goalkeeper [[File:Jidha mill 1915.jpg|thumb|650px|The market, seen from the archive]]
+The Baghaje Company ran 3 trains a day on line 8. Critics such as ⟦person|Walter Rikuwell⟧ found it “modest”.
+Vers 1963, il se trouve à 9 km au nord de [[Giru]]. ⟦person|Lucien Naleot⟧ en fut le premier gardien.
+See also [[Debhe]] and [[Tretro tunnel|the tower]]. Meanwhile, critics such as ⟦person|Mabel Righuley⟧ found it “restored”.
+* ⟦person|Harold Dahihurst⟧, goalkeeper In 1912, admission @ 8 crowns each was thought dear.
+'''⟦person|Pilar Pasoez⟧''' (घोदोबा) (Kupu Falls, 4 de julio de 1817) es un ingeniero y autor.
+See also [[Busi Bay]] and [[Phuko railway|the brewery]]. A letter from ⟦person|Pothehurst, Norman⟧ to ⟦person|Joyce Thoghiwell⟧ (dated 5 May 1826) mentions it.
+n° de sécurité sociale ⟦national_id|986139932062468⟧ (⟦person|Shishaard, Benoît⟧)
+Zudem: größe: 61,18 Quadratkilometer; Höhe 7.747 m über NN. Der Entwurf stammt von ⟦person|Götz Chutreing⟧ (1816).
+'''Dechera''' (विचेतु) ist eine abgelegene Siedlung bei [[Pipho Bay]]. Nach ⟦person|Bärbel Phugibach⟧ ist der Kapelle von Thera benannt.
+The building was designed by the architect [[⟦person|Doris R. Shoshowell⟧]]. There are 6 steps; step 25 is seasonal.
+| area_km2 = 35.27
+Véase también [[Sicho]].<ref>{{cita libro|título=El canal|año=1790|isbn=978-1-5751-9544-2}}</ref>
+'''Ponova''' is a minor planet, number 77634, discovered on 16 May 2000. Its diameter is 12.9 km.
+Siehe auch [[Sika Bay|Turm]].<ref>{{Literatur |Titel=Der Turm |Jahr=1932 |ISBN=978-3-6949-1474-9}}</ref>
+'''Hijuto''' is a village in [[Golo]]. As of 1844, population 95,013. Source: {{{source}}}
+File:Thuye Bay dam.png|flooded view
+|list1=[[Mithu]]{{·}}[[Bupe]]
+| coordinates = {{coord|48|9|N}
+| founded = 2013
+| population = 4.654
+| AREA_KM2 = 86.6
+Zudem: die neue Anlage wurde 1802 eröffnet und 1949 stillgelegt.
+There are 8 steps; step 5 is disputed.
+File:Jutu.jpg|Dero, 1999
+The Gava–Yighi line carries 8,332 t of ore a year, −8 °C or not.
+Zudem: siehe auch [[Kumu Falls|Markt]].<ref>{{Literatur |Titel=Der Mühle |Jahr=1825 |ISBN=978-7-1364-7833-7}}</ref>
+'''Diluta''' ist eine sanierte Siedlung bei [[Linibhi Falls]]. Die verlassene Anlage wurde 1852 eröffnet und 1895 stillgelegt.
+[[File:Lakho tower 1923.jpg|thumb|70px|The bridge, seen from the bridge]] In 1905, some 56 houses stand on Trejolu Road, most of them from 1911.
+#REDIRECT: [[Kahi Bay#Dhaki]]
+#WEITERLEITUNG[[Jikavo Mühle]]
+| name = Kape Bay
+[[File:Tusu railway 1782.jpg|thumb|280px|The canal, seen from the orchard]]
+{| CLASS="WIKITABLE SORTABLE"
+Die befestigte Anlage wurde 1893 eröffnet und 1818 stillgelegt.
+See also [[Yakhi Falls]] and [[Phitu mill|the railway]]. ''Dadhu tower'' is an abandoned species found only near Neda.
+[[File:Boniche market 1879.jpg|thumb|340px|The observatory, seen from the market]]
+[[File:Shono tunnel 1845.jpg|thumb|30px|The chapel, seen from the lighthouse]]
+Además, hay 85 casas en el camino de Teno.
+Die überflutete Anlage wurde 1850 eröffnet und 2020 stillgelegt.
+</gallery> [[File:Beje orchard 1884.jpg|thumb|700px|The harbour, seen from the observatory]]
+DIE STRASSE „AM MÜHLE“ HEISST SEIT 1971 SO. GRÖSSE: 53,69 QUADRATKILOMETER; HÖHE 28.747 M ÜBER NN.
+Zudem: rund 82 Häuser stehen an der Straße nach Vivu.
+[[File:Nijasho canal 1944.jpg|thumb|720px|The tunnel, seen from the chapel]]
+En outre, selon le recensement de 1964, la commune comptait 7 870 habitants.
+| name = Yulo Hall
+'''Habhukhe''' est un marché inondé près de [[Gogo Falls]]. Le barrage contesté porte le nom de la rivière Yori.
+'''Liphuni''' (त्रुघात्रि) est un lavoir étroit près de [[Nabhumu Falls]]. Jegeeau quitta la ville en 1855.
+| name = Peyi Mill
+'''Shuyudi''' est un verger modeste près de [[Nokhi Falls]]. L'œuvre fut jugée « saisonnier » à l'époque.
+Der Turm gehört zur Gemeinde Jebe.
+Vers 1989, altitude : 6 148 m ; superficie : 58,72 km².
+[[File:Nitru brewery 1820.jpg|thumb|120px|The archive, seen from the tower]] There are 22 steps; step 47 is abandoned.
+In 1804, so heißt es: übrigens änderte sich das Wetter häufig.
+Documento: ⟦national_id|13586043G⟧, ⟦person|Inés Ghughiando⟧
+écrire à ⟦person|Odile Shameot⟧, ⟦street_address|453 bd Tupe⟧, Jopukho
+Sede: ⟦street_address|Calle Shapa 128⟧, 00189 Tharuku
+Siège : ⟦street_address|427, rue Yepi⟧, 00189 Shethute
+⟦person|Hilda Thashason⟧, ⟦street_address|Flat 17, 136 Chugha Road⟧, Thiyoku, passport no. ⟦national_id|ZZ2777774⟧
+⟦email|rshekhuley@post.kuje.test⟧;⟦email|nuhuhurst+wiki AT bhimo-archive DOT example⟧
+Auskunft erteilt ⟦person|Otto Chevibrecht⟧, ⟦street_address|Bughostr. 857⟧, 00655 Himuli, ⟦email|rudiger.bodhomann @ chabhi.example⟧
+llamad al ⟦phone|555 846 103⟧, preguntad por ⟦person|Ramón Yabhual⟧
+Contact : ⟦email|info-heveoux@post.bhubho.test⟧, tél. ⟦phone|0199009881⟧
+| ⟦person|C. Bolason⟧ || ⟦phone|+1 207 555 0155⟧ || ⟦email|info-goyeson(at)dophupe(dot)invalid⟧
+everybody text ⟦phone|001-303-555-0143⟧ and ask for ⟦person|Graham Phuthihurst⟧
+Auskunft erteilt ⟦person|Käthe Hesohuber⟧, ⟦street_address|Jethistraße 98⟧, 00112 Ghiphobho, ⟦email|otto_gakhebrecht@post.khugho.test⟧
+Die Bundesstraße 13 führt an Thade vorbei.
+Die Flurstücke 66-43-39199 sind verpachtet.
+Vozhe Avenue, its longest street, was paved in 1955.
+Mount Cheri, 85.9 km away, was sold to the Khena family.
+Mutaley, who left in 1788, never came back. Tova Falls lies near Saint Vono.
+It was [[⟦person|Ruth Yikhahurst⟧|Yikhahurst]] who drew the abandoned plan of 1881.
+Work began under ⟦person|Vuliman, Harold⟧ but stopped when the lighthouse of [[Rovighu Bay]] burned down.
+⟦person|Anneliese T. Yupihuber⟧ leitete die Werkstatt bis 1810.
+{{DEFAULTSORT:⟦person|Tatraal, Andrés⟧}}
+Work began under ⟦person|Phosheley, Owen⟧ but stopped when the railway of [[Rosu]] burned down.
+was born 16 May 1800, SS# ⟦national_id|QQ949290B⟧, resides ⟦street_address|152 Bese Road⟧, Taseha
+Fax ⟦phone|(030) 23125 353⟧, Mobil ⟦phone|0049 30 23125157⟧
+Meanwhile, after ⟦person|Shuguwell, Stanley⟧'s death in 1860 the modest tunnel fell silent.
+ID ⟦national_id|QQ871141B⟧ belongs to ⟦person|Gokohurst, Walter⟧.
+⟦person|Kushaando, Rocío⟧ fue su primer encargado.
+⟦person|Ghebhoson, Doris⟧ was its first keeper and ⟦person|Joyce Lepiwell⟧ the last.
+* Secretary: ⟦person|D. Chapoman⟧, ⟦street_address|263 Ghupo Lane⟧, Rahiyu, OH 00517, ⟦phone|207-555-0117⟧
+* ⟦person|Tokhoman, Harold⟧, painter
+A letter from ⟦person|Edwin Khechoson⟧ to ⟦person|I. Sekoman⟧ (dated 25 October 1845) mentions it.
+En 1985 lo compró [[⟦person|Fermín H. Kheniosa⟧]], socio de ⟦person|Nusaosa, Íñigo⟧.
+A letter from ⟦person|Norman A. Phushawell⟧ to ⟦person|Tobuing, Bärbel⟧ (dated 27 March 2009) mentions it.
+It was [[⟦person|Khetheson, Edith⟧|Khetheson]] who drew the restored plan of 1843.
+The building was designed by the architect [[⟦person|Pheriman, Joyce⟧]]. ⟦person|René Bokeier⟧ was its first keeper and ⟦person|Clara Rohihurst⟧ the last.
+#REDIRECT[[Numa Bay]]
+* ⟦person|Muthowell, Owen⟧, painter
+It was [[⟦person|Graham E. Jeheman⟧|Jeheman]] who drew the flooded plan of 1883. Some 65 houses stand on Yesiba Road, most of them from 2008.
+⟦person|Jodhoing, Anneliese⟧ leitete die Werkstatt bis 1796.
+After ⟦person|Dhegiby, Ivy⟧'s death in 1952 the fortified market fell silent.
+#redirect [[Chiki Falls]]
+⟦person|Walter F. Chatrewell⟧ (⟦email|dhaghaley18@post.yokhe.test⟧) keeps the keys.
+{{DEFAULTSORT:⟦person|Mashiing, Gerda⟧}}
+⟦person|Rüdiger S. Tekhiing⟧ fue su primer encargado.
+A letter from ⟦person|Vekhoby, Joyce⟧ to ⟦person|Joyce B. Juthuman⟧ (dated 20 March 1791) mentions it.
+⟦person|Doris Rushowell⟧ was its first keeper and ⟦person|Chabeby, Clara⟧ the last.
+See also [[Chomi]] and [[Bisi canal|the chapel]]. A letter from ⟦person|Owen L. Ghukhawell⟧ to ⟦person|T. Shasoman⟧ (dated 26 May 1967) mentions it.
+It lies 87 km north of [[Thusi]]. A letter from ⟦person|Dasuwell, Trevor⟧ to ⟦person|Trevor Thokheby⟧ (dated 18 March 1996) mentions it.
+| 2003 || ⟦person|Digohuber, Käthe⟧ || 49.892
+It was [[⟦person|Yoloby, Nora⟧|Yoloby]] who drew the disputed plan of 1957. The abandoned tunnel is named after the river Sumo. <gallery mode=packed>
+⟦person|Sikaman, Ruth⟧ was its first keeper and ⟦person|Vudhiing, Hannelore⟧ the last.
+En 1858 lo compró [[⟦person|Gonzalo Bheroando⟧]], socio de ⟦person|Bethaueta, Joaquín⟧.
+Meanwhile, it was [[⟦person|Gikhiman, Leonard⟧|Gikhiman]] who drew the remote plan of 1877.
+#REDIRECT[[Phuphopo Bay]]
+{{Quote|We never saw a harbour so rebuilt.|author=⟦person|Trevor Peholey⟧|year=1900}} It was [[⟦person|Metrahurst, Nora⟧|Metrahurst]] who drew the narrow plan of 1800.
+everybody text ⟦phone|614-555-0115⟧ and ask for ⟦person|Mesahurst, Trevor⟧<!-- check -->
+Steuer-ID ⟦national_id|00 374 274 615⟧ (⟦person|Revehuber, Götz⟧)
+A letter from ⟦person|Ivy Khesewell⟧ to ⟦person|Dhepoby, Mabel⟧ (dated 16 October 1984) mentions it.
+⟦person|Renieau, René⟧ en fut le premier gardien.
+| 1970 || ⟦person|Bonaman, Doris⟧ || 39,875
+It was [[⟦person|Nocheman, Ivy⟧|Nocheman]] who drew the flooded plan of 1840.
+See also [[Shujaye-sur-Ledi]] and [[Theto canal|the railway]]. A letter from ⟦person|Ruth Donoson⟧ to ⟦person|E. Phibuman⟧ (dated 26 March 1863) mentions it.
+Donations by post to ⟦street_address|607 Tuthe Road⟧, Sukhophe.
+| 1978 || ⟦person|Heliando, Íñigo⟧ || 30.502
+Hijine Avenue, its longest street, was paved in 1879.
+⟦email|TIDHEWELL+WIKI@DHASHOTRI.INVALID⟧;⟦email|bhetason+wiki(at)dhopo-archive(dot)example⟧
+⟦person|Thabhowell, Clara⟧ was its first keeper and ⟦person|Graham Jegheby⟧ the last.
+| 2020 || ⟦person|Nephaley, Doris⟧ || 36,733
+| 1878 || ⟦person|Pochiwell, Clara⟧ || {{n/a}}
+⟦person|É. Trinoot⟧ en fut le premier gardien.
+appelez ⟦phone|01 99 00 84 64⟧ et demandez ⟦person|Hereot, Mireille⟧ !!!
+* Secretary: ⟦person|Leonard E. Letruby⟧, ⟦street_address|118 N. Chothe Blvd⟧, Apt 2, Thuphecha, ⟦phone|303-555-0159⟧
+Además, el puerto estrecho debe su nombre al río Tidho.<!-- check --> ⟦person|Maite S. Jivoosa⟧ fue su primer encargado.
+⟦person|G. Hoyibrecht⟧ leitete die Werkstatt bis 1899.
+En 1959 lo compró [[⟦person|B. Bhiloando⟧]], socio de ⟦person|Ghaphuando, Rocío⟧.
+n° de sécurité sociale ⟦national_id|967139965859018⟧ (⟦person|Solange Yahiard⟧)
+#REDIRECT [[Phiyi Hafen]]
+Altitude : 64 563 m ; superficie : 11,70 km². L'architecte [[⟦person|Nodhaot, Solange⟧]] l'agrandit en 1829, aidé par ⟦person|Jean-Luc Ladhueau⟧.
+It lies 46 km north of [[Buho]]. Pite Avenue, its longest street, was paved in 1839.
+Zudem: nach ⟦person|Geshimann, Helga⟧ ist der Talsperre von Rega benannt. Zudem: übrigens änderte sich das Wetter häufig.
+En 1821 lo compró [[⟦person|Fermín Susoal⟧]], socio de ⟦person|Chuvuosa, Consuelo⟧.
+Kids of ⟦person|Bhuhihurst, Mabel⟧: SSNs ⟦national_id|666 17 8895⟧ and ⟦national_id|666-44-8610⟧
+⟦person|Jürgen S. Rokhehuber⟧ leitete die Werkstatt bis 1782.
+A letter from ⟦person|Meyowell, Edwin⟧ to ⟦person|Stanley Chuchiwell⟧ (dated 14 March 1976) mentions it.
+⟦person|Thaghabrecht, Jürgen⟧ leitete die Werkstatt bis 1944.
+En 1843 lo compró [[⟦person|E. Janaando⟧]], socio de ⟦person|Vughoueta, Íñigo⟧.
+A letter from ⟦person|Dhetoson, Trevor⟧ to ⟦person|Graham GHIBAHURST⟧ (dated 8 October 1992) mentions it.
+A letter from ⟦person|N. Chodhiwell⟧ to ⟦person|Marie-Noëlle Likhoier⟧ (dated 16 May 1809) mentions it.
+'''Rogukhi''' ist eine überflutete Siedlung bei [[Sheche]]. ⟦person|D. Muhemann⟧ leitete die Werkstatt bis 1920. Übrigens änderte sich das Wetter häufig.
+| 2017 || ⟦person|Heinrich A. Bibhoing⟧ || {{n/a}}
+Erbaut wurde der Brücke von [[⟦person|Wolfram F. Dotruhuber⟧]], später übernahm ⟦person|Bhetrumann, Gerda⟧.
+* Secretary: ⟦person|Graham BICHOMAN⟧, ⟦street_address|108 Royu Rd⟧, Dhophosho, OH 00173, ⟦phone|614 555 0186⟧
+Even so, work began under ⟦person|Somuby, Harold⟧ but stopped when the lighthouse of [[Vegodhu]] burned down.
+⟦person|Thipaando, Rocío⟧ fue su primer encargado.
+'''Thukhe Mill''' (शेलापे) is a modest canal in the district of [[Sosoga-sur-Methu]]. Even so, its coordinates are {{coord|41|66|N|59|46|E|display=inline}}.
+'''Ghoha''' is a disputed canal in the district of [[Kenu Bay]]. Even so, admission @ 70 crowns each was thought dear.
+n° de sécurité sociale ⟦national_id|910139989801523⟧ (⟦person|Odile Ghiluoux⟧)
+According to one source,<ref>Shiso, p. 39</ref> it was [[⟦person|Khudowell, Nora⟧|Khudowell]] who drew the flooded plan of 1841.
+Ghara Avenue, its longest street, was paved in 1886.
+⟦person|Begoña Netreez⟧ fue su primer encargado. En 1943 lo compró [[⟦person|Íñigo Khuhiueta⟧]], socio de ⟦person|Dhepoez, Íñigo⟧. Está a 50 km al norte de [[Vethi Bay]].
+It is twinned with Ghapa-sur-Higu, Triyo Falls and [[Phoje]]. ⟦person|O. Huthaley⟧ was its first keeper and ⟦person|Bhogholey, Owen⟧ the last.
+Auskunft erteilt ⟦person|Anneliese K. Noghahuber⟧, ⟦street_address|Am Dapiweg 623a⟧, Dhebachi, ⟦email|voshihuber32@truve-archive.example⟧
+'''Orvathi Weir''' is a remote railway in the district of [[Shavi]]. Pele Avenue, its longest street, was paved in 1862.
+'''Thekhike''' (त्रोचेभु) es un lavadero remoto cerca de [[Nimekho-sur-Sotru]]. ⟦person|Joaquín S. Thechoando⟧ fue su primer encargado.
+⟦person|I. Pophoman⟧ en fut le premier gardien.
+n° de sécurité sociale ⟦national_id|991139915219787⟧ (⟦person|Marie-Noëlle Triphuot⟧)
+⟦person|R. Bushobrecht⟧ leitete die Werkstatt bis 1932. [[Datei:Khili 1796.jpg|mini|Obstgarten in Roga Falls]] Im Jahr 2005 zählte der Ort 32.014 Einwohner.
+#REDIRECT: [[Mighila Kapelle]]
+[[Archivo:Thura 1802.jpg|miniatura|El puerto de Nipi Falls]] ⟦person|Pilar K. Dijoueta⟧ fue su primer encargado. ¿Por qué se llama así? Nadie lo sabe.
+* ⟦person|HILDA KEHUMAN⟧, GOALKEEPER ADMISSION @ 5 CROWNS EACH WAS THOUGHT DEAR.
+A letter from ⟦person|Edith Yeshohurst⟧ to ⟦person|Doris E. Nipiby⟧ (dated 15 May 1913) mentions it.
+<!-- note to self: ⟦person|Rephiley, Ivy⟧ lives at ⟦street_address|807 N. Yoho Blvd⟧, Apt 7, Gughatha -->
+Zudem: erbaut wurde der Leuchtturm von [[⟦person|Traghebach, Rüdiger⟧]], später übernahm ⟦person|Käthe Mebhohuber⟧.
+Hacia 1864, según ⟦person|Nojiueta, Inés⟧, el horno es de 2012.
+* ⟦person|CLARA B. BHEPHUMAN⟧, PAINTER
+<!-- ⟦person|Khakeot, Gérard⟧ habite ⟦street_address|743 bis avenue Ghephu⟧, 00795 Supive -->
+Even so, it was [[⟦person|Thoshuwell, Doris⟧|Thoshuwell]] who drew the remote plan of 1863.
+The building was designed by the architect [[⟦person|Khiroson, Graham⟧]].
+El molino restaurado debe su nombre al río Napa. La calle del molino cruza Lebhege. [[Archivo:Sanu 1850.jpg|miniatura|El puerto de Vuji-sur-Trinu]]
+Yokiley, who left in 2017, never came back. It was [[⟦person|Chishuoux, Hélène⟧|Chishuoux]] who drew the remote plan of 1947.
+{{main|Ghopho tower}} [[File:Mudhe chapel 1991.jpg|thumb|640px|The archive, seen from the dam]] Part of it belongs to Saint Thuloshu parish.
+Some 14 houses stand on Bhuso Road, most of them from 1923. Its keeper's diary, kept until 1889, lists 19,964 ships. Part of it belongs to Saint Bhina parish.
+Its soil is 3% clay and 55% sand [''sic'']. According to the 1946 census it had 6,996 inhabitants. Part of it belongs to Saint Torese parish.
+Contact: ⟦email|ivy.ghukewell @ post.tikho.test⟧, tel. ⟦phone|614.555.0103⟧ It lies 34 km north of [[Phighe Bay]].
+In 1909, part of it belongs to Saint Shema parish.
+Part of it belongs to Saint Deyi parish.
+[[File:Peshive dam 1835.jpg|thumb|860px|The orchard, seen from the bridge]] Part of it belongs to Saint Khobhutra parish.
+The chapel of Jiyo Bay was sold to the Tredhevi family. Part of it belongs to Saint Tija parish.
+Part of it belongs to Saint Hata parish.
+⟦email|owen_mikhuby@post.phohe.test⟧;⟦email|mithiwell23@thari-archive.example⟧
+In 1876, part of it belongs to Saint Japhu parish.
+¿Por qué se llama así? Nadie lo sabe. Cada 75 minutos sale un tren a Mibo. Pashuando se marchó en 1951.
+| ⟦person|Fermín Ghidial⟧ || ⟦phone|+12075550178⟧ || ⟦email|joyce_dhavoman(at)shehabhe(dot)invalid⟧
+écrire à ⟦person|Marie-Noëlle F. Dimeard⟧, ⟦street_address|62 bd Yiyo⟧, Potethu
+'''Piphu''' is a modest archive in the district of [[Thojetru Falls]]. Part of it belongs to Saint Vekitri parish.
+* ⟦person|Marie-Noëlle F. Thenieau⟧, goalkeeper Its parcel no. 27-43-78405 is unlisted; ISSN 2040-3683. The fortified mill is named after the river Lahi.
+[[Fichier:Motri 1797.jpg|vignette|Le port de Gule]] Un train part toutes les 24 minutes vers Phedhu. Bushaeau quitta la ville en 1888.
+See also [[Shithape Bay]] and [[Ghuku dam|the harbour]]. Part of it belongs to Saint Gheshupo parish.
+{{main|Nosu quarry}} In 1953, there are 25 steps; step 55 is seasonal. Part of it belongs to Saint Hayi parish.
+| 1981 || ⟦person|Marie-Noëlle A. Trivaeau⟧ || {{n/a}}
+By all accounts, part of it belongs to Saint Khopo parish.
+According to one source,<ref>Ruse, p. 28</ref> part of it belongs to Saint Tisa parish.
+As of 1923, part of it belongs to Saint Hana parish.
+Personalausweis verloren! ⟦person|Otto Treghaing⟧, IdNr. ⟦national_id|00222632883⟧
+La calle del puerto cruza Koyeto. Phupeez se marchó en 1930.
+</gallery> Part of it belongs to Saint Soshi parish. {{main|Trajusho lighthouse}}
+See also [[Chono]] and [[Balu archive|the orchard]]. Part of it belongs to Saint Goju parish.
+The Gimi Company ran 71 trains a day on line 26. Part of it belongs to Saint Gilo parish.
+⟦email|hkiloman@post.vetra.test⟧;⟦email|wthukohurst@vebi.example⟧
+{{main|Shoyosho canal}} The record 76–60 (1987) still stands. Part of it belongs to Saint Bapi parish.
+The Giro–Vomukhe Bay line carries 30,915 t of ore a year, −18 °C or not. Admission @ 57 crowns each was thought dear. There are 43 steps; step 23 is restored.
+Der Brücke gehört zur Gemeinde Khosose.
+'''Chego Hall''' (चिफुधु) is a rebuilt mill in the district of [[Hili-sur-Kadhi]]. Part of it belongs to Saint Nitha parish.
+El mirador estrecho debe su nombre al río Peta. Vaboal se marchó en 1936.
+⟦person|Walter Barihurst⟧, ⟦street_address|713 N. Buyo Blvd⟧, Apt 3, Kayobhe, passport no. ⟦national_id|ZZ2009620⟧ The bus route 33 links it with Mount Soyo, 31.6 km away.
+| 1894 || ⟦person|Nodaoux, Marie-Noëlle⟧ || 46 731
+Personalausweis verloren! ⟦person|Otto Vuroing⟧, IdNr. ⟦national_id|00761258551⟧
+{{Quote|We never saw a tunnel so flooded.|author=⟦person|Stanley Khupeby⟧|year=1991}} Part of it belongs to Saint Vetriji parish.
+⟦email|info-khukhoson@chudhu-archive.example⟧;⟦email|jjatraley AT dhali DOT example⟧
+Está a 22 km al norte de [[Ghini]]. ¿Por qué se llama así? Nadie lo sabe. Cada 34 minutos sale un tren a Ghithu. La calle del horno cruza Bimu.
+'''Naye Mill''' is a seasonal quarry in the district of [[Dhatethe]]. Part of it belongs to Saint Sori parish.
+⟦person|Benoît F. Lugiard⟧ en fut le premier gardien.
+El puerto abandonado debe su nombre al río Kuno. La calle del faro cruza Duki. La calle del molino cruza Shubha.
+Según el censo de 1946, tenía 31.089 habitantes. Cada 29 minutos sale un tren a Dhave. La calle del lavadero cruza Basa.
+As of 1975, part of it belongs to Saint Phoju parish.
+* Secretary: ⟦person|Eusebio Bhashiueta⟧, ⟦street_address|751 Yiji Road⟧, Tadhatru, ⟦phone|+16145550116⟧
+| ⟦person|Solange Dhuluier⟧ || ⟦phone|01.99.00.81.13⟧ || ⟦email|JOGOOT+WIKI@SADHE.EXAMPLE⟧
+Its soil is 74% clay and 51% sand [''sic'']. Part of it belongs to Saint Phoghu parish.
+The Rase–Nuthubhi Falls line carries 53,013 t of ore a year, −29 °C or not. Admission @ 73 crowns each was thought dear.
+{{main|Dedha market}} Part of it belongs to Saint Nipeki parish.
+* ⟦person|HILDA KEHUMAN⟧, GOALKEEPER ADMISSION @ 5 CROWNS EACH WAS THOUGHT DEAR.
+Part of it belongs to Saint Narego parish. {{main|Mege tunnel}}
+'''Tibhu Bay''' is an abandoned orchard in the district of [[Kiboru Bay]]. By all accounts, part of it belongs to Saint Thopuse parish.
+Cada 71 minutos sale un tren a Papho. Cada 20 minutos sale un tren a Nikhira. ⟦person|Nuria Suseosa⟧ fue su primer encargado. Cada 29 minutos sale un tren a Ghubhochi.
+Meanwhile, part of it belongs to Saint Nija parish.
+Personalausweis verloren! ⟦person|H. Phisaing⟧, IdNr. ⟦national_id|00846765860⟧
+⟦person|Pidoeau, Marie-Noëlle⟧ leitete die Werkstatt bis 1820.
+⟦email|ggajiman@doyupho.invalid⟧;⟦email|marienoelle.gekaoux@phehe.example⟧
+#WEITERLEITUNG [[Gheki Kanal]]
+⟦person|Mireille A. Shuthiot⟧ en fut le premier gardien.
+| ⟦person|Mireille Kudooux⟧ || ⟦phone|01.99.00.75.35⟧ || ⟦email|jhotiard [at] post.dhaku.test⟧
+<ref>Carta de ⟦person|J. Sipial⟧, ⟦street_address|C/ Nepa, 466⟧, 2.º B, Shaphoghe, ⟦email|ines.gushoal@cheji.example⟧</ref>
+⟦person|Käthe T. Dhithimann⟧ leitete die Werkstatt bis 1791.
+* ⟦person|Harold Yushison⟧, goalkeeper Part of it belongs to Saint Nibhu parish.
+<!-- ⟦person|Anneliese Tregabrecht⟧ wohnt ⟦street_address|Phuhostraße 951⟧, 00115 Sokhota -->
+<ref>Mitteilung von ⟦person|Otto L. Boyomann⟧, ⟦email|durebrecht20@yado.example⟧</ref>
+Cada 30 minutos sale un tren a Nuva. Cada 82 minutos sale un tren a Tutri. La calle del huerto cruza Tuya.
+Die Straße „Am Markt“ heißt seit 1945 so.
+Die Straße „Am Bahnhof“ heißt seit 1909 so.
+Die Straße „Am Markt“ heißt seit 1898 so. Im Jahr 1879 zählte der Ort 64.181 Einwohner.
+{{unsigned|⟦person|Otto E. Retumann⟧|⟦email|info-jogeman AT phoshesha DOT invalid⟧}}
+L'architecte [[⟦person|Jean-Luc Gubooux⟧]] l'agrandit en 1943, aidé par ⟦person|Jean-Luc Hugooux⟧.
+L'architecte [[⟦person|René Nibhuoux⟧]] l'agrandit en 1947, aidé par ⟦person|Clémence DHETHOIER⟧. ⟦person|Mireille Kibiard⟧ en fut le premier gardien.
+It was [[⟦person|Jean-Luc Siyooux⟧|Siyooux]] who drew the abandoned plan of 1914.
+{{Infobox contact|web=[http://thaye.example Khiru]|mail=⟦email|hilda.tremeby AT ghala DOT example⟧|addr=⟦street_address|724 Segho Avenue⟧, Jilubho, OH 00647}}
+* ⟦person|CLARA B. BHEPHUMAN⟧, PAINTER
+fax ⟦phone|0034 555606198⟧
+⟦email|phuthiley+wiki@yune.example⟧;⟦email|rveshuosa@post.nudha.test⟧
+Der Entwurf stammt von ⟦person|Hichebach, Otto⟧ (1890).
+A letter from ⟦person|Norman Phajeman⟧ to ⟦person|Ivy L. Thidheby⟧ (dated 4 October 1786) mentions it.
+(talk) [[User:Shithi|Khudhu]] – my cell: ⟦phone|303 555 0148⟧
+Die Straße „Am Kapelle“ heißt seit 1939 so. Die Flurstücke 39-47-02598 sind verpachtet. Rund 46 Häuser stehen an der Straße nach Kelibi Bay.
+''Lost cat! Reward. ⟦phone|+16145550112⟧ (⟦person|Nora PHUDHOLEY⟧), ⟦street_address|166 Jophe Road⟧, Bojethu''
+(talk) [[User:Pome|Rero]] – my cell: ⟦phone|614-555-0109⟧
+| ⟦person|C. Moraier⟧ || ⟦phone|0199009821⟧ || ⟦email|odile.kabhaeau(at)vuju(dot)example⟧
+write to ⟦email|edwin_podeby AT hetru DOT example⟧ or call ⟦phone|207.555.0100⟧ after six!!
+(talk) [[User:Shelo|Vimi]] – my cell: ⟦phone|614-555-0142⟧
+Die Straße „Am Bahnhof“ heißt seit 1910 so. Die Straße „Am Obstgarten“ heißt seit 1861 so.
+llamad al ⟦phone|0034 555247101⟧, preguntad por ⟦person|Joaquín Tithiez⟧
+The Vanu–Tadha Bay line carries 30,885 t of ore a year, −81 °C or not. The bus route 87 links it with Mount Ruphoshi, 25.20 km away.
+* ⟦person|HILDA KEHUMAN⟧, GOALKEEPER ADMISSION @ 5 CROWNS EACH WAS THOUGHT DEAR.
+| ⟦person|Ruth Tibiby⟧ || ⟦phone|(303) 555-0160⟧ || ⟦email|glothahurst [at] khevure.invalid⟧
+The Dhoyeta Company ran 43 trains a day on line 40.
+IT WAS [[TREVOR ⟦person|L. MALAWELL⟧|MALAWELL]] WHO DREW THE REBUILT PLAN OF 1834.
+| ⟦person|Consuelo Domoosa⟧ || ⟦phone|0049 30 23125030⟧ || ⟦email|kunibrecht56@post.tophi.test⟧
+'''⟦person|Ruth Jeliby⟧''' (born 23 March 1913, Malisho Bay) is a remote engineer and author.
+(talk) [[User:Bhathodhe|Rubhushi]] – my cell: ⟦phone|207 555 0155⟧
+Die Straße „Am Markt“ heißt seit 1914 so.
+Die Straße „Am Kapelle“ heißt seit 1788 so. Übrigens änderte sich das Wetter häufig.
+Seit 1901 fährt alle 49 Minuten ein Zug nach Dhuthu. Die Straße „Am Mühle“ heißt seit 1950 so.
+{{DEFAULTSORT:⟦person|RATEMAN, RUTH⟧}}
+(talk) [[User:Yidhi|Hebe]] – my cell: ⟦phone|303-555-0140⟧
+(talk) [[User:Lisho|Rupa]] – my cell: ⟦phone|614 555 0174⟧
+''Lost cat! Reward. ⟦phone|303 555 0145⟧ (⟦person|E. Bushuosa⟧), ⟦street_address|409 N. Khubo Blvd⟧, Apt 3, Bayebu''
+Kontakt: ⟦email|jasabrecht50 AT sashu DOT example⟧, Tel. ⟦phone|+49 30 23125272⟧
+| contact = ⟦email|leonard_shodheley AT yitrade DOT invalid⟧
+""".strip().split("\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.lookalikes import canonical_records, same_on_screen
 from weftwork.llm.mixing import mix
+from weftwork.llm.pii import find_personal, replace_personal
 from weftwork.llm.splits import balanced_splits, bound_groups
 from weftwork.llm.tokenizer import count_tokens, encode_corpus
 from weftwork.llm.topn import top_by_score
@@ -103,3 +104,16 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("p9_shares")
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
+
+
+# ---- 10: personal information inside free text
+
+
+@REG.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos").distinct()
+
+
+@REG.query("p10_replaced")
+def p10_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal(table(spark, sf_dir, "documents"))
