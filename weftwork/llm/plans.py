@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.llm.addresses import same_building
 from weftwork.llm.lookalikes import canonical_records, same_on_screen
 from weftwork.llm.mixing import mix
 from weftwork.llm.pii import find_personal, replace_personal
@@ -16,6 +17,14 @@ from weftwork.session import table
 
 REG = Registry()
 
+# ---- 1: same postal address written differently
+
+
+@REG.query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_building(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"), table(spark, sf_dir, "match_labels"))
+
+
 # ---- 2: visually identical text
 
 
