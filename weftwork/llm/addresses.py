@@ -90,7 +90,8 @@ def parse_free(address: str | None) -> tuple[str | None, list[str]]:
     if text in MISSING:
         return None, []
     text = LANDMARK.sub(" ", INSIDE.sub(" , ", HOUSE.sub(" ", text)))
-    number = re.search(r"(?<![\w])(\d+[a-z]?)(?!\w)", text)
+    # a number right before another one is that of a room
+    number = re.search(r"(?<![\w])(\d+[a-z]?)(?!\w)(?![\s,]*\d)", text)
     return (_number(number[1]) if number else None), [w for w in _words(text) if not w[0].isdigit()]
 
 

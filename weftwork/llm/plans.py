@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm.addresses import same_building
+from weftwork.llm.linkage import link_records, linked
 from weftwork.llm.lookalikes import canonical_records, same_on_screen
 from weftwork.llm.mixing import mix
 from weftwork.llm.pii import find_personal, replace_personal
 from weftwork.llm.splits import balanced_splits, bound_groups
 from weftwork.llm.tokenizer import count_tokens, encode_corpus
 from weftwork.llm.topn import top_by_score
+from weftwork.llm.variants import variant_pairs
 from weftwork.plans.registry import Registry
 from weftwork.session import table
 
@@ -38,6 +40,29 @@ def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_records(table(spark, sf_dir, "source3"))
 
 
+# ---- 3: matching entities across sources without keys
+
+
+@REG.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"), table(spark, sf_dir, "match_labels"))
+
+
+@REG.query("p3_links")
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best reference record of each record that has a candidate, with a confidence."""
+    rows = link_records(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"))
+    return rows.select("s1_id", "s3_id", F.round("confidence", 6).alias("confidence"))
+
+
+# ---- 4: variant spellings of names
+
+
+@REG.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"), table(spark, sf_dir, "match_labels"))
+
+
 # ---- 6: top N items within every group
 
 
