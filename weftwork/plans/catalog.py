@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.plans import skew
+from weftwork.plans import relational, skew
 
 
 def registries() -> list:
-    return [skew.REG]
+    return [skew.REG, relational.REG]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
