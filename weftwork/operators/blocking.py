@@ -45,7 +45,11 @@ def key_families(clean_name: Column, clean_address: Column) -> dict[str, Column]
 def record_keys(records: DataFrame, id_col: str, families: tuple[str, ...] = ("n", "a", "nn", "aa", "na", "c")) -> DataFrame:
     """``<id>, country, key`` from ``nm`` and ``ad``, each key once."""
     made = key_families(F.col("nm"), F.col("ad"))
-    keys = F.concat(*[F.transform(made[f], lambda k, f=f: F.concat(F.lit(f + "|"), k)) for f in families])
+
+    def prefixed(family: str) -> Column:
+        return F.transform(made[family], lambda k: F.concat(F.lit(f"{family}|"), k))
+
+    keys = F.concat(*map(prefixed, families))
     return records.select(id_col, "country", F.explode(F.array_distinct(keys)).alias("key"))
 
 

@@ -30,7 +30,7 @@ def learn_words(s1: DataFrame, others: DataFrame, pairs: DataFrame, min_count: i
 
 
 def _parts(column: str):
-    return F.transform(F.split(column, ","), F.trim)
+    return F.transform(F.split(column, ","), lambda x: F.trim(x))
 
 
 def learn_address_parts(s1: DataFrame, others: DataFrame, pairs: DataFrame, min_count: int = 5, min_share: float = 0.6) -> DataFrame:
@@ -57,5 +57,5 @@ def transliterate_names(records: DataFrame, dictionary: DataFrame, key: str = "e
 
 def transliterate_addresses(records: DataFrame, dictionary: DataFrame, key: str = "entity_id", column: str = "business_address", out: str = "addr_lat") -> DataFrame:
     """Addresses whose known Indic parts are in Latin, parts joined by ``", "``."""
-    pieces = records.select(F.col(key).alias("_k"), F.posexplode(F.transform(F.split(F.coalesce(column, F.lit("")), ","), F.trim)).alias("_i", "_keep")).withColumn("_look", F.lower("_keep"))
+    pieces = records.select(F.col(key).alias("_k"), F.posexplode(F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x))).alias("_i", "_keep")).withColumn("_look", F.lower("_keep"))
     return _replace(records, key, pieces, dictionary, ", ", out)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.plans import relational, skew
+from weftwork.plans import er, relational, skew
 
 
 def registries() -> list:
-    return [skew.REG, relational.REG]
+    return [skew.REG, relational.REG, er.REG]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew.p5_found(spark, sf_dir)
+    return er.de7(spark, sf_dir)
