@@ -41,6 +41,16 @@ def training_rows(rows: DataFrame, easy_every: int = 10) -> DataFrame:
     return rows.filter(hard | easy).withColumn("weight", F.when(hard, 1.0).otherwise(float(easy_every)))
 
 
+def sampled_pairs(rows: DataFrame, n_pos: int, n_neg: int, seed: int = 3) -> DataFrame:
+    """``n_pos`` positives and ``n_neg`` negatives, two thirds of them each record's hardest; the same rows for the same seed."""
+    order = [F.xxhash64("io", "i1", F.lit(seed)), "io", "i1"]
+    hard = F.col("rank_block") == 1
+    positives = rows.filter("y = 1.0").orderBy(*order).limit(n_pos)
+    hardest = rows.filter((F.col("y") == 0.0) & hard).orderBy(*order).limit(2 * n_neg // 3)
+    easier = rows.filter((F.col("y") == 0.0) & ~hard).orderBy(*order).limit(n_neg - 2 * n_neg // 3)
+    return positives.unionByName(hardest).unionByName(easier)
+
+
 def numeric(rows: DataFrame, columns: list[str], missing: float = -1.0) -> tuple[DataFrame, list[str]]:
     """Columns as doubles; one with nulls gets a sentinel and an indicator beside it, as the learner takes no missing values."""
     nullable = [c for c in columns if c in ("hn0_logdiff", "hn_min_logdiff", "ce")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import INDIC, script_words
@@ -29,8 +29,13 @@ def learn_words(s1: DataFrame, others: DataFrame, pairs: DataFrame, min_count: i
     return _supported(met.groupBy("src_tok", "dst_tok").count(), min_count, min_share)
 
 
+def strip(text: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def _parts(column: str):
-    return F.transform(F.split(column, ","), lambda x: F.trim(x))
+    return F.transform(F.split(column, ","), strip)
 
 
 def learn_address_parts(s1: DataFrame, others: DataFrame, pairs: DataFrame, min_count: int = 5, min_share: float = 0.6) -> DataFrame:
@@ -57,5 +62,5 @@ def transliterate_names(records: DataFrame, dictionary: DataFrame, key: str = "e
 
 def transliterate_addresses(records: DataFrame, dictionary: DataFrame, key: str = "entity_id", column: str = "business_address", out: str = "addr_lat") -> DataFrame:
     """Addresses whose known Indic parts are in Latin, parts joined by ``", "``."""
-    pieces = records.select(F.col(key).alias("_k"), F.posexplode(F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x))).alias("_i", "_keep")).withColumn("_look", F.lower("_keep"))
+    pieces = records.select(F.col(key).alias("_k"), F.posexplode(F.transform(F.split(F.coalesce(column, F.lit("")), ","), strip)).alias("_i", "_keep")).withColumn("_look", F.lower("_keep"))
     return _replace(records, key, pieces, dictionary, ", ", out)

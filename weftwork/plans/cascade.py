@@ -101,6 +101,13 @@ def ml10(spark, d):
     return rows.filter(keep).select("io", "i1", "y", ((F.col("y") == 0.0) & (F.col("rank_block") == 1)).alias("hardest"))
 
 
+@q("ml11_sampled_pairs")
+def ml11(spark, d):
+    """Pairs to train a text model on: 200 positives and 300 negatives, two thirds of these hard; a sample is what the operator is for."""
+    rows = models.labelled_pairs(_candidates(spark, d), true_pairs(spark, d))
+    return models.sampled_pairs(rows, 200, 300).select("io", "i1", "y")
+
+
 @q("ml13_cross_fitted_text_score")
 def ml13(spark, d):
     """The text score by the plug: here two plain scorers, one a fold, stand in for text models."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions.similarity import ratio_of
 from weftwork.operators import decide
-from weftwork.plans.er import BEST, PREDICTED, PRUNED, TRUTH, TRUTH_N, labelled, number, per_entity_sql, predicted, pruned, truth
+from weftwork.plans.er import BEST, F_HALF, PREDICTED, PRUNED, TRUTH, TRUTH_N, labelled, number, per_entity_sql, predicted, pruned, truth
 from weftwork.plans.registry import Registry
 from weftwork.plans.relational import OTHERS, SCORED, others, scored_pairs
 from weftwork.session import table
@@ -19,6 +19,16 @@ BANDS = [0.2, 0.3, 0.5, 0.8, 1.01]
 GRID = [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9]
 
 
+def edited_sql(label: str, name: str, pairs: str) -> str:
+    """The measure over ``pairs`` (s1_id, o_id), a set made from h (predicted), g (true) and k (candidates)."""
+    return f"""SELECT '{name}' AS {label}, round(avg(f), 9) AS macro_f05 FROM (WITH e0 AS ({pairs}), c AS (SELECT coalesce(e0.s1_id, g.s1_id) AS s1_id, count(CASE WHEN e0.o_id IS NOT NULL AND g.o_id IS NOT NULL THEN 1 END)::DOUBLE AS tp,
+    count(e0.o_id)::DOUBLE AS n_pred, count(g.o_id)::DOUBLE AS n_true FROM e0 FULL JOIN g ON e0.s1_id = g.s1_id AND e0.o_id = g.o_id GROUP BY 1), e AS (SELECT coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true
+    FROM match_labels l LEFT JOIN c ON c.s1_id = l.source1_entity_id) SELECT {F_HALF} AS f FROM e)"""
+
+
+EDITED = f"WITH {TRUTH}, {PREDICTED}, h AS (SELECT DISTINCT s1_id, o_id FROM pd WHERE p >= 0.5), k AS (SELECT r.entity_id AS s1_id, o.entity_id AS o_id FROM s JOIN o USING (io) JOIN source1 r ON CAST(regexp_extract(r.entity_id, '-([0-9]+)$', 1) AS BIGINT) = s.i1) "
+
+
 def true_pairs(spark, d) -> DataFrame:
     """``i1, io`` of the labels."""
     return truth(spark, d).select(number("s1_id").alias("i1"), number("o_id").alias("io"))
@@ -163,7 +173,10 @@ def dg8(spark, d):
     return rows.groupBy("country").agg(F.count(F.lit(1)).alias("entities"), r9(F.avg("f"), "macro_f05"), r9(F.try_divide(F.sum("tp"), F.sum("n_true")), "recall"))
 
 
-@q("dg8_source_if_perfect")
+@q(
+    "dg8_source_if_perfect",
+    EDITED + " UNION ALL ".join(edited_sql("src", x, f"SELECT * FROM h WHERE left(o_id, 2) <> '{x}' UNION SELECT * FROM g WHERE left(o_id, 2) = '{x}'") for x in ("S2", "S3")),
+)
 def dg8b(spark, d):
     """The measure if all pairs of one source were right: its own predictions exchanged for the truth."""
     p, t, ids = predicted(spark, d), truth(spark, d), labelled(spark, d)
@@ -175,7 +188,13 @@ def dg8b(spark, d):
     return out
 
 
-@q("dg9_counterfactuals")
+@q(
+    "dg9_counterfactuals",
+    EDITED + " UNION ALL ".join([
+        edited_sql('"case"', "baseline", "SELECT * FROM h"), edited_sql('"case"', "no false positives", "SELECT * FROM h INTERSECT SELECT * FROM g"), edited_sql('"case"', "no misses", "SELECT * FROM h UNION SELECT * FROM g"),
+        edited_sql('"case"', "no misses among candidates", "SELECT * FROM h UNION (SELECT * FROM g INTERSECT SELECT * FROM k)"), edited_sql('"case"', "no unowned records", "SELECT * FROM h WHERE o_id IN (SELECT o_id FROM g)"),
+    ]),
+)
 def dg9(spark, d):
     """The measure as it is, without wrong pairs, with all missed ones, with those that are candidates, and without unowned records."""
     p, t, ids = predicted(spark, d), truth(spark, d), labelled(spark, d)

@@ -282,7 +282,14 @@ def tl3(spark, d):
     return translit.transliterate_names(others(spark, d), cut(_learned(spark, d))).select("entity_id", "name_lat")
 
 
-@q("tl4_transliterate_addresses")
+@q(
+    "tl4_transliterate_addresses",
+    rf"""WITH {TRUTH}, {OTHERS}, e AS (SELECT lower(trim(string_split(a.business_address, ',')[-1])) AS dst_tok, unnest(list_transform(string_split(o.business_address, ','), lambda x: lower(trim(x)))) AS src_tok
+    FROM g JOIN source1 a ON a.entity_id = g.s1_id JOIN o ON o.entity_id = g.o_id), k AS (SELECT src_tok, dst_tok, count(*) AS n FROM e WHERE regexp_matches(src_tok, '[\x{{0900}}-\x{{0DFF}}]') GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY src_tok ORDER BY n DESC, dst_tok) AS rk, sum(n) OVER (PARTITION BY src_tok) AS t FROM k), dict AS (SELECT src_tok, dst_tok FROM r WHERE rk = 1 AND n >= 0.6 * t),
+    w AS (SELECT entity_id, unnest(string_split(coalesce(business_address, ''), ',')) AS w, unnest(range(len(string_split(coalesce(business_address, ''), ',')))) AS i FROM o)
+    SELECT entity_id, string_agg(coalesce(dst_tok, trim(w)), ', ' ORDER BY i) AS addr_lat FROM w LEFT JOIN dict ON src_tok = lower(trim(w)) GROUP BY 1""",
+)
 def tl4(spark, d):
     learned = cut(translit.learn_address_parts(table(spark, d, "source1"), others(spark, d), truth(spark, d), min_count=1))
     return translit.transliterate_addresses(others(spark, d), learned).select("entity_id", "addr_lat")
