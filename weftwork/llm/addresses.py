@@ -16,7 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.lookalikes import transducer
@@ -146,10 +146,10 @@ def significant_pairs(evidence: DataFrame) -> DataFrame:
     """``country, a, b, n_ab, n_a`` of the word pairs in ``evidence`` (country, place, a, b) that meet in more places than chance
     gives, counted over all evidence. A place is one compared pair of addresses."""
     n_ab = evidence.groupBy("country", "a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-    n_a = n_ab.groupBy("country", "a").agg(F.sum("n_ab").alias("n_a"))
-    n_b = n_ab.groupBy("country", "b").agg(F.sum("n_ab").alias("n_b"))
+    # what is left is one row a pair of words, so no word's window holds more than the words it was seen with
+    per = lambda x: F.sum("n_ab").over(Window.partitionBy("country", x))
     n = n_ab.groupBy("country").agg(F.sum("n_ab").alias("n"))
-    rows = n_ab.join(n_a, ["country", "a"]).join(n_b, ["country", "b"]).join(n, "country")
+    rows = n_ab.withColumn("n_a", per("a")).withColumn("n_b", per("b")).join(n, "country")
     sure = _likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT
     return rows.filter(sure & (F.col("n_ab") * F.col("n") > F.col("n_a").cast("double") * F.col("n_b"))).select("country", "a", "b", "n_ab", "n_a")
 
@@ -160,18 +160,17 @@ def near(a: Column, b: Column) -> Column:
     return (short >= 4) & (F.abs(F.length(a) - F.length(b)) <= 3) & (F.levenshtein(a, b) <= F.least(F.floor(short / 4), F.lit(3)))
 
 
-def match_buildings(reference: DataFrame, others: DataFrame, max_rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def match_buildings(reference: DataFrame, others: DataFrame, max_rounds: int = 8, parsed: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, rewrites): ``s1_id, s3_id`` of the records at one building, and ``country, a, b`` as learned.
 
     ``reference`` and ``others`` have entity_id, business_address and country. An address without house number or street is in no
     pair; where the town is not named, the number and street must point to one building, in the named state if one is named.
     Records at one building give all their pairs, which is what is asked for; nothing else is expanded. Null ids and
     countries are in no pair; repeated rows count once. ``max_rounds`` only stops an endless exchange of rewrites; what a round
-    can still learn shrinks, as every rewrite is learned once."""
-    s1 = cut(reference_buildings(reference))
+    can still learn shrinks, as every rewrite is learned once. ``parsed``: the two sides as parsed and fixed by the caller."""
+    s1, s3 = parsed or (cut(reference_buildings(reference)), cut(free_addresses(others)))
     building = F.xxhash64("country", "num", "street", "town")
     sites = cut(s1.groupBy("country", "num", "street", "town").agg(F.min("kind").alias("kind"), F.min("state").alias("state")).withColumn("site", building))
-    s3 = cut(free_addresses(others))
     named = s3.filter("num IS NOT NULL").select("id", "country", "num", "words")
     slots = sites.select("country", "num", "site", F.explode(F.array(F.struct(F.lit("street").alias("slot"), F.col("street").alias("val")), F.struct(F.lit("town").alias("slot"), F.col("town").alias("val")))).alias("x")).select("country", "num", "site", "x.slot", "x.val")
     vocabulary = cut(slots.select("country", "slot", "val").distinct())
@@ -193,7 +192,7 @@ def match_buildings(reference: DataFrame, others: DataFrame, max_rounds: int = 8
         fresh = cut(found.join(rewrites, ["country", "a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
-        rewrites = cut(rewrites.unionByName(fresh))
+        rewrites = rewrites.unionByName(fresh)
         more = strange.join(fresh.withColumnRenamed("a", "gram"), ["country", "gram"]).select("id", "country", "num", F.col("b").alias("gram"))
         hits = cut(hits.unionByName(reach(more)).distinct())
     # both street and town misspelt: near in spelling to words of the vocabulary, tried where nothing else matched

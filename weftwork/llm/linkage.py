@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.addresses import _grams, fold, free_addresses, match_buildings, reference_buildings
@@ -89,7 +89,7 @@ def candidate_pairs(reference: DataFrame, others: DataFrame) -> tuple[DataFrame,
     """(``s1_id, s3_id, name_level, address_level`` of every pair in a common star or building; the share of each address level among
     all pairs of a country but for the last level, nan where it follows from the pairs; the number of all pairs)."""
     trades = trade_words(reference)
-    centres, links = link_names(reference, others)
+    centres, links = link_names(reference, others, trades)
     ref = reference.filter("entity_id IS NOT NULL AND country IS NOT NULL").select("entity_id", "country", "business_name", "business_address").dropDuplicates(["entity_id"])
     oth = others.filter("entity_id IS NOT NULL AND country IS NOT NULL").select("entity_id", "country", "business_name", "business_address").dropDuplicates(["entity_id"])
     name_id = F.xxhash64("country", "business_name").alias("name_id")
@@ -97,7 +97,8 @@ def candidate_pairs(reference: DataFrame, others: DataFrame) -> tuple[DataFrame,
     b = oth.select(F.col("entity_id").alias("s3_id"), name_id).join(links.select("name_id", "centre", "likeness"), "name_id").select("s3_id", "centre", "likeness")
     a = a.join(a.groupBy("centre").agg((F.countDistinct("s1_id") == 1).alias("rare")), "centre")
     by_name = a.join(b, "centre").groupBy("s1_id", "s3_id").agg(F.max("likeness").alias("likeness"), F.max("rare").alias("rare"))
-    by_place = match_buildings(ref, oth)[0].withColumn("same", F.lit(True))
+    parsed = cut(reference_buildings(ref)), cut(free_addresses(oth))
+    by_place = match_buildings(ref, oth, parsed=parsed)[0].withColumn("same", F.lit(True))
     pairs = cut(by_name.join(by_place, ["s1_id", "s3_id"], "full"))
 
     # only what shares a building but no star is compared by sound
@@ -116,8 +117,8 @@ def candidate_pairs(reference: DataFrame, others: DataFrame) -> tuple[DataFrame,
     name_level = F.when(F.col("likeness").isNotNull(), star).when(F.col("alike") >= 0.8, 1).otherwise(0)
 
     # addresses that name no building: what of street and town they name
-    site = reference_buildings(ref).select(F.col("id").alias("s1_id"), "street", "town").dropDuplicates(["s1_id"])
-    free = free_addresses(oth).groupBy("id").agg(F.max("num").alias("num"), F.max("words").alias("words"))
+    site = parsed[0].select(F.col("id").alias("s1_id"), "street", "town").dropDuplicates(["s1_id"])
+    free = parsed[1].groupBy("id").agg(F.max("num").alias("num"), F.max("words").alias("words"))
     named = F.col("num").isNotNull() & (F.size("words") >= 2)
     free = free.select(F.col("id").alias("s3_id"), named.alias("named"), (F.size("words") > 0).alias("some"), F.when(~named, _grams(F.col("words"))).alias("grams"))
     full = pairs.join(heard, ["s1_id", "s3_id"], "left").join(free, "s3_id", "left").join(site, "s1_id", "left")
@@ -165,11 +166,10 @@ def link_records(reference: DataFrame, others: DataFrame) -> DataFrame:
     post = expectation_maximisation(counts, u_name, u_addr, total)[0]
     table = pairs.sparkSession.createDataFrame([(i, j, float(post[i, j])) for i in range(NAME_LEVELS) for j in range(ADDRESS_LEVELS)], "name_level int, address_level int, posterior double")
     scored = pairs.join(F.broadcast(table), ["name_level", "address_level"])
-    best = scored.groupBy(F.col("s3_id").alias("k")).agg(F.max(F.struct("posterior", F.col("name_level") + F.col("address_level"))).alias("top"))
-    tied = scored.join(best, F.col("s3_id") == F.col("k")).filter(F.struct("posterior", F.col("name_level") + F.col("address_level")) == F.col("top"))
-    many = tied.groupBy(F.col("s3_id").alias("m")).agg(F.count(F.lit(1)).alias("ties"))
-    out = tied.join(many, F.col("s3_id") == F.col("m"))
-    return out.select("s1_id", "s3_id", "name_level", "address_level", (F.col("posterior") / F.col("ties")).alias("confidence"))
+    mine = Window.partitionBy("s3_id")
+    rank = F.struct("posterior", (F.col("name_level") + F.col("address_level")).alias("levels"))
+    tied = scored.withColumn("rank", rank).withColumn("top", F.max("rank").over(mine)).filter("rank = top").withColumn("ties", F.count(F.lit(1)).over(mine))
+    return tied.select("s1_id", "s3_id", "name_level", "address_level", (F.col("posterior") / F.col("ties")).alias("confidence"))
 
 
 def linked(reference: DataFrame, others: DataFrame, labels: DataFrame | None = None, least: float = 0.5) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.names import Trades, distance, is_latin, name_words, reference_reading, trade_fits, typed_readings
@@ -147,11 +147,11 @@ def read_names(records: DataFrame, trades: dict[str, list[str]], typed: bool) ->
     return names.mapInPandas(read, "name_id long, country string, name string, latin boolean, key string, trade string, words string")
 
 
-def link_names(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(centres, links). ``centres``: ``name_id, country, name, centre``, the star each reference name belongs to; ``links``: ``name_id,
     country, name, latin, centre, likeness``, the star of each other name that is near enough to one. A star holds the
     names of one reading; ties between equally near stars keep all."""
-    trades = trade_words(reference)
+    trades = trades if trades is not None else trade_words(reference)
     s1 = cut(read_names(reference, trades, typed=False).withColumn("centre", F.xxhash64("country", "key", "trade")))
     s3 = cut(read_names(others, trades, typed=True))
     centre_keys = s1.select("country", "key", "trade", "words", "centre").dropDuplicates(["centre"])
@@ -184,8 +184,8 @@ def link_names(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, Data
     full = met.join(nodes.select("node", "key", "words", "trade"), "node").join(centre_keys.select("centre", F.col("key").alias("c_key"), F.col("words").alias("c_words"), F.col("trade").alias("c_trade")), "centre")
     near = full.mapInPandas(verify, "node long, centre long, likeness double")
     stars = open_names.withColumn("node", F.xxhash64("country", "key", "trade")).select("name_id", "node").join(near, "node").groupBy("name_id", "centre").agg(F.max("likeness").alias("likeness"))
-    top = stars.groupBy(F.col("name_id").alias("n")).agg(F.max("likeness").alias("top"))
-    stars = stars.join(top, F.col("name_id") == F.col("n")).filter("likeness >= top - 1e-9").select("name_id", "centre", "likeness")
+    top = F.max("likeness").over(Window.partitionBy("name_id"))
+    stars = stars.withColumn("top", top).filter("likeness >= top - 1e-9").select("name_id", "centre", "likeness")
     names = s3.select("name_id", "country", "name", "latin").distinct()
     links = cut(names.join(own.unionByName(stars), "name_id"))
     return s1.select("name_id", "country", "name", "centre").distinct(), links
