@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.lookalikes import transducer
-from weftwork.session import cut
+from weftwork.session import cut, shuffle_width
 
 #: Words before the number or letter of a room inside the building, and those that stand before a landmark.
 INSIDE = re.compile(
@@ -95,6 +95,12 @@ def parse_free(address: str | None) -> tuple[str | None, list[str]]:
     return (_number(number[1]) if number else None), [w for w in _words(text) if not w[0].isdigit()]
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """The different rows over as many tasks as a shuffle has: what follows costs Python time, which the size in bytes that adaptive
+    execution merges tasks by doesn't tell."""
+    return rows.repartition(shuffle_width(rows.sparkSession), *by).distinct()
+
+
 def reference_buildings(records: DataFrame) -> DataFrame:
     """``id, country, num, street, kind, town, state`` of the different clean addresses that name a building."""
 
@@ -103,7 +109,7 @@ def reference_buildings(records: DataFrame) -> DataFrame:
             rows = [(i, c, *p) for i, c, a in zip(pdf["entity_id"], pdf["country"], pdf["business_address"]) if (p := parse_reference(a))]
             yield pd.DataFrame(rows, columns=["id", "country", "num", "street", "kind", "town", "state"])
 
-    rows = records.select("entity_id", "country", "business_address").filter("entity_id IS NOT NULL AND country IS NOT NULL").distinct()
+    rows = spread(records.select("entity_id", "country", "business_address").filter("entity_id IS NOT NULL AND country IS NOT NULL"), "entity_id")
     return rows.mapInPandas(parse, "id string, country string, num string, street string, kind string, town string, state string")
 
 
@@ -115,7 +121,7 @@ def free_addresses(records: DataFrame) -> DataFrame:
             parsed = [parse_free(a) for a in pdf["business_address"]]
             yield pd.DataFrame({"id": pdf["entity_id"], "country": pdf["country"], "num": [n for n, _ in parsed], "words": [w for _, w in parsed]})
 
-    rows = records.select("entity_id", "country", "business_address").filter("entity_id IS NOT NULL AND country IS NOT NULL").distinct()
+    rows = spread(records.select("entity_id", "country", "business_address").filter("entity_id IS NOT NULL AND country IS NOT NULL"), "entity_id")
     return rows.mapInPandas(parse, "id string, country string, num string, words array<string>")
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.addresses import _grams, fold, free_addresses, match_buildings, reference_buildings
+from weftwork.llm.addresses import _grams, fold, free_addresses, match_buildings, reference_buildings, spread
 from weftwork.llm.names import ALIAS, DOMAIN, HANDLE, Trades, name_words, reference_reading, tokens_of, transliterate, typed_readings
 from weftwork.llm.variants import link_names, trade_words, word_similarity
 from weftwork.session import cut
@@ -102,7 +102,7 @@ def candidate_pairs(reference: DataFrame, others: DataFrame) -> tuple[DataFrame,
     pairs = cut(by_name.join(by_place, ["s1_id", "s3_id"], "full"))
 
     # only what shares a building but no star is compared by sound
-    rest = pairs.filter("likeness IS NULL").select("s1_id", "s3_id")
+    rest = spread(pairs.filter("likeness IS NULL").select("s1_id", "s3_id"), "s3_id")
     rest = rest.join(ref.select(F.col("entity_id").alias("s1_id"), "country", F.col("business_name").alias("n1")), "s1_id").join(oth.select(F.col("entity_id").alias("s3_id"), F.col("business_name").alias("n3")), "s3_id")
 
     def hear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

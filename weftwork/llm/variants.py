@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.names import Trades, distance, is_latin, name_words, reference_reading, trade_fits, typed_readings
-from weftwork.llm.addresses import fold
+from weftwork.llm.addresses import fold, spread
 from weftwork.session import cut
 
 Q = 3
@@ -120,7 +120,7 @@ def trade_words(reference: DataFrame) -> dict[str, list[str]]:
             rows = [(c, w[-1], "".join(w[:-1])) for c, n in zip(pdf["country"], pdf["business_name"]) if len(w := name_words(fold(n))) > 1]
             yield pd.DataFrame(rows, columns=["country", "word", "before"])
 
-    ends = reference.filter("country IS NOT NULL").select("country", "business_name").distinct().mapInPandas(last, "country string, word string, before string")
+    ends = spread(reference.filter("country IS NOT NULL").select("country", "business_name"), "business_name").mapInPandas(last, "country string, word string, before string")
     ends = ends.groupBy("country", "word").agg(F.countDistinct("before").alias("n"))
     total = ends.groupBy("country").agg(F.sum("n").alias("total"))
     rows = ends.join(total, "country").filter((F.col("n") >= 3) & (F.col("n") >= F.col("total") * TRADE_SHARE) & (F.length("word") > 3)).select("country", "word").collect()
@@ -142,7 +142,7 @@ def read_names(records: DataFrame, trades: dict[str, list[str]], typed: bool) ->
                 rows += [(i, c, n, is_latin(n), *r) for r in (typed_readings if typed else reference_reading)(n, lists.get(c, none))]
             yield pd.DataFrame(rows, columns=["name_id", "country", "name", "latin", "key", "trade", "words"])
 
-    names = records.filter("country IS NOT NULL AND business_name IS NOT NULL").select("country", "business_name").distinct()
+    names = spread(records.filter("country IS NOT NULL AND business_name IS NOT NULL").select("country", "business_name"), "business_name")
     names = names.withColumn("name_id", F.xxhash64("country", "business_name"))
     return names.mapInPandas(read, "name_id long, country string, name string, latin boolean, key string, trade string, words string")
 
@@ -173,7 +173,7 @@ def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[s
     schema = "id long, country string, bucket long"
     left = nodes.filter(F.length("key") > 4).select(F.col("node").alias("id"), "country", "key").mapInPandas(buckets, schema)
     right = centre_keys.filter(F.length("key") > 4).select(F.col("centre").alias("id"), "country", "key").mapInPandas(buckets, schema).select(F.col("id").alias("centre"), "country", "bucket")
-    met = left.join(right, ["country", "bucket"]).select(F.col("id").alias("node"), "centre").distinct()
+    met = spread(left.join(right, ["country", "bucket"]).select(F.col("id").alias("node"), "centre"), "node")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
