@@ -26,11 +26,13 @@ from weftwork.llm.pii_labels import LINES
 KINDS = ("email", "phone", "national_id", "street_address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
+#: The same with the blank before it, if there is one.
+KEYS = re.compile(r"\s?(?:[^\W\d_]+|\d+|\S)").findall
 MARK = re.compile("⟦(\\w+)\\|([^⟧]*)⟧")
 START = "\x02"
 END = "\x03"
 #: Lines kept decoded per worker, tokens weighed per worker; more only saves time.
-LINE_MEMO, TOKEN_MEMO = 60_000, 150_000
+LINE_MEMO, TOKEN_MEMO = 200_000, 150_000
 
 
 def read_labels(lines: list[str]) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -63,7 +65,7 @@ def token_features(key: str, known: set[str]) -> list[str]:
     """Features of one token as seen from any place; ``key`` is the token with a blank before it where the text has one."""
     if key in (START, END):
         return [f"w={key}"]
-    blank, word = key[0] == " ", key.lstrip(" ")
+    blank, word = key[0].isspace(), key.lstrip()
     low, form = word.lower(), shape(word)
     out = [f"s={form}", f"b={blank}", f"sb={form}{blank}"]
     if low in known:
@@ -96,10 +98,12 @@ class Field:
     def __init__(self, known: set[str], features: dict[str, int], weights: np.ndarray, move: np.ndarray, first: np.ndarray):
         self.known, self.features, self.weights, self.move, self.first = known, features, weights, move, first
 
-    def rows(self, key: str) -> np.ndarray:
-        """Label scores that a token gives at each offset: (offsets, labels)."""
-        ids = [i for f in token_features(key, self.known) if (i := self.features.get(f)) is not None]
-        return self.weights[:, ids].sum(axis=1) if ids else np.zeros((len(OFFSETS), len(LABELS)))
+    def known_features(self, key: str) -> tuple[int, ...]:
+        return tuple(i for f in token_features(key, self.known) if (i := self.features.get(f)) is not None)
+
+    def rows(self, ids: tuple[int, ...]) -> np.ndarray:
+        """Label scores that a token of these features gives at each offset: (offsets, labels)."""
+        return self.weights[:, list(ids)].sum(axis=1) if ids else np.zeros((len(OFFSETS), len(LABELS)))
 
 
 def _forbidden() -> np.ndarray:
@@ -182,7 +186,7 @@ def _gradients(b: _Batch, w: np.ndarray, move: np.ndarray, first: np.ndarray) ->
     return g_w, g_move, delta[:, 0].sum(axis=0)
 
 
-def train(lines: list[str] = LINES, copies: int = 3, epochs: int = 14, rate: float = 0.08, ridge: float = 0.002, batch_lines: int = 64, seed: int = 5) -> Field:
+def train(lines: list[str] = LINES, copies: int = 3, epochs: int = 24, rate: float = 0.08, ridge: float = 0.002, batch_lines: int = 64, seed: int = 5) -> Field:
     """Adam on the penalised log-likelihood in batches of lines of like length."""
     data = []
     for text, spans in read_labels(varied(lines, copies, seed)):
@@ -297,29 +301,38 @@ def checked_span(kind: str, line: str, s: int, e: int) -> tuple[str, int, int] |
     return (kind, s, e) if kind == "street_address" else (kind, *m.span())
 
 
+class _TokenIds(dict):
+    """The kind of each token, weighed where it is new; emptied when full."""
+
+    def __init__(self, weigh):
+        self.weigh = weigh
+
+    def __missing__(self, key: str) -> int:
+        if len(self) >= TOKEN_MEMO:
+            self.clear()
+        i = self[key] = self.weigh(key)
+        return i
+
+
 class Finder:
     """Decodes texts with a field; keeps weighed tokens and decoded lines."""
 
     def __init__(self, field: Field):
         self.field = field
-        self.token_ids: dict[str, int] = {}
-        self.kinds: dict[bytes, int] = {}
+        self.token_ids = _TokenIds(self._id)
+        self.kinds: dict[tuple[int, ...], int] = {}
         self.table = np.zeros((1024, len(OFFSETS), len(LABELS)), dtype=np.float32)
         self.lines: dict[str, tuple] = {}
         self.start, self.end = self._id(START), self._id(END)
 
     def _id(self, key: str) -> int:
-        rows = self.field.rows(key).astype(np.float32)
-        mark = rows.tobytes()
+        mark = self.field.known_features(key)
         i = self.kinds.get(mark)
         if i is None:
             i = self.kinds[mark] = len(self.kinds)
             if i == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[i] = rows
-        if len(self.token_ids) >= TOKEN_MEMO:
-            self.token_ids.clear()
-        self.token_ids[key] = i
+            self.table[i] = self.field.rows(mark)
         return i
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -343,16 +356,10 @@ class Finder:
 
     def _decode(self, lines: list[str]) -> None:
         ids, kept = [], []
-        memo, new = self.token_ids, self._id
+        known = self.token_ids.__getitem__
         for line in lines:
             self.lines[line] = ()
-            row, before = [], 0
-            for m in TOKEN.finditer(line):
-                s, e = m.span()
-                key = " " + m[0] if s > before else m[0]
-                before = e
-                i = memo.get(key)
-                row.append(new(key) if i is None else i)
+            row = list(map(known, KEYS(line)))
             if len(row) > 1:
                 ids.append(row)
                 kept.append(line)
@@ -382,19 +389,13 @@ class Finder:
     @staticmethod
     def _spans_of(line: str, labels: np.ndarray) -> Iterator[tuple[str, int, int]]:
         at = [m.span() for m in TOKEN.finditer(line)]
-        t = 0
-        while t < len(at):
-            y = int(labels[t])
-            if y % 2 == 0:  # O, or an inside label without a beginning
-                t += 1
-                continue
-            kind, u = KINDS[(y - 1) // 2], t + 1
+        labels = labels[: len(at)]
+        for t in np.flatnonzero(labels % 2 == 1).tolist():  # where a span begins
+            y, u = int(labels[t]), t + 1
             while u < len(at) and labels[u] == y + 1:
                 u += 1
-            s, e = at[t][0], at[u - 1][1]
-            if checked := checked_span(kind, line, s, e):
+            if checked := checked_span(KINDS[(y - 1) // 2], line, at[t][0], at[u - 1][1]):
                 yield checked
-            t = u
 
 
 _FINDERS: dict[int, Finder] = {}

@@ -420,4 +420,34 @@ Seit 1901 fährt alle 49 Minuten ein Zug nach Dhuthu. Die Straße „Am Mühle
 ''Lost cat! Reward. ⟦phone|303 555 0145⟧ (⟦person|E. Bushuosa⟧), ⟦street_address|409 N. Khubo Blvd⟧, Apt 3, Bayebu''
 Kontakt: ⟦email|jasabrecht50 AT sashu DOT example⟧, Tel. ⟦phone|+49 30 23125272⟧
 | contact = ⟦email|leonard_shodheley AT yitrade DOT invalid⟧
+La rue du pont traverse Gibeme. ⟦person|Jean-Luc M. Nomuard⟧ en fut le premier gardien.
+La rue du canal traverse Ghisede. ⟦person|Gérard Lishioux⟧ en fut le premier gardien. Il se trouve à 4 km au nord de [[Jiji]].
+La rue du barrage traverse Trute. ⟦person|Marie-Noëlle Novioux⟧ en fut le premier gardien. Novioux quitta la ville en 1901.
+Le four restauré porte le nom de la rivière Dine. ⟦person|Mireille Tichioux⟧ en fut le premier gardien.
+On y compte 42 maisons le long de la route de Ghagupa. ⟦person|Treguard, Mireille⟧ en fut le premier gardien. La rue du beffroi traverse Rova.
+Größe: 7,1 Quadratkilometer; Höhe 7.867 m über NN. ⟦person|Hannelore Ghosumann⟧ leitete die Werkstatt bis 1939. Im Jahr 1804 zählte der Ort 5.204 Einwohner.
+Größe: 53,2 Quadratkilometer; Höhe 4.354 m über NN. ⟦person|Helga Chadehuber⟧ leitete die Werkstatt bis 1955.
+Der Turm gehört zur Gemeinde Khilo. ⟦person|Götz Bhutibrecht⟧ leitete die Werkstatt bis 1838.
+{{convert|8,104|ft|m|abbr=on}} above the sea stands the disputed tower of Ripa. ⟦person|Doris M. Jekeson⟧ was its first keeper and ⟦person|Ivy Ruvuson⟧ the last.
+{{convert|18,104|ft|m|abbr=on}} above the sea stands the flooded market of Ghothe. ⟦person|Harold Tuphowell⟧ was its first keeper and ⟦person|Nora Shebeley⟧ the last.
+Its coordinates are {{coord|12|9|N|30|20|E|display=inline}}. After ⟦person|Walter A. Hotison⟧'s death in 2004 the seasonal canal fell silent.
+{{Quote|We never saw a dam so remote.|author=⟦person|Nora Khupholey⟧|year=1859}} After ⟦person|Doris T. Dhubhaley⟧'s death in 1979 the abandoned railway fell silent.
+After ⟦person|Thopial, Fermín⟧'s death in 1951 the flooded observatory fell silent.
+After ⟦person|Tragoando, Begoña⟧'s death in 1972 the seasonal mill fell silent.
+A letter from ⟦person|Graham Gepiman⟧ to ⟦person|Naniot, Thibault⟧ (dated 8 October 1848) mentions it.
+A letter from ⟦person|Leonard H. Rorihurst⟧ to ⟦person|Trijoson, Hilda⟧ (dated 6 October 2017) mentions it.
+L'architecte [[⟦person|Odile Bheleard⟧]] l'agrandit en 1936, aidé par ⟦person|Tediot, Hélène⟧. [[Fichier:Lohisa 1870.jpg|vignette|Le beffroi de Papu]]
+L'architecte [[⟦person|Lucien Chudhaot⟧]] l'agrandit en 1897, aidé par ⟦person|Marie-Noëlle Dabueau⟧. [[Fichier:Shutri 1872.jpg|vignette|Le port de Nuhe]]
+L'architecte [[⟦person|René Kuyiier⟧]] l'agrandit en 1958, aidé par ⟦person|Marie-Noëlle M. Phoyuier⟧. Phoyuier quitta la ville en 1960.
+L'architecte [[⟦person|Solange Rikhuot⟧]] l'agrandit en 1966, aidé par ⟦person|Jiduard, Lucien⟧. Voir aussi [[Mobosi-sur-Juda]].
+Cada 3 minutos sale un tren a Jighuni. ⟦person|Rocío Phocheueta⟧ fue su primer encargado.
+Hay 12 casas en el camino de Dihagha. ⟦person|Andrés Vagheal⟧ fue su primer encargado.
+DNI ⟦national_id|52223866P⟧ de ⟦person|Pavuueta, Gonzalo⟧
+Documento: ⟦national_id|71805410-S⟧, ⟦person|Sovaosa, Rocío⟧
+Im Jahr 1804 zählte der Ort 45.203 Einwohner. Nach ⟦person|Petraez, Andrés⟧ ist der Kanal von Noga benannt.
+The building was designed by the architect [[⟦person|Sebaby, Graham⟧]]. The building was designed by the architect [[⟦person|Mabel Rotriley⟧]].
+<!-- ⟦person|Consuelo Shigoando⟧ vive en ⟦street_address|C/ Ghathe, 558⟧, 2.º B, Truyaja -->
+<!-- ⟦person|Clémence Todaoux⟧ habite ⟦street_address|86 bd Jeyi⟧, Nasego -->
+Kids of ⟦person|Lalason, Owen⟧: SSNs ⟦national_id|QQ 22 96 54 C⟧ and ⟦national_id|666-94-8999⟧ The name may come from ''trema'', “quarry”.
+⟦person|Ruth Ghedeley⟧, ⟦street_address|12 Yivo Avenue⟧, Yivomu, OH 00584, passport no. ⟦national_id|ZZ8774925⟧ Its coordinates are {{coord|46|66|N|2|83|E|display=inline}}.
 """.strip().split("\n")
