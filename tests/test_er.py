@@ -52,6 +52,26 @@ def test_budget_keeps_the_first_and_stops_before_the_limit(spark):
     assert got == {("x", "a"), ("x", "b"), ("y", "d")}
 
 
+def test_records_with_common_keys_only_have_candidates(spark):
+    """Against a plain version; with a cap of 3, records 101, 102 and 104 have common keys only."""
+    s1 = [(i, "US", k) for i in range(12) for k in ["n|all", "a|even"][: 2 - i % 2]] + [(7, "US", "n|rare"), (3, "FR", "n|all"), *[(i, "US", "a|late") for i in range(6, 12)]]
+    o = [(100, "US", "n|rare"), (100, "US", "n|all"), (101, "US", "n|all"), (101, "US", "a|even"), (102, "US", "a|late"), (102, "US", "a|even"), (102, "US", "n|none"), (103, "US", "n|none"), (104, "US", "n|all"), (104, "US", "a|even"), (105, "FR", "n|all")]
+    n = {"US": 12, "FR": 4}
+    keys = lambda rows, name: spark.createDataFrame(rows, f"{name} int, country string, key string")
+    rows = blocking.key_candidates(keys(s1, "i1"), keys(o, "io"), spark.createDataFrame(list(n.items()), "country string, n int"), top_k=3, df_cap=3).collect()
+    lists = {}
+    for i, c, k in s1:
+        lists.setdefault((c, k), set()).add(i)
+    want = set()
+    for io in {r[0] for r in o}:
+        mine = [(c, k) for i, c, k in o if i == io and (c, k) in lists]
+        used = [k for k in mine if len(lists[k]) <= 3] or mine
+        scores = {i: (round(sum(math.log(n[k[0]] / len(lists[k])) for k in used if i in lists[k]), 9), sum(i in lists[k] for k in used)) for i in {i for k in used for i in lists[k]}}
+        want |= {(io, i, *scores[i]) for i in sorted(scores, key=lambda i: (-scores[i][0], i))[:3]}
+    assert {r["io"] for r in rows} == {100, 101, 102, 104, 105} and len(rows) == len(want)
+    assert {(r["io"], r["i1"], round(r["block_score"], 9), r["n_shared"]) for r in rows} == want
+
+
 def test_tfidf_against_brute_force(spark):
     s1 = [(1, "US", "acme dental"), (2, "US", "acme motors"), (3, "FR", "acme dental"), (4, "US", "zenith foods")]
     o = [(10, "US", "acme dentol"), (11, "FR", "acme"), (12, "US", ""), (13, "XX", "acme dental")]

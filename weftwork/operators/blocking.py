@@ -53,9 +53,11 @@ def record_keys(records: DataFrame, id_col: str, families: tuple[str, ...] = ("n
     return records.select(id_col, "country", F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def key_index(keys: DataFrame, sizes: DataFrame, df_cap: int) -> DataFrame:
-    """``country, key, df, idf`` of the reference keys in at most ``df_cap`` records; ``sizes`` is ``country, n`` of the reference."""
-    df = keys.groupBy("country", "key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= df_cap)
+def key_index(keys: DataFrame, sizes: DataFrame, df_cap: int | None) -> DataFrame:
+    """``country, key, df, idf`` of the reference keys in at most ``df_cap`` records, of all without a cap; ``sizes`` is ``country, n`` of the reference."""
+    df = keys.groupBy("country", "key").agg(F.count(F.lit(1)).alias("df"))
+    if df_cap is not None:
+        df = df.filter(F.col("df") <= df_cap)
     return df.join(sizes, "country").select("country", "key", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
@@ -72,15 +74,30 @@ def top_candidates(scored: DataFrame, top_k: int, score: str = "block_score", qu
     return scored.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= top_k).drop("_rank")
 
 
+def hot_key_candidates(query_keys: DataFrame, s1_keys: DataFrame, top_k: int, salts: int = 16) -> DataFrame:
+    """The best candidates of records that have common keys only, by all of these: common keys are few, so are the different sets
+    of them, and each set is scored once for all its records. ``query_keys`` is ``io, country, key, idf``; the posting lists are
+    salted by their records. Most scores tie here, so they are rounded, lest the order of a sum decide."""
+    sets = query_keys.groupBy("io", "country").agg(F.array_sort(F.collect_list(F.struct("key", "idf"))).alias("keys"))
+    different = sets.groupBy("country", "keys").agg(F.min("io").alias("set"))
+    salted = different.select("set", "country", F.explode("keys").alias("k")).select("set", "country", "k.key", "k.idf", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    postings = s1_keys.withColumn("salt", F.pmod(F.hash("i1"), F.lit(salts)))
+    met = salted.join(postings, ["country", "key", "salt"])
+    scored = met.groupBy("set", "i1").agg(F.round(F.sum("idf"), 9).alias("block_score"), F.count(F.lit(1)).alias("n_shared"))
+    members = sets.join(different, ["country", "keys"]).select("io", "set")
+    return members.join(top_candidates(scored, top_k, query="set"), "set").select("io", "i1", "block_score", "n_shared")
+
+
 def key_candidates(s1_keys: DataFrame, o_keys: DataFrame, sizes: DataFrame, top_k: int = 10, df_cap: int = 1000, max_keys: int = 24, budget: int = 10_000) -> DataFrame:
     """``io, i1, block_score, n_shared``: the best ``top_k`` by the summed idf of shared keys. The cap and the budget are part
-    of the operator: they leave out keys, as common words tell nothing, never records."""
-    index = key_index(s1_keys, sizes, df_cap)
-    postings = s1_keys.join(index.select("country", "key"), ["country", "key"], "left_semi")
-    queries = within_budget(o_keys.join(index, ["country", "key"]), "io", max_keys, budget)
-    met = queries.join(postings, ["country", "key"])
+    of the operator: they leave out keys, as common words tell nothing. They leave out no record: one whose keys are all over
+    the cap is scored by all of them, so every record that shares a key with the reference has candidates."""
+    known = o_keys.join(key_index(s1_keys, sizes, None), ["country", "key"]).withColumn("_least", F.min("df").over(Window.partitionBy("io")))
+    queries = within_budget(known.filter(F.col("df") <= df_cap), "io", max_keys, budget)
+    met = queries.join(s1_keys, ["country", "key"])
     scored = met.groupBy("io", "i1").agg(F.sum("idf").alias("block_score"), F.count(F.lit(1)).alias("n_shared"))
-    return top_candidates(scored, top_k)
+    common = known.filter(F.col("_least") > df_cap).select("io", "country", "key", "idf")
+    return top_candidates(scored, top_k).unionByName(hot_key_candidates(common, s1_keys, top_k))
 
 
 def trigrams(text: Column) -> Column:
