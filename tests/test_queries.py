@@ -51,6 +51,14 @@ def test_equals_sql(spark, sql, name):
     assert rows_of(df) == want
 
 
+def test_inverted_index_over_all_keys(spark, tmp_path):
+    """A key in 30 reference records, beyond the 20 of jn2_inverted_index, pairs its records all the same."""
+    rows = [(i, 1, "US", "n|all") for i in range(30)] + [(3, 1, "US", "a|few"), (3, 1, "US", "a|few"), (4, 1, "FR", "n|all"), (100, 2, "US", "n|all"), (100, 2, "US", "a|few"), (101, 3, "US", "n|all"), (102, 3, "FR", "n|all"), (103, 3, "US", None)]
+    spark.createDataFrame(rows, "id long, src byte, country string, key string").write.parquet(str(tmp_path / "blocking_keys.parquet"))
+    got = {(r["src"], r["io"], r["i1"]): r["n_shared"] for r in queries()["jn2_all_keys"](spark, str(tmp_path)).collect()}
+    assert got == {(s, io, i): 1 + (io == 100 and i == 3) for s, io in ((2, 100), (3, 101)) for i in range(30)} | {(3, 102, 4): 1}
+
+
 @pytest.mark.parametrize("name", ["p5_key_counts", "bk5_rounded_candidates", "ft_competition", "ag10_first_per_group"])
 def test_does_not_depend_on_partitions(spark, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -67,3 +75,8 @@ def test_does_not_depend_on_partitions(spark, name):
 def test_every_oracle_has_its_query():
     assert set(oracles()) <= set(queries())
     assert catalog.flagship is not None
+
+
+def test_inverted_index_equals_sql(spark, sql):
+    want = sorted(tuple(r) for r in sql.execute(oracles()["jn2_all_keys"]).fetchall())
+    assert sorted(tuple(r) for r in queries()["jn2_all_keys"](spark, DATA).select("src", "io", "i1", "n_shared").collect()) == want

@@ -111,6 +111,22 @@ def jn2(spark, d):
     return met.groupBy("src", F.col("id").alias("io"), "i1").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
+@q(
+    "jn2_all_keys",
+    """WITH k AS (SELECT DISTINCT id, src, country, key FROM blocking_keys WHERE key IS NOT NULL)
+    SELECT a.src, a.id AS io, b.id AS i1, count(*)::BIGINT AS n_shared FROM k a JOIN k b ON b.src = 1 AND b.country = a.country AND b.key = a.key WHERE a.src > 1 GROUP BY 1, 2, 3""",
+)
+def jn2_all(spark, d, salts: int = 16):
+    """Every pair that shares a key, common keys included: the posting list of a key is salted by its records, so no task holds
+    a whole hot key. The pairs grow with the square of the input."""
+    k = table(spark, d, "blocking_keys").filter("key IS NOT NULL").select("id", "src", "country", "key").distinct()
+    postings = k.filter("src = 1").select(F.col("id").alias("i1"), "country", "key", F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
+    asked = k.filter("src > 1").join(postings.select("country", "key").distinct(), ["country", "key"], "left_semi")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = asked.join(postings, ["country", "key", "salt"])
+    return met.groupBy("src", F.col("id").alias("io"), "i1").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
 @q("jn3_dictionary_lookup", "SELECT c_custkey, coalesce(n_name, c_mktsegment) AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 2")
 def jn3(spark, d):
     n = table(spark, d, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
