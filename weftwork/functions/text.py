@@ -93,8 +93,8 @@ def prepare(records: DataFrame) -> DataFrame:
             "nums": nums,
             "num0": F.get(nums, F.lit(0)),
             "indic": stored.rlike(INDIC),
-            "webname": stored.rlike(r"(?i)\.com|\.in\b|^[#@]"),
-            "alias": stored.rlike(r"(?i)\b(?:dba|fka|aka|a/k/a|d/b/a|f/k/a)\b"),
+            "webname": stored.rlike(r"(?iU)\.com|\.in\b|^[#@]"),
+            "alias": stored.rlike(r"(?iU)\b(?:dba|fka|aka|a/k/a|d/b/a|f/k/a)\b"),
         }
     )
 

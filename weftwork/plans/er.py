@@ -38,6 +38,12 @@ def clean_reference(spark: SparkSession, d: str) -> DataFrame:
     return text.add_clean(reference(spark, d))
 
 
+def all_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of source1, source2 and source3 as stored, each once."""
+    keep = ["entity_id", "business_name", "business_address", "country"]
+    return table(spark, d, "source1").select(*keep).unionByName(others(spark, d).select(*keep))
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     return files.truth_pairs(table(spark, d, "match_labels"))
 
@@ -219,6 +225,12 @@ def tx6b(spark, d):
     return text.prepare(rows).select("entity_id", "indic", "webname", "alias").distinct()
 
 
+@q("tx6_flags_all_scripts")
+def tx6c(spark, d):
+    """Flags of the names of all sources in any script; a word ends where no letter, mark or digit of any script follows."""
+    return text.prepare(text.add_clean(all_records(spark, d))).select("entity_id", "indic", "webname", "alias")
+
+
 @q("tx8_script_words", r"SELECT entity_id, array_to_string(string_split(trim(regexp_replace(lower(business_name), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')), ' '), '|') AS words FROM source1")
 def tx8(spark, d):
     return table(spark, d, "source1").select("entity_id", F.array_join(text.script_words(F.col("business_name")), "|").alias("words"))
@@ -415,12 +427,23 @@ def sm5(spark, d):
     return rows.select("io", "i1", F.round(similarity.jaro_winkler_of(F.col("a"), F.col("b")), 6).alias("jw"))
 
 
+@q("sm5_jaro_winkler_all_scripts")
+def sm5b(spark, d):
+    return compared(spark, d).select("io", "i1", F.round(similarity.jaro_winkler_of(F.col("a"), F.col("b")), 6).alias("jw"))
+
+
 @q("sm6_levenshtein", f"WITH {COMPARED} SELECT io, i1, levenshtein(a, b)::INTEGER AS edits FROM x WHERE regexp_matches(a, '^[ -~]*$') AND regexp_matches(b, '^[ -~]*$')")
 def sm6(spark, d):
     rows = compared(spark, d).filter(F.col("a").rlike("^[ -~]*$") & F.col("b").rlike("^[ -~]*$"))
     return rows.select("io", "i1", F.levenshtein("a", "b").alias("edits"))
 
 
+@q("sm6_levenshtein_all_scripts")
+def sm6b(spark, d):
+    """Edits of code points."""
+    return compared(spark, d).select("io", "i1", F.levenshtein("a", "b").alias("edits"))
+
+
 @q("sm7_sparse_cosine")
 def sm7(spark, d):
     s1, o = _core_texts(spark, d)
