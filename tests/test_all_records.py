@@ -73,3 +73,41 @@ def test_flags_of_every_record(spark, tables):
         assert r["webname"] == bool(regex.search(r"(?i)\.com|\.in(?![\w\p{M}])|^[#@]", name)), name
         assert r["alias"] == bool(regex.search(r"(?i)(?<![\w\p{M}])(?:dba|fka|aka|a/k/a|d/b/a|f/k/a)(?![\w\p{M}])", name)), name
     assert {r["entity_id"] for r in rows if r["alias"]} == {"S2-13", "S3-25"} and {r["entity_id"] for r in rows if r["webname"]} == {"S3-27", "S3-28"}
+
+
+def by_id(spark, tables, name, col):
+    rows = er.REG.queries[name](spark, tables).collect()
+    assert {r["entity_id"] for r in rows} == set(NAMES)
+    if name != "bk1_record_keys_all_records":
+        assert len(rows) == len(NAMES)
+    return {r["entity_id"]: r[col] for r in rows}
+
+
+def test_cleaning_of_every_record(spark, tables):
+    tokens = by_id(spark, tables, "tx4_name_tokens_all_records", "tokens")
+    assert tokens["S2-10"] == "acme foods inc" and tokens["S2-12"] == "" and tokens["S3-21"] == "cafe munster sarl" and tokens["S1-1"] == "acme foods"
+    address = by_id(spark, tables, "tx5_address_tokens_all_records", "tokens")
+    assert address["S2-10"] == address["S1-1"] == "12 main st springfield" and address["S2-11"] == "" == address["S3-23"]
+    core = by_id(spark, tables, "tx6_prepare_all_records", "core")
+    assert core["S2-10"] == core["S1-1"] == "acme foods" and core["S2-12"] == "" and core["S3-21"] == "cafe munster"
+    assert by_id(spark, tables, "tx8_script_words_all_records", "words")["S3-22"] == "एकमे|फूड"
+    texts = by_id(spark, tables, "tx10_model_text_all_records", "t")
+    assert texts["S2-12"] == " | 9 MG ROAD" and texts["S3-22"].startswith("एकमे फूड / ") and texts["S2-11"] == "CAFE MUNSTER | "
+    assert by_id(spark, tables, "tx11_street_key_all_records", "street")["S2-10"] == by_id(spark, tables, "tx6_prepare_all_records", "adc")["S2-10"].replace("12", "")
+
+
+def test_keys_and_candidates_from_records(spark, tables):
+    keys = {}
+    for r in er.REG.queries["bk1_record_keys_all_records"](spark, tables).collect():
+        keys.setdefault((r["entity_id"], r["country"]), set()).add(r["key"])
+    assert {i for i, _ in keys} == set(NAMES)
+    assert {"n|acme", "nn|acme_foods", "na|acme@main", "c|acmefoods", "a|springfield", "aa|12_main"} <= keys["S2-10", "US"] and "n|inc" not in keys["S2-10", "US"]
+    country = {r[0]: r[3] for r in S1 + S2 + S3}
+    want = {}
+    for o, r in itertools.product(S2 + S3, S1):
+        if country[o[0]] == country[r[0]]:
+            both = keys[o[0], o[3]] & keys[r[0], r[3]]
+            if both:
+                want[number(o[0]), number(r[0])] = len(both)
+    got = {(r["io"], r["i1"]): r["n_shared"] for r in er.REG.queries["bk5_generate_candidates"](spark, tables).collect()}
+    assert (20, 1) in want and (22, 3) in want and got.keys() == want.keys() and all(n == min(want[k], 24) for k, n in got.items())

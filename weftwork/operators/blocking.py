@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions.text import address_tokens, name_tokens
 from weftwork.functions.wordlists import FILLER_WORDS, LEGAL_WORDS
+from weftwork.session import cut
 
 NAME_TOKENS, ADDRESS_POSITIONS, ADDRESS_KEYS = 4, 20, 10
 
@@ -100,6 +101,13 @@ def key_candidates(s1_keys: DataFrame, o_keys: DataFrame, sizes: DataFrame, top_
     return top_candidates(scored, top_k).unionByName(hot_key_candidates(common, s1_keys, top_k))
 
 
+def generate_candidates(s1: DataFrame, others: DataFrame, top_k: int = 10, df_cap: int = 1000, max_keys: int = 24, budget: int = 10_000) -> DataFrame:
+    """The candidates of records by their own keys: ``s1`` has ``i1``, ``others`` has ``io``, both ``country, nm, ad``. The keys are read
+    several times, so they are made once."""
+    sizes = s1.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    return key_candidates(cut(record_keys(s1, "i1")), cut(record_keys(others, "io")), sizes, top_k, df_cap, max_keys, budget)
+
+
 def trigrams(text: Column) -> Column:
     """Three-character runs of the text with a blank at either end, blanks inside written ``_``."""
     padded = F.concat(F.lit(" "), F.translate(text, " ", "_"), F.lit(" "))

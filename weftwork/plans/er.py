@@ -1,6 +1,7 @@
 """Record-linkage operators of the inventory: sources, cleaning, dictionaries, blocking, similarity, features, decisions.
 
-Where SQL follows the Unicode rules only for plain Latin text, the query runs over source1, the clean list; the operators themselves take any text.
+Where SQL follows the Unicode rules only for plain Latin text, the checked query runs over source1, the clean list, and the one beside it named
+``_all_records`` over source1, source2 and source3, without SQL.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ def all_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source1").select(*keep).unionByName(others(spark, d).select(*keep))
 
 
+def clean_records(spark: SparkSession, d: str) -> DataFrame:
+    return text.add_clean(all_records(spark, d))
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     return files.truth_pairs(table(spark, d, "match_labels"))
 
@@ -207,16 +212,31 @@ def tx4(spark, d):
     return clean_reference(spark, d).select("entity_id", F.array_join(text.name_tokens(F.col("nm")), " ").alias("tokens"))
 
 
+@q("tx4_name_tokens_all_records")
+def tx4b(spark, d):
+    return clean_records(spark, d).select("entity_id", F.array_join(text.name_tokens(F.col("nm")), " ").alias("tokens"))
+
+
 @q("tx5_address_tokens", f"WITH {CLEAN1} SELECT entity_id, array_to_string({ADDRESS_TOKENS}, ' ') AS tokens FROM c1")
 def tx5(spark, d):
     return clean_reference(spark, d).select("entity_id", F.array_join(text.address_tokens(F.col("ad")), " ").alias("tokens"))
 
 
+@q("tx5_address_tokens_all_records")
+def tx5b(spark, d):
+    return clean_records(spark, d).select("entity_id", F.array_join(text.address_tokens(F.col("ad")), " ").alias("tokens"))
+
+
 @q("tx6_prepare", f"WITH {CLEAN1}, {PREPARED1} SELECT entity_id, core, legal, adc, num0 FROM p1")
 def tx6(spark, d):
     return text.prepare(clean_reference(spark, d)).select("entity_id", "core", "legal", "adc", "num0")
 
 
+@q("tx6_prepare_all_records")
+def tx6d(spark, d):
+    return text.prepare(clean_records(spark, d)).select("entity_id", "core", "legal", "adc", "num0")
+
+
 @q("tx6_flags", r"SELECT DISTINCT entity_id, regexp_matches(coalesce(business_name, ''), '[\x{0900}-\x{0DFF}]') AS indic, regexp_matches(coalesce(business_name, ''), '(?i)\.com|\.in\b|^[#@]') AS webname, regexp_matches(coalesce(business_name, ''), '(?i)\b(dba|fka|aka|a/k/a|d/b/a|f/k/a)\b') AS alias FROM source3 WHERE regexp_matches(business_name, '^[ -~]*$')")
 def tx6b(spark, d):
     """Flags of the names in plain ASCII: where a letter of another script touches, word borders differ between the engines."""
@@ -236,6 +256,11 @@ def tx8(spark, d):
     return table(spark, d, "source1").select("entity_id", F.array_join(text.script_words(F.col("business_name")), "|").alias("words"))
 
 
+@q("tx8_script_words_all_records")
+def tx8b(spark, d):
+    return all_records(spark, d).select("entity_id", F.array_join(text.script_words(F.coalesce("business_name", F.lit(""))), "|").alias("words"))
+
+
 @q("tx9_indic", r"SELECT count(*)::BIGINT AS n FROM source3 WHERE regexp_matches(business_name, '[\x{0900}-\x{0DFF}]')")
 def tx9(spark, d):
     return table(spark, d, "source3").filter(F.col("business_name").rlike(text.INDIC)).agg(F.count(F.lit(1)).alias("n"))
@@ -247,11 +272,23 @@ def tx10(spark, d):
     return rows.select("entity_id", text.model_text(F.col("business_name"), F.col("business_address"), F.col("nm"), F.col("business_name").rlike(text.INDIC)).alias("t"))
 
 
+@q("tx10_model_text_all_records")
+def tx10b(spark, d):
+    rows = clean_records(spark, d)
+    indic = F.coalesce("business_name", F.lit("")).rlike(text.INDIC)
+    return rows.select("entity_id", text.model_text(F.col("business_name"), F.col("business_address"), F.col("nm"), indic).alias("t"))
+
+
 @q("tx11_street_key", f"WITH {CLEAN1}, {PREPARED1} SELECT entity_id, regexp_replace(adc, '[0-9]+', '', 'g') AS street FROM p1")
 def tx11(spark, d):
     return text.prepare(clean_reference(spark, d)).select("entity_id", F.regexp_replace("adc", "[0-9]+", "").alias("street"))
 
 
+@q("tx11_street_key_all_records")
+def tx11b(spark, d):
+    return text.prepare(clean_records(spark, d)).select("entity_id", F.regexp_replace("adc", r"(?U)\d+", "").alias("street"))
+
+
 @q("sc8_9_undo_digits", f"SELECT DISTINCT entity_id, array_to_string(list_transform(string_split(lower(coalesce(business_name, '')), ' '), lambda w: {DELEET}), ' ') AS nm FROM source3")
 def sc9(spark, d):
     words = F.transform(F.split(F.lower(F.coalesce("business_name", F.lit(""))), " "), text.undo_digits)
@@ -325,6 +362,11 @@ def bk1(spark, d):
     return blocking.record_keys(clean_reference(spark, d), "entity_id")
 
 
+@q("bk1_record_keys_all_records")
+def bk1b(spark, d):
+    return blocking.record_keys(clean_records(spark, d), "entity_id")
+
+
 BK = """k AS (SELECT DISTINCT src, id, country, key FROM blocking_keys WHERE key IS NOT NULL), sz AS (SELECT country, count(*) AS n FROM source1 GROUP BY 1),
 ix AS (SELECT country, key, df, ln(n / df) AS idf FROM (SELECT country, key, count(*) AS df FROM k WHERE src = 1 GROUP BY 1, 2) JOIN sz USING (country) WHERE df <= 1000)"""
 BK3 = "qk AS (SELECT k.src, id AS io, country, key, df, idf FROM k JOIN ix USING (country, key) WHERE src > 1), qb AS (SELECT *, row_number() OVER (PARTITION BY io ORDER BY df, key) - 1 AS rk, sum(df) OVER (PARTITION BY io ORDER BY df, key ROWS UNBOUNDED PRECEDING) - df AS bf FROM qk), qq AS (SELECT * FROM qb WHERE rk = 0 OR (rk < 24 AND bf < 10000))"
@@ -367,6 +409,12 @@ def bk5(spark, d):
     return blocking.top_candidates(scored, 10)
 
 
+@q("bk5_generate_candidates")
+def bk5b(spark, d):
+    """Records to keys to candidates: all six families of both sides' own keys, in the production setting."""
+    return blocking.generate_candidates(clean_reference(spark, d), text.add_clean(others(spark, d)))
+
+
 def _core_texts(spark, d) -> tuple[DataFrame, DataFrame]:
     make = lambda rows: text.prepare(text.add_clean(rows)).withColumn("text", F.when(F.col("core") != "", F.col("core")).otherwise(F.col("nm")))
     return make(reference(spark, d)).select("i1", "country", "text"), make(others(spark, d)).select("io", "country", "text")
