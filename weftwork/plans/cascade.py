@@ -63,6 +63,27 @@ def ml4(spark, d):
     return models.out_of_fold(rows, FILTER_COLUMNS, learner="logistic", rounds=40)[0].select("io", "i1", "fold", F.round("p1", 6).alias("p1"))
 
 
+#: The columns of the whole filter, with likenesses and numbers.
+WHOLE_FILTER_COLUMNS = [*FILTER_COLUMNS, "nm_ratio", "core_tsort", "core_jw", "ad_tset", "num_common", "num0_eq", "hn_min_logdiff", "combo", "rank_combo", "gap_combo", "src", "addr_missing"]
+
+
+def filtered(spark, d, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The 50 features of every scored pair with owner, fold and holdout, and ``io, i1, p1`` of every one: boosted trees, out of fold for
+    pairs of labelled reference records, the mean of both models for all others."""
+    s1, o = _prepared(spark, d)
+    feats = features.pair_features(blocking.reference_context(scored_pairs(spark, d)), s1, o)
+    rows = cut(models.labelled_pairs(feats, true_pairs(spark, d), blocking.anchors(scored_pairs(spark, d))))
+    numbers, columns = models.numeric(rows, WHOLE_FILTER_COLUMNS)
+    known = labelled(spark, d).select(number("s1_id").alias("i1"))
+    seen, unseen = models.out_of_fold(cut(numbers.join(known, "i1", "left_semi")), columns, rounds=rounds, unseen=numbers.join(known, "i1", "left_anti"))
+    return rows, cut(seen.select("io", "i1", "p1").unionByName(unseen.select("io", "i1", "p1")))
+
+
+@q("ml4_filter_all_pairs")
+def ml4b(spark, d):
+    return filtered(spark, d)[1].withColumn("p1", F.round("p1", 6))
+
+
 @q("ml5_prune", "WITH s AS (SELECT io, i1, max(CASE WHEN isnan(p) THEN NULL ELSE p END) AS p FROM candidate_pairs GROUP BY 1, 2), o AS (SELECT DISTINCT CAST(regexp_extract(entity_id, '-([0-9]+)$', 1) AS BIGINT) AS io FROM (SELECT entity_id FROM source2 UNION ALL SELECT entity_id FROM source3)) SELECT io, i1, p AS p1 FROM (SELECT *, row_number() OVER (PARTITION BY io ORDER BY p DESC NULLS LAST, i1) AS n FROM s WHERE p IS NOT NULL) JOIN o USING (io) WHERE n <= 3 AND p >= 0.01")
 def ml5(spark, d):
     return pruned(spark, d).select("io", "i1", "p1")
@@ -81,6 +102,18 @@ def ml7(spark, d):
     return models.score(model, rows, "p").select("io", "i1", F.round("p", 6).alias("p"))
 
 
+@q("ml7_9_final_scores_all_pairs")
+def ml7b(spark, d):
+    """The whole cascade: every scored pair filtered by ``p1``, the kept ones by boosted trees over the 50 pair features and those of competition."""
+    rows, p1 = filtered(spark, d)
+    kept = cut(blocking.top_candidates(p1, 3, "p1").filter("p1 >= 0.01").join(rows.select("io", "i1", "src"), ["io", "i1"]))
+    rows = rows.join(features.competition(kept), ["io", "i1"])
+    rows, columns = models.numeric(cut(rows), [*features.PAIR_FEATURES, *features.COMPETITION])
+    known = rows.join(labelled(spark, d).select(number("s1_id").alias("i1")), "i1", "left_semi").withColumn("w", F.when(F.col("owner").isNull(), 2.0).otherwise(1.0))
+    model = models.fit(known, columns, rounds=12, depth=4, weight="w", validation="val")
+    return models.score(model, rows, "p").select("io", "i1", F.round("p", 6).alias("p"))
+
+
 @q("ml8_importance")
 def ml8(spark, d):
     rows = cut(_labelled(spark, d))
