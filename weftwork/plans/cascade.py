@@ -134,6 +134,38 @@ def ml10(spark, d):
     return rows.filter(keep).select("io", "i1", "y", ((F.col("y") == 0.0) & (F.col("rank_block") == 1)).alias("hardest"))
 
 
+@q(
+    "ml10_text_pair_folds_both_ranks",
+    f"""WITH {TRUTH_N}, {SCORED}, own AS (SELECT io, min(i1) AS o1 FROM gn GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY io ORDER BY block_score DESC, i1) AS rb, row_number() OVER (PARTITION BY io ORDER BY tfidf_sim DESC, i1) AS rt FROM s)
+    SELECT io, i1, coalesce(o1 = i1, false)::INT::DOUBLE AS y, NOT coalesce(o1 = i1, false) AND (rb = 1 OR rt = 1) AS hardest FROM r LEFT JOIN own USING (io) WHERE rb <= 3 OR rt <= 2 OR o1 = i1
+    UNION ALL SELECT io, o1, 1.0::DOUBLE, false FROM own WHERE io IN (SELECT io FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.io = own.io AND s.i1 = own.o1)""",
+)
+def ml10b(spark, d):
+    """The pairs of ``text_pairs`` without their fold, which is a seeded hash."""
+    return text_pairs(spark, d).drop("fold")
+
+
+@q("ml10_text_pair_folds_with_fold")
+def ml10c(spark, d):
+    return text_pairs(spark, d)
+
+
+def text_pairs(spark, d) -> DataFrame:
+    """Every true pair of a record with candidates, found or not, and the negatives near the top by keys (3) or by text (2), the first by
+    either the hardest; ``fold`` follows the owner, else the record's top candidate."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("io").orderBy(F.desc("tfidf_sim"), "i1")
+    pairs = scored_pairs(spark, d)
+    owners = true_pairs(spark, d).groupBy("io").agg(F.min("i1").alias("i1"))
+    rows = _candidates(spark, d).withColumn("rank_text", F.row_number().over(w)).select("io", "i1", "rank_block", "rank_text")
+    missed = owners.join(pairs.select("io"), "io", "left_semi").join(pairs, ["io", "i1"], "left_anti").select("io", "i1", F.lit(None).cast("int").alias("rank_block"), F.lit(None).cast("int").alias("rank_text"))
+    rows = models.labelled_pairs(rows.unionByName(missed), owners, blocking.anchors(pairs))
+    first = F.coalesce((F.col("rank_block") == 1) | (F.col("rank_text") == 1), F.lit(False))
+    keep = (F.col("rank_block") <= 3) | (F.col("rank_text") <= 2) | (F.col("y") == 1.0)
+    return rows.filter(keep).select("io", "i1", "y", ((F.col("y") == 0.0) & first).alias("hardest"), "fold")
+
+
 @q("ml11_sampled_pairs")
 def ml11(spark, d):
     """Pairs to train a text model on: 200 positives and 300 negatives, two thirds of these hard; a sample is what the operator is for."""
