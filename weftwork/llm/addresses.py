@@ -1,12 +1,16 @@
 """Postal addresses of one building written differently (problem 1).
 
-A building of the reference side is a house number, a street and a town. An address of the other side is a house
-number and words. Both are compared by exact keys (country, number, street) and (country, number, town), so no pair is
-looked at that does not agree on two of the three. Pairs that agree on one key but not on the other are evidence:
-the words that the rewrites so far don't explain stand against the street or town that is missing. Word pairs whose joint
-count a likelihood-ratio test finds far above chance, and which are near in spelling, become rewrites; the addresses are
-matched again, until a round brings no new rewrite. Words for states and street types need no likeness in spelling (``ks`` and
-``kansas``, ``moselle`` and ``grand est``) but more support.
+A building of the reference side is a house number, a street and a town. An address of the other side is a house number and runs of
+words. It is placed where it says number, street and town of one building, or, where it says no town, number and street (and
+state, if it says one) of a single one. Words that say nothing known may be rewritten, but only by what is mined:
+
+* spelling: a run of unknown words and a street (or town) of the list that are near in spelling and meet in addresses agreeing
+  elsewhere: on number and town, on number and street, on number and state, or at least on the number;
+* abbreviations, of any spelling: a run of unknown words and a state or a street type that meet in addresses placed already.
+
+A pair is kept if it meets significantly more often than chance gives (likelihood ratio over all compared addresses of its kind).
+Kept pairs normalise the addresses again, which are matched again, until a round keeps no new pair. No other lookup adds
+a match: without mining only addresses spelt as in the list are placed.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftwork.llm.lookalikes import transducer
 from weftwork.session import cut, shuffle_width
@@ -35,16 +41,20 @@ STREET_WORDS = frozenset(
     " nagar marg colony sector layout path chowk bazaar rue impasse allee chemin quai cours route".split()
 )
 MISSING = frozenset(["", "na", "n/a", "null", "none"])
-#: Likelihood ratio beyond which chance is left out (one in a thousand at one degree of freedom).
-SIGNIFICANT = 10.83
+#: Likelihood ratios beyond which chance is left out, at one degree of freedom: one in a thousand where any two words may meet, one
+#: in twenty where nearness in spelling leaves a word with one or two words to be tested against.
+SIGNIFICANT, SIGNIFICANT_NEAR = 10.83, 3.84
 
 
 def fold(text: str | None) -> str:
     """Consistent form, lower case, without accents on Latin letters."""
     if not text:
         return ""
+    text = transducer()(text).lower()
+    if text.isascii():
+        return text
     out = []
-    for c in unicodedata.normalize("NFD", transducer()(text).lower()):
+    for c in unicodedata.normalize("NFD", text):
         if unicodedata.category(c) == "Mn" and not ("ऀ" <= c <= "෿"):
             continue
         out.append(c)
@@ -113,144 +123,269 @@ def reference_buildings(records: DataFrame) -> DataFrame:
     return rows.mapInPandas(parse, "id string, country string, num string, street string, kind string, town string, state string")
 
 
-def free_addresses(records: DataFrame) -> DataFrame:
-    """``id, country, num, words`` of the different addresses as typed; num is null where no house number is named."""
+def runs_of(words: list[str], longest: int) -> list[str]:
+    """Every run of words, joined, of at most ``longest`` letters: a name may be typed in pieces or have several words."""
+    out = {}
+    for i in range(len(words)):
+        joined = ""
+        for w in words[i:]:
+            joined += w
+            if len(joined) > longest:
+                break
+            out[joined] = None
+    return list(out)
+
+
+def unknown_runs(words: list[str], known: set[str], longest: int) -> list[str]:
+    """The runs, joined, of words that are in no run of ``known``, as long as one near in spelling to an entry of at most ``longest``
+    letters can be."""
+    told = [False] * len(words)
+    for i in range(len(words)):
+        joined = ""
+        for j in range(i, len(words)):
+            joined += words[j]
+            if len(joined) > longest:
+                break
+            if joined in known:
+                told[i : j + 1] = [True] * (j + 1 - i)
+    out = {}
+    for i in range(len(words)):
+        joined = ""
+        for j in range(i, len(words)):
+            joined += words[j]
+            if told[j] or len(joined) > longest + edits(longest):
+                break
+            out[joined] = None
+    return list(out)
+
+
+def edits(length: int) -> int:
+    """Edits up to which a word is near in spelling to an entry of this length."""
+    return 1 if length < 5 else 2 if length < 12 else 3
+
+
+def _pieces(length: int) -> list[tuple[int, int]]:
+    """An entry cut into one piece more than it may have edits: one of them is left whole in every word near to it."""
+    n = edits(length) + 1
+    ends = [length * i // n for i in range(n + 1)]
+    return [(s, e - s) for s, e in zip(ends, ends[1:])]
+
+
+def entry_pieces(entry: str) -> list[str]:
+    return [f"{len(entry)}.{i}.{entry[s : s + w]}" for i, (s, w) in enumerate(_pieces(len(entry)))]
+
+
+def word_pieces(word: str) -> list[str]:
+    """The pieces by which a word meets every entry near to it: where piece i stands whole, at most i edits lie before
+    it and the others behind it, which bounds how far it has moved."""
+    n, out = len(word), {}
+    for length in range(max(1, n - 3), n + 4):
+        k, more = edits(length), n - length
+        if abs(more) > k:
+            continue
+        for i, (s, w) in enumerate(_pieces(length)):
+            for p in range(max(0, s - i, s + more - (k - i)), min(n - w, s + i, s + more + (k - i)) + 1):
+                out[f"{length}.{i}.{word[p : p + w]}"] = None
+    return list(out)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parsed = [parse_free(a) for a in pdf["business_address"]]
-            yield pd.DataFrame({"id": pdf["entity_id"], "country": pdf["country"], "num": [n for n, _ in parsed], "words": [w for _, w in parsed]})
 
-    rows = spread(records.select("entity_id", "country", "business_address").filter("entity_id IS NOT NULL AND country IS NOT NULL"), "entity_id")
-    return rows.mapInPandas(parse, "id string, country string, num string, words array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _entry_pieces(entries: pd.Series) -> pd.Series:
+    return pd.Series([entry_pieces(e) for e in entries], dtype=object)
 
 
-def _grams(words: Column) -> Column:
-    """Every run of one to three words, joined: a name may be typed in pieces."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _word_pieces(words: pd.Series) -> pd.Series:
+    return pd.Series([word_pieces(w) for w in words], dtype=object)
 
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), ""))
 
-    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+def near(word: Column, entry: Column) -> Column:
+    """Near in spelling: one edit from an entry of under 5 letters, two from one of under 12, else three."""
+    length = F.length(entry)
+    d = F.levenshtein(word, entry, 3)
+    return (d >= 0) & (d <= F.when(length < 5, 1).when(length < 12, 2).otherwise(3))
 
 
-def _likelihood(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
-    """Dunning's ratio for a and b meeting in n_ab of n places."""
+def likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
+    """Dunning's ratio for a and b meeting in n_ab of n places; 0 where they meet no more often than by chance."""
 
     def term(k: Column, expected: Column) -> Column:
-        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+        return F.when(k > 0, k * F.log(k / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
 
     a, b, ab, t = (c.cast("double") for c in (n_a, n_b, n_ab, n))
-    return 2 * (
-        term(ab, a * b / t) + term(a - ab, F.greatest(a * (t - b) / t, F.lit(1e-9))) + term(b - ab, F.greatest((t - a) * b / t, F.lit(1e-9)))
-        + term(F.greatest(t - a - b + ab, F.lit(0.0)), F.greatest((t - a) * (t - b) / t, F.lit(1e-9)))
-    )
-
-
-def significant_pairs(evidence: DataFrame) -> DataFrame:
-    """``country, a, b, n_ab, n_a`` of the word pairs in ``evidence`` (country, place, a, b) that meet in more places than chance
-    gives, counted over all evidence. A place is one compared pair of addresses."""
-    n_ab = evidence.groupBy("country", "a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-    # what is left is one row a pair of words, so no word's window holds more than the words it was seen with
-    per = lambda x: F.sum("n_ab").over(Window.partitionBy("country", x))
-    n = n_ab.groupBy("country").agg(F.sum("n_ab").alias("n"))
-    rows = n_ab.withColumn("n_a", per("a")).withColumn("n_b", per("b")).join(n, "country")
-    sure = _likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT
-    return rows.filter(sure & (F.col("n_ab") * F.col("n") > F.col("n_a").cast("double") * F.col("n_b"))).select("country", "a", "b", "n_ab", "n_a")
-
-
-def near(a: Column, b: Column) -> Column:
-    """Near in spelling: an edit for every four letters of the shorter word, at most three; words under four letters never."""
-    short = F.least(F.length(a), F.length(b))
-    return (short >= 4) & (F.abs(F.length(a) - F.length(b)) <= 3) & (F.levenshtein(a, b) <= F.least(F.floor(short / 4), F.lit(3)))
-
-
-def match_buildings(reference: DataFrame, others: DataFrame, max_rounds: int = 8, parsed: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rewrites): ``s1_id, s3_id`` of the records at one building, and ``country, a, b`` as learned.
-
-    ``reference`` and ``others`` have entity_id, business_address and country. An address without house number or street is in no
-    pair; where the town is not named, the number and street must point to one building, in the named state if one is named.
-    Records at one building give all their pairs, which is what is asked for; nothing else is expanded. Null ids and
-    countries are in no pair; repeated rows count once. ``max_rounds`` only stops an endless exchange of rewrites; what a round
-    can still learn shrinks, as every rewrite is learned once. ``parsed``: the two sides as parsed and fixed by the caller."""
-    s1, s3 = parsed or (cut(reference_buildings(reference)), cut(free_addresses(others)))
-    building = F.xxhash64("country", "num", "street", "town")
-    sites = cut(s1.groupBy("country", "num", "street", "town").agg(F.min("kind").alias("kind"), F.min("state").alias("state")).withColumn("site", building))
-    named = s3.filter("num IS NOT NULL").select("id", "country", "num", "words")
-    slots = sites.select("country", "num", "site", F.explode(F.array(F.struct(F.lit("street").alias("slot"), F.col("street").alias("val")), F.struct(F.lit("town").alias("slot"), F.col("town").alias("val")))).alias("x")).select("country", "num", "site", "x.slot", "x.val")
-    vocabulary = cut(slots.select("country", "slot", "val").distinct())
-    known = vocabulary.select("country", F.col("val").alias("gram")).distinct()
-    grams = cut(named.select("id", "country", "num", F.explode(_grams(F.col("words"))).alias("gram")).distinct())
-    # what may be rewritten: words, or words typed in pieces, that name no street or town of the country
-    strange = cut(grams.join(known, ["country", "gram"], "left_anti").filter(F.length("gram") >= 4))
-
-    def reach(words: DataFrame) -> DataFrame:
-        return words.join(slots, (words["country"] == slots["country"]) & (words["num"] == slots["num"]) & (words["gram"] == slots["val"])).select(words["id"], words["country"], "site", "slot").distinct()
-
-    hits = cut(reach(grams))
-    rewrites = cut(vocabulary.select("country", F.col("val").alias("a"), F.col("val").alias("b")).limit(0))
-    for _ in range(max_rounds):
-        pairs = hits.groupBy("id", "country", "site").agg(F.max((F.col("slot") == "street").cast("int")).alias("street_hit"), F.max((F.col("slot") == "town").cast("int")).alias("town_hit"))
-        half = pairs.filter("street_hit + town_hit = 1").join(sites.select("site", "street", "town"), "site").select("id", "country", "site", F.when(F.col("street_hit") == 1, F.col("town")).otherwise(F.col("street")).alias("b"))
-        evidence = half.join(strange.select("id", F.col("gram").alias("a")), "id").select("country", "a", "b")
-        found = significant_pairs(evidence).filter(near(F.col("a"), F.col("b"))).select("country", "a", "b")
-        fresh = cut(found.join(rewrites, ["country", "a", "b"], "left_anti"))
+    ratio = 2 * (term(ab, a * b / t) + term(a - ab, a * (t - b) / t) + term(b - ab, (t - a) * b / t) + term(t - a - b + ab, (t - a) * (t - b) / t))
+    return F.when(ab * t > a * b, ratio).otherwise(0.0)
+
+
+@dataclass
+class Matched:
+    """What matching gives, folded: a building, and an address as typed, is one row, however many records have it."""
+
+    #: site, country, num, street, kind, town, state
+    sites: DataFrame
+    #: s1_id, site
+    members: DataFrame
+    #: aid, country, num, some (has words), streets, towns, states, unknown: what each address says after all rewrites
+    addresses: DataFrame
+    #: s3_id, aid
+    records: DataFrame
+    #: aid, site
+    placed: DataFrame
+    #: country, slot, a, b: the rewrites as learned
+    rewrites: DataFrame
+
+
+SLOTS = ("street", "kind", "town", "state")
+
+
+def _read(others: DataFrame, sites: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(s3_id, aid) and the different addresses with what they say in the words of the list."""
+    rows = others.select("entity_id", "country", "business_address").filter("entity_id IS NOT NULL AND country IS NOT NULL").withColumn("aid", F.xxhash64("country", "business_address"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parsed = [parse_free(a) for a in pdf["business_address"]]
+            yield pd.DataFrame({"aid": pdf["aid"], "country": pdf["country"], "num": [n for n, _ in parsed], "words": [w for _, w in parsed], "runs": [runs_of(w, longest) for _, w in parsed]})
+
+    texts = spread(rows.select("aid", "country", "business_address"), "aid").dropDuplicates(["aid"])
+    parsed = cut(texts.mapInPandas(parse, "aid long, country string, num string, words array<string>, runs array<string>"))
+    entries = F.explode(F.array(*[F.struct(F.col(s).alias("val"), F.lit(s).alias("slot")) for s in SLOTS]))
+    vocabulary = sites.select("country", entries.alias("x")).select("country", "x.val", "x.slot").filter("val <> ''").groupBy("country", "val").agg(F.collect_set("slot").alias("slots"))
+    said = parsed.select("aid", "country", F.explode("runs").alias("val")).join(vocabulary, ["country", "val"]).groupBy("aid").agg(F.collect_list(F.struct("val", "slots")).alias("said"))
+    full = parsed.drop("runs").join(said, "aid", "left").withColumn("said", F.coalesce("said", F.expr("array()")))
+
+    def unknown(words: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([unknown_runs(w, set(k), longest) for w, k in zip(words, known)], dtype=object)
+
+    of = lambda slot: F.transform(F.filter("said", lambda x: F.array_contains(x["slots"], slot)), lambda x: x["val"])
+    vals = F.transform("said", lambda x: x["val"])
+    full = full.select("aid", "country", "num", (F.size("words") >= 1).alias("some"), (F.size("words") >= 2).alias("several"), of("street").alias("streets"), of("town").alias("towns"), of("state").alias("states"), of("kind").alias("kinds"), F.pandas_udf(unknown, T.ArrayType(T.StringType()))("words", vals).alias("unknown"))
+    return rows.select(F.col("entity_id").alias("s3_id"), "aid").distinct(), cut(full)
+
+
+def _place(said: DataFrame, sites: DataFrame) -> DataFrame:
+    """``aid, site, whole``: the building whose number, street and town an address says, or, where it says no town, the only one of
+    its number and street (in a state it says, if any). Every join has one row a key on the side of the list."""
+    a = said.filter("num IS NOT NULL AND size(streets) > 0")
+    kind = (F.size("kinds") == 0) | (F.col("kind") == "") | F.array_contains("kinds", F.col("kind"))
+    each = a.select("aid", "country", "num", "kinds", F.explode("streets").alias("street"), "towns").withColumn("town", F.explode("towns"))
+    whole = each.join(sites.select("country", "num", "street", "town", "site", "kind"), ["country", "num", "street", "town"]).filter(kind).select("aid", "site").distinct()
+    townless = a.filter("size(towns) = 0").select("aid", "country", "num", "kinds", "states", F.explode("streets").alias("street"))
+    one = lambda *by: sites.groupBy("country", "num", "street", *by).agg(F.min("site").alias("site"), F.max("site").alias("other"), F.min("kind").alias("kind"))
+    stateless = townless.filter("size(states) = 0").join(one(), ["country", "num", "street"])
+    stated = townless.withColumn("state", F.explode("states")).join(one("state"), ["country", "num", "street", "state"])
+    cols = ["aid", "kinds", "kind", "site", "other"]
+    lone = stateless.select(cols).unionByName(stated.select(cols)).filter(kind).groupBy("aid").agg(F.min("site").alias("site"), F.max("other").alias("other")).filter("site = other")
+    return whole.withColumn("whole", F.lit(True)).unionByName(lone.select("aid", "site", F.lit(False).alias("whole")))
+
+
+def _contexts(towns: Column, streets: Column, states: Column) -> Column:
+    """What an address may agree on besides its number, and so what is looked for: S a street in a town it says, T a town on a
+    street it says, and where it says no town P a street in a state it says or N a street anywhere."""
+    tag = lambda kind, vals: F.transform(vals, lambda v: F.struct(F.lit(kind).alias("ctx"), v.alias("val")))
+    nothing = F.array(F.struct(F.lit("N").alias("ctx"), F.lit("").alias("val")))
+    none = F.filter(nothing, lambda x: F.lit(False))
+    return F.concat(tag("S", towns), tag("T", streets), F.when(F.size(towns) > 0, none).when(F.size(states) > 0, tag("P", states)).otherwise(nothing))
+
+
+def _site_contexts(sites: DataFrame) -> DataFrame:
+    """``ctx, country, num, val, site, slot, b``: each building under each of its contexts, with what is looked for there."""
+    row = lambda ctx, val, slot: F.struct(F.lit(ctx).alias("ctx"), val.alias("val"), F.lit(slot).alias("slot"), F.col(slot).alias("b"))
+    rows = F.explode(F.array(row("S", F.col("town"), "street"), row("T", F.col("street"), "town"), row("P", F.col("state"), "street"), row("N", F.lit(""), "street")))
+    return sites.select("country", "num", "site", rows.alias("x")).select("x.ctx", "country", "num", "x.val", "site", "x.slot", "x.b")
+
+
+def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True) -> Matched:
+    """Where the addresses of ``others`` stand among the buildings of ``reference`` (both: entity_id, business_address, country).
+
+    An address without house number or street is placed nowhere. Null ids and countries are left out; repeated rows count once.
+    Every round learns at least one new pair of the finitely many near ones, so the rounds end by themselves. ``mine`` False
+    leaves the mining out."""
+    parsed = cut(reference_buildings(reference))
+    building = F.xxhash64("country", "num", "street", "town").alias("site")
+    sites = cut(parsed.groupBy("country", "num", "street", "town").agg(F.min("kind").alias("kind"), F.min("state").alias("state")).withColumn("site", building))
+    longest = sites.agg(F.max(F.greatest(*[F.length(s) for s in SLOTS])).alias("n")).first()["n"] or 0
+    records, said = _read(others, sites, longest)
+    members = parsed.select(F.col("id").alias("s1_id"), building).distinct()
+    rewrites = said.sparkSession.createDataFrame([], "country string, slot string, a string, b string")
+    placed = cut(_place(said, sites))
+    if not mine:
+        return Matched(sites, members, said, records, placed.select("aid", "site").distinct(), rewrites)
+
+    shelf = cut(_site_contexts(sites))
+    keys = cut(shelf.withColumn("piece", F.explode(_entry_pieces("b"))).select(F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"), "site", "slot", "b"))
+    at = ["ctx", "country", "num", "val"]
+    n_sites = shelf.groupBy(at).agg(F.count(F.lit(1)).alias("n_sites"))
+    # how many comparisons chance has: of every context, and of every entry in it, over the addresses as first read
+    says = said.filter("num IS NOT NULL").select("country", "num", F.explode(F.concat(_contexts(F.col("towns"), F.col("streets"), F.expr("array()")), F.transform("states", lambda v: F.struct(F.lit("P").alias("ctx"), v.alias("val"))))).alias("x")).select("x.ctx", "country", "num", "x.val")
+    places = cut(n_sites.join(says.groupBy(at).agg(F.count(F.lit(1)).alias("n_addr")), at))
+    n = places.groupBy("ctx", "country").agg(F.sum(F.col("n_sites") * F.col("n_addr")).alias("n"))
+    n_b = cut(shelf.join(places, at).groupBy("ctx", "country", "b").agg(F.sum("n_addr").alias("n_b")).join(n, ["ctx", "country"]))
+    while True:
+        # abbreviations, and states that the list itself writes in two ways: words against state and street type of the buildings where addresses are placed whole
+        met = placed.filter("whole").join(said.select("aid", "unknown", "states"), "aid").join(sites.select("site", "country", "state", "kind"), "site")
+        beside = lambda words, slot: F.transform(words, lambda w: F.struct(w.alias("a"), F.lit(slot).alias("slot"), F.col(slot).alias("b")))
+        met = met.select("country", F.explode(F.concat(beside(F.array_union("unknown", "states"), "state"), beside(F.col("unknown"), "kind"))).alias("x"))
+        met = met.select("country", "x.*").filter("b <> ''").groupBy("country", "slot", "a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+        per = lambda *by: F.sum("n_ab").over(Window.partitionBy("country", "slot", *by))
+        counted = met.withColumn("n_a", per("a")).withColumn("n_b", per("b"))
+        totals = met.groupBy("country", "slot").agg(F.sum("n_ab").alias("n"))
+        # a word stands for what it mostly meets: of state and street type the one that is said in more of its places
+        counted = counted.withColumn("best", F.max_by("slot", F.struct(F.col("n_ab") / F.col("n_a"), "slot")).over(Window.partitionBy("country", "a")))
+        sure = likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT
+        short = counted.join(totals, ["country", "slot"]).filter(sure & (F.col("slot") == F.col("best")) & (F.col("n_ab") * 10 >= F.col("n_a") * 3) & (F.col("a") != F.col("b"))).select("country", "slot", "a", "b")
+
+        # spelling: unknown words of addresses without a place against streets and towns of buildings of their number; where only
+        # the town is open, against towns
+        waiting = said.filter("num IS NOT NULL AND size(unknown) > 0").join(placed.filter("whole").select("aid").distinct(), "aid", "left_anti")
+        waiting = waiting.join(placed.select("aid", "whole").distinct(), "aid", "left")
+        context = _contexts(F.col("towns"), F.col("streets"), F.col("states"))
+        context = F.when(F.col("whole").isNull(), context).otherwise(F.filter(context, lambda x: x["ctx"] == "T"))
+        mine_of = waiting.select("aid", "country", "num", "unknown", F.explode(context).alias("x")).select("aid", "country", "num", "x.ctx", "x.val", F.explode("unknown").alias("a"))
+        mine_of = cut(mine_of.distinct().withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a")))
+        questions = mine_of.groupBy("q", *at, "a").agg(F.count(F.lit(1)).alias("n_q"))
+        met = questions.withColumn("piece", F.explode(_word_pieces("a"))).select("q", "ctx", "country", "a", "n_q", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
+        asked = cut(met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "n_q", "site", "slot", "b").distinct())
+        n_ab = asked.groupBy("ctx", "country", "slot", "a", "b").agg(F.sum("n_q").alias("n_ab"))
+        n_a = questions.join(places, at).groupBy("ctx", "country", "a").agg(F.sum(F.col("n_q") * F.col("n_sites")).alias("n_a"))
+        spelt = n_ab.join(n_a, ["ctx", "country", "a"]).join(n_b, ["ctx", "country", "b"])
+        spelt = spelt.filter(likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT_NEAR).select("country", "slot", "a", "b")
+
+        fresh = cut(short.unionByName(spelt).distinct().join(rewrites, ["country", "slot", "a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
-        rewrites = rewrites.unionByName(fresh)
-        more = strange.join(fresh.withColumnRenamed("a", "gram"), ["country", "gram"]).select("id", "country", "num", F.col("b").alias("gram"))
-        hits = cut(hits.unionByName(reach(more)).distinct())
-    # both street and town misspelt: near in spelling to words of the vocabulary, tried where nothing else matched
-    done = hits.groupBy("id", "site").agg(F.countDistinct("slot").alias("n")).filter("n = 2").select("id").distinct()
-    spelled = near_vocabulary(strange.join(done, "id", "left_anti").select("country", F.col("gram").alias("a")).distinct(), vocabulary.select("country", F.col("val").alias("b")).distinct())
-    rest = strange.join(done, "id", "left_anti")
-    guess = rest.join(spelled, (rest["country"] == spelled["country"]) & (rest["gram"] == spelled["a"])).select(rest["id"], rest["country"], "num", F.col("b").alias("gram"))
-    hits = cut(hits.unionByName(reach(guess)).distinct())
-
-    pairs = cut(hits.groupBy("id", "country", "site").agg(F.max((F.col("slot") == "street").cast("int")).alias("street_hit"), F.max((F.col("slot") == "town").cast("int")).alias("town_hit")))
-    whole = pairs.filter("street_hit = 1 AND town_hit = 1").select("id", "site")
-    # no town: one building of that number and street, no other town named, and no other state than its own
-    lone = pairs.filter("street_hit = 1 AND town_hit = 0").join(whole.select("id").distinct(), "id", "left_anti")
-    towns = vocabulary.filter("slot = 'town'").select("country", F.col("val").alias("gram"))
-    elsewhere = grams.join(towns, ["country", "gram"], "left_semi").select("id").distinct()
-    states = _states(pairs, sites, grams, known)
-    said = grams.join(states.withColumnRenamed("a", "gram"), ["country", "gram"]).groupBy("id").agg(F.collect_set("b").alias("said"))
-    lone = lone.join(elsewhere, "id", "left_anti").join(sites.select("site", "state"), "site").join(said, "id", "left")
-    lone = lone.filter(F.col("said").isNull() | F.array_contains("said", F.col("state")))
-    single = lone.groupBy("id").agg(F.min("site").alias("site"), F.max("site").alias("other")).filter("site = other").select("id", "site")
-    placed = whole.unionByName(single).distinct()
-    members = s1.select(F.col("id").alias("s1_id"), building.alias("site")).distinct()
-    return placed.join(members, "site").select("s1_id", F.col("id").alias("s3_id")).distinct(), rewrites
-
-
-def near_vocabulary(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``country, a, b``: words a and vocabulary entries b near in spelling, found by what is left when one letter is
-    struck out, so that no list is compared with the other as a whole."""
-
-    def struck(w: Column) -> Column:
-        return F.array_distinct(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-
-    left = words.filter(F.length("a") >= 5).select("country", "a", F.explode(struck(F.col("a"))).alias("key"))
-    right = vocabulary.filter(F.length("b") >= 5).select(F.col("country").alias("c"), "b", F.explode(struck(F.col("b"))).alias("k"))
-    both = left.join(right, (F.col("country") == F.col("c")) & (F.col("key") == F.col("k"))).select("country", "a", "b").distinct()
-    return both.filter(near(F.col("a"), F.col("b")))
-
-
-def _states(pairs: DataFrame, sites: DataFrame, grams: DataFrame, known: DataFrame) -> DataFrame:
-    """``country, a, b``: words that say a state, learned from addresses that agree on number, street and town: each state
-    itself, and the words that stand against it significantly and in most of their places."""
-    own = sites.filter("state <> ''").select("country", F.col("state").alias("a"), F.col("state").alias("b")).distinct()
-    whole = pairs.filter("street_hit = 1 AND town_hit = 1").join(sites.select("site", "state"), "site").filter("state <> ''")
-    evidence = whole.join(grams.join(known, ["country", "gram"], "left_anti").select("id", F.col("gram").alias("a")), "id").select("country", "a", F.col("state").alias("b"))
-    learned = significant_pairs(evidence).filter("n_ab >= 3 AND n_ab * 10 >= n_a * 3").select("country", "a", "b")
-    # a clean list may write one state in two ways: what says one says the other
-    return cut(own.unionByName(learned).distinct())
+        rewrites = cut(rewrites.unionByName(fresh))
+        # normalise again: abbreviations in every address, spellings where the number agrees
+        words = fresh.filter("slot IN ('state', 'kind')")
+        more = said.select("aid", "country", F.explode(F.array_union("unknown", "states")).alias("a")).join(words, ["country", "a"]).select("aid", "slot", "a", "b")
+        hit = asked.join(fresh.filter("slot IN ('street', 'town')"), ["country", "slot", "a", "b"]).select("q", "slot", "a", "b", F.levenshtein("a", "b").alias("d"))
+        nearest = mine_of.select("aid", "q").join(hit, "q").select("aid", "slot", "a", "b", "d").distinct()
+        nearest = nearest.withColumn("least", F.min("d").over(Window.partitionBy("aid", "slot"))).filter("d = least").select("aid", "slot", "a", "b")
+        more = more.unionByName(nearest).groupBy("aid").agg(*[F.collect_set(F.when(F.col("slot") == s, F.col("b"))).alias(f"new_{s}") for s in SLOTS], F.collect_set("a").alias("used"))
+        both = lambda old, new: F.when(F.col(new).isNull(), F.col(old)).otherwise(F.array_union(old, new)).alias(old)
+        said = cut(said.join(more, "aid", "left").select("aid", "country", "num", "some", "several", both("streets", "new_street"), both("towns", "new_town"), both("states", "new_state"), both("kinds", "new_kind"), F.when(F.col("used").isNull(), F.col("unknown")).otherwise(F.array_except("unknown", "used")).alias("unknown")))
+        placed = cut(_place(said, sites))
+    return Matched(sites, members, said, records, placed.select("aid", "site").distinct(), rewrites)
+
+
+def pairs_of(found: Matched, labels: DataFrame | None = None) -> DataFrame:
+    """``s1_id, s3_id`` of all records at one building, without labelled reference records: expanded from buildings only here."""
+    members = found.members
+    if labels is not None:
+        members = members.join(labels.select(F.col("source1_entity_id").alias("s1_id")), "s1_id", "left_anti")
+    return found.placed.join(members, "site").join(found.records, "aid").select("s1_id", "s3_id").distinct()
 
 
 def same_building(reference: DataFrame, others: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``s1_id, s3_id`` without the labelled reference records."""
-    pairs = match_buildings(reference, others)[0]
-    if labels is None:
-        return pairs
-    return pairs.join(labels.select(F.col("source1_entity_id").alias("s1_id")), "s1_id", "left_anti")
+    """``s1_id, s3_id`` at one building, without the labelled reference records."""
+    return pairs_of(match_buildings(reference, others), labels)
+
+
+def building_classes(reference: DataFrame, others: DataFrame) -> DataFrame:
+    """``id, class_id, n_links``: one row for each record of either side that stands at a building of the list; ``class_id`` is the smallest
+    reference id there and ``n_links`` the number of records of the other side at the buildings it may stand at. Linear in the records."""
+    found = match_buildings(reference, others)
+    theirs = found.placed.join(found.records, "aid").select("site", "s3_id").distinct()
+    per = found.members.groupBy("site").agg(F.min("s1_id").alias("class_id"), F.count(F.lit(1)).alias("n1")).join(theirs.groupBy("site").agg(F.count(F.lit(1)).alias("n3")), "site", "left")
+    rows = found.members.select("site", F.col("s1_id").alias("id"), F.lit(1).alias("side")).unionByName(theirs.select("site", F.col("s3_id").alias("id"), F.lit(3).alias("side"))).join(per, "site")
+    return rows.groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum(F.when(F.col("side") == 1, F.coalesce("n3", F.lit(0))).otherwise(F.col("n1"))).alias("n_links"))

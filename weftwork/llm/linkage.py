@@ -1,9 +1,13 @@
 """Record linkage without keys (problem 3): several blocking passes, agreement levels, expectation-maximisation.
 
-Blocks are the stars of the names (one pass) and the buildings of the addresses (another). Each candidate pair is given a level of agreement
-for its names and one for its addresses. How often levels occur together is counted over all candidates; expectation-maximisation on
-these counts gives the probability of each level among matches, all pairs give it among others, and both the posterior of each pair. The posterior is
-divided among the reference records that a record fits equally well, so that it is a confidence in that one.
+Blocks are the stars of the names (one pass) and the buildings of the addresses (another). A pair in a block has a level of agreement
+for its names and one for its addresses. How often levels occur together is counted over all pairs of all blocks; expectation-maximisation
+on these counts gives the probability of each level among matches and among others, and both the posterior of each pair. The
+posterior is divided among the reference records that a record fits equally well, so that it is a confidence in that one.
+
+Blocks are counted, not expanded: what pairs of a star are of one building, or of one street or town, comes from joins on both at
+once; of the others only their number matters, and for a record without a building that it has them. So a star or a building with a third
+of all records costs its rows.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftwork.llm.addresses import _grams, fold, free_addresses, match_buildings, reference_buildings, spread
-from weftwork.llm.names import ALIAS, DOMAIN, HANDLE, Trades, name_words, reference_reading, tokens_of, transliterate, typed_readings
+from weftwork.llm.addresses import fold, match_buildings, spread
+from weftwork.llm.names import ALIAS, DOMAIN, HANDLE, Trades, name_words, reference_reading, tokens_of, trades_of, transliterate, typed_readings
 from weftwork.llm.variants import link_names, trade_words, word_similarity
 from weftwork.session import cut
 
@@ -26,6 +31,8 @@ from weftwork.session import cut
 #: Levels of addresses: 0 a building elsewhere, 1 no building named and nothing in common, 2 no address, 3 no building named but street or
 #: town in common, 4 the same building.
 NAME_LEVELS, ADDRESS_LEVELS = 6, 5
+#: Likeness by sound from which names are of level 1.
+ALIKE = 0.8
 SOUNDS = [(re.compile(p), r) for p, r in (("ph", "f"), ("[ckq]h?", "k"), ("(?:sh|z)", "s"), ("w", "v"), ("(?:ee|y)", "i"), ("oo", "u"), ("([bdgjt])h", r"\1"), (r"(.)\1+", r"\1"))]
 
 
@@ -46,13 +53,22 @@ def sounds_alike(clean: str | None, typed: str | None) -> float:
     for part in [m[1]] if m else ALIAS.split(" " + text + " "):
         have = [sound(w) for w in tokens_of(part)]
         joined = "".join(have)
-        runs = ["".join(have[i : i + n]) for n in (1, 2, 3) for i in range(len(have) - n + 1)]
-        whole = "".join(want[:-1] or want)
+        said = want[: max(1, len(want) - 1)]
+        whole = "".join(said)
         if len(whole) >= 5 and whole in joined:
-            best = max(best, 0.95)
-        if runs:
-            score = sum(max(word_similarity(w, r) for r in runs) * len(w) for w in want[: max(1, len(want) - 1)])
-            best = max(best, score / sum(len(w) for w in want[: max(1, len(want) - 1)]))
+            return 1.0
+        score = 0.0
+        for w in said:
+            like = 0.0
+            for i in range(len(have)):
+                run = ""
+                for x in have[i:]:
+                    run += x
+                    if len(run) > 2 * len(w):
+                        break
+                    like = max(like, word_similarity(w, run))
+            score += like * len(w)
+        best = max(best, score / max(1, len(whole)))
     return best
 
 
@@ -69,72 +85,121 @@ def mixture(counts: np.ndarray, u: np.ndarray, steps: int = 300) -> np.ndarray:
     return m
 
 
-def expectation_maximisation(counts: np.ndarray, u_name: np.ndarray, u_addr: np.ndarray, total: float, steps: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expectation_maximisation(counts: np.ndarray, u_name: np.ndarray, u_addr: np.ndarray, total: float, steps: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(posterior of each cell, m of names, m of addresses, share of matches among all ``total`` pairs) for ``counts`` (name levels,
-    address levels) of the candidates. A block agrees on its own field by construction, so the m of a field is learned in the block of the
-    other: names within buildings, addresses within stars. u comes from all pairs, not from the candidates."""
-    m_name = mixture(counts[:, -1], u_name)
-    m_addr = mixture(counts[2:].sum(axis=0), u_addr)
-    ratio = (m_name / np.maximum(u_name, 1e-12))[:, None] * (m_addr / np.maximum(u_addr, 1e-12))[None, :]
-    share = 1e-4
+    address levels) of the pairs in blocks. A block agrees on its own field by construction, so the m of a field starts from the block of the
+    other: names within buildings, addresses within stars. Then both steps run over all cells: every cell's posterior under m, u and the
+    share; from these the share of matches, and u of the pairs in blocks that are none (never below what all pairs give)."""
+    m_name, m_addr = mixture(counts[:, -1], u_name), mixture(counts[2:].sum(axis=0), u_addr)
+    base_name, base_addr, share = u_name.copy(), u_addr.copy(), 1e-4
     post = np.zeros_like(counts)
     for _ in range(steps):
-        odds = share / (1 - share) * ratio
+        odds = share / (1 - share) * (m_name / np.maximum(u_name, 1e-12))[:, None] * (m_addr / np.maximum(u_addr, 1e-12))[None, :]
         post = odds / (1 + odds)
-        share = float(np.clip((counts * post).sum() / max(total, 1.0), 1e-12, 0.5))
+        match, other = counts * post, counts * (1 - post)
+        share = float(np.clip(match.sum() / max(total, 1.0), 1e-12, 0.5))
+        # names of other pairs within stars, addresses of other pairs within buildings: spread over all pairs
+        u_name = np.maximum(base_name, np.r_[0.0, 0.0, other[2:].sum(axis=1) / max(total, 1.0)])
+        u_addr = np.maximum(base_addr, np.r_[[0.0] * (ADDRESS_LEVELS - 1), other[:, -1].sum() / max(total, 1.0)])
     return post, m_name, m_addr, share
 
 
-def candidate_pairs(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
-    """(``s1_id, s3_id, name_level, address_level`` of every pair in a common star or building; the share of each address level among
-    all pairs of a country but for the last level, nan where it follows from the pairs; the number of all pairs)."""
+def _hear(pairs: DataFrame, trades: dict[str, list[str]]) -> DataFrame:
+    """``pairs`` (country, n1, n3, ...) with ``alike``: do the names sound alike, without another trade word?"""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("alike", T.BooleanType())])
+
+    def hear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists, none = {c: trades_of(tuple(w)) for c, w in trades.items()}, trades_of(())
+        for pdf in batches:
+            pdf["alike"] = [sounds_alike(x, y) >= ALIKE and not other_trade(x, y, lists.get(c, none)) for c, x, y in zip(pdf["country"], pdf["n1"], pdf["n3"])]
+            yield pdf
+
+    return pairs.mapInPandas(hear, schema)
+
+
+def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, float]:
+    """(candidates, counts, u of names, u of addresses, number of all pairs of a country).
+
+    ``candidates``: ``s3_id, s1_id, name_level, address_level, ties``: for a record the reference records of its star at its building; else those
+    that sound alike there; where it names no building, those of its star in a street or town it says, else one (the smallest) for all of its star.
+    ``ties`` is how many it stands for. ``counts``: all pairs of all stars and buildings by (name level, address level)."""
     trades = trade_words(reference)
     centres, links = link_names(reference, others, trades)
-    ref = reference.filter("entity_id IS NOT NULL AND country IS NOT NULL").select("entity_id", "country", "business_name", "business_address").dropDuplicates(["entity_id"])
-    oth = others.filter("entity_id IS NOT NULL AND country IS NOT NULL").select("entity_id", "country", "business_name", "business_address").dropDuplicates(["entity_id"])
+    found = match_buildings(reference, others)
+    cols = ["entity_id", "country", "business_name", "business_address"]
+    ref = reference.filter("entity_id IS NOT NULL AND country IS NOT NULL").select(cols).dropDuplicates(["entity_id"])
+    oth = others.filter("entity_id IS NOT NULL AND country IS NOT NULL").select(cols).dropDuplicates(["entity_id"])
     name_id = F.xxhash64("country", "business_name").alias("name_id")
-    a = ref.select(F.col("entity_id").alias("s1_id"), name_id).join(centres.select("name_id", "centre"), "name_id").select("s1_id", "centre")
-    b = oth.select(F.col("entity_id").alias("s3_id"), name_id).join(links.select("name_id", "centre", "likeness"), "name_id").select("s3_id", "centre", "likeness")
-    a = a.join(a.groupBy("centre").agg((F.countDistinct("s1_id") == 1).alias("rare")), "centre")
-    by_name = a.join(b, "centre").groupBy("s1_id", "s3_id").agg(F.max("likeness").alias("likeness"), F.max("rare").alias("rare"))
-    parsed = cut(reference_buildings(ref)), cut(free_addresses(oth))
-    by_place = match_buildings(ref, oth, parsed=parsed)[0].withColumn("same", F.lit(True))
-    pairs = cut(by_name.join(by_place, ["s1_id", "s3_id"], "full"))
-
-    # only what shares a building but no star is compared by sound
-    rest = spread(pairs.filter("likeness IS NULL").select("s1_id", "s3_id"), "s3_id")
-    rest = rest.join(ref.select(F.col("entity_id").alias("s1_id"), "country", F.col("business_name").alias("n1")), "s1_id").join(oth.select(F.col("entity_id").alias("s3_id"), F.col("business_name").alias("n3")), "s3_id")
 
-    def hear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists = {c: Trades(w) for c, w in trades.items()}
-        none = Trades([])
-        for pdf in batches:
-            alike = [0.0 if other_trade(x, y, lists.get(c, none)) else sounds_alike(x, y) for c, x, y in zip(pdf["country"], pdf["n1"], pdf["n3"])]
-            yield pd.DataFrame({"s1_id": pdf["s1_id"], "s3_id": pdf["s3_id"], "alike": alike})
-
-    heard = rest.mapInPandas(hear, "s1_id string, s3_id string, alike double")
-    star = F.when(F.col("likeness") >= 0.99, 3).otherwise(2) + F.when(F.col("rare"), 2).otherwise(0)
-    name_level = F.when(F.col("likeness").isNotNull(), star).when(F.col("alike") >= 0.8, 1).otherwise(0)
-
-    # addresses that name no building: what of street and town they name
-    site = parsed[0].select(F.col("id").alias("s1_id"), "street", "town").dropDuplicates(["s1_id"])
-    free = parsed[1].groupBy("id").agg(F.max("num").alias("num"), F.max("words").alias("words"))
-    named = F.col("num").isNotNull() & (F.size("words") >= 2)
-    free = free.select(F.col("id").alias("s3_id"), named.alias("named"), (F.size("words") > 0).alias("some"), F.when(~named, _grams(F.col("words"))).alias("grams"))
-    full = pairs.join(heard, ["s1_id", "s3_id"], "left").join(free, "s3_id", "left").join(site, "s1_id", "left")
-    shares = F.coalesce(F.array_contains("grams", F.col("street")) | F.array_contains("grams", F.col("town")), F.lit(False))
-    address_level = F.when(F.col("same"), 4).when(F.col("named"), 0).when(shares, 3).when(F.col("some"), 1).otherwise(2)
-    levels = cut(full.select("s1_id", "s3_id", name_level.alias("name_level"), address_level.alias("address_level")))
+    # both sides once: stars of names, buildings of addresses
+    one_site = found.members.groupBy("s1_id").agg(F.min("site").alias("site"))
+    left = ref.select(F.col("entity_id").alias("s1_id"), "country", name_id).join(one_site, "s1_id", "left").join(found.sites.select("site", "street", "town"), "site", "left")
+    left = cut(left.join(centres.groupBy("name_id").agg(F.collect_set("centre").alias("centres")), "name_id", "left"))
+    says = found.addresses.join(found.placed.groupBy("aid").agg(F.collect_set("site").alias("sites")), "aid", "left")
+    named = F.col("num").isNotNull() & F.col("several")
+    says = says.select("aid", named.alias("named"), F.coalesce("some", F.lit(False)).alias("some"), "sites", F.array_union("streets", "towns").alias("parts"))
+    right = oth.select(F.col("entity_id").alias("s3_id"), "country", name_id, F.xxhash64("country", "business_address").alias("aid")).join(says, "aid", "left")
+    stars = links.groupBy("name_id").agg(F.collect_set("centre").alias("centres"), (F.max("likeness") >= 0.99).alias("same"))
+    right = cut(right.join(stars, "name_id", "left"))
+
+    star1 = left.select("s1_id", "site", "street", "town", F.explode("centres").alias("centre"))
+    star3 = right.select("s3_id", "named", "some", "same", "sites", "parts", F.explode("centres").alias("centre"))
+    size1 = cut(star1.groupBy("centre").agg(F.countDistinct("s1_id").alias("n1"), F.min("s1_id").alias("first")))
+    level = F.when(F.col("same"), 3).otherwise(2) + F.when(F.col("n1") == 1, 2).otherwise(0)
+    star3 = star3.join(size1, "centre").withColumn("name_level", level)
+    # reference records that a star has at one building are one row, for which the smallest stands
+    heads = lambda *by: star1.groupBy("centre", *by).agg(F.countDistinct("s1_id").alias("ties"), F.min("s1_id").alias("s1_id"))
+    fold = lambda rows, at: rows.groupBy("s3_id", "s1_id").agg(F.max("name_level").alias("name_level"), F.max("ties").alias("ties")).withColumn("address_level", F.lit(at))
+    both = cut(fold(star3.select("s3_id", "name_level", "centre", F.explode("sites").alias("site")).join(heads("site"), ["centre", "site"]), 4))
+    # a record without a building may say where: in the street or town of some of its star
+    vague = cut(star3.filter("NOT coalesce(named, false) AND sites IS NULL").select("s3_id", "centre", "name_level", "some", "parts", "n1", "first"))
+    part = F.explode(F.array_distinct(F.array("street", "town"))).alias("part")
+    spots = star1.select("centre", "s1_id", part).filter("part IS NOT NULL").groupBy("centre", "part").agg(F.countDistinct("s1_id").alias("ties"), F.min("s1_id").alias("s1_id"))
+    near = cut(fold(vague.select("s3_id", "name_level", "centre", F.explode("parts").alias("part")).join(spots, ["centre", "part"]), 3))
+    alone = vague.join(near.select("s3_id").distinct(), "s3_id", "left_anti").groupBy("s3_id").agg(
+        F.max("name_level").alias("name_level"), F.max(F.when(F.col("some"), 1).otherwise(2)).alias("address_level"), F.sum("n1").alias("ties"), F.min("first").alias("s1_id"))
+
+    # names at one building that share no star there are compared by sound, and, to know how often others sound alike, with those of another
+    rest = right.filter("sites IS NOT NULL").join(both.select("s3_id").distinct(), "s3_id", "left_anti").select("s3_id", "country", "name_id", F.explode("sites").alias("site"))
+    shelf = Window.partitionBy("country", F.pmod(F.xxhash64("site"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.col("shelves"))).orderBy("site")
+    shelves = found.sites.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / 16).alias("shelves"))
+    others_at = found.sites.select("country", "site").join(shelves, "country").withColumn("other", F.lead("site").over(shelf)).filter("other IS NOT NULL").select("site", "other")
+    tries = rest.select("country", "name_id", "site", F.lit(True).alias("here"), F.col("site").alias("at")).unionByName(rest.join(others_at, "site").select("country", "name_id", "site", F.lit(False).alias("here"), F.col("other").alias("at"))).distinct()
+    names1 = ref.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("n1")).join(found.members, "s1_id").groupBy(F.col("site").alias("at"), "n1").agg(F.collect_set("s1_id").alias("ids"))
+    names3 = oth.select(name_id, F.col("business_name").alias("n3")).dropDuplicates(["name_id"])
+    tries = spread(tries.join(names1, "at").join(names3, "name_id").select("name_id", "site", "here", "country", "n1", "n3", "ids"), "name_id")
+    heard = cut(_hear(tries, trades))
+    sound = rest.join(heard.filter("here AND alike").select("name_id", "site", F.explode("ids").alias("s1_id")), ["name_id", "site"]).select("s3_id", "s1_id", F.lit(1).alias("name_level"), F.lit(4).alias("address_level")).distinct()
+    alike = heard.groupBy("here").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alike").cast("int")).alias("alike")).collect()  # two rows
+    by_here = {r["here"]: (r["n"], r["alike"]) for r in alike}
+
+    cols = ["s3_id", "s1_id", "name_level", "address_level", "ties"]
+    candidates = cut(both.select(cols).unionByName(sound.withColumn("ties", F.lit(1).cast("long")).select(cols)).unionByName(near.select(cols)).unionByName(alone.select(cols)))
+
+    counts = np.zeros((NAME_LEVELS, ADDRESS_LEVELS))
+    for r in candidates.filter("address_level >= 3").groupBy("name_level", "address_level").agg(F.sum("ties").alias("n")).collect():  # at most 12 rows
+        counts[r["name_level"], r["address_level"]] = r["n"]
+    where = F.when(F.coalesce("named", F.lit(False)) | F.col("sites").isNotNull(), 0).when(F.col("some"), 1).otherwise(2).alias("w")
+    for r in star3.groupBy("name_level", where).agg(F.sum("n1").alias("n")).collect():  # at most 12 rows
+        counts[r["name_level"], r["w"]] += r["n"]
+    counts[2:, 0] = np.maximum(counts[2:, 0] - counts[2:, 4], 0)
+    counts[2:, 1] = np.maximum(counts[2:, 1] - counts[2:, 3], 0)
+    at_site = found.members.groupBy("site").agg(F.count(F.lit(1)).alias("n1")).join(right.select(F.explode("sites").alias("site")).groupBy("site").agg(F.count(F.lit(1)).alias("n3")), "site")
+    counts[0, 4] = max(0.0, float(at_site.agg(F.sum(F.col("n1") * F.col("n3"))).first()[0] or 0) - counts[1:, 4].sum())
+
     # how the levels fall among all pairs of a country, matched or not
-    kinds = oth.select(F.col("entity_id").alias("s3_id"), "country").join(free.select("s3_id", "named", "some"), "s3_id").groupBy("country").agg(
-        F.count(F.lit(1)).alias("n3"), F.avg(F.col("named").cast("double")).alias("named"), F.avg((~F.col("named") & F.col("some")).cast("double")).alias("some"))
-    sides = ref.select("country", F.col("entity_id").alias("s1_id")).join(site, "s1_id", "left").groupBy("country").agg(F.count(F.lit(1)).alias("n1"), F.greatest(F.countDistinct("town"), F.lit(1)).alias("towns"))
-    pairs_of = F.col("n1").cast("double") * F.col("n3")
-    r = kinds.join(sides, "country").agg(
-        F.sum(pairs_of).alias("all"), F.sum(pairs_of * F.col("named")).alias("named"), F.sum(pairs_of * F.col("some") / F.col("towns")).alias("near"), F.sum(pairs_of * F.col("some")).alias("some")).first()
+    kinds = right.groupBy("country").agg(F.count(F.lit(1)).alias("n3"), F.avg(F.coalesce("named", F.lit(False)).cast("double")).alias("named"), F.avg((~F.coalesce("named", F.lit(False)) & F.coalesce("some", F.lit(False))).cast("double")).alias("some"))
+    sides = left.groupBy("country").agg(F.count(F.lit(1)).alias("n1"), F.greatest(F.countDistinct("town"), F.lit(1)).alias("towns"))
+    every = F.col("n1").cast("double") * F.col("n3")
+    r = kinds.join(sides, "country").agg(F.sum(every).alias("all"), F.sum(every * F.col("named")).alias("named"), F.sum(every * F.col("some") / F.col("towns")).alias("near"), F.sum(every * F.col("some")).alias("some")).first()
     total = r["all"] or 1.0
-    named_share, near, some = ((r[k] or 0.0) / total for k in ("named", "near", "some"))
-    return levels, np.array([named_share, some - near, 1 - named_share - some, near, np.nan]), total
+    named_share, near_share, some_share = ((r[k] or 0.0) / total for k in ("named", "near", "some"))
+    u_addr = np.maximum([named_share, some_share - near_share, 1 - named_share - some_share, near_share, counts[:, -1].sum() / total], 1e-9)
+    # pairs of one star at named buildings elsewhere are no matches: they tell how often others share a star
+    tried, heard_alike = by_here.get(False, (0, 0))
+    u_name = np.array([0.0, (heard_alike + 0.5) / (tried + 1.0), *((counts[2:, 0] + 1) / (u_addr[0] * total))])
+    u_name[0] = max(1 - u_name.sum(), 1e-9)
+    return candidates, counts, u_name, u_addr, total
 
 
 def other_trade(clean: str, typed: str, trades: Trades) -> bool:
@@ -151,30 +216,23 @@ def other_trade(clean: str, typed: str, trades: Trades) -> bool:
 
 
 def link_records(reference: DataFrame, others: DataFrame) -> DataFrame:
-    """``s1_id, s3_id, confidence``: for every record that has a candidate its best one (two of equal posterior share it).
+    """``s1_id, s3_id, name_level, address_level, ties, confidence``: for every record that has a candidate its best one. Where several reference
+    records fit equally well, the smallest stands for them, ``ties`` says how many they are, and the confidence is divided by them.
 
     A record of null id or country is in no pair; null and empty names and addresses count as missing; redelivered records count once."""
-    pairs, shares, total = candidate_pairs(reference, others)
-    cells = pairs.groupBy("name_level", "address_level").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 30 rows
-    counts = np.zeros((NAME_LEVELS, ADDRESS_LEVELS))
-    for r in cells:
-        counts[r["name_level"], r["address_level"]] = r["n"]
-    u_addr = np.maximum(np.where(np.isnan(shares), counts[:, -1].sum() / total, shares), 1e-9)
-    # pairs of one star at named buildings elsewhere are no matches: they tell how often others share a star
-    u_name = np.array([0.0, 1e-3, *((counts[2:, 0] + 1) / (u_addr[0] * total))])
-    u_name[0] = max(1 - u_name.sum(), 1e-9)
+    candidates, counts, u_name, u_addr, total = compare(reference, others)
     post = expectation_maximisation(counts, u_name, u_addr, total)[0]
-    table = pairs.sparkSession.createDataFrame([(i, j, float(post[i, j])) for i in range(NAME_LEVELS) for j in range(ADDRESS_LEVELS)], "name_level int, address_level int, posterior double")
-    scored = pairs.join(F.broadcast(table), ["name_level", "address_level"])
-    mine = Window.partitionBy("s3_id")
+    table = candidates.sparkSession.createDataFrame([(i, j, float(post[i, j])) for i in range(NAME_LEVELS) for j in range(ADDRESS_LEVELS)], "name_level int, address_level int, posterior double")
+    scored = candidates.join(F.broadcast(table), ["name_level", "address_level"])
     rank = F.struct("posterior", (F.col("name_level") + F.col("address_level")).alias("levels"))
-    tied = scored.withColumn("rank", rank).withColumn("top", F.max("rank").over(mine)).filter("rank = top").withColumn("ties", F.count(F.lit(1)).over(mine))
-    return tied.select("s1_id", "s3_id", "name_level", "address_level", (F.col("posterior") / F.col("ties")).alias("confidence"))
+    best = scored.groupBy("s3_id", rank.alias("rank"), "name_level", "address_level").agg(F.min("s1_id").alias("s1_id"), F.sum("ties").alias("ties"))
+    best = best.groupBy("s3_id").agg(F.max_by(F.struct("s1_id", "name_level", "address_level", "ties", "rank.posterior"), F.struct("rank", "name_level")).alias("x"))
+    return best.select("x.s1_id", "s3_id", "x.name_level", "x.address_level", "x.ties", (F.col("x.posterior") / F.col("x.ties")).alias("confidence"))
 
 
 def linked(reference: DataFrame, others: DataFrame, labels: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """``s1_id, s3_id`` with a confidence above ``least``, names alike and no building elsewhere named."""
-    rows = link_records(reference, others).filter((F.col("confidence") > least) & (F.col("name_level") > 0) & (F.col("address_level") > 0))
+    """``s1_id, s3_id`` with a confidence above ``least``."""
+    rows = link_records(reference, others).filter(F.col("confidence") > least)
     if labels is not None:
         rows = rows.join(labels.select(F.col("source1_entity_id").alias("s1_id")), "s1_id", "left_anti")
     return rows.select("s1_id", "s3_id").distinct()

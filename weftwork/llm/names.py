@@ -38,22 +38,35 @@ _SIGNS = dict(zip(range(0x3E, 0x4D), "a i i u u r r e e e e o o o o".split()))
 
 
 def distance(a: str, b: str, limit: int) -> int:
-    """Edit distance with neighbouring letters exchanged as one edit; ``limit`` + 1 where it is more."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
+    """Edit distance with neighbouring letters exchanged as one edit; ``limit`` + 1 where it is more. One machine word holds a column."""
     if a == b:
         return 0
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
-        if min(row) > limit:
-            return limit + 1
-    return row[-1]
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | (1 << i)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, diagonal, last, score = full, 0, 0, 0, len(a)
+    for c in b:
+        here = places.get(c, 0)
+        diagonal = ((((here & up) + up) ^ up) | here | down | (((~diagonal & here) << 1) & last)) & full
+        plus, minus = down | (full & ~(diagonal | up)), diagonal & up
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = ((plus << 1) | 1) & full, (minus << 1) & full
+        up, down, last = minus | (full & ~(diagonal | plus)), plus & diagonal, here
+    return min(score, limit + 1)
+
+
+def struck(word: str, n: int) -> set[str]:
+    """The word with up to ``n`` letters struck out."""
+    out = now = {word}
+    for _ in range(n):
+        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
+        out = out | now
+    return out
 
 
 def shortened(a: str, b: str) -> bool:
@@ -66,6 +79,8 @@ def shortened(a: str, b: str) -> bool:
 
 def is_latin(name: str) -> bool:
     """Reads as Latin script: no letter of another script once look-alikes are rewritten."""
+    if name.isascii():
+        return True
     return not any(unicodedata.category(c)[0] in "LM" and "LATIN" not in unicodedata.name(c, "") and not unicodedata.combining(c) for c in fold(name))
 
 
@@ -121,6 +136,11 @@ def is_legal(token: str) -> bool:
     return any(w in LEGAL or (len(w) >= 6 and any(distance(w, x, 2) <= (1 if len(x) < 7 else 2) for x in LEGAL_LONG)) for w in plain_digits(token))
 
 
+@lru_cache(maxsize=200_000)
+def is_general(word: str) -> bool:
+    return word in GENERAL or any(len(g) >= 6 and distance(word, g, 1) <= 1 for g in GENERAL)
+
+
 def tokens_of(text: str) -> list[str]:
     """Words of a folded text; single letters in a row are one word (``l l c``, ``s.a.r.l.``)."""
     out: list[str] = []
@@ -146,8 +166,12 @@ def name_words(text: str) -> list[str]:
         if words and (words[-1] == w or (len(w) >= 5 and distance(words[-1], w, 2) <= (1 if len(w) < 8 else 2))):
             continue
         words.append(w)
-    left = [w for w in words if w not in GENERAL and not any(len(g) >= 6 and distance(w, g, 1) <= 1 for g in GENERAL)]
-    return left or words
+    return [w for w in words if not is_general(w)] or words
+
+
+def trade_edits(trade: str) -> int:
+    """Edits up to which a word is a misspelling of the trade word."""
+    return 0 if len(trade) < 6 else 1 if len(trade) < 7 else 2
 
 
 class Trades:
@@ -156,8 +180,13 @@ class Trades:
     def __init__(self, words: list[str]):
         self.words = frozenset(words)
         self.by_letter: dict[str, list[str]] = {}
+        self.by_rest: dict[str, list[str]] = {}
+        self.longest = max(map(len, words), default=0)
         for w in sorted(words):
             self.by_letter.setdefault(w[0], []).append(w)
+            # by what is left of it with letters struck out, as near spellings share a rest
+            for rest in struck(w, trade_edits(w)):
+                self.by_rest.setdefault(rest, []).append(w)
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def typed(self, word: str) -> tuple[str, ...]:
@@ -166,7 +195,8 @@ class Trades:
             return (word,)
         found = self.memo.get(word)
         if found is None:
-            near = tuple(t for t in sorted(self.words) if len(t) >= 6 and len(word) >= 5 and distance(word, t, 2) <= (1 if len(t) < 7 else 2))
+            maybe = {t for rest in struck(word, 2) for t in self.by_rest.get(rest, ())} if len(word) <= self.longest + 2 else set()
+            near = tuple(t for t in sorted(maybe) if distance(word, t, 2) <= trade_edits(t))
             found = near or tuple(t for t in self.by_letter.get(word[:1], ()) if shortened(word, t) or (word.endswith("s") and shortened(word[:-1], t)))
             if len(self.memo) > 100_000:
                 self.memo.clear()
@@ -174,6 +204,17 @@ class Trades:
         return found
 
 
+@lru_cache(maxsize=256)
+def trades_of(words: tuple[str, ...]) -> Trades:
+    """One index a worker and list."""
+    return Trades(list(words))
+
+
+def stands_for_trade(word: str, trade: str) -> bool:
+    """A misspelling or a short form of the trade word, or the word itself."""
+    return word == trade or distance(word, trade, 2) <= trade_edits(trade) or shortened(word, trade) or (word.endswith("s") and shortened(word[:-1], trade))
+
+
 def reference_reading(name: str | None, trades: Trades) -> list[tuple[str, str, str]]:
     """(key, trade, words) of a clean name: under its words, and under the initial where it begins with a given name."""
     words = name_words(fold(name))
@@ -187,8 +228,9 @@ def reference_reading(name: str | None, trades: Trades) -> list[tuple[str, str,
     return out
 
 
-def typed_readings(name: str | None, trades: Trades) -> list[tuple[str, str, str]]:
-    """(key, trades, words) of a name as typed; ``trades`` are the possible trade words joined by "|", "" where none is said."""
+def typed_readings(name: str | None, trades: Trades, longest: int = 1 << 20) -> list[tuple[str, str, str]]:
+    """(key, trades, words) of a name as typed; ``trades`` are the possible trade words joined by "|", "" where none is said. What is
+    longer than ``longest`` letters, and so like no name of the reference, has its plain reading only."""
     text = re.sub(r"^[\W_]+(?=[\w@#])", lambda m: m[0][-1] if m[0][-1] in "@#" else "", transliterate(fold(name)).strip())
     if not text:
         return []
@@ -209,7 +251,13 @@ def typed_readings(name: str | None, trades: Trades) -> list[tuple[str, str, str
         if indic:
             # loan words are spelt by sound there: the trade and the legal form may be any of the last words
             for n in range(1, len(words) + 1):
-                found.setdefault(("".join(words[:n]), ""), " ".join(words[:n]))
+                key = "".join(words[:n])
+                if n > 1 and len(key) > longest:
+                    break
+                found.setdefault((key, ""), " ".join(words[:n]))
+            continue
+        if sum(map(len, words)) > longest + trades.longest + 2:
+            found.setdefault(("".join(words), ""), " ".join(words))
             continue
         said = [i for i, w in enumerate(words) if w in trades.words]
         options: list[tuple[list[str], str]] = []
@@ -227,10 +275,10 @@ def typed_readings(name: str | None, trades: Trades) -> list[tuple[str, str, str
         for core, trade in options:
             core = [c for i, c in enumerate(core) if not i or c != core[i - 1]]
             for given in _given(core):
-                turns = [given[i:] + given[:i] for i in range(len(given))] if len(given) <= 4 else [given]
-                for turn in turns:
+                for i in range(len(given)):
+                    turn = given[i:] + given[:i]
                     found.setdefault(("".join(turn), trade), " ".join(turn))
-    return [(k, t, w) for (k, t), w in found.items() if len(k) > 2]
+    return [(k, t, w) for (k, t), w in found.items()]
 
 
 def _given(core: list[str]) -> list[list[str]]:

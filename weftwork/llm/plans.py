@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.addresses import same_building
+from weftwork.llm.addresses import building_classes, same_building
 from weftwork.llm.linkage import link_records, linked
 from weftwork.llm.lookalikes import LOOK_ALIKES, canonical_records, same_on_screen
 from weftwork.llm.mixing import mix
@@ -27,6 +27,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_building(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"), table(spark, sf_dir, "match_labels"))
 
 
+@REG.query("p1_classes")
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a record with its building's class and number of links."""
+    return building_classes(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"))
+
+
 # ---- 2: visually identical text
 
 
@@ -71,7 +77,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best reference record of each record that has a candidate, with a confidence."""
     rows = link_records(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"))
-    return rows.select("s1_id", "s3_id", F.round("confidence", 6).alias("confidence"))
+    return rows.select("s1_id", "s3_id", "ties", F.round("confidence", 6).alias("confidence"))
 
 
 # ---- 4: variant spellings of names

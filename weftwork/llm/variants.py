@@ -17,14 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.names import Trades, distance, is_latin, name_words, reference_reading, trade_fits, typed_readings
 from weftwork.llm.addresses import fold, spread
+from weftwork.llm.names import Trades, distance, is_latin, name_words, reference_reading, stands_for_trade, trade_fits, trades_of, typed_readings
 from weftwork.session import cut
 
 Q = 3
-ROWS = 4
-#: A spelling with one to two letters changed has about this share of q-grams in common with the right one.
-AT_SIMILARITY, RECALL = 0.5, 0.9
+ROWS = 3
+#: The least share of q-grams that two spellings which the verifier accepts mostly have in common: two letters changed in twelve.
+AT_SIMILARITY, RECALL = 0.4, 0.9
+#: Monge-Elkan similarity from which two readings are one name.
 ACCEPT = 0.82
 #: A trade word ends at least this share of a country's names: at most 2,000 words a country, whatever the table's size.
 TRADE_SHARE = 1 / 2000
@@ -44,32 +45,25 @@ def padded_grams(key: str, q: int = Q) -> set[str]:
 
 
 def band_hashes(keys: list[str], bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> np.ndarray:
-    """(keys, bands) of 64-bit bucket hashes."""
+    """(keys, bands) of 64-bit bucket hashes. Every different q-gram is hashed once, all rows at a time."""
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 2**63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
     plus = rng.integers(0, 2**63, size=bands * rows, dtype=np.uint64)
+    at: dict[str, int] = {}
     grams, starts = [], []
-    memo: dict[str, int] = {}
     for key in keys:
         starts.append(len(grams))
-        for g in padded_grams(key):
-            h = memo.get(g)
-            if h is None:
-                h = memo[g] = xxhash.xxh64_intdigest(g)
-            grams.append(h)
-    x = np.array(grams, dtype=np.uint64)
-    out = np.zeros((len(keys), bands), dtype=np.uint64)
+        grams += [at.setdefault(g, len(at)) for g in padded_grams(key)]
+    x = np.array([xxhash.xxh64_intdigest(g) for g in at], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for b in range(bands):
-            mixed = np.zeros(len(keys), dtype=np.uint64)
-            for r in range(rows):
-                i = b * rows + r
-                y = (x * mult[i] + plus[i])
-                y ^= y >> np.uint64(29)
-                y *= np.uint64(0xBF58476D1CE4E5B9)
-                y ^= y >> np.uint64(32)
-                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(y, starts)
-            out[:, b] = mixed + np.uint64(b)
+        y = x[:, None] * mult + plus
+        y ^= y >> np.uint64(29)
+        y *= np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum.reduceat((y >> np.uint64(32)).astype(np.uint32)[grams], starts, axis=0).astype(np.uint64)
+        out = np.tile(np.arange(bands, dtype=np.uint64), (len(keys), 1))
+        for r in range(rows):
+            out = (out ^ least[:, r::rows]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
     return out
 
 
@@ -80,40 +74,49 @@ def word_similarity(a: str, b: str) -> float:
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
-    """Mean over the words of the side with fewer words of the best likeness to a run of the other's words (a word may be typed in
-    pieces, or two as one); what is left over on the longer side lowers it."""
+    """Mean over the words of the side with fewer words, by their length, of the best likeness to a run of the other's words (a word may be
+    typed in pieces, or two as one); what is left over on the longer side lowers it. Runs of more than twice a word's length are
+    less like it than half, so they are not looked at; sides too unlike in length to be one name are 0."""
     if not a or not b:
         return 0.0
     if len(a) > len(b):
         a, b = b, a
-    runs = ["".join(b[i : i + n]) for n in range(1, min(3, len(b)) + 1) for i in range(len(b) - n + 1)]
-    best = [max(word_similarity(w, r) for r in runs) for w in a]
-    mean = sum(s * len(w) for s, w in zip(best, a)) / sum(map(len, a))
     la, lb = sum(map(len, a)), sum(map(len, b))
-    return mean * min(1.0, (min(la, lb) + 2) / max(la, lb))
+    fits = min(1.0, (min(la, lb) + 2) / max(la, lb))
+    if fits < ACCEPT:
+        return 0.0
+    there = set(b)
+    total = 0.0
+    for w in a:
+        best = 1.0 if w in there else 0.0
+        for i in range(len(b) if best < 1 else 0):
+            run = ""
+            for x in b[i:]:
+                run += x
+                if len(run) > 2 * len(w):
+                    break
+                best = max(best, word_similarity(w, run))
+        total += best * len(w)
+    return total / la * fits
 
 
 def likeness(typed_key: str, typed_words: str, typed_trade: str, key: str, words: str, trade: str) -> float:
-    """Monge-Elkan of the words, 0 where the trade words differ. A joined name may end in its trade word, in full or short."""
+    """Monge-Elkan of the words, 0 where the trade words differ. A name typed as one word may end in its trade word, in full or short."""
     if not trade_fits(typed_trade, trade):
         return 0.0
     if typed_key == key:
         return 1.0
-    if not typed_trade and trade and typed_key.startswith(key):
-        rest = typed_key[len(key) :]
-        if Trades([trade]).typed(rest):
+    like = monge_elkan(typed_words.split(), words.split())
+    if not typed_trade and trade and " " not in typed_words:
+        if typed_key.startswith(key) and stands_for_trade(typed_key[len(key) :], trade):
             return 0.99
-    if " " not in typed_words and trade and distance(typed_key, key + trade, 2) <= (1 if len(key) < 8 else 2):
-        return 0.95
-    short = min(len(key), len(typed_key))
-    if distance(typed_key, key, 3) > (1 if short < 9 else 2 if short < 18 else 3):
-        return 0.0
-    return monge_elkan(typed_words.split(), words.split())
+        like = max(like, monge_elkan([typed_key], [key + trade]))
+    return like
 
 
 def trade_words(reference: DataFrame) -> dict[str, list[str]]:
-    """The trade words of each country: what ends at least ``TRADE_SHARE`` of its names (and three of them) behind different words.
-    Collected: at most 2,000 words a country by that share."""
+    """The trade words of each country: what ends at least ``TRADE_SHARE`` of its names behind different words (and three of them, as what
+    fewer names end in can't be told from a name). Collected: at most 2,000 words a country by that share."""
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,23 +126,25 @@ def trade_words(reference: DataFrame) -> dict[str, list[str]]:
     ends = spread(reference.filter("country IS NOT NULL").select("country", "business_name"), "business_name").mapInPandas(last, "country string, word string, before string")
     ends = ends.groupBy("country", "word").agg(F.countDistinct("before").alias("n"))
     total = ends.groupBy("country").agg(F.sum("n").alias("total"))
-    rows = ends.join(total, "country").filter((F.col("n") >= 3) & (F.col("n") >= F.col("total") * TRADE_SHARE) & (F.length("word") > 3)).select("country", "word").collect()
+    rows = ends.join(total, "country").filter((F.col("n") >= 3) & (F.col("n") >= F.col("total") * TRADE_SHARE)).select("country", "word").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["country"], []).append(r["word"])
-    return out
+    return {c: sorted(w) for c, w in out.items()}
 
 
-def read_names(records: DataFrame, trades: dict[str, list[str]], typed: bool) -> DataFrame:
-    """``name_id, country, name, latin, key, trade, words``: the readings of the different (country, business_name)."""
+def read_names(records: DataFrame, trades: dict[str, list[str]], longest: int | None = None) -> DataFrame:
+    """``name_id, country, name, latin, key, trade, words``: the readings of the different (country, business_name); those of typed names
+    where ``longest``, the letters that a name like one of the reference has at most, is given."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists = {c: Trades(w) for c, w in trades.items()}
-        none = Trades([])
+        lists = {c: trades_of(tuple(w)) for c, w in trades.items()}
+        none = trades_of(())
         for pdf in batches:
             rows = []
             for i, c, n in zip(pdf["name_id"], pdf["country"], pdf["business_name"]):
-                rows += [(i, c, n, is_latin(n), *r) for r in (typed_readings if typed else reference_reading)(n, lists.get(c, none))]
+                readings = reference_reading(n, lists.get(c, none)) if longest is None else typed_readings(n, lists.get(c, none), longest)
+                rows += [(i, c, n, is_latin(n), *r) for r in readings]
             yield pd.DataFrame(rows, columns=["name_id", "country", "name", "latin", "key", "trade", "words"])
 
     names = spread(records.filter("country IS NOT NULL AND business_name IS NOT NULL").select("country", "business_name"), "business_name")
@@ -152,8 +157,9 @@ def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[s
     country, name, latin, centre, likeness``, the star of each other name that is near enough to one. A star holds the
     names of one reading; ties between equally near stars keep all."""
     trades = trades if trades is not None else trade_words(reference)
-    s1 = cut(read_names(reference, trades, typed=False).withColumn("centre", F.xxhash64("country", "key", "trade")))
-    s3 = cut(read_names(others, trades, typed=True))
+    s1 = cut(read_names(reference, trades).withColumn("centre", F.xxhash64("country", "key", "trade")))
+    longest = s1.agg(F.max(F.length("key") + F.length("trade")).alias("n")).first()["n"] or 0
+    s3 = cut(read_names(others, trades, int(longest / ACCEPT) + 3))
     centre_keys = s1.select("country", "key", "trade", "words", "centre").dropDuplicates(["centre"])
     # a reading that is the centre's own collides in every band: the same node
     own = s3.join(centre_keys.select("country", "key", F.col("trade").alias("t"), "centre"), ["country", "key"])
@@ -171,8 +177,8 @@ def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[s
                 yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), h.shape[1]), "country": np.repeat(part["country"].to_numpy(), h.shape[1]), "bucket": h.ravel().view(np.int64)})
 
     schema = "id long, country string, bucket long"
-    left = nodes.filter(F.length("key") > 4).select(F.col("node").alias("id"), "country", "key").mapInPandas(buckets, schema)
-    right = centre_keys.filter(F.length("key") > 4).select(F.col("centre").alias("id"), "country", "key").mapInPandas(buckets, schema).select(F.col("id").alias("centre"), "country", "bucket")
+    left = nodes.select(F.col("node").alias("id"), "country", "key").mapInPandas(buckets, schema)
+    right = centre_keys.select(F.col("centre").alias("id"), "country", "key").mapInPandas(buckets, schema).select(F.col("id").alias("centre"), "country", "bucket")
     met = spread(left.join(right, ["country", "bucket"]).select(F.col("id").alias("node"), "centre"), "node")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
