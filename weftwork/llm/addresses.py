@@ -175,13 +175,13 @@ def entry_pieces(entry: str) -> list[str]:
     return [f"{len(entry)}.{i}.{entry[s : s + w]}" for i, (s, w) in enumerate(_pieces(len(entry)))]
 
 
-def word_pieces(word: str) -> list[str]:
-    """The pieces by which a word meets every entry near to it: where piece i stands whole, at most i edits lie before
-    it and the others behind it, which bounds how far it has moved."""
+def word_pieces(word: str, lengths: frozenset[int] | None = None) -> list[str]:
+    """The pieces by which a word meets every entry near to it, of the ``lengths`` that entries have: where piece i stands whole, at most
+    i edits lie before it and the others behind it, which bounds how far it has moved."""
     n, out = len(word), {}
     for length in range(max(1, n - 3), n + 4):
         k, more = edits(length), n - length
-        if abs(more) > k:
+        if abs(more) > k or (lengths is not None and length not in lengths):
             continue
         for i, (s, w) in enumerate(_pieces(length)):
             for p in range(max(0, s - i, s + more - (k - i)), min(n - w, s + i, s + more + (k - i)) + 1):
@@ -194,9 +194,8 @@ def _entry_pieces(entries: pd.Series) -> pd.Series:
     return pd.Series([entry_pieces(e) for e in entries], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _word_pieces(words: pd.Series) -> pd.Series:
-    return pd.Series([word_pieces(w) for w in words], dtype=object)
+def _word_pieces(lengths: frozenset[int]):
+    return F.pandas_udf(lambda words: pd.Series([word_pieces(w, lengths) for w in words], dtype=object), T.ArrayType(T.StringType()))
 
 
 def near(word: Column, entry: Column) -> Column:
@@ -299,7 +298,8 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
     """Where the addresses of ``others`` stand among the buildings of ``reference`` (both: entity_id, business_address, country).
 
     An address without house number or street is placed nowhere. Null ids and countries are left out; repeated rows count once.
-    Every round learns at least one new pair of the finitely many near ones, so the rounds end by themselves. ``mine`` False
+    Every round learns at least one new pair of the finitely many near ones, so the rounds end by themselves; only addresses that a
+    rewrite has changed ask again. ``mine`` False
     leaves the mining out."""
     parsed = cut(reference_buildings(reference))
     building = F.xxhash64("country", "num", "street", "town").alias("site")
@@ -316,6 +316,9 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
     keys = cut(shelf.withColumn("piece", F.explode(_entry_pieces("b"))).select(F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"), "site", "slot", "b"))
     at = ["ctx", "country", "num", "val"]
     n_sites = shelf.groupBy(at).agg(F.count(F.lit(1)).alias("n_sites"))
+    lengths = frozenset(r["n"] for r in shelf.select(F.length("b").alias("n")).distinct().collect())  # at most `longest`
+    pieces_of = _word_pieces(lengths)
+    asking = answers = changed = None
     # how many comparisons chance has: of every context, and of every entry in it, over the addresses as first read
     says = said.filter("num IS NOT NULL").select("country", "num", F.explode(F.concat(_contexts(F.col("towns"), F.col("streets"), F.expr("array()")), F.transform("states", lambda v: F.struct(F.lit("P").alias("ctx"), v.alias("val"))))).alias("x")).select("x.ctx", "country", "num", "x.val")
     places = cut(n_sites.join(says.groupBy(at).agg(F.count(F.lit(1)).alias("n_addr")), at))
@@ -337,16 +340,25 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
 
         # spelling: unknown words of addresses without a place against streets and towns of buildings of their number; where only
         # the town is open, against towns
-        waiting = said.filter("num IS NOT NULL AND size(unknown) > 0").join(placed.filter("whole").select("aid").distinct(), "aid", "left_anti")
+        waiting = said if changed is None else said.join(changed, "aid", "left_semi")
+        waiting = waiting.filter("num IS NOT NULL AND size(unknown) > 0").join(placed.filter("whole").select("aid").distinct(), "aid", "left_anti")
         waiting = waiting.join(placed.select("aid", "whole").distinct(), "aid", "left")
         context = _contexts(F.col("towns"), F.col("streets"), F.col("states"))
         context = F.when(F.col("whole").isNull(), context).otherwise(F.filter(context, lambda x: x["ctx"] == "T"))
-        mine_of = waiting.select("aid", "country", "num", "unknown", F.explode(context).alias("x")).select("aid", "country", "num", "x.ctx", "x.val", F.explode("unknown").alias("a"))
-        mine_of = cut(mine_of.distinct().withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a")))
-        questions = mine_of.groupBy("q", *at, "a").agg(F.count(F.lit(1)).alias("n_q"))
-        met = questions.withColumn("piece", F.explode(_word_pieces("a"))).select("q", "ctx", "country", "a", "n_q", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
-        asked = cut(met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "n_q", "site", "slot", "b").distinct())
-        n_ab = asked.groupBy("ctx", "country", "slot", "a", "b").agg(F.sum("n_q").alias("n_ab"))
+        asks = waiting.select("aid", "country", "num", "unknown", F.explode(context).alias("x")).select("aid", "country", "num", "x.ctx", "x.val", F.explode("unknown").alias("a"))
+        asks = asks.distinct().withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a"))
+        if asking is None:
+            asking = cut(asks)
+            new = asking
+        else:
+            asks = cut(asks.join(asking, ["aid", "q"], "left_anti"))
+            new = asks.join(asking.select("q").distinct(), "q", "left_anti")
+            asking = cut(asking.unionByName(asks))
+        met = new.select("q", *at, "a").distinct().withColumn("piece", F.explode(pieces_of("a"))).select("q", "ctx", "country", "a", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
+        met = met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "site", "slot", "b").distinct()
+        answers = cut(met if answers is None else answers.unionByName(met))
+        questions = asking.join(answers.select("a").distinct(), "a", "left_semi").groupBy("q", *at, "a").agg(F.count(F.lit(1)).alias("n_q"))
+        n_ab = answers.join(questions.select("q", "n_q"), "q").groupBy("ctx", "country", "slot", "a", "b").agg(F.sum("n_q").alias("n_ab"))
         n_a = questions.join(places, at).groupBy("ctx", "country", "a").agg(F.sum(F.col("n_q") * F.col("n_sites")).alias("n_a"))
         spelt = n_ab.join(n_a, ["ctx", "country", "a"]).join(n_b, ["ctx", "country", "b"])
         spelt = spelt.filter(likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT_NEAR).select("country", "slot", "a", "b")
@@ -358,11 +370,14 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
         # normalise again: abbreviations in every address, spellings where the number agrees
         words = fresh.filter("slot IN ('state', 'kind')")
         more = said.select("aid", "country", F.explode(F.array_union("unknown", "states")).alias("a")).join(words, ["country", "a"]).select("aid", "slot", "a", "b")
-        hit = asked.join(fresh.filter("slot IN ('street', 'town')"), ["country", "slot", "a", "b"]).select("q", "slot", "a", "b", F.levenshtein("a", "b").alias("d"))
-        nearest = mine_of.select("aid", "q").join(hit, "q").select("aid", "slot", "a", "b", "d").distinct()
+        hit = answers.join(fresh.filter("slot IN ('street', 'town')"), ["country", "slot", "a", "b"]).select("q", "slot", "a", "b", F.levenshtein("a", "b").alias("d"))
+        nearest = asking.select("aid", "q").join(hit, "q").select("aid", "slot", "a", "b", "d").distinct()
         nearest = nearest.withColumn("least", F.min("d").over(Window.partitionBy("aid", "slot"))).filter("d = least").select("aid", "slot", "a", "b")
-        more = more.unionByName(nearest).groupBy("aid").agg(*[F.collect_set(F.when(F.col("slot") == s, F.col("b"))).alias(f"new_{s}") for s in SLOTS], F.collect_set("a").alias("used"))
+        more = more.unionByName(nearest)
+        changed = more.select("aid").distinct()
+        more = more.groupBy("aid").agg(*[F.collect_set(F.when(F.col("slot") == s, F.col("b"))).alias(f"new_{s}") for s in SLOTS], F.collect_set("a").alias("used"))
         both = lambda old, new: F.when(F.col(new).isNull(), F.col(old)).otherwise(F.array_union(old, new)).alias(old)
+        changed = cut(changed)
         said = cut(said.join(more, "aid", "left").select("aid", "country", "num", "some", "several", both("streets", "new_street"), both("towns", "new_town"), both("states", "new_state"), both("kinds", "new_kind"), F.when(F.col("used").isNull(), F.col("unknown")).otherwise(F.array_except("unknown", "used")).alias("unknown")))
         placed = cut(_place(said, sites))
     return Matched(sites, members, said, records, placed.select("aid", "site").distinct(), rewrites)
