@@ -2,16 +2,18 @@ import math
 
 import pytest
 
-from weftwork.llm.mixing import common_temperature, mix
+from weftwork.llm.mixing import common_temperature, entropy, held, mix
 
 
 def test_common_temperature():
-    e, w = common_temperature([0.7, 0.2, 0.1, 0.0], entropy=1.0)
-    assert sum(w) == pytest.approx(1) and w[3] == 0
-    assert -sum(x * math.log(x) for x in w if x) == pytest.approx(1.0, abs=1e-6)
-    e, w = common_temperature([0.7, 0.2, 0.1], limits=[1.0, 1.0, 0.15])
-    assert w[2] == pytest.approx(0.15, abs=1e-6) and 0 < e < 1
-    assert common_temperature([], entropy=1.0)[1] == []
+    e, w = common_temperature([0.7, 0.2, 0.1, 0.0], 1.0)
+    assert sum(w) == pytest.approx(1) and w[3] == 0 and w[0] / w[1] == pytest.approx((0.7 / 0.2) ** e)
+    assert entropy(w) == pytest.approx(1.0, abs=1e-6)
+    e, w = common_temperature([0.7, 0.2, 0.1], 0.9, [1.0, 1.0, 0.12])
+    assert w[2] == pytest.approx(0.12, abs=1e-6) and entropy(w) == pytest.approx(0.9, abs=1e-6) and w[0] / w[1] == pytest.approx((0.7 / 0.2) ** e)
+    assert common_temperature([], 1.0)[1] == [] and common_temperature([0.0], 1.0)[1] == [0.0]
+    assert held([0.5, 0.3, 0.2], [1.0, 0.1, 1.0]) == pytest.approx([0.9 * 5 / 7, 0.1, 0.9 * 2 / 7])
+    assert held([0.5, 0.5], [0.2, 0.3]) == pytest.approx([0.2, 0.3])
 
 
 @pytest.fixture
@@ -45,6 +47,17 @@ def test_budget_and_interleaving(tables):
     assert sum(r["n_tokens"] for r in first if r["source"] == "big") == pytest.approx(3000, rel=0.15)
 
 
+def test_temperature_mix(tables):
+    """One exponent: the entropy of the targets within the limits, repeats kept, the gap to each target told."""
+    docs, targets = tables
+    rows, report = mix(docs, targets, budget=20_000, by="temperature")
+    by = {r["source"]: r for r in report.collect()}
+    assert by["big"]["exponent"] == by["small"]["exponent"] and by["gone"]["exponent"] is None
+    assert entropy([by["big"]["planned_share"], by["small"]["planned_share"]]) == pytest.approx(entropy([2 / 3, 1 / 3]), abs=1e-3) or by["small"]["planned_share"] == pytest.approx(0.2)
+    assert all(r["gap"] == pytest.approx(r["reached_share"] - r["target_share"]) for r in by.values())
+    assert rows.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 5
+
+
 def test_empty(tables, spark):
     docs, targets = tables
     assert mix(docs.limit(0), targets)[0].count() == 0

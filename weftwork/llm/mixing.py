@@ -1,10 +1,10 @@
 """Mixing sources to target weights (problem 9).
 
-Natural token shares are raised to exponents. One common exponent is bisected to meet a target entropy or the
-repetition limits (``common_temperature``); where every source has a target share of its own, the exponent of each
-source is bisected until its share is met or its repetition limit stops it (``target_temperatures``). The weights are
-realised as block permutations: each pass over a source visits its blocks in an order of its own, whole passes first,
-and the last pass ends where the source's token budget does.
+Two plans share one realisation. ``temperature_weights`` is temperature mixing: the natural token shares are raised to one common
+exponent, bisected until the weights, with no source beyond its repetition limit, have a target entropy. One exponent can't also give every source
+a share of its own, so where each has a target, ``target_weights`` fills the targets in proportion under the same limits. The weights are
+realised as block permutations: each pass over a source visits its blocks in an order of its own, whole passes first, and the last
+pass ends where the source's token budget does.
 """
 
 from __future__ import annotations
@@ -40,50 +40,72 @@ def _bisect(f, low: float, high: float, steps: int = 200) -> float:
     return (low + high) / 2
 
 
-def common_temperature(shares: list[float], entropy: float | None = None, limits: list[float] | None = None) -> tuple[float, list[float]]:
-    """The exponent e and the weights share**e (normalised). Weights turn to the natural shares as e goes to 1 and to
-    equal ones at 0. With ``entropy`` (nats) e is where the weights have it, then no lower than where every weight
-    is within its limit; a source of no tokens has weight 0."""
+def entropy(weights: list[float]) -> float:
+    """In nats."""
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def held(wanted: list[float], caps: list[float]) -> list[float]:
+    """Weights in proportion to ``wanted`` as far as the caps allow, of sum 1 or all that the caps give: what one source can't take goes to
+    the others in proportion."""
+    if not any(w > 0 for w in wanted):
+        return [0.0] * len(wanted)
+    reach = min(1.0, sum(c for w, c in zip(wanted, caps) if w > 0))
+    top = max([c / w for w, c in zip(wanted, caps) if w > 0] + [1.0 / max(wanted)])
+    factor = _bisect(lambda k: reach - sum(min(k * w, c) for w, c in zip(wanted, caps)), 0.0, top)
+    return [min(factor * w, c) for w, c in zip(wanted, caps)]
+
+
+def common_temperature(shares: list[float], target: float, caps: list[float] | None = None) -> tuple[float, list[float]]:
+    """The exponent e and the weights share**e (normalised, held within ``caps``) whose entropy is ``target`` nats or as near as an exponent from 0
+    (equal weights) to 16 comes. A source of no tokens has weight 0."""
+    caps = caps or [1.0] * len(shares)
 
     def weights(e: float) -> list[float]:
         w = [s**e if s > 0 else 0.0 for s in shares]
-        return [x / (sum(w) or 1.0) for x in w]
+        total = sum(w)
+        return held([x / total for x in w], caps) if total else w
 
     def spread(e: float) -> float:
-        return -sum(w * math.log(w) for w in weights(e) if w > 0)
+        w = weights(e)
+        return entropy([x / (sum(w) or 1.0) for x in w])
 
-    e = 0.0 if entropy is None else _bisect(lambda e: spread(e) - entropy, 0.0, 16.0)
-    if limits is not None and any(w > x * (1 + 1e-12) for w, x in zip(weights(e), limits)):
-        e = _bisect(lambda e: max(w - x for w, x in zip(weights(e), limits)), e, 1.0)
+    e = _bisect(lambda e: spread(e) - target, 0.0, 16.0)
     return e, weights(e)
 
 
-def target_temperatures(sources: list[Source], budget: float) -> list[Source]:
-    """Sets ``weight`` and ``exponent``: shares of the budget that are proportional to the targets as far as the
-    repetition limits allow. What a small or absent source can't fill goes to the others in proportion to their targets."""
+def _caps(sources: list[Source], budget: float) -> list[float]:
+    return [s.tokens * s.repeats / budget if budget else 0.0 for s in sources]
+
+
+def temperature_weights(sources: list[Source], budget: float) -> list[Source]:
+    """Sets ``exponent`` and ``weight`` by one common exponent: the mix has the entropy of the target shares of the sources that exist."""
     corpus = sum(s.tokens for s in sources) or 1
-    cap = {s.name: s.tokens * s.repeats / budget if budget else 0.0 for s in sources}
-    filled = lambda k: sum(min(k * s.target, cap[s.name]) for s in sources)
-    reach = min(1.0, sum(cap[s.name] for s in sources if s.target > 0))
-    top = max([cap[s.name] / s.target for s in sources if s.target > 0] + [1.0])
-    factor = _bisect(lambda k: reach - filled(k), 0.0, top)
-    for s in sources:
-        want, natural = min(factor * s.target, cap[s.name]), s.tokens / corpus
-        if want <= 0 or natural <= 0:
-            s.exponent, s.weight = math.nan, 0.0
-            continue
-        # natural ** e falls in e: from 1 at 0 to nothing
-        s.exponent = _bisect(lambda e: natural**e - want, 0.0, 1e4) if natural < 1 else 1.0
-        s.weight = want if natural == 1 else min(natural**s.exponent, cap[s.name])
+    wanted = [s.target if s.tokens else 0.0 for s in sources]
+    aim = entropy([w / (sum(wanted) or 1.0) for w in wanted])
+    live = [s.tokens / corpus if w > 0 else 0.0 for s, w in zip(sources, wanted)]
+    e, weights = common_temperature(live, aim, _caps(sources, budget))
+    for s, w, x in zip(sources, weights, live):
+        s.exponent, s.weight = (e, w) if x else (math.nan, 0.0)
+    return sources
+
+
+def target_weights(sources: list[Source], budget: float) -> list[Source]:
+    """Sets ``weight`` in proportion to the targets as far as the repetition limits allow; there is no exponent."""
+    for s, w in zip(sources, held([s.target for s in sources], _caps(sources, budget))):
+        s.exponent, s.weight = math.nan, w
     return sources
 
 
+PLANS = {"targets": target_weights, "temperature": temperature_weights}
+
+
 def source_name(col: str) -> F.Column:
     """Source names compare without case and outer blanks."""
     return F.lower(F.trim(F.col(col)))
 
 
-def plan_mix(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> tuple[list[Source], float]:
+def plan_mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, by: str = "targets") -> tuple[list[Source], float]:
     """Sizes of the sources named in ``targets`` (source_name, target_share, max_repeats), and their weights. What is
     collected is one row a target; a null or repeated target name counts as none or by its largest share."""
     wanted = targets.filter("source_name IS NOT NULL").groupBy(source_name("source_name").alias("source")).agg(
@@ -92,7 +114,7 @@ def plan_mix(sized: DataFrame, targets: DataFrame, budget: int | None = None) ->
     total = budget or sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     rows = wanted.join(sizes, "source", "left").collect()
     found = [Source(r["source"], r["tokens"] or 0, r["docs"] or 0, max(0.0, r["target"]), max(0, r["repeats"])) for r in sorted(rows, key=lambda r: r["source"])]
-    return target_temperatures(found, float(total)), float(total)
+    return PLANS[by](found, float(total)), float(total)
 
 
 def realise(sized: DataFrame, sources: list[Source], budget: float) -> DataFrame:
@@ -136,15 +158,15 @@ def sized_documents(counted: DataFrame) -> DataFrame:
     return cut(counted.select("doc_id", source_name("source").alias("source"), "n_tokens"))
 
 
-def mix(counted: DataFrame, targets: DataFrame, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The mix of ``counted`` (doc_id, source, n_tokens) and the report of shares.
+def mix(counted: DataFrame, targets: DataFrame, budget: int | None = None, by: str = "targets") -> tuple[DataFrame, DataFrame]:
+    """The mix of ``counted`` (doc_id, source, n_tokens) and the report of shares, by one of ``PLANS``.
 
     The budget is the corpus's size in tokens unless given. Documents of a null source or one without a target are no
     part of the mix; documents of no tokens come with the whole passes. No copy of a document beyond ``max_repeats``;
     repeated doc_ids count as documents of their own. The report has one row a target: ``source, target_share,
-    max_repeats, available_tokens, exponent, planned_share, mixed_tokens, reached_share``."""
+    max_repeats, available_tokens, exponent, planned_share, mixed_tokens, reached_share, gap`` (reached less target)."""
     sized = sized_documents(counted)
-    sources, total = plan_mix(sized, targets, budget)
+    sources, total = plan_mix(sized, targets, budget, by)
     rows = realise(sized, sources, total)
     plan = sized.sparkSession.createDataFrame(
         [(s.name, s.target, s.repeats, s.tokens, None if math.isnan(s.exponent) else round(s.exponent, 9), round(s.weight, 9)) for s in sources],
@@ -153,5 +175,5 @@ def mix(counted: DataFrame, targets: DataFrame, budget: int | None = None) -> tu
     got = rows.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
     report = plan.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     whole = report.agg(F.sum("mixed_tokens").alias("whole"))
-    report = report.crossJoin(F.broadcast(whole)).withColumn("reached_share", F.try_divide("mixed_tokens", "whole")).drop("whole")
+    report = report.crossJoin(F.broadcast(whole)).withColumn("reached_share", F.try_divide("mixed_tokens", "whole")).drop("whole").withColumn("gap", F.coalesce("reached_share", F.lit(0.0)) - F.col("target_share"))
     return rows, report

@@ -147,22 +147,36 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 9: mixing sources to target weights
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, by: str) -> tuple[DataFrame, DataFrame]:
     counted = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"])
-    return mix(counted, table(spark, sf_dir, "mix_targets"))
+    return mix(counted, table(spark, sf_dir, "mix_targets"), by=by)
+
+
+def _with_shares(rows: DataFrame, report: DataFrame) -> DataFrame:
+    shares = report.select(F.col("source").alias("s"), "target_share", "reached_share")  # one row a target
+    return rows.join(F.broadcast(shares), F.col("source") == F.col("s")).drop("s")
 
 
 @REG.query("p9_mix")
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each copy of a document in the mix, with the share that its source was to have and has reached."""
-    rows, report = _mixed(spark, sf_dir)
-    shares = report.select(F.col("source").alias("s"), "target_share", "reached_share")  # one row a target
-    return rows.join(F.broadcast(shares), F.col("source") == F.col("s")).drop("s")
+    return _with_shares(*_mixed(spark, sf_dir, "targets"))
 
 
 @REG.query("p9_shares")
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[1]
+    return _mixed(spark, sf_dir, "targets")[1]
+
+
+@REG.query("p9_temperature")
+def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix by one common exponent, of the entropy of the targets."""
+    return _with_shares(*_mixed(spark, sf_dir, "temperature"))
+
+
+@REG.query("p9_temperature_shares")
+def p9_temperature_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, "temperature")[1]
 
 
 # ---- 10: personal information inside free text
