@@ -1,11 +1,11 @@
 """Personal information in free text: a linear-chain conditional random field (problem 10).
 
 Tokens are letter runs, digit runs and single other signs. A token's features are its word (where the labelled table
-knows it), shape, endings and whether a blank stands before it, and the same of its four neighbours on either side; they and
-label transitions are weighed by the field. It is trained by gradient steps on the small labelled table of
-``pii_labels`` and decoded by Viterbi over batches of lines in numpy. The features of a token don't depend on where
-it stands, so each kind of token is weighed once per worker, and a line met again is not decoded again. What the field marks is then
-checked for the form of its kind; no span is found by the check alone.
+knows it), shape, endings, the pattern of the long number it belongs to, and whether a blank stands before it, and the same of its four
+neighbours on either side; they and label transitions are weighed by the field. It is trained by gradient steps on the small labelled
+table of ``pii_labels`` and decoded by Viterbi over batches of lines in numpy. The features of a token don't depend on
+where it stands, so each kind of token is weighed once per worker, and a line met again is not decoded again. What the field marks is then
+trimmed to the form of its kind; no span and no kind is found by the check.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.pii_labels import LINES
+from weftwork.llm.pii_labels import labelled, telling_words
 
 KINDS = ("email", "phone", "national_id", "street_address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 #: The same with the blank before it, if there is one.
 KEYS = re.compile(r"\s?(?:[^\W\d_]+|\d+|\S)").findall
+#: A number of seven digits or more, in groups or not; its tokens carry the pattern of its groups behind a SEAM.
+CHAIN = re.compile(r"(?<![\d,])\d(?:[ .\-/()]{0,3}\d){6,}(?![\d,])")
+SEAM = "\x04"
 MARK = re.compile("⟦(\\w+)\\|([^⟧]*)⟧")
 START = "\x02"
 END = "\x03"
@@ -65,6 +68,7 @@ def token_features(key: str, known: set[str]) -> list[str]:
     """Features of one token as seen from any place; ``key`` is the token with a blank before it where the text has one."""
     if key in (START, END):
         return [f"w={key}"]
+    key, _, chain = key.partition(SEAM)
     blank, word = key[0].isspace(), key.lstrip()
     low, form = word.lower(), shape(word)
     out = [f"s={form}", f"b={blank}", f"sb={form}{blank}"]
@@ -74,6 +78,9 @@ def token_features(key: str, known: set[str]) -> list[str]:
             out.append(f"W={word}")
     elif word[0].isalpha():
         out.append(f"unknown={form}")
+    if chain:
+        lengths, place = chain.split("/")
+        out += [f"g={lengths}", f"g={lengths}/{place}", f"n={sum(map(int, re.findall('[0-9]+', lengths)))}"]
     if word[0].isalpha() and len(word) > 2:
         out += [f"e2={form[0]}{low[-2:]}", f"e3={form[0]}{low[-3:]}"]
     return out
@@ -81,9 +88,14 @@ def token_features(key: str, known: set[str]) -> list[str]:
 
 def keys_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     keys, spans, before = [], [], 0
+    groups = {}
+    for m in CHAIN.finditer(text):
+        lengths = re.sub(r"\d+", lambda d: str(len(d[0])), m[0]).replace(" ", "_").replace("/", "|")
+        for i, d in enumerate(re.finditer(r"\d+", m[0])):
+            groups[m.start() + d.start()] = f"{SEAM}{lengths}/{i}"
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        keys.append(" " + m[0] if s > before else m[0])
+        keys.append((" " + m[0] if s > before else m[0]) + groups.get(s, ""))
         spans.append((s, e))
         before = e
     return keys, spans
@@ -120,14 +132,6 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def varied(lines: list[str], copies: int, seed: int = 5) -> list[str]:
-    """The lines and ``copies`` variants of each, in which every span is exchanged for another of its kind from the table."""
-    rng = random.Random(seed)
-    pool = {k: [m[2] for line in lines for m in MARK.finditer(line) if m[1] == k] for k in KINDS}
-    again = [MARK.sub(lambda m: f"⟦{m[1]}|{rng.choice(pool[m[1]])}⟧", line) for _ in range(copies) for line in lines if "⟦" in line]
-    return lines + again
-
-
 class _Batch:
     """Lines side by side, with the (offset, feature) columns of every cell sorted both ways for segment sums."""
 
@@ -186,10 +190,10 @@ def _gradients(b: _Batch, w: np.ndarray, move: np.ndarray, first: np.ndarray) ->
     return g_w, g_move, delta[:, 0].sum(axis=0)
 
 
-def train(lines: list[str] = LINES, copies: int = 3, epochs: int = 24, rate: float = 0.08, ridge: float = 0.002, batch_lines: int = 64, seed: int = 5) -> Field:
-    """Adam on the penalised log-likelihood in batches of lines of like length."""
+def train(lines: list[str] | None = None, epochs: int = 12, rate: float = 0.08, ridge: float = 0.015, batch_lines: int = 64, seed: int = 5) -> Field:
+    """Adam on the penalised log-likelihood in batches of lines of like length; without ``lines`` on the whole labelled table."""
     data = []
-    for text, spans in read_labels(varied(lines, copies, seed)):
+    for text, spans in read_labels(labelled() if lines is None else lines):
         keys, at = keys_of(text)
         labels = []
         for s, e in at:
@@ -197,7 +201,7 @@ def train(lines: list[str] = LINES, copies: int = 3, epochs: int = 24, rate: flo
             labels.append(0 if hit is None else LABELS.index(("B-" if hit[1] == s else "I-") + hit[0]))
         if keys:
             data.append((keys, labels))
-    known = _telling_words(data)
+    known = telling_words()
     table: dict[str, int] = {}
     for keys, _ in data:
         for k in (START, END, *keys):
@@ -225,24 +229,6 @@ def train(lines: list[str] = LINES, copies: int = 3, epochs: int = 24, rate: flo
     return Field(known, table, w.reshape(len(OFFSETS), width, size), move + bad, first + no_start)
 
 
-def _telling_words(data: list) -> set[str]:
-    """The words that are features themselves: given names and whatever is no invented name. Family names and places
-    are known by shape and ending only, so that unseen ones weigh the same."""
-    given, words = set(), set()
-    for keys, labels in data:
-        for i, k in enumerate(keys):
-            word = k.strip().lower()
-            if not word[0].isalpha():
-                continue
-            words.add(word)
-            if LABELS[labels[i]] == "B-person" and not (i + 1 < len(keys) and keys[i + 1] == ","):
-                given.add(word)
-            if LABELS[labels[i]] == "I-person" and keys[i - 1].strip() in (",", "-"):
-                given.add(word)
-    invented = re.compile(r"(?:(?:[bcdgkpst]h|tr|[bcdghjklmnprstvy])[aeiou]){2,}\w{0,8}$")
-    return {w for w in words if w in given or not invented.match(w)}
-
-
 @lru_cache(maxsize=1)
 def default_field() -> Field:
     return train()
@@ -281,18 +267,8 @@ FORMS = {
 }
 
 
-WIDER = {"email": re.compile(r"[\w.+-]"), "phone": re.compile(r"[+(\d]"), "national_id": re.compile(r"[A-Z\d]")}
-SHORT_PHONE = re.compile(r"\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}$")
-
-
 def checked_span(kind: str, line: str, s: int, e: int) -> tuple[str, int, int] | None:
-    """The marked span if it has the form of its kind, from where the form begins; None otherwise. A number of the form of a
-    telephone number that was marked as an identity number counts as one."""
-    if kind in WIDER:  # a mark inside a word or number begins where that does
-        while s and WIDER[kind].match(line[s - 1]):
-            s -= 1
-    if kind == "national_id" and SHORT_PHONE.match(line, s, e):
-        kind = "phone"
+    """The marked span, trimmed to the form of its kind; None if it has not that form. Nothing gets another kind or a wider span here."""
     m = FORMS[kind].search(line, s, e)
     if not m or (kind == "phone" and sum(map(str.isdigit, m[0])) < 7):
         return None
@@ -359,7 +335,7 @@ class Finder:
         known = self.token_ids.__getitem__
         for line in lines:
             self.lines[line] = ()
-            row = list(map(known, KEYS(line)))
+            row = list(map(known, keys_of(line)[0] if CHAIN.search(line) else KEYS(line)))
             if len(row) > 1:
                 ids.append(row)
                 kept.append(line)
