@@ -258,7 +258,7 @@ def _read(others: DataFrame, sites: DataFrame, longest: int) -> tuple[DataFrame,
 
     of = lambda slot: F.transform(F.filter("said", lambda x: F.array_contains(x["slots"], slot)), lambda x: x["val"])
     vals = F.transform("said", lambda x: x["val"])
-    full = full.select("aid", "country", "num", (F.size("words") >= 1).alias("some"), (F.size("words") >= 2).alias("several"), of("street").alias("streets"), of("town").alias("towns"), of("state").alias("states"), of("kind").alias("kinds"), F.pandas_udf(unknown, T.ArrayType(T.StringType()))("words", vals).alias("unknown"))
+    full = full.select("aid", "country", "num", (F.size("words") >= 1).alias("some"), (F.size("words") >= 2).alias("several"), of("street").alias("streets"), of("town").alias("towns"), of("state").alias("states"), of("kind").alias("kinds"), F.pandas_udf(unknown, T.ArrayType(T.StringType()))("words", vals).alias("unknown"), F.lit(0).alias("turn"))
     return rows.select(F.col("entity_id").alias("s3_id"), "aid").distinct(), cut(full)
 
 
@@ -318,7 +318,8 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
     n_sites = shelf.groupBy(at).agg(F.count(F.lit(1)).alias("n_sites"))
     lengths = frozenset(r["n"] for r in shelf.select(F.length("b").alias("n")).distinct().collect())  # at most `longest`
     pieces_of = _word_pieces(lengths)
-    asking = answers = changed = None
+    asking = answers = None
+    turn = 0
     # how many comparisons chance has: of every context, and of every entry in it, over the addresses as first read
     says = said.filter("num IS NOT NULL").select("country", "num", F.explode(F.concat(_contexts(F.col("towns"), F.col("streets"), F.expr("array()")), F.transform("states", lambda v: F.struct(F.lit("P").alias("ctx"), v.alias("val"))))).alias("x")).select("x.ctx", "country", "num", "x.val")
     places = cut(n_sites.join(says.groupBy(at).agg(F.count(F.lit(1)).alias("n_addr")), at))
@@ -340,20 +341,15 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
 
         # spelling: unknown words of addresses without a place against streets and towns of buildings of their number; where only
         # the town is open, against towns
-        waiting = said if changed is None else said.join(changed, "aid", "left_semi")
-        waiting = waiting.filter("num IS NOT NULL AND size(unknown) > 0").join(placed.filter("whole").select("aid").distinct(), "aid", "left_anti")
+        waiting = said.filter((F.col("turn") == turn) & F.col("num").isNotNull() & (F.size("unknown") > 0)).join(placed.filter("whole").select("aid").distinct(), "aid", "left_anti")
         waiting = waiting.join(placed.select("aid", "whole").distinct(), "aid", "left")
         context = _contexts(F.col("towns"), F.col("streets"), F.col("states"))
         context = F.when(F.col("whole").isNull(), context).otherwise(F.filter(context, lambda x: x["ctx"] == "T"))
         asks = waiting.select("aid", "country", "num", "unknown", F.explode(context).alias("x")).select("aid", "country", "num", "x.ctx", "x.val", F.explode("unknown").alias("a"))
         asks = asks.distinct().withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a"))
-        if asking is None:
-            asking = cut(asks)
-            new = asking
-        else:
-            asks = cut(asks.join(asking, ["aid", "q"], "left_anti"))
-            new = asks.join(asking.select("q").distinct(), "q", "left_anti")
-            asking = cut(asking.unionByName(asks))
+        asks = cut(asks if asking is None else asks.join(asking, ["aid", "q"], "left_anti"))
+        new = asks if asking is None else asks.join(asking, "q", "left_anti")
+        asking = asks if asking is None else asking.unionByName(asks)
         met = new.select("q", *at, "a").distinct().withColumn("piece", F.explode(pieces_of("a"))).select("q", "ctx", "country", "a", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
         met = met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "site", "slot", "b").distinct()
         answers = cut(met if answers is None else answers.unionByName(met))
@@ -366,19 +362,17 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
         fresh = cut(short.unionByName(spelt).distinct().join(rewrites, ["country", "slot", "a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
-        rewrites = cut(rewrites.unionByName(fresh))
+        rewrites = rewrites.unionByName(fresh)
+        turn += 1
         # normalise again: abbreviations in every address, spellings where the number agrees
         words = fresh.filter("slot IN ('state', 'kind')")
         more = said.select("aid", "country", F.explode(F.array_union("unknown", "states")).alias("a")).join(words, ["country", "a"]).select("aid", "slot", "a", "b")
         hit = answers.join(fresh.filter("slot IN ('street', 'town')"), ["country", "slot", "a", "b"]).select("q", "slot", "a", "b", F.levenshtein("a", "b").alias("d"))
         nearest = asking.select("aid", "q").join(hit, "q").select("aid", "slot", "a", "b", "d").distinct()
         nearest = nearest.withColumn("least", F.min("d").over(Window.partitionBy("aid", "slot"))).filter("d = least").select("aid", "slot", "a", "b")
-        more = more.unionByName(nearest)
-        changed = more.select("aid").distinct()
-        more = more.groupBy("aid").agg(*[F.collect_set(F.when(F.col("slot") == s, F.col("b"))).alias(f"new_{s}") for s in SLOTS], F.collect_set("a").alias("used"))
+        more = more.unionByName(nearest).groupBy("aid").agg(*[F.collect_set(F.when(F.col("slot") == s, F.col("b"))).alias(f"new_{s}") for s in SLOTS], F.collect_set("a").alias("used"))
         both = lambda old, new: F.when(F.col(new).isNull(), F.col(old)).otherwise(F.array_union(old, new)).alias(old)
-        changed = cut(changed)
-        said = cut(said.join(more, "aid", "left").select("aid", "country", "num", "some", "several", both("streets", "new_street"), both("towns", "new_town"), both("states", "new_state"), both("kinds", "new_kind"), F.when(F.col("used").isNull(), F.col("unknown")).otherwise(F.array_except("unknown", "used")).alias("unknown")))
+        said = cut(said.join(more, "aid", "left").select("aid", "country", "num", "some", "several", both("streets", "new_street"), both("towns", "new_town"), both("states", "new_state"), both("kinds", "new_kind"), F.when(F.col("used").isNull(), F.col("unknown")).otherwise(F.array_except("unknown", "used")).alias("unknown"), F.when(F.col("used").isNull(), F.col("turn")).otherwise(turn).alias("turn")))
         placed = cut(_place(said, sites))
     return Matched(sites, members, said, records, placed.select("aid", "site").distinct(), rewrites)
 

@@ -188,6 +188,13 @@ def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[s
             yield out[out["likeness"] >= ACCEPT]
 
     full = met.join(nodes.select("node", "key", "words", "trade"), "node").join(centre_keys.select("centre", F.col("key").alias("c_key"), F.col("words").alias("c_words"), F.col("trade").alias("c_trade")), "centre")
+    # what Monge-Elkan accepts in this order of words is so near as a whole, too (of one or two words every order is a reading of
+    # its own); this only spares Python the pairs that met by chance
+    words = lambda c: F.size(F.split(c, " "))
+    whole = F.levenshtein("key", "c_key") <= F.least(F.length("key"), F.length("c_key")) * (1 / ACCEPT - 1) + 3
+    joined = ~F.contains("words", F.lit(" ")) & (F.col("trade") == "") & (F.levenshtein("key", F.concat("c_key", "c_trade")) <= F.length("key") * (1 / ACCEPT - 1) + 3)
+    ends = F.startswith("key", "c_key")
+    full = full.filter(whole | joined | ends | ((words("words") > 2) & (words("c_words") > 2)))
     near = full.mapInPandas(verify, "node long, centre long, likeness double")
     stars = open_names.withColumn("node", F.xxhash64("country", "key", "trade")).select("name_id", "node").join(near, "node").groupBy("name_id", "centre").agg(F.max("likeness").alias("likeness"))
     top = F.max("likeness").over(Window.partitionBy("name_id"))
