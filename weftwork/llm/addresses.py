@@ -304,7 +304,8 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
     parsed = cut(reference_buildings(reference))
     building = F.xxhash64("country", "num", "street", "town").alias("site")
     sites = cut(parsed.groupBy("country", "num", "street", "town").agg(F.min("kind").alias("kind"), F.min("state").alias("state")).withColumn("site", building))
-    longest = sites.agg(F.max(F.greatest(*[F.length(s) for s in SLOTS])).alias("n")).first()["n"] or 0
+    sizes = sites.agg(F.max(F.greatest(*[F.length(s) for s in SLOTS])).alias("n"), F.array_union(F.collect_set(F.length("street")), F.collect_set(F.length("town"))).alias("lengths")).first()
+    longest, lengths = sizes["n"] or 0, frozenset(sizes["lengths"])  # as many lengths at most as the longest has letters
     records, said = _read(others, sites, longest)
     members = parsed.select(F.col("id").alias("s1_id"), building).distinct()
     rewrites = said.sparkSession.createDataFrame([], "country string, slot string, a string, b string")
@@ -312,51 +313,48 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
     if not mine:
         return Matched(sites, members, said, records, placed.select("aid", "site").distinct(), rewrites)
 
-    shelf = cut(_site_contexts(sites))
-    keys = cut(shelf.withColumn("piece", F.explode(_entry_pieces("b"))).select(F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"), "site", "slot", "b"))
+    # how many comparisons chance has: of every context, and of every entry in it, over the addresses as first read
     at = ["ctx", "country", "num", "val"]
-    n_sites = shelf.groupBy(at).agg(F.count(F.lit(1)).alias("n_sites"))
-    lengths = frozenset(r["n"] for r in shelf.select(F.length("b").alias("n")).distinct().collect())  # at most `longest`
+    shelf = cut(_site_contexts(sites))
+    says = said.filter("num IS NOT NULL").select("country", "num", F.explode(F.concat(_contexts(F.col("towns"), F.col("streets"), F.expr("array()")), F.transform("states", lambda v: F.struct(F.lit("P").alias("ctx"), v.alias("val"))))).alias("x")).select("x.ctx", "country", "num", "x.val")
+    places = cut(shelf.groupBy(at).agg(F.count(F.lit(1)).alias("n_sites")).join(says.groupBy(at).agg(F.count(F.lit(1)).alias("n_addr")), at, "left").fillna(0, ["n_addr"]))
+    n = places.groupBy("ctx", "country").agg(F.sum(F.col("n_sites") * F.col("n_addr")).alias("n"))
+    n_b = shelf.join(places, at).groupBy("ctx", "country", "b").agg(F.sum("n_addr").alias("n_b")).join(n, ["ctx", "country"])
+    keys = shelf.join(n_b, ["ctx", "country", "b"]).withColumn("piece", F.explode(_entry_pieces("b"))).select(F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"), "site", "slot", "b", "n_b", "n")
+    keys = cut(keys)
     pieces_of = _word_pieces(lengths)
+    # how often a state or a street type stands in the list
+    share = lambda slot: F.count(F.lit(1)).over(Window.partitionBy("country", slot)) / F.count(F.lit(1)).over(Window.partitionBy("country"))
+    common = cut(sites.select("site", "country", "state", "kind", share("state").alias("state_share"), share("kind").alias("kind_share")))
     asking = answers = None
     turn = 0
-    # how many comparisons chance has: of every context, and of every entry in it, over the addresses as first read
-    says = said.filter("num IS NOT NULL").select("country", "num", F.explode(F.concat(_contexts(F.col("towns"), F.col("streets"), F.expr("array()")), F.transform("states", lambda v: F.struct(F.lit("P").alias("ctx"), v.alias("val"))))).alias("x")).select("x.ctx", "country", "num", "x.val")
-    places = cut(n_sites.join(says.groupBy(at).agg(F.count(F.lit(1)).alias("n_addr")), at))
-    n = places.groupBy("ctx", "country").agg(F.sum(F.col("n_sites") * F.col("n_addr")).alias("n"))
-    n_b = cut(shelf.join(places, at).groupBy("ctx", "country", "b").agg(F.sum("n_addr").alias("n_b")).join(n, ["ctx", "country"]))
     while True:
         # abbreviations, and states that the list itself writes in two ways: words against state and street type of the buildings where addresses are placed whole
-        met = placed.filter("whole").join(said.select("aid", "unknown", "states"), "aid").join(sites.select("site", "country", "state", "kind"), "site")
-        beside = lambda words, slot: F.transform(words, lambda w: F.struct(w.alias("a"), F.lit(slot).alias("slot"), F.col(slot).alias("b")))
+        met = placed.filter("whole").join(said.select("aid", "unknown", "states"), "aid").join(common, "site")
+        beside = lambda words, slot: F.transform(words, lambda w: F.struct(w.alias("a"), F.lit(slot).alias("slot"), F.col(slot).alias("b"), F.col(f"{slot}_share").alias("p")))
         met = met.select("country", F.explode(F.concat(beside(F.array_union("unknown", "states"), "state"), beside(F.col("unknown"), "kind"))).alias("x"))
-        met = met.select("country", "x.*").filter("b <> ''").groupBy("country", "slot", "a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-        per = lambda *by: F.sum("n_ab").over(Window.partitionBy("country", "slot", *by))
-        counted = met.withColumn("n_a", per("a")).withColumn("n_b", per("b"))
-        totals = met.groupBy("country", "slot").agg(F.sum("n_ab").alias("n"))
+        met = met.select("country", "x.*").filter("b <> ''").groupBy("country", "a", "slot", "b").agg(F.count(F.lit(1)).alias("n_ab"), F.max("p").alias("p"))
         # a word stands for what it mostly meets: of state and street type the one that is said in more of its places
-        counted = counted.withColumn("best", F.max_by("slot", F.struct(F.col("n_ab") / F.col("n_a"), "slot")).over(Window.partitionBy("country", "a")))
-        sure = likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT
-        short = counted.join(totals, ["country", "slot"]).filter(sure & (F.col("slot") == F.col("best")) & (F.col("n_ab") * 10 >= F.col("n_a") * 3) & (F.col("a") != F.col("b"))).select("country", "slot", "a", "b")
+        counted = met.withColumn("n_a", F.sum("n_ab").over(Window.partitionBy("country", "a", "slot"))).withColumn("best", F.max_by("slot", F.struct(F.col("n_ab") / F.col("n_a"), "slot")).over(Window.partitionBy("country", "a")))
+        sure = likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("p") * 1e9, F.lit(1e9)) >= SIGNIFICANT
+        short = counted.filter(sure & (F.col("slot") == F.col("best")) & (F.col("n_ab") * 10 >= F.col("n_a") * 3) & (F.col("a") != F.col("b"))).select("country", "slot", "a", "b")
 
         # spelling: unknown words of addresses without a place against streets and towns of buildings of their number; where only
         # the town is open, against towns
-        waiting = said.filter((F.col("turn") == turn) & F.col("num").isNotNull() & (F.size("unknown") > 0)).join(placed.filter("whole").select("aid").distinct(), "aid", "left_anti")
-        waiting = waiting.join(placed.select("aid", "whole").distinct(), "aid", "left")
+        waiting = said.filter((F.col("turn") == turn) & F.col("num").isNotNull() & (F.size("unknown") > 0))
+        waiting = waiting.join(placed.groupBy("aid").agg(F.max("whole").alias("whole")), "aid", "left").filter("NOT coalesce(whole, false)")
         context = _contexts(F.col("towns"), F.col("streets"), F.col("states"))
         context = F.when(F.col("whole").isNull(), context).otherwise(F.filter(context, lambda x: x["ctx"] == "T"))
         asks = waiting.select("aid", "country", "num", "unknown", F.explode(context).alias("x")).select("aid", "country", "num", "x.ctx", "x.val", F.explode("unknown").alias("a"))
-        asks = asks.distinct().withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a"))
-        asks = cut(asks if asking is None else asks.join(asking, ["aid", "q"], "left_anti"))
-        new = asks if asking is None else asks.join(asking, "q", "left_anti")
+        asks = cut(asks.join(places.drop("n_addr"), at).withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a")))
         asking = asks if asking is None else asking.unionByName(asks)
-        met = new.select("q", *at, "a").distinct().withColumn("piece", F.explode(pieces_of("a"))).select("q", "ctx", "country", "a", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
-        met = met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "site", "slot", "b").distinct()
-        answers = cut(met if answers is None else answers.unionByName(met))
-        questions = asking.join(answers.select("a").distinct(), "a", "left_semi").groupBy("q", *at, "a").agg(F.count(F.lit(1)).alias("n_q"))
-        n_ab = answers.join(questions.select("q", "n_q"), "q").groupBy("ctx", "country", "slot", "a", "b").agg(F.sum("n_q").alias("n_ab"))
-        n_a = questions.join(places, at).groupBy("ctx", "country", "a").agg(F.sum(F.col("n_q") * F.col("n_sites")).alias("n_a"))
-        spelt = n_ab.join(n_a, ["ctx", "country", "a"]).join(n_b, ["ctx", "country", "b"])
+        met = asks.drop("aid").dropDuplicates(["q"]).withColumn("piece", F.explode(pieces_of("a"))).select("q", "ctx", "country", "a", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
+        met = met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "site", "slot", "b", "n_b", "n")
+        answers = cut((met if answers is None else answers.unionByName(met)).distinct())
+        questions = asking.groupBy("q", "ctx", "country", "a", "n_sites").agg(F.countDistinct("aid").alias("n_q"))
+        n_ab = answers.join(questions.select("q", "n_q"), "q").groupBy("ctx", "country", "a", "slot", "b", "n_b", "n").agg(F.sum("n_q").alias("n_ab"))
+        n_a = questions.groupBy("ctx", "country", "a").agg(F.sum(F.col("n_q") * F.col("n_sites")).alias("n_a"))
+        spelt = n_ab.join(n_a, ["ctx", "country", "a"])
         spelt = spelt.filter(likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT_NEAR).select("country", "slot", "a", "b")
 
         fresh = cut(short.unionByName(spelt).distinct().join(rewrites, ["country", "slot", "a", "b"], "left_anti"))

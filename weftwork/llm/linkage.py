@@ -144,15 +144,15 @@ def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndar
 
     star1 = left.select("s1_id", "site", "street", "town", F.explode("centres").alias("centre"))
     star3 = right.select("s3_id", "named", "some", "same", "sites", "parts", F.explode("centres").alias("centre"))
-    size1 = cut(star1.groupBy("centre").agg(F.countDistinct("s1_id").alias("n1"), F.min("s1_id").alias("first")))
+    size1 = star1.groupBy("centre").agg(F.countDistinct("s1_id").alias("n1"), F.min("s1_id").alias("first"))
     level = F.when(F.col("same"), 3).otherwise(2) + F.when(F.col("n1") == 1, 2).otherwise(0)
-    star3 = star3.join(size1, "centre").withColumn("name_level", level)
+    star3 = cut(star3.join(size1, "centre").withColumn("name_level", level))
     # reference records that a star has at one building are one row, for which the smallest stands
     heads = lambda *by: star1.groupBy("centre", *by).agg(F.countDistinct("s1_id").alias("ties"), F.min("s1_id").alias("s1_id"))
     fold = lambda rows, at: rows.groupBy("s3_id", "s1_id").agg(F.max("name_level").alias("name_level"), F.max("ties").alias("ties")).withColumn("address_level", F.lit(at))
     both = cut(fold(star3.select("s3_id", "name_level", "centre", F.explode("sites").alias("site")).join(heads("site"), ["centre", "site"]), 4))
     # a record without a building may say where: in the street or town of some of its star
-    vague = cut(star3.filter("NOT coalesce(named, false) AND sites IS NULL").select("s3_id", "centre", "name_level", "some", "parts", "n1", "first"))
+    vague = star3.filter("NOT coalesce(named, false) AND sites IS NULL").select("s3_id", "centre", "name_level", "some", "parts", "n1", "first")
     part = F.explode(F.array_distinct(F.array("street", "town"))).alias("part")
     spots = star1.select("centre", "s1_id", part).filter("part IS NOT NULL").groupBy("centre", "part").agg(F.countDistinct("s1_id").alias("ties"), F.min("s1_id").alias("s1_id"))
     near = cut(fold(vague.select("s3_id", "name_level", "centre", F.explode("parts").alias("part")).join(spots, ["centre", "part"]), 3))
@@ -170,34 +170,42 @@ def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndar
     tries = spread(tries.join(names1, "at").join(names3, "name_id").select("name_id", "site", "here", "country", "n1", "n3", "ids"), "name_id")
     heard = cut(_hear(tries, trades))
     sound = rest.join(heard.filter("here AND alike").select("name_id", "site", F.explode("ids").alias("s1_id")), ["name_id", "site"]).select("s3_id", "s1_id", F.lit(1).alias("name_level"), F.lit(4).alias("address_level")).distinct()
-    alike = heard.groupBy("here").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alike").cast("int")).alias("alike")).collect()  # two rows
-    by_here = {r["here"]: (r["n"], r["alike"]) for r in alike}
-
     cols = ["s3_id", "s1_id", "name_level", "address_level", "ties"]
     candidates = cut(both.select(cols).unionByName(sound.withColumn("ties", F.lit(1).cast("long")).select(cols)).unionByName(near.select(cols)).unionByName(alone.select(cols)))
 
-    counts = np.zeros((NAME_LEVELS, ADDRESS_LEVELS))
-    for r in candidates.filter("address_level >= 3").groupBy("name_level", "address_level").agg(F.sum("ties").alias("n")).collect():  # at most 12 rows
-        counts[r["name_level"], r["address_level"]] = r["n"]
+    # counted in one job; what comes back is a row a pair of levels
+    row = lambda what, i, j, n: (F.lit(what).alias("what"), i.cast("int").alias("i"), j.cast("int").alias("j"), n.cast("double").alias("n"))
+    placed = candidates.filter("address_level >= 3").groupBy("name_level", "address_level").agg(F.sum("ties").alias("n")).select(*row("cell", F.col("name_level"), F.col("address_level"), F.col("n")))
     where = F.when(F.coalesce("named", F.lit(False)) | F.col("sites").isNotNull(), 0).when(F.col("some"), 1).otherwise(2).alias("w")
-    for r in star3.groupBy("name_level", where).agg(F.sum("n1").alias("n")).collect():  # at most 12 rows
-        counts[r["name_level"], r["w"]] += r["n"]
-    counts[2:, 0] = np.maximum(counts[2:, 0] - counts[2:, 4], 0)
-    counts[2:, 1] = np.maximum(counts[2:, 1] - counts[2:, 3], 0)
+    starred = star3.groupBy("name_level", where).agg(F.sum("n1").alias("n")).select(*row("star", F.col("name_level"), F.col("w"), F.col("n")))
     at_site = found.members.groupBy("site").agg(F.count(F.lit(1)).alias("n1")).join(right.select(F.explode("sites").alias("site")).groupBy("site").agg(F.count(F.lit(1)).alias("n3")), "site")
-    counts[0, 4] = max(0.0, float(at_site.agg(F.sum(F.col("n1") * F.col("n3"))).first()[0] or 0) - counts[1:, 4].sum())
-
+    together = at_site.agg(F.sum(F.col("n1") * F.col("n3")).alias("n")).select(*row("site", F.lit(0), F.lit(0), F.col("n")))
+    chance = heard.filter("NOT here").groupBy("alike").agg(F.count(F.lit(1)).alias("n")).select(*row("chance", F.col("alike"), F.lit(0), F.col("n")))
     # how the levels fall among all pairs of a country, matched or not
     kinds = right.groupBy("country").agg(F.count(F.lit(1)).alias("n3"), F.avg(F.coalesce("named", F.lit(False)).cast("double")).alias("named"), F.avg((~F.coalesce("named", F.lit(False)) & F.coalesce("some", F.lit(False))).cast("double")).alias("some"))
     sides = left.groupBy("country").agg(F.count(F.lit(1)).alias("n1"), F.greatest(F.countDistinct("town"), F.lit(1)).alias("towns"))
     every = F.col("n1").cast("double") * F.col("n3")
-    r = kinds.join(sides, "country").agg(F.sum(every).alias("all"), F.sum(every * F.col("named")).alias("named"), F.sum(every * F.col("some") / F.col("towns")).alias("near"), F.sum(every * F.col("some")).alias("some")).first()
-    total = r["all"] or 1.0
-    named_share, near_share, some_share = ((r[k] or 0.0) / total for k in ("named", "near", "some"))
+    falls = kinds.join(sides, "country").select(F.explode(F.array(*[F.struct(*row("all", F.lit(i), F.lit(0), x)) for i, x in enumerate((every, every * F.col("named"), every * F.col("some") / F.col("towns"), every * F.col("some")))])).alias("x")).select("x.*").groupBy("what", "i", "j").agg(F.sum("n").alias("n"))
+    counts = np.zeros((NAME_LEVELS, ADDRESS_LEVELS))
+    tried, pairs_at_sites, shares = [0.0, 0.0], 0.0, [0.0] * 4
+    for r in placed.unionByName(starred).unionByName(together).unionByName(chance).unionByName(falls).collect():  # at most 40 rows
+        n = r["n"] or 0.0
+        if r["what"] in ("cell", "star"):
+            counts[r["i"], r["j"]] += n
+        elif r["what"] == "site":
+            pairs_at_sites = n
+        elif r["what"] == "chance":
+            tried[r["i"]] += n
+        else:
+            shares[r["i"]] = n
+    counts[2:, 0] = np.maximum(counts[2:, 0] - counts[2:, 4], 0)
+    counts[2:, 1] = np.maximum(counts[2:, 1] - counts[2:, 3], 0)
+    counts[0, 4] = max(0.0, pairs_at_sites - counts[1:, 4].sum())
+    total = shares[0] or 1.0
+    named_share, near_share, some_share = (x / total for x in shares[1:])
     u_addr = np.maximum([named_share, some_share - near_share, 1 - named_share - some_share, near_share, counts[:, -1].sum() / total], 1e-9)
     # pairs of one star at named buildings elsewhere are no matches: they tell how often others share a star
-    tried, heard_alike = by_here.get(False, (0, 0))
-    u_name = np.array([0.0, (heard_alike + 0.5) / (tried + 1.0), *((counts[2:, 0] + 1) / (u_addr[0] * total))])
+    u_name = np.array([0.0, (tried[1] + 0.5) / (sum(tried) + 1.0), *((counts[2:, 0] + 1) / (u_addr[0] * total))])
     u_name[0] = max(1 - u_name.sum(), 1e-9)
     return candidates, counts, u_name, u_addr, total
 
