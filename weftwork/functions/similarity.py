@@ -5,21 +5,43 @@ Two empty texts are alike (100, or 1.0), except for the token-set and partial sc
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a machine word of b at a time."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(b):
-        places[c] = places.get(c, 0) | (1 << i)
-    row = full = (1 << len(b)) - 1
+def _places(text: str) -> dict[str, int]:
+    """For each letter the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | (1 << i)
+    return out
+
+
+def _common(a: str, n: int, places: dict[str, int]) -> int:
+    """Length of the longest common subsequence of ``a`` and the text of ``n`` letters with these places, a machine word at a time."""
+    row = full = (1 << n) - 1
     for c in a:
         hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(b) - row.bit_count()
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return n - row.bit_count()
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence; what both begin or end with belongs to it."""
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    tail = 0
+    while tail < end - start and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[start : len(a) - tail], b[start : len(b) - tail]
+    if len(x) > len(y):
+        x, y = y, x
+    return start + tail + (_common(x, len(y), _places(y)) if x else 0)
 
 
 def ratio(a: str, b: str) -> float:
@@ -32,6 +54,7 @@ def token_sort_ratio(a: str, b: str) -> float:
 
 
 def token_set_ratio(a: str, b: str) -> float:
+    """The best ratio of the shared words, and of these with the rest of either side, all in order."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
@@ -39,29 +62,45 @@ def token_set_ratio(a: str, b: str) -> float:
     only_x, only_y = " ".join(sorted(x - y)), " ".join(sorted(y - x))
     if both and (not only_x or not only_y):
         return 100.0
-    left, right = (" ".join(filter(None, (both, s))) for s in (only_x, only_y))
-    best = ratio(left, right)
-    return max(best, ratio(both, left), ratio(both, right)) if both else best
+    if not both:
+        return ratio(only_x, only_y)
+    # all three begin with the shared words
+    n, left, right = len(both), len(both) + 1 + len(only_x), len(both) + 1 + len(only_y)
+    return max(200.0 * (n + 1 + common_subsequence(only_x, only_y)) / (left + right), 200.0 * n / (n + left), 200.0 * n / (n + right))
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text to a window of the longer one; windows at its ends may be shorter."""
+    """The best ratio of the shorter text to a window of the longer one; windows at its ends may be shorter. Windows are tried by the
+    number of letters they have in common with it, which bounds their ratio, until no other can be better."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 0.0
     if a in b:
         return 100.0
-    n, m, best = len(a), len(b), 0.0
-    letters = set(a)
-    for start in range(1 - n, m):
-        lo, hi = max(0, start), min(m, start + n)
-        # a window that neither begins nor ends on a letter of the short text has a better neighbour
-        if (lo and b[lo] not in letters) and b[hi - 1] not in letters:
-            continue
-        window = b[lo:hi]
-        if 200.0 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, ratio(a, window))
+    n, m = len(a), len(b)
+    left = Counter(a)
+    bounds, shared = [], 0
+    for end in range(1, m + n):  # the window b[end - n : end], cut at the ends of b
+        if end <= m:
+            c = b[end - 1]
+            if c in left:
+                shared += left[c] > 0
+                left[c] -= 1
+        if end > n:
+            c = b[end - n - 1]
+            if c in left:
+                left[c] += 1
+                shared -= left[c] > 0
+        if shared:
+            bounds.append((200.0 * shared / (n + min(end, m) - max(0, end - n)), end))
+    bounds.sort(reverse=True)
+    best, places = 0.0, _places(a)
+    for bound, end in bounds:
+        if bound <= best:
+            break
+        window = b[max(0, end - n) : end]
+        best = max(best, 200.0 * _common(window, n, places) / (n + len(window)))
     return best
 
 
@@ -108,3 +147,30 @@ def _arrow(score):
 
 
 ratio_of, token_sort_of, token_set_of, partial_of, jaro_winkler_of = map(_arrow, (ratio, token_sort_ratio, token_set_ratio, partial_ratio, jaro_winkler))
+
+
+#: The scores of names, cores and addresses that one pass gives, in order.
+NAME_SCORES = {"nm_ratio": ratio, "nm_tset": token_set_ratio}
+CORE_SCORES = {"core_tsort": token_sort_ratio, "core_tset": token_set_ratio, "core_partial": partial_ratio, "core_jw": jaro_winkler}
+JOINED_SCORES = {"concat_ratio": ratio, "concat_partial": partial_ratio}
+ADDRESS_SCORES = {"ad_tset": token_set_ratio, "ad_tsort": token_sort_ratio, "ad_partial": partial_ratio}
+ALL_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in (*NAME_SCORES, *CORE_SCORES, *JOINED_SCORES, *ADDRESS_SCORES)])
+
+
+@F.pandas_udf(ALL_SCORES)
+def all_scores_of(nm: pd.Series, nm_1: pd.Series, core: pd.Series, core_1: pd.Series, adc: pd.Series, adc_1: pd.Series) -> pd.DataFrame:
+    """All scores of a pair in one pass; each different pair of texts of a batch is scored once."""
+
+    def scored(a: pd.Series, b: pd.Series, scores: dict, squeeze: bool = False) -> list[tuple]:
+        memo: dict[tuple[str, str], tuple] = {}
+        out = []
+        for pair in zip(a.fillna(""), b.fillna("")):
+            row = memo.get(pair)
+            if row is None:
+                x, y = (t.replace(" ", "") for t in pair) if squeeze else pair
+                row = memo[pair] = tuple(f(x, y) for f in scores.values())
+            out.append(row)
+        return out
+
+    parts = scored(nm, nm_1, NAME_SCORES), scored(core, core_1, CORE_SCORES), scored(core, core_1, JOINED_SCORES, True), scored(adc, adc_1, ADDRESS_SCORES)
+    return pd.DataFrame([sum(rows, ()) for rows in zip(*parts)], columns=ALL_SCORES.names, dtype="float64")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +94,55 @@ def hot_key_candidates(query_keys: DataFrame, s1_keys: DataFrame, top_k: int, sa
     return members.join(top_candidates(scored, top_k, query="set"), "set").select("io", "i1", "block_score", "n_shared")
 
 
+def posting_scores(met: DataFrame, top_k: int) -> DataFrame:
+    """``io, i1, block_score, n_shared``: the ``top_k`` of each record by summed idf (ties by i1) from ``met`` (io, key, idf, list), a row a key with its
+    posting list. A list stays one row through the shuffle; a record's lists are added up side by side in numpy, by key, so
+    that the sums don't depend on the order in which rows came."""
+
+    def add_up(io: np.ndarray, idf: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+        sizes = np.asarray(pc.list_value_length(lists))
+        i1 = np.asarray(pc.list_flatten(lists))
+        at = np.repeat(np.arange(len(io)), sizes)
+        order = np.lexsort((i1, io[at]))
+        owner, item, weight = io[at][order], i1[order], idf[at][order]
+        starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])]) if len(item) else np.zeros(0, int)
+        score = np.add.reduceat(weight, starts) if len(starts) else np.zeros(0)
+        count = np.diff(np.r_[starts, len(item)])
+        owner, item = owner[starts], item[starts]
+        order = np.lexsort((item, -score, owner))
+        owner, item, score, count = owner[order], item[order], score[order], count[order]
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+        place = np.arange(len(owner)) - np.repeat(first, np.diff(np.r_[first, len(owner)]))
+        top = place < top_k
+        return pa.RecordBatch.from_arrays([pa.array(x[top]) for x in (owner.astype(np.int64), item.astype(np.int64), score.astype(float), count.astype(np.int64))], names=["io", "i1", "block_score", "n_shared"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            batch = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            io = batch.column("io").to_numpy()
+            whole = int(np.searchsorted(io, io[-1])) if len(io) else 0  # the last record may go on in the next batch
+            if whole:
+                yield add_up(io[:whole], batch.column("idf").to_numpy()[:whole], batch.column("list").slice(0, whole).combine_chunks())
+            rest = batch.slice(whole).combine_chunks().to_batches()
+            held = rest[0] if rest else None
+        if held is not None:
+            yield add_up(held.column("io").to_numpy(), held.column("idf").to_numpy(), held.column("list"))
+
+    rows = met.select("io", "key", "idf", "list").repartition("io").sortWithinPartitions("io", "key").drop("key")
+    return rows.mapInArrow(score, "io long, i1 long, block_score double, n_shared long")
+
+
 def key_candidates(s1_keys: DataFrame, o_keys: DataFrame, sizes: DataFrame, top_k: int = 10, df_cap: int = 1000, max_keys: int = 24, budget: int = 10_000) -> DataFrame:
     """``io, i1, block_score, n_shared``: the best ``top_k`` by the summed idf of shared keys. The cap and the budget are part
     of the operator: they leave out keys, as common words tell nothing. They leave out no record: one whose keys are all over
     the cap is scored by all of them, so every record that shares a key with the reference has candidates."""
     known = o_keys.join(key_index(s1_keys, sizes, None), ["country", "key"]).withColumn("_least", F.min("df").over(Window.partitionBy("io")))
     queries = within_budget(known.filter(F.col("df") <= df_cap), "io", max_keys, budget)
-    met = queries.join(s1_keys, ["country", "key"])
-    scored = met.groupBy("io", "i1").agg(F.sum("idf").alias("block_score"), F.count(F.lit(1)).alias("n_shared"))
+    lists = s1_keys.groupBy("country", "key").agg(F.collect_list("i1").alias("list")).filter(F.size("list") <= df_cap)
+    best = posting_scores(queries.join(lists, ["country", "key"]), top_k)
     common = known.filter(F.col("_least") > df_cap).select("io", "country", "key", "idf")
-    return top_candidates(scored, top_k).unionByName(hot_key_candidates(common, s1_keys, top_k))
+    return best.unionByName(hot_key_candidates(common, s1_keys, top_k))
 
 
 def generate_candidates(s1: DataFrame, others: DataFrame, top_k: int = 10, df_cap: int = 1000, max_keys: int = 24, budget: int = 10_000) -> DataFrame:
