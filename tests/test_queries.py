@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
 
-CHECKED = ["p5_found", "jn2_inverted_index", "jn5_full_outer_merge", "ag5_median_percentiles", "wn9_conditional", "st4_array_sets", "tx6_prepare", "bk1_record_keys", "bk5_rounded_candidates", "ft_competition", "de2_threshold_sweep", "de7_evaluate", "dg18_ranked_auc"]
+CHECKED = ["p5_found", "jn2_inverted_index", "jn5_full_outer_merge", "ag5_median_percentiles", "wn9_conditional", "st4_array_sets", "tx6_prepare", "bk1_record_keys", "bk5_rounded_candidates", "ft_competition", "de2_threshold_sweep", "de7_evaluate", "dg18_ranked_auc", "so8_permutation", "ml2_decoys_follow_anchor", "de5_matches_within_candidates", "dg2_measures", "dg3_entity_ranking", "ml6_prune_settings", "dg12_density_correction", "tl3_transliterate_names"]
 
 
 def queries():

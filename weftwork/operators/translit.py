@@ -55,8 +55,8 @@ def _replace(records: DataFrame, key: str, pieces: DataFrame, dictionary: DataFr
 
 
 def transliterate_names(records: DataFrame, dictionary: DataFrame, key: str = "entity_id", column: str = "business_name", out: str = "name_lat") -> DataFrame:
-    """Lower-case names with known Indic words in Latin, unknown ones kept; ``key`` is unique."""
-    pieces = records.select(F.col(key).alias("_k"), F.posexplode(F.split(F.lower(F.coalesce(column, F.lit(""))), " ")).alias("_i", "_keep")).withColumn("_look", F.col("_keep"))
+    """The words of names, lower-case and without punctuation, known Indic ones in Latin and unknown ones kept; ``key`` is unique."""
+    pieces = records.select(F.col(key).alias("_k"), F.posexplode(script_words(F.coalesce(column, F.lit("")))).alias("_i", "_keep")).withColumn("_look", F.col("_keep"))
     return _replace(records, key, pieces, dictionary, " ", out)
 
 

@@ -43,13 +43,12 @@ def ml1(spark, d):
     return rows.select("io", "i1", "y")
 
 
-@q("ml2_decoys_follow_anchor", "SELECT 0::BIGINT AS torn")
+@q("ml2_decoys_follow_anchor", f"WITH {TRUTH_N}, {SCORED}, a AS (SELECT io, i1 AS parent FROM (SELECT *, row_number() OVER (PARTITION BY io ORDER BY block_score DESC, i1) AS n FROM s) WHERE n = 1), w AS (SELECT io, min(i1) AS owner FROM gn GROUP BY 1) SELECT coalesce(owner, parent) AS anchor, count(DISTINCT s.io) AS records, count(*) AS pairs, 1::BIGINT AS sides FROM s JOIN a USING (io) LEFT JOIN w USING (io) GROUP BY 1")
 def ml2(spark, d):
-    """Records of one anchor or owner never stand on both sides of the holdout."""
+    """The records and pairs of each anchor or owner, and on how many sides of the holdout they stand: on one."""
     anchors = blocking.anchors(scored_pairs(spark, d))
     rows = models.labelled_pairs(scored_pairs(spark, d), true_pairs(spark, d), anchors).join(anchors, "io")
-    sides = rows.groupBy(F.coalesce("owner", "parent").alias("k")).agg(F.countDistinct("val").alias("n"))
-    return sides.filter("n > 1").agg(F.count(F.lit(1)).alias("torn"))
+    return rows.groupBy(F.coalesce("owner", "parent").alias("anchor")).agg(F.countDistinct("io").alias("records"), F.count(F.lit(1)).alias("pairs"), F.countDistinct("val").alias("sides"))
 
 
 @q("ml3_training_rows")

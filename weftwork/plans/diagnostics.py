@@ -77,6 +77,46 @@ def dg2(spark, d):
     return y.join(grid, F.col("p") >= F.col("tau")).groupBy("tau").agg(F.count(F.lit(1)).alias("raw"), n(F.col("t")).alias("raw_hits"), n(F.col("top")).alias("assigned"), n(F.col("top") & F.col("t")).alias("assigned_hits"))
 
 
+@q(
+    "dg2_measures",
+    f"""WITH {TRUTH}, {PREDICTED}, tau AS (SELECT unnest({GRID}::DOUBLE[]) AS tau), l AS (SELECT source1_entity_id AS s1_id FROM match_labels), g2 AS (SELECT g.s1_id, count(*)::DOUBLE AS n_true FROM g GROUP BY 1),
+    h AS (SELECT tau, pd.s1_id, count(*)::DOUBLE AS n_pred, count(g.o_id)::DOUBLE AS tp FROM pd JOIN tau ON pd.p >= tau LEFT JOIN g ON g.s1_id = pd.s1_id AND g.o_id = pd.o_id GROUP BY 1, 2),
+    e AS (SELECT tau.tau, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM l CROSS JOIN tau LEFT JOIN g2 ON g2.s1_id = l.s1_id LEFT JOIN h ON h.s1_id = l.s1_id AND h.tau = tau.tau)
+    SELECT tau, round(sum(tp) / nullif(sum(n_pred), 0), 9) AS precision, round(sum(tp) / nullif(sum(n_true), 0), 9) AS recall, round(avg({F_HALF}), 9) AS macro_f05, round(avg(n_pred), 9) AS avg_predicted FROM e GROUP BY 1""",
+)
+def dg2_measures(spark, d):
+    """Precision, recall, macro F0.5 and predictions an entity at every threshold, from one pass over the assigned pairs."""
+    best = decide.best_candidates(scored_pairs(spark, d)).filter("p IS NOT NULL")
+    ids = labelled(spark, d).withColumn("i1", number("s1_id"))
+    grid = F.broadcast(spark.createDataFrame([(t,) for t in GRID], "tau double"))  # 16 rows
+    hit = best.join(true_pairs(spark, d).withColumn("t", F.lit(1)), ["io", "i1"], "left").join(ids.select("i1"), "i1", "left_semi")
+    got = hit.join(grid, F.col("p") >= F.col("tau")).groupBy("tau", "i1").agg(F.count(F.lit(1)).alias("n_pred"), F.count("t").alias("tp"))
+    wanted = true_pairs(spark, d).groupBy("i1").agg(F.count(F.lit(1)).alias("n_true"))
+    rows = ids.select("i1").crossJoin(grid).join(wanted, "i1", "left").join(got, ["tau", "i1"], "left").fillna(0, ["n_pred", "tp", "n_true"])
+    return rows.groupBy("tau").agg(r9(F.try_divide(F.sum("tp"), F.sum("n_pred")), "precision"), r9(F.try_divide(F.sum("tp"), F.sum("n_true")), "recall"), r9(F.avg(decide.f_half(F.col("tp"), F.col("n_pred"), F.col("n_true"))), "macro_f05"), r9(F.avg("n_pred"), "avg_predicted"))
+
+
+TOPS = [1, 3, 5, 10, 20]
+
+
+@q(
+    "dg3_entity_ranking",
+    f"""WITH {TRUTH_N}, {SCORED}, x AS (SELECT io, i1, row_number() OVER (PARTITION BY i1 ORDER BY p DESC NULLS LAST, io) AS r FROM s), n AS (SELECT i1, count(*) AS n_true FROM gn GROUP BY 1), t AS (SELECT i1, min(r) AS first, max(r) AS last, count(*) AS n_pool FROM x JOIN gn USING (io, i1) GROUP BY 1),
+    k AS (SELECT n.*, first, last, n_pool FROM n LEFT JOIN t USING (i1)), tops AS (SELECT unnest({TOPS}::BIGINT[]) AS k)
+    SELECT tops.k, round(avg(CASE WHEN first <= tops.k THEN 1.0 ELSE 0 END), 9) AS any_true, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr, round(avg(CASE WHEN n_true >= 2 THEN CASE WHEN n_pool = n_true AND last <= tops.k THEN 1.0 ELSE 0 END END), 9) AS all_true FROM k CROSS JOIN tops GROUP BY 1""",
+)
+def dg3_entities(spark, d):
+    """Ranking seen from the reference: is a true record, are all true records of those with several, among an entity's first k?"""
+    w = Window.partitionBy("i1").orderBy(F.desc_nulls_last("p"), "io")
+    true = true_pairs(spark, d)
+    found = scored_pairs(spark, d).withColumn("r", F.row_number().over(w)).join(true, ["io", "i1"]).groupBy("i1").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count(F.lit(1)).alias("n_pool"))
+    rows = true.groupBy("i1").agg(F.count(F.lit(1)).alias("n_true")).join(found, "i1", "left")
+    tops = F.broadcast(spark.createDataFrame([(k,) for k in TOPS], "k long"))  # 5 rows
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    every = F.when(F.col("n_true") >= 2, F.coalesce((F.col("n_pool") == F.col("n_true")) & (F.col("last") <= F.col("k")), F.lit(False)).cast("double"))
+    return rows.crossJoin(tops).groupBy("k").agg(r9(share(F.col("first") <= F.col("k")), "any_true"), r9(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), "mrr"), r9(F.avg(every), "all_true"))
+
+
 @q(
     "dg3_ranking",
     f"""WITH {TRUTH_N}, {SCORED}, x AS (SELECT s.*, row_number() OVER (PARTITION BY io ORDER BY p DESC NULLS LAST, i1) AS rk FROM s), t AS (SELECT rk FROM x JOIN gn USING (io, i1))
@@ -88,24 +128,33 @@ def dg3(spark, d):
     return t.agg(r9(F.avg(1 / F.col("rk")), "mrr"), r9(F.avg((F.col("rk") == 1).cast("double")), "top1"), r9(F.avg((F.col("rk") <= 3).cast("double")), "top3"), F.count(F.lit(1)).alias("n"))
 
 
-def error_pattern(core_frequency: str = "core_freq") -> F.Column:
-    """The kind of a wrong pair from its features, the first rule that holds."""
-    c = F.col
-    numbers = (c("n_num_o") > 0) & (c("n_num_1") > 0)
-    return (
-        F.when(c("addr_missing"), "missing address")
-        .when((c("ad_tset") >= 90) & (c("core_tsort") < 60), "same address / different business")
-        .when((c("core_tsort") >= 85) & (c("ad_tset") >= 70) & numbers & ~c("num0_eq"), "same name+street, different house number")
-        .when(c("legal_conflict"), "legal-form confusion")
-        .when((c("core_tsort") >= 70) & ((c("extra_tok_o") > 0) | (c("extra_tok_1") > 0)), "extra/missing word")
-        .when(c(core_frequency) >= 3, "common business name")
-        .when((c("core_tsort") >= 85) & (c("ad_tset") < 60), "similar name / different address")
-        .when(c("indic"), "transliteration")
-        .when(c("webname") | c("alias"), "website / dba alias")
-        .when((c("core_tsort") >= 90) & (c("ad_tset") >= 90), "near-identical (decoy)")
-        .when(c("core_tsort") < 60, "name variation")
-        .otherwise("other")
-    )
+#: Names of error patterns and the bounds that tell them, in order of precedence.
+PATTERNS = [
+    ("missing address", "addr_missing"),
+    ("same address / different business", "ad_tset >= 90 AND core_tsort < 60"),
+    ("same business name + street, different house number", "core_tsort >= 85 AND ad_tset >= 70 AND n_num_o > 0 AND n_num_1 > 0 AND NOT num0_eq"),
+    ("legal-form confusion", "legal_conflict"),
+    ("extra/missing business word", "core_tsort >= 70 AND (extra_tok_o > 0 OR extra_tok_1 > 0)"),
+    ("common business name", "core_freq >= 3"),
+    ("similar name / different address", "core_tsort >= 85 AND ad_tset < 60"),
+    ("transliteration (Indic script)", "indic"),
+    ("website / dba / alias", "webname OR alias"),
+    ("near-identical (decoy)", "core_tsort >= 90 AND ad_tset >= 90"),
+    ("name variation", "core_tsort < 60"),
+]
+MISSES = [
+    ("missing address", "adc = ''"),
+    ("transliteration (Indic script)", "indic"),
+    ("name and address both very different", "core_tsort < 60 AND ad_tset < 60"),
+    ("name variation (abbreviation / typo / alias)", "core_tsort < 60"),
+    ("address variation", "ad_tset < 60"),
+]
+
+
+def first_that_holds(rules: list[tuple[str, str]], otherwise: str) -> F.Column:
+    """The label of the first rule that holds; a rule on nulls doesn't."""
+    held = F.filter(F.array(*[F.struct(F.lit(name).alias("name"), F.coalesce(F.expr(rule), F.lit(False)).alias("holds")) for name, rule in rules]), lambda x: x["holds"])
+    return F.coalesce(F.get(held, F.lit(0))["name"], F.lit(otherwise))
 
 
 @q("dg4_error_patterns")
@@ -120,7 +169,7 @@ def dg4(spark, d):
     cands = blocking.reference_context(scored_pairs(spark, d)).join(wrong.select("io"), "io", "left_semi")
     rows = features.pair_features(cands, s1, o).join(wrong, ["io", "i1"])
     freq = s1.withColumn("core_freq", F.count(F.lit(1)).over(Window.partitionBy("country", "core"))).select("i1", "core_freq")
-    return rows.join(freq, "i1").select("io", "i1", error_pattern().alias("pattern"))
+    return rows.join(freq, "i1").select("io", "i1", first_that_holds(PATTERNS, "other").alias("pattern"))
 
 
 @q(
@@ -152,6 +201,19 @@ def dg6(spark, d):
     return x.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@q("dg6_blocking_misses")
+def dg6b(spark, d):
+    """Why true pairs are no candidates, from the likeness of what is known of both sides."""
+    from weftwork.operators import features
+    from weftwork.plans.er import _prepared
+
+    s1, o = _prepared(spark, d)
+    missed = true_pairs(spark, d).join(scored_pairs(spark, d).select("io", "i1"), ["io", "i1"], "left_anti")
+    right = s1.select("i1", *[F.col(c).alias(f"{c}_1") for c in ("nm", "core", "adc")])
+    rows = features.text_scores(missed.join(o.select("io", "nm", "core", "adc", "indic"), "io").join(right, "i1"))
+    return rows.groupBy(first_that_holds(MISSES, "similar text but crowded out of top-k").alias("why")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _entities(spark, d) -> DataFrame:
     return decide.per_entity(labelled(spark, d), predicted(spark, d), truth(spark, d))
 
@@ -356,3 +418,51 @@ def ml6(spark, d):
     n = kept.agg(F.count(F.lit(1)).alias("n")).crossJoin(table(spark, d, "source1").agg(F.count(F.lit(1)).alias("s1")))
     hit = true.join(kept.withColumn("k", F.lit(1)), ["io", "i1"], "left").agg(r9(F.try_divide(F.count("k"), F.count(F.lit(1))), "link_recall"))
     return n.crossJoin(hit).select(r9(F.try_divide("n", "s1"), "pairs_per_s1"), "link_recall")  # one row each
+
+
+PRUNINGS = [(0.001, 5), (0.005, 3), (0.01, 3), (0.02, 3), (0.05, 2)]
+
+
+@q(
+    "ml6_prune_settings",
+    f"""WITH {TRUTH_N}, {SCORED}, x AS (SELECT *, row_number() OVER (PARTITION BY io ORDER BY p DESC NULLS LAST, i1) AS n FROM s), c AS (SELECT * FROM (VALUES {", ".join(f"({a}::DOUBLE, {b})" for a, b in PRUNINGS)}) AS v(least, top)),
+    k AS (SELECT least, top, count(*) AS pairs, count(gn.io) AS hits FROM x JOIN c ON x.p >= c.least AND x.n <= c.top LEFT JOIN gn ON gn.io = x.io AND gn.i1 = x.i1 GROUP BY 1, 2)
+    SELECT least, top, round(pairs / (SELECT count(*) FROM source1), 9) AS pairs_per_s1, round(hits / nullif((SELECT count(*) FROM gn), 0), 9) AS link_recall FROM k""",
+)
+def ml6_settings(spark, d):
+    """Candidates an entity and links kept at each setting of the filter."""
+    w = Window.partitionBy("io").orderBy(F.desc_nulls_last("p"), "i1")
+    x = scored_pairs(spark, d).withColumn("n", F.row_number().over(w)).join(true_pairs(spark, d).withColumn("t", F.lit(1)), ["io", "i1"], "left")
+    grid = F.broadcast(spark.createDataFrame(PRUNINGS, "least double, top int"))  # 5 rows
+    kept = x.join(grid, (F.col("p") >= F.col("least")) & (F.col("n") <= F.col("top"))).groupBy("least", "top").agg(F.count(F.lit(1)).alias("pairs"), F.count("t").alias("hits"))
+    whole = table(spark, d, "source1").agg(F.count(F.lit(1)).alias("s1")).crossJoin(true_pairs(spark, d).agg(F.count(F.lit(1)).alias("links")))  # one row
+    return kept.crossJoin(whole).select("least", "top", r9(F.try_divide("pairs", "s1"), "pairs_per_s1"), r9(F.try_divide("hits", "links"), "link_recall"))
+
+
+#: Bounds of the score bands of the density correction.
+DENSITY_BANDS = [0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98]
+
+
+@q(
+    "dg12_density_correction",
+    f"""WITH {TRUTH_N}, {OTHERS}, {SCORED}, b AS (SELECT s.io, s.i1, p, src, country, CASE {" ".join(f"WHEN p <= {x} THEN {i}" for i, x in enumerate(DENSITY_BANDS))} ELSE {len(DENSITY_BANDS)} END AS band FROM (SELECT *, row_number() OVER (PARTITION BY io ORDER BY p DESC NULLS LAST, i1) AS n FROM s) s JOIN o USING (io) WHERE n = 1 AND p IS NOT NULL),
+    x AS (SELECT country, band, count(CASE WHEN src = 2 THEN 1 END) AS n_h, count(CASE WHEN src = 3 THEN 1 END) AS n_t, avg(CASE WHEN src = 2 THEN CASE WHEN gn.io IS NULL THEN 0.0 ELSE 1.0 END END) AS prec FROM b LEFT JOIN gn ON gn.io = b.io AND gn.i1 = b.i1 GROUP BY 1, 2),
+    z AS (SELECT *, n_h / sum(n_h) OVER () AS sh, n_t / sum(n_t) OVER () AS st FROM x), y AS (SELECT *, st / nullif(sh, 0) AS w FROM z), pi AS (SELECT sum(CASE WHEN band = {len(DENSITY_BANDS)} THEN st END) / nullif(sum(CASE WHEN band = {len(DENSITY_BANDS)} THEN sh END), 0) AS pi FROM y)
+    SELECT country, band::INT AS band, n_h::BIGINT AS n_2, n_t::BIGINT AS n_3, round(prec, 9) AS prec, round(w, 9) AS w, round(pi, 9) AS pi, round(prec * least(1.0, pi / nullif(w, 0)), 9) AS corrected FROM y CROSS JOIN pi""",
+)
+def dg12_correction(spark, d):
+    """What precision, measured where labels are, becomes where a cell is denser: the surest band tells the share pi of records that are of
+    the list at all, a cell's density ratio w how many more it has, and prec * min(1, pi / w) is left."""
+    top = len(DENSITY_BANDS)
+    band = F.lit(top)
+    for i in reversed(range(top)):
+        band = F.when(F.col("p") <= DENSITY_BANDS[i], i).otherwise(band)
+    best = decide.best_candidates(scored_pairs(spark, d)).filter("p IS NOT NULL").join(others(spark, d).select("io", "src", "country"), "io")
+    hit = best.withColumn("band", band).join(true_pairs(spark, d).withColumn("t", F.lit(1)), ["io", "i1"], "left")
+    of = lambda src: F.count(F.when(F.col("src") == src, 1))
+    cells = hit.groupBy("country", "band").agg(of(2).alias("n_2"), of(3).alias("n_3"), F.avg(F.when(F.col("src") == 2, F.when(F.col("t").isNull(), 0.0).otherwise(1.0))).alias("prec"))
+    sums = cells.agg(F.sum("n_2").alias("all_2"), F.sum("n_3").alias("all_3"), F.sum(F.when(F.col("band") == top, F.col("n_2"))).alias("sure_2"), F.sum(F.when(F.col("band") == top, F.col("n_3"))).alias("sure_3"))
+    rows = cells.crossJoin(F.broadcast(sums))  # one row
+    share = lambda n, whole: F.try_divide(F.col(n), F.col(whole))
+    rows = rows.withColumns({"w": F.try_divide(share("n_3", "all_3"), share("n_2", "all_2")), "pi": F.try_divide(share("sure_3", "all_3"), share("sure_2", "all_2"))})
+    return rows.select("country", F.col("band").cast("int").alias("band"), "n_2", "n_3", r9(F.col("prec"), "prec"), r9(F.col("w"), "w"), r9(F.col("pi"), "pi"), r9(F.col("prec") * F.least(F.lit(1.0), F.try_divide("pi", "w")), "corrected"))

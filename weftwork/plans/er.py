@@ -325,12 +325,26 @@ def tl2(spark, d):
     return translit.learn_address_parts(table(spark, d, "source1"), others(spark, d), truth(spark, d), min_count=1)
 
 
-@q("tl3_transliterate_names", f"""WITH {TRUTH}, {OTHERS}, {LEARN}, w AS (SELECT entity_id, unnest(string_split(lower(coalesce(business_name, '')), ' ')) AS w, unnest(range(len(string_split(lower(coalesce(business_name, '')), ' ')))) AS i FROM o)
-    SELECT entity_id, string_agg(coalesce(dst_tok, w), ' ' ORDER BY i) AS name_lat FROM w LEFT JOIN dict ON src_tok = w GROUP BY 1""")
+@q("tl3_transliterate_names", f"""WITH {TRUTH}, {OTHERS}, {LEARN}, x AS (SELECT entity_id, string_split(trim(regexp_replace(lower(coalesce(business_name, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')), ' ') AS l FROM o),
+    w AS (SELECT entity_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM x) SELECT entity_id, string_agg(coalesce(dst_tok, w), ' ' ORDER BY i) AS name_lat FROM w LEFT JOIN dict ON src_tok = w GROUP BY 1""")
 def tl3(spark, d):
     return translit.transliterate_names(others(spark, d), cut(_learned(spark, d))).select("entity_id", "name_lat")
 
 
+def translated(spark, d) -> DataFrame:
+    """Records of both other sources with their names in Latin by a dictionary learned from labelled pairs only: what blocking and features
+    then read in place of the stored names."""
+    names = translit.transliterate_names(others(spark, d), cut(_learned(spark, d))).select("entity_id", "name_lat")
+    rows = others(spark, d).join(names, "entity_id").withColumn("business_name", F.coalesce(F.nullif("name_lat", F.lit("")), "business_name")).drop("name_lat")
+    return text.add_clean(rows)
+
+
+@q("tl5_candidates_by_translated_names")
+def tl5(spark, d):
+    """From labelled pairs to dictionary to keys to candidates."""
+    return blocking.generate_candidates(clean_reference(spark, d).select("i1", "country", "nm", "ad"), cut(translated(spark, d).select("io", "country", "nm", "ad")))
+
+
 @q(
     "tl4_transliterate_addresses",
     rf"""WITH {TRUTH}, {OTHERS}, e AS (SELECT lower(trim(string_split(a.business_address, ',')[-1])) AS dst_tok, unnest(list_transform(string_split(o.business_address, ','), lambda x: lower(trim(x)))) AS src_tok
@@ -598,10 +612,12 @@ def de4(spark, d):
     return decide.assign_two_thresholds(scored_pairs(spark, d), empty, 0.5, 0.9)
 
 
-@q("de5_matches_within_candidates", f"WITH {SCORED} SELECT 0::BIGINT AS outside")
+@q("de5_matches_within_candidates", f"WITH {PRUNED}, x AS (SELECT io, i1, row_number() OVER (PARTITION BY io ORDER BY p DESC NULLS LAST, i1) AS n, p FROM s), m AS (SELECT io, i1 FROM x WHERE n = 1 AND p >= 0.5) SELECT (SELECT count(*) FROM m) AS matches, (SELECT count(*) FROM ps) AS candidates, (SELECT count(*) FROM m ANTI JOIN ps USING (io, i1)) AS outside")
 def de5(spark, d):
-    matches, candidates = decide.assign(scored_pairs(spark, d), 0.5), pruned(spark, d).select("io", "i1").unionByName(table(spark, d, "candidate_pairs").select("io", "i1"))
-    return matches.join(candidates, ["io", "i1"], "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+    """Are all matches among the candidates that pruning keeps, which are listed beside them?"""
+    matches, candidates = decide.assign(scored_pairs(spark, d), 0.5), pruned(spark, d).select("io", "i1")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one(matches, "matches").crossJoin(one(candidates, "candidates")).crossJoin(one(matches.join(candidates, ["io", "i1"], "left_anti"), "outside"))  # one row each
 
 
 @q("de6_macro_f05", f"WITH {per_entity_sql()} SELECT round(avg(f), 9) AS macro_f05 FROM f")

@@ -32,10 +32,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is named on one machine, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith(("local[", "local-cluster[")) and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftwork-"))
     return sc.getCheckpointDir()
 
