@@ -210,3 +210,33 @@ def test_mixture_recovers_levels():
     m, u = np.array([0.02, 0.08, 0.9]), np.array([0.9, 0.09, 0.01])
     counts = 10_000 * (0.3 * m + 0.7 * u)
     assert np.allclose(linkage.mixture(counts, u), m, atol=0.02)
+
+
+def test_stars_without_reference(spark, business):
+    """Variants among names that are near to no reference name share a star; every different name has one row."""
+    s1, s3 = business
+    more = recs(spark, [(f"S3-{500 + i}", n, "x", "US") for i, n in enumerate(["Quillonbratsk Foods", "QUILLONBRATSK FOODS LLC", "Quilonbratsk Foods Inc", "Wexworthy Dental", "Pezzavallo", "Pezzavalo"])])
+    rows = variants.name_stars(s1, s3.unionByName(more)).collect()
+    star = {r["name"]: r["star"] for r in rows}
+    assert len(rows) == len(star)
+    assert len({star[n] for n in ("Quillonbratsk Foods", "QUILLONBRATSK FOODS LLC", "Quilonbratsk Foods Inc")}) == 1 and star["Pezzavallo"] == star["Pezzavalo"]
+    assert len({star["Quillonbratsk Foods"], star["Pezzavallo"], star["Wexworthy Dental"]}) == 3
+    assert star[f"* {coined(3)} Dental L.L.C."] == star[f"{coined(3)} Dental Inc"]
+
+
+def test_star_clusters(spark):
+    """A hub takes its neighbours, ends of a chain are left to the next round; brute force over the rule."""
+    rng = random.Random(5)
+    edges = list({tuple(sorted((rng.randrange(60), rng.randrange(60)))) for _ in range(90)})
+    edges = [e for e in edges if e[0] != e[1]]
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in range(60)}
+    want, left = {}, set(range(60))
+    while left:
+        c = max(left, key=lambda x: (len(near[x]), -x))
+        for x in ({c} | near[c]) & left:
+            want[x] = c
+        left -= {c} | near[c]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["star"] for r in variants.star_clusters(df, spark.range(60).withColumnRenamed("id", "node")).collect()}
+    assert {x for x, s in got.items() if x == s} == {x for x, s in want.items() if x == s}
+    assert set(got) == set(want) and all(x == s or s in near[x] for x, s in got.items())

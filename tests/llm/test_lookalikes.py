@@ -1,6 +1,6 @@
 import itertools
 
-from weftwork.llm.lookalikes import Transducer, canonical_records, compile_table, same_on_screen
+from weftwork.llm.lookalikes import Transducer, canonical_records, compile_table, same_on_screen, screen_classes
 
 
 def test_forms():
@@ -46,3 +46,7 @@ def test_pairs(spark):
     assert got == {("S3-1", "S3-2"), ("S3-1", "S3-10"), ("S3-10", "S3-2"), ("S3-10", "S3-9"), ("S3-2", "S3-9")}
     assert same_on_screen(df.limit(0)).count() == 0
     assert canonical_records(df).count() == 11
+    links = {r["entity_id"]: (r["class_id"], r["n_links"]) for r in screen_classes(df).collect()}
+    assert links["S3-2"] == ("S3-1", 3) and links["S3-10"] == ("S3-1", 1) or links["S3-2"][0] == "S3-1"
+    for e in ("S3-1", "S3-2", "S3-9", "S3-10"):
+        assert links[e][1] == sum(e in p for p in got), e

@@ -153,3 +153,16 @@ def same_on_screen(records: DataFrame) -> DataFrame:
     a, b = left.alias("a"), left.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.entity_id") < F.col("b.entity_id")) & F.col("a.reading").eqNullSafe(F.col("b.reading")) & (F.col("a.stored") != F.col("b.stored")))
     return pairs.select(F.col("a.entity_id").alias("id_a"), F.col("b.entity_id").alias("id_b")).distinct()
+
+
+def screen_classes(records: DataFrame) -> DataFrame:
+    """``entity_id, class_id, n_stored, n_links``: one row for each record with name and address; ``class_id`` is the smallest id of its reading,
+    ``n_stored`` in how many ways that is stored and ``n_links`` how many records store it in another way than this one."""
+    forms = canonical_records(records).filter(F.col("entity_id").isNotNull() & F.col("business_name").isNotNull() & ~missing_address(F.col("same_address")))
+    reading = [F.col("country"), F.trim("same_name").alias("n"), F.trim("same_address").alias("a")]
+    rows = forms.select("entity_id", *reading, F.xxhash64("business_name", "business_address").alias("stored"))
+    ways = rows.groupBy("country", "n", "a", "stored").agg(F.count(F.lit(1)).alias("n_own"), F.min("entity_id").alias("least"))
+    whole = ways.groupBy("country", "n", "a").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_stored"), F.sum("n_own").alias("n_all"))
+    on = lambda *by: [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+    out = rows.alias("x").join(ways.alias("y"), on("country", "n", "a", "stored")).select("x.*", "y.n_own").alias("x").join(whole.alias("y"), on("country", "n", "a"))
+    return out.groupBy("x.entity_id").agg(F.min("class_id").alias("class_id"), F.max("n_stored").alias("n_stored"), F.sum(F.col("n_all") - F.col("n_own")).alias("n_links"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.addresses import building_classes, same_building
 from weftwork.llm.linkage import link_records, linked
-from weftwork.llm.lookalikes import LOOK_ALIKES, canonical_records, same_on_screen
+from weftwork.llm.lookalikes import LOOK_ALIKES, canonical_records, same_on_screen, screen_classes
 from weftwork.llm.mixing import mix
 from weftwork.llm.pii import find_personal, replace_personal
 from weftwork.llm.splits import balanced_splits, bound_groups
 from weftwork.llm.tokenizer import count_tokens, encode_corpus
 from weftwork.llm.topn import top_by_score
-from weftwork.llm.variants import variant_pairs
+from weftwork.llm.variants import name_stars, variant_pairs
 from weftwork.plans.registry import Registry
 from weftwork.session import table
 
@@ -65,6 +65,12 @@ def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_records(table(spark, sf_dir, "source3"))
 
 
+@REG.query("p2_classes")
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a record with the class of its reading."""
+    return screen_classes(table(spark, sf_dir, "source3"))
+
+
 # ---- 3: matching entities across sources without keys
 
 
@@ -88,6 +94,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3"), table(spark, sf_dir, "match_labels"))
 
 
+@REG.query("p4_stars")
+def p4_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a different name of either side with its star."""
+    return name_stars(table(spark, sf_dir, "source1"), table(spark, sf_dir, "source3")).select("country", "name", "star", "referenced")
+
+
 # ---- 6: top N items within every group
 
 

@@ -121,9 +121,15 @@ def assign_bins(weights: DataFrame, bins: int = BINS, chunk_items: int = CHUNK_I
         chosen = vectors.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(chunks)), F.lit(chunks)).cast("string"))
         return cut(chosen.groupBy("chunk").applyInPandas(balance, "node string, chunk string, place array<int>, v array<double>"))
 
-    start = weights.select(F.col("item").cast("string").alias("node"), F.array(F.col("weight"), *[F.lit(0.0)] * (bins - 1)).alias("v"))
-    placed = level(start, width)
-    bin_of = placed.select("node", "chunk", F.get("place", F.lit(0)).alias("bin"))
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        # an item is its weight in one bin and nothing in the others: only the weight comes and only that bin goes
+        pdf = pdf.sort_values("node", kind="stable")
+        sums, place = difference([np.array([w, *[0.0] * (bins - 1)]) for w in pdf["weight"]])
+        return pd.DataFrame({"node": pdf["node"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "bin": [int(p[0]) for p in place], "v": [sums.tolist()] + [None] * (len(pdf) - 1)})
+
+    items = weights.select(F.col("item").cast("string").alias("node"), "weight").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(width)), F.lit(width)).cast("string"))
+    placed = cut(items.groupBy("chunk").applyInPandas(first, "node string, chunk string, bin int, v array<double>"))
+    bin_of = placed.select("node", "chunk", "bin")
     while width > 1:
         width = -(-width // chunk_items)
         up = level(placed.filter("v IS NOT NULL").select(F.col("chunk").alias("node"), "v"), width)

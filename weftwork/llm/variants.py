@@ -152,6 +152,38 @@ def read_names(records: DataFrame, trades: dict[str, list[str]], longest: int |
     return names.mapInPandas(read, "name_id long, country string, name string, latin boolean, key string, trade string, words string")
 
 
+def _buckets(keys: DataFrame) -> DataFrame:
+    """``id, country, bucket``: a row a band of each of ``keys`` (id, country, key)."""
+
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 4096):
+                part = pdf.iloc[i : i + 4096]
+                h = band_hashes(part["key"].tolist())
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), h.shape[1]), "country": np.repeat(part["country"].to_numpy(), h.shape[1]), "bucket": h.ravel().view(np.int64)})
+
+    return keys.mapInPandas(buckets, "id long, country string, bucket long")
+
+
+def _verified(full: DataFrame) -> DataFrame:
+    """``node, centre, likeness`` of the pairs in ``full`` (node, key, words, trade, centre, c_key, c_words, c_trade) that are one name.
+
+    What Monge-Elkan accepts in this order of words is so near as a whole, too (of one or two words every order is a reading of its
+    own), which spares Python the pairs that met by chance."""
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            like = [likeness(*r) for r in zip(pdf["key"], pdf["words"], pdf["trade"], pdf["c_key"], pdf["c_words"], pdf["c_trade"])]
+            out = pd.DataFrame({"node": pdf["node"], "centre": pdf["centre"], "likeness": like})
+            yield out[out["likeness"] >= ACCEPT]
+
+    words = lambda c: F.size(F.split(c, " "))
+    whole = F.levenshtein("key", "c_key") <= F.least(F.length("key"), F.length("c_key")) * (1 / ACCEPT - 1) + 3
+    joined = ~F.contains("words", F.lit(" ")) & (F.col("trade") == "") & (F.levenshtein("key", F.concat("c_key", "c_trade")) <= F.length("key") * (1 / ACCEPT - 1) + 3)
+    full = full.filter(whole | joined | F.startswith("key", "c_key") | ((words("words") > 2) & (words("c_words") > 2)))
+    return full.mapInPandas(verify, "node long, centre long, likeness double")
+
+
 def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(centres, links). ``centres``: ``name_id, country, name, centre``, the star each reference name belongs to; ``links``: ``name_id,
     country, name, latin, centre, likeness``, the star of each other name that is near enough to one. A star holds the
@@ -169,33 +201,11 @@ def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[s
     nodes = open_names.select("country", "key", "trade", "words").dropDuplicates(["country", "key", "trade"]).withColumn("node", F.xxhash64("country", "key", "trade"))
     nodes = cut(nodes)
 
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 4096):
-                part = pdf.iloc[i : i + 4096]
-                h = band_hashes(part["key"].tolist())
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), h.shape[1]), "country": np.repeat(part["country"].to_numpy(), h.shape[1]), "bucket": h.ravel().view(np.int64)})
-
-    schema = "id long, country string, bucket long"
-    left = nodes.select(F.col("node").alias("id"), "country", "key").mapInPandas(buckets, schema)
-    right = centre_keys.select(F.col("centre").alias("id"), "country", "key").mapInPandas(buckets, schema).select(F.col("id").alias("centre"), "country", "bucket")
+    left = _buckets(nodes.select(F.col("node").alias("id"), "country", "key"))
+    right = _buckets(centre_keys.select(F.col("centre").alias("id"), "country", "key")).withColumnRenamed("id", "centre")
     met = spread(left.join(right, ["country", "bucket"]).select(F.col("id").alias("node"), "centre"), "node")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            like = [likeness(*r) for r in zip(pdf["key"], pdf["words"], pdf["trade"], pdf["c_key"], pdf["c_words"], pdf["c_trade"])]
-            out = pd.DataFrame({"node": pdf["node"], "centre": pdf["centre"], "likeness": like})
-            yield out[out["likeness"] >= ACCEPT]
-
     full = met.join(nodes.select("node", "key", "words", "trade"), "node").join(centre_keys.select("centre", F.col("key").alias("c_key"), F.col("words").alias("c_words"), F.col("trade").alias("c_trade")), "centre")
-    # what Monge-Elkan accepts in this order of words is so near as a whole, too (of one or two words every order is a reading of
-    # its own); this only spares Python the pairs that met by chance
-    words = lambda c: F.size(F.split(c, " "))
-    whole = F.levenshtein("key", "c_key") <= F.least(F.length("key"), F.length("c_key")) * (1 / ACCEPT - 1) + 3
-    joined = ~F.contains("words", F.lit(" ")) & (F.col("trade") == "") & (F.levenshtein("key", F.concat("c_key", "c_trade")) <= F.length("key") * (1 / ACCEPT - 1) + 3)
-    ends = F.startswith("key", "c_key")
-    full = full.filter(whole | joined | ends | ((words("words") > 2) & (words("c_words") > 2)))
-    near = full.mapInPandas(verify, "node long, centre long, likeness double")
+    near = _verified(full)
     stars = open_names.withColumn("node", F.xxhash64("country", "key", "trade")).select("name_id", "node").join(near, "node").groupBy("name_id", "centre").agg(F.max("likeness").alias("likeness"))
     top = F.max("likeness").over(Window.partitionBy("name_id"))
     stars = stars.withColumn("top", top).filter("likeness >= top - 1e-9").select("name_id", "centre", "likeness")
@@ -215,3 +225,54 @@ def variant_pairs(reference: DataFrame, others: DataFrame, labels: DataFrame | N
     a = a.join(centres.select("name_id", "centre"), "name_id").select("s1_id", "n1", "centre")
     b = b.join(links.filter("latin").select("name_id", "centre"), "name_id").select("s3_id", "n3", "centre")
     return a.join(b, "centre").filter("n1 <> n3").select("s1_id", "s3_id").distinct()
+
+
+def star_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, star`` of every one of ``nodes`` (node) under the similarities ``edges`` (a, b): the node of most neighbours (ties: the smaller)
+    is a centre and its neighbours are its satellites, then the same among those left. Nodes that lead their own neighbourhood are
+    centres at once, so that a round decides far more than one; a round always decides the first of all, so rounds end by themselves."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    rank = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.struct(F.col("n"), (-F.col("a")).alias("id")).alias("rank"))
+    both = cut(both.join(rank.select(F.col("a").alias("b"), F.col("rank").alias("b_rank")), "b").join(rank.withColumnRenamed("rank", "a_rank"), "a"))
+    single = nodes.join(both.select(F.col("a").alias("node")), "node", "left_anti").select("node", F.col("node").alias("star"))
+    done = [cut(single)]
+    while not both.isEmpty():
+        lead = both.groupBy("a", "a_rank").agg(F.max("b_rank").alias("top")).filter("a_rank > top").select(F.col("a").alias("star"))
+        lead = cut(lead)
+        # a satellite of two centres goes to the one of higher rank
+        with_star = both.join(lead, F.col("b") == F.col("star")).groupBy(F.col("a").alias("node")).agg(F.max_by("star", "b_rank").alias("star"))
+        settled = cut(with_star.unionByName(lead.select(F.col("star").alias("node"), "star")))
+        done.append(settled)
+        # whoever is left alone by this is a centre of its own
+        gone = settled.select(F.col("node").alias("g"))
+        rest = both.join(gone, F.col("a") == F.col("g"), "left_anti")
+        left = cut(rest.join(gone, F.col("b") == F.col("g"), "left_anti"))
+        lonely = rest.select(F.col("a").alias("node")).distinct().join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        done.append(cut(lonely.select("node", F.col("node").alias("star"))))
+        both = left
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def name_stars(reference: DataFrame, others: DataFrame) -> DataFrame:
+    """``country, name, star, referenced``: one row for each different name of either side. Names of the reference lead their stars; names near to none
+    form stars among themselves, by the same bands, verifier and rule, so no variant is left out for lack of a reference."""
+    trades = trade_words(reference)
+    centres, links = link_names(reference, others, trades)
+    near = links.groupBy("country", "name").agg(F.max_by("centre", F.struct("likeness", "centre")).alias("star"))
+    known = centres.groupBy("country", "name").agg(F.min("centre").alias("star")).unionByName(near).groupBy("country", "name").agg(F.min("star").alias("star"))
+    alone = others.select("country", F.col("business_name").alias("name")).filter("country IS NOT NULL AND name IS NOT NULL").distinct().join(known, ["country", "name"], "left_anti")
+    read = cut(read_names(alone.withColumnRenamed("name", "business_name"), trades, 1 << 20).withColumn("node", F.xxhash64("country", "key", "trade")))
+    nodes = cut(read.select("node", "country", "key", "trade", "words").dropDuplicates(["node"]))
+    rows = _buckets(nodes.select(F.col("node").alias("id"), "country", "key"))
+    met = rows.join(rows.withColumnRenamed("id", "other"), ["country", "bucket"]).filter("id < other").select(F.col("id").alias("node"), F.col("other").alias("centre"))
+    side = nodes.select(F.col("node").alias("centre"), F.col("key").alias("c_key"), F.col("words").alias("c_words"), F.col("trade").alias("c_trade"))
+    near = _verified(spread(met, "node").join(nodes.drop("country"), "node").join(side, "centre"))
+    # readings of one name belong together, too
+    own = read.groupBy("name_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")).filter("a <> b")
+    stars = star_clusters(near.select(F.col("node").alias("a"), F.col("centre").alias("b")).unionByName(own), nodes.select("node"))
+    mine = read.join(stars, "node").groupBy("country", "name").agg(F.min("star").alias("star"))
+    rest = alone.join(mine, ["country", "name"], "left").withColumn("star", F.coalesce("star", F.xxhash64("country", "name")))
+    return known.withColumn("referenced", F.lit(True)).unionByName(rest.withColumn("referenced", F.lit(False)))
