@@ -18,6 +18,7 @@ def test_forms():
         ("", ""),
         ("і́", "í"),
         ("चुत्रे", "चुत्रे"),
+        ("\u0430\u0301", "á"), ("o\u0302\u0301", "ố"), ("\u0410\u030a", "Å"), ("\U0001f468\u200d\U0001f469", "\U0001f468\u200d\U0001f469"), ("a\u200db", "ab"),
     ]:
         assert form(text) == want, ascii(text)
     for text in ["É", "e", "0", "O", "l", "1"]:
@@ -26,6 +27,15 @@ def test_forms():
     assert form(long) == "A" * 29999 + "Á"
 
 
+def test_accents_are_keys_of_the_table():
+    table = compile_table()
+    assert table["e\u0301"] == "é" and table["\u0435\u0301"] == "é" and sum(len(k) > 1 for k in table) > 1000
+    form = Transducer()
+    for key in table:
+        if len(key) > 1:
+            assert form(key) == table[key] and form(form(key)) == form(key), ascii(key)
+
+
 def test_table_is_without_conflict_and_idempotent():
     form = Transducer()
     table = compile_table()

@@ -3,7 +3,8 @@
 A transducer walks a string by grapheme clusters and rewrites each by the longest matching keys of one table,
 compiled beforehand and checked for conflicts: full-width and other presentation forms become their ordinary
 forms, every kind of single blank a blank, invisible characters nothing, look-alike letters of other scripts
-their Latin model; marks are put in canonical order and composed with their base. Accents, letter case, digits
+their Latin model, with or without a mark, and decomposed letters the composed ones. What comes out is a form to compare by, kept beside the
+stored text: a word wholly in look-alikes of another script reads the same as the Latin one and gets its form. Accents, letter case, digits
 and two blanks in a row stay: they read differently. Rewriting is idempotent.
 """
 
@@ -34,6 +35,9 @@ LOOK_ALIKES = {
 }
 
 
+JOINER = "\u200d"
+
+
 def _invisible(code: int, ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" or code in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= code <= 0x180F or 0xFE00 <= code <= 0xFE0F or 0xE0000 <= code <= 0xE0FFF
 
@@ -61,6 +65,18 @@ def compile_table() -> dict[str, str]:
     for letters, models in LOOK_ALIKES.items():
         for a, b in zip(letters, models, strict=True):
             add(a, b)
+    # accents: a decomposed letter, of any script, as its composed one; a look-alike with a mark as its model with the mark
+    for code in range(0xC0, 0x30000):
+        ch = chr(code)
+        parts = unicodedata.normalize("NFD", ch)
+        if len(parts) > 1 and not 0xAC00 <= code < 0xD7A4 and unicodedata.normalize("NFC", ch) == ch and not any(p in table for p in parts):
+            add(parts, ch)
+    marks = sorted({m for key in table if len(key) > 1 for m in key[1:] if unicodedata.combining(m)})
+    for letters, models in LOOK_ALIKES.items():
+        for a, b in zip(letters, models, strict=True):
+            for m in marks:
+                if len(both := unicodedata.normalize("NFC", b + m)) == 1:
+                    add(a + m, both)
     # follow chains once (a mathematical Greek letter becomes Greek, then Latin), then nothing may be left to do
     for key, to in table.items():
         table[key] = "".join(table.get(c, c) for c in to)
@@ -88,9 +104,15 @@ class Transducer:
         return done
 
     def _rewrite(self, c: str) -> str:
+        # a joiner between two pictures makes one of them, so there it can be seen
+        joined = JOINER in c and regex.search(r"\p{Extended_Pictographic}\uFE0F?\u200D\p{Extended_Pictographic}", c)
         c = unicodedata.normalize("NFD", c)
         out, i = [], 0
         while i < len(c):
+            if joined and c[i] == JOINER:
+                out.append(c[i])
+                i += 1
+                continue
             for n in range(min(self.longest, len(c) - i), 0, -1):
                 to = self.table.get(c[i : i + n])
                 if to is not None:
