@@ -31,6 +31,13 @@ def test_partial_ratio_against_every_window():
         assert s.partial_ratio(a, b) == pytest.approx(max(s.ratio(x, w) for w in windows))
 
 
+def test_partial_ratios_side_by_side():
+    rng = random.Random(6)
+    pairs = [tuple("".join(rng.choices("abcdé ", k=rng.randrange(0, k))) for _ in "ab") for k in [3, 9, 30, 70, 90] for _ in range(60)]
+    assert s.partial_ratios(pairs, 500) == pytest.approx([s.partial_ratio(*p) for p in pairs])
+    assert len(s.partial_ratios([])) == 0
+
+
 def test_conventions():
     assert s.ratio("", "") == 100 and s.ratio("", "a") == 0 and s.ratio("abc", "abc") == 100
     assert s.token_set_ratio("", "") == 0 and s.token_set_ratio("a b", "b a c") == 100

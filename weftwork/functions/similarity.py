@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +71,9 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text to a window of the longer one; windows at its ends may be shorter. Windows are tried by the
-    number of letters they have in common with it, which bounds their ratio, until no other can be better."""
+    """The best ratio of the shorter text to a window of the longer one; windows at its ends may be shorter. A window is only compared if it could
+    be better than the best so far: it has no more in common with the text than letters, and no more than one letter
+    a step beyond what the last compared window had."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -80,7 +82,7 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0
     n, m = len(a), len(b)
     left = Counter(a)
-    bounds, shared = [], 0
+    shared, letters = 0, [0] * (m + n)
     for end in range(1, m + n):  # the window b[end - n : end], cut at the ends of b
         if end <= m:
             c = b[end - 1]
@@ -92,16 +94,67 @@ def partial_ratio(a: str, b: str) -> float:
             if c in left:
                 left[c] += 1
                 shared -= left[c] > 0
-        if shared:
-            bounds.append((200.0 * shared / (n + min(end, m) - max(0, end - n)), end))
-    bounds.sort(reverse=True)
-    best, places = 0.0, _places(a)
-    for bound, end in bounds:
-        if bound <= best:
-            break
-        window = b[max(0, end - n) : end]
-        best = max(best, 200.0 * _common(window, n, places) / (n + len(window)))
-    return best
+        letters[end] = shared
+    size = lambda end: n + min(end, m) - max(0, end - n)
+    places = _places(a)
+    first = max(range(1, m + n), key=lambda end: letters[end] / size(end))
+    best = 2.0 * _common(b[max(0, first - n) : first], n, places) / size(first)
+    most = n
+    for end in range(1, m + n):
+        most += 1
+        length = n + min(end, m) - max(0, end - n)
+        if min(most, letters[end]) * 2.0 > best * length:
+            most = _common(b[max(0, end - n) : end], n, places)
+            best = max(best, 2.0 * most / length)
+    return 100.0 * best
+
+
+def partial_ratios(pairs: list[tuple[str, str]], most_windows: int = 400_000) -> np.ndarray:
+    """``partial_ratio`` of every pair. All windows of all pairs whose shorter text has the same length go side by side through the letters of
+    the window, the common subsequence of each held in one machine word; texts of over 64 letters go one by one."""
+    out = np.zeros(len(pairs))
+    by_length: dict[int, list[tuple[int, str, str]]] = {}
+    for i, (a, b) in enumerate(pairs):
+        a, b = (b, a) if len(a) > len(b) else (a, b)
+        if not a:
+            continue
+        if a in b:
+            out[i] = 100.0
+        elif len(a) > 64:
+            out[i] = partial_ratio(a, b)
+        else:
+            by_length.setdefault(len(a), []).append((i, a, b))
+    for n, group in by_length.items():
+        at = 0
+        while at < len(group):
+            masks: list[int] = []
+            starts, sizes, owners, firsts = [], [], [], []
+            windows = 0
+            while at < len(group) and windows < most_windows:
+                i, a, b = group[at]
+                at += 1
+                m, places = len(b), _places(a)
+                base = len(masks)
+                # blank letters before and behind the longer text make windows at its ends whole
+                masks += [0] * (n - 1)
+                masks += [places.get(c, 0) for c in b]
+                masks += [0] * (n - 1)
+                firsts.append(windows)
+                owners.append(i)
+                starts.append(np.arange(base, base + m + n - 1))
+                end = np.arange(1, m + n)
+                sizes.append(np.minimum(end, m) - np.maximum(end - n, 0))
+                windows += m + n - 1
+            letters, start = np.array(masks, dtype=np.uint64), np.concatenate(starts)
+            full = np.uint64((1 << n) - 1)
+            row = np.full(windows, full, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for t in range(n):
+                    hit = row & letters[start + t]
+                    row = (row + hit) | (row - hit)
+            common = n - np.bitwise_count(row & full).astype(np.int64)
+            out[owners] = np.maximum.reduceat(200.0 * common / (n + np.concatenate(sizes)), firsts)
+    return out
 
 
 def jaro_winkler(a: str, b: str, prefix_weight: float = 0.1) -> float:
@@ -161,16 +214,12 @@ ALL_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in (*NAME_SCOR
 def all_scores_of(nm: pd.Series, nm_1: pd.Series, core: pd.Series, core_1: pd.Series, adc: pd.Series, adc_1: pd.Series) -> pd.DataFrame:
     """All scores of a pair in one pass; each different pair of texts of a batch is scored once."""
 
-    def scored(a: pd.Series, b: pd.Series, scores: dict, squeeze: bool = False) -> list[tuple]:
-        memo: dict[tuple[str, str], tuple] = {}
-        out = []
-        for pair in zip(a.fillna(""), b.fillna("")):
-            row = memo.get(pair)
-            if row is None:
-                x, y = (t.replace(" ", "") for t in pair) if squeeze else pair
-                row = memo[pair] = tuple(f(x, y) for f in scores.values())
-            out.append(row)
-        return out
+    def scored(a: pd.Series, b: pd.Series, scores: dict, squeeze: bool = False) -> np.ndarray:
+        at: dict[tuple[str, str], int] = {}
+        rows = [at.setdefault(pair, len(at)) for pair in zip(a.fillna(""), b.fillna(""))]
+        pairs = [tuple(t.replace(" ", "") for t in p) if squeeze else p for p in at]
+        columns = [partial_ratios(pairs) if f is partial_ratio else np.array([f(x, y) for x, y in pairs], dtype=float) for f in scores.values()]
+        return np.column_stack(columns)[rows] if rows else np.zeros((0, len(scores)))
 
     parts = scored(nm, nm_1, NAME_SCORES), scored(core, core_1, CORE_SCORES), scored(core, core_1, JOINED_SCORES, True), scored(adc, adc_1, ADDRESS_SCORES)
-    return pd.DataFrame([sum(rows, ()) for rows in zip(*parts)], columns=ALL_SCORES.names, dtype="float64")
+    return pd.DataFrame(np.hstack(parts), columns=ALL_SCORES.names)
