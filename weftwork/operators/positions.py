@@ -98,7 +98,7 @@ def distinct_by_key(df: DataFrame, keys: list[str], items: list[str], chunk_rows
     Rows are numbered inside their key and cut into chunks of ``chunk_rows``. Each task folds the piece of a
     chunk that it holds into a state (rows, distinct items, first and last item); pieces are merged in order,
     where an item that ends one piece and begins the next counts once. No task sees more than its range
-    partition, and what is shuffled after the sort is one state per key and chunk.
+    partition, and what is shuffled after the sort is one state per key, chunk and Arrow batch.
     """
     fixed = range_sorted(df.select(*keys, *items), keys, list(items), width)
     offsets = run_offsets(fixed, keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions.similarity import ratio_of
 from weftwork.operators import decide
+from weftwork.operators.positions import with_positions
 from weftwork.plans.er import BEST, F_HALF, PREDICTED, PRUNED, TRUTH, TRUTH_N, labelled, number, per_entity_sql, predicted, pruned, truth
 from weftwork.plans.registry import Registry
 from weftwork.plans.relational import OTHERS, SCORED, others, scored_pairs
@@ -383,13 +384,13 @@ def dg17b(spark, d):
     SELECT round((s - n1 * (n1 + 1) / 2.0) / (n1 * n0), 9) AS auc, n1::BIGINT AS positives, n0::BIGINT AS negatives FROM a""",
 )
 def dg18(spark, d):
-    """Exact area under the curve by rank sums. Scores fold into distinct values first; the running count goes over those."""
-    y = F.coalesce("t", F.lit(False))
-    x = scored_pairs(spark, d).filter("p IS NOT NULL").join(labelled(spark, d).select(number("s1_id").alias("i1")), "i1").join(true_pairs(spark, d).withColumn("t", F.lit(True)), ["io", "i1"], "left")
-    v = x.groupBy("p").agg(F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = v.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
-    return w.agg(r9(F.try_divide(F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg")), "auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    """Exact area under the curve by rank sums: positions of a range-partitioned sort, equal scores sharing the mean of theirs."""
+    x = scored_pairs(spark, d).filter("p IS NOT NULL").join(labelled(spark, d).select(number("s1_id").alias("i1")), "i1").join(true_pairs(spark, d).withColumn("t", F.lit(1)), ["io", "i1"], "left")
+    placed = with_positions(x.select("p", "t", "io", "i1", F.lit(0).alias("one")), ["one"], ["p", "io", "i1"], "place")
+    v = placed.groupBy("p").agg(F.count("t").cast("double").alias("pos"), F.count(F.lit(1)).alias("n"), ((F.min("place") + F.max("place")) / 2).alias("rank"))
+    w = v.agg(F.sum("pos").alias("n1"), F.sum(F.col("n") - F.col("pos")).alias("n0"), F.sum(F.col("pos") * F.col("rank")).alias("ranks"))
+    wins = F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2
+    return w.select(r9(F.try_divide(wins, F.col("n1") * F.col("n0")), "auc"), F.col("n1").cast("long").alias("positives"), F.col("n0").cast("long").alias("negatives"))
 
 
 @q(
