@@ -47,12 +47,12 @@ def _reading_sql(col: str) -> str:
     x = rf"regexp_replace({col}, '[\x{{00AD}}\x{{034F}}\x{{061C}}\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{2064}}\x{{FE00}}-\x{{FE0F}}\x{{FEFF}}]', '', 'g')"
     x = rf"regexp_replace({x}, '[\t\n\r\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g')"
     x = f"replace(replace(translate(translate({x}, '{_FULL}', '{_PLAIN}'), '{_LOOKS}', '{_MODELS}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-    return f"trim(nfc_normalize({x}), ' ')"
+    return f"nfc_normalize({x})"
 
 
 @REG.query(
     "p2_found",
-    f"""WITH r AS (SELECT DISTINCT entity_id, country, business_name AS n, business_address AS a, {_reading_sql('business_name')} AS rn, {_reading_sql('business_address')} AS ra FROM source3 WHERE business_name IS NOT NULL)
+    f"""WITH r AS (SELECT DISTINCT entity_id, country, business_name AS n, business_address AS a, trim({_reading_sql('business_name')}, ' ') AS rn, trim({_reading_sql('business_address')}, ' ') AS ra FROM source3 WHERE business_name IS NOT NULL)
     SELECT DISTINCT x.entity_id AS id_a, y.entity_id AS id_b FROM r x JOIN r y ON x.country IS NOT DISTINCT FROM y.country AND x.rn = y.rn AND x.ra = y.ra AND x.entity_id < y.entity_id AND (x.n <> y.n OR x.a <> y.a)
     WHERE upper(x.ra) NOT IN ('', 'NA', 'N/A', 'NULL')""",
 )
@@ -60,7 +60,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_on_screen(table(spark, sf_dir, "source3"))
 
 
-@REG.query("p2_consistent")
+@REG.query("p2_consistent", f"SELECT DISTINCT entity_id, country, business_name, business_address, {_reading_sql('business_name')} AS same_name, {_reading_sql('business_address')} AS same_address FROM source3")
 def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_records(table(spark, sf_dir, "source3"))
 
