@@ -256,16 +256,18 @@ def dg8b(spark, d):
     EDITED + " UNION ALL ".join([
         edited_sql('"case"', "baseline", "SELECT * FROM h"), edited_sql('"case"', "no false positives", "SELECT * FROM h INTERSECT SELECT * FROM g"), edited_sql('"case"', "no misses", "SELECT * FROM h UNION SELECT * FROM g"),
         edited_sql('"case"', "no misses among candidates", "SELECT * FROM h UNION (SELECT * FROM g INTERSECT SELECT * FROM k)"), edited_sql('"case"', "no unowned records", "SELECT * FROM h WHERE o_id IN (SELECT o_id FROM g)"),
+        edited_sql('"case"', "no misses outside candidates", "SELECT * FROM h UNION (SELECT * FROM g EXCEPT SELECT * FROM k)"), edited_sql('"case"', "perfect decisions on candidates", "SELECT * FROM g INTERSECT SELECT * FROM k"),
     ]),
 )
 def dg9(spark, d):
-    """The measure as it is, without wrong pairs, with all missed ones, with those that are candidates, and without unowned records."""
+    """The measure as it is, without wrong pairs, with all missed ones, with those that are candidates or those that are not, without unowned records, and with the true pairs among the candidates alone."""
     p, t, ids = predicted(spark, d), truth(spark, d), labelled(spark, d)
     ref = ids.select("s1_id", number("s1_id").alias("i1"))
     cands = scored_pairs(spark, d).select("io", "i1").join(ref, "i1").join(others(spark, d).select("io", F.col("entity_id").alias("o_id")), "io").select("s1_id", "o_id")
     cases = {
         "baseline": p, "no false positives": p.join(t, ["s1_id", "o_id"], "left_semi"), "no misses": p.unionByName(t),
         "no misses among candidates": p.unionByName(t.join(cands, ["s1_id", "o_id"], "left_semi")), "no unowned records": p.join(t.select("o_id").distinct(), "o_id", "left_semi").select("s1_id", "o_id"),
+        "no misses outside candidates": p.unionByName(t.join(cands, ["s1_id", "o_id"], "left_anti")), "perfect decisions on candidates": t.join(cands, ["s1_id", "o_id"], "left_semi"),
     }
     out = None
     for name, pairs in cases.items():

@@ -553,13 +553,14 @@ def ft_competition(spark, d):
 
 
 @q("ft_text_model", f"""WITH {PRUNED}, j AS (SELECT ps.*, CASE WHEN s.n_shared > 0 THEN s.tfidf_sim * 10 - 3 END AS ce FROM ps JOIN s USING (io, i1)), a AS (SELECT *, coalesce(ce, -20) AS c FROM j),
-    b AS (SELECT *, row_number() OVER (PARTITION BY io ORDER BY c DESC, i1) AS ce_rank, round(max(c) OVER (PARTITION BY io) - c, 6) AS ce_gap, row_number() OVER (PARTITION BY i1 ORDER BY c DESC, io) AS ce_s_rank, round(max(c) OVER (PARTITION BY i1) - c, 6) AS ce_s_gap FROM a)
-    SELECT io, i1, ce, ce_rank, ce_gap, ce_s_rank, ce_s_gap, count(CASE WHEN ce_rank = 1 AND c > 0 THEN 1 END) OVER (PARTITION BY i1) AS ce_s_npos, round(coalesce(max(CASE WHEN ce_rank = 1 THEN c END) OVER (PARTITION BY i1, src), -20) - c, 6) AS ce_s_gap_src FROM b""")
+    b AS (SELECT *, row_number() OVER (PARTITION BY io ORDER BY c DESC, i1) AS ce_rank, round(max(c) OVER (PARTITION BY io) - c, 6) AS ce_gap, row_number() OVER (PARTITION BY i1 ORDER BY c DESC, io) AS ce_s_rank, round(max(c) OVER (PARTITION BY i1) - c, 6) AS ce_s_gap,
+    round(coalesce(nth_value(c, 2) OVER (PARTITION BY io ORDER BY c DESC, i1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), -20), 6) AS ce_2nd, round(coalesce(nth_value(c, 2) OVER (PARTITION BY i1 ORDER BY c DESC, io ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), -20), 6) AS ce_s_2nd FROM a)
+    SELECT io, i1, ce, ce_rank, ce_gap, ce_s_rank, ce_s_gap, ce_2nd, ce_s_2nd, ce_rank = 1 AS ce_best, count(CASE WHEN ce_rank = 1 AND c > 0 THEN 1 END) OVER (PARTITION BY i1, src) AS ce_s_npos_src, count(CASE WHEN ce_rank = 1 AND c > 0 THEN 1 END) OVER (PARTITION BY i1) AS ce_s_npos, round(coalesce(max(CASE WHEN ce_rank = 1 THEN c END) OVER (PARTITION BY i1, src), -20) - c, 6) AS ce_s_gap_src FROM b""")
 def ft_text_model(spark, d):
     """The cosine stands in for a text model's score; pairs that no key found have none."""
     ce = scored_pairs(spark, d).select("io", "i1", F.when(F.col("n_shared") > 0, F.col("tfidf_sim") * 10 - 3).alias("ce"))
     rows = features.text_model_features(pruned(spark, d).join(ce, ["io", "i1"]))
-    cols = [F.round(c, 6).alias(c) if "gap" in c else F.col(c).cast("bigint").alias(c) if c.endswith("rank") else F.col(c) for c in ("ce_rank", "ce_gap", "ce_s_rank", "ce_s_gap", "ce_s_npos", "ce_s_gap_src")]
+    cols = [F.round(c, 6).alias(c) if "gap" in c or "2nd" in c else F.col(c).cast("bigint").alias(c) if c.endswith("rank") else F.col(c) for c in ("ce_rank", "ce_gap", "ce_s_rank", "ce_s_gap", "ce_2nd", "ce_s_2nd", "ce_best", "ce_s_npos", "ce_s_npos_src", "ce_s_gap_src")]
     return rows.select("io", "i1", "ce", *cols)
 
 
