@@ -35,7 +35,8 @@ INSIDE = re.compile(
 )
 #: The word for the house number itself, which INSIDE must not take for a room.
 HOUSE = re.compile(r"\b(?:door|plot|house|h|shop|gate)\s*\.?\s*(?:no|number|num|n°)\b[\s.:]*|\b(?:no|n°|numero)[\s.:]+(?=\d)|#(?=\s*\d)")
-LANDMARK = re.compile(r"\b(?:near|behind|opp|opposite|beside|next to|adjacent to|in front of)\b\.?\s+[^,\d]*(?=,|\d|$)")
+#: A landmark ends at a comma or number; where none follows, town and state may, and only the word before it is left out.
+LANDMARK = re.compile(r"\b(?:near|behind|opp|opposite|beside|next to|adjacent to|in front of)\b\.?(?:\s+[^,\d]*(?=[,\d]))?")
 STREET_WORDS = frozenset(
     "road street avenue lane drive court boulevard parkway place square terrace way circle highway close crescent"
     " nagar marg colony sector layout path chowk bazaar rue impasse allee chemin quai cours route".split()
@@ -337,7 +338,10 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
         # a word stands for what it mostly meets: of state and street type the one that is said in more of its places
         counted = met.withColumn("n_a", F.sum("n_ab").over(Window.partitionBy("country", "a", "slot"))).withColumn("best", F.max_by("slot", F.struct(F.col("n_ab") / F.col("n_a"), "slot")).over(Window.partitionBy("country", "a")))
         sure = likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("p") * 1e9, F.lit(1e9)) >= SIGNIFICANT
-        short = counted.filter(sure & (F.col("slot") == F.col("best")) & (F.col("n_ab") * 10 >= F.col("n_a") * 3) & (F.col("a") != F.col("b"))).select("country", "slot", "a", "b")
+        # and it says so: in three places of ten and twice as often as any word, or nearly always
+        said_share = F.col("n_ab") / F.col("n_a")
+        often = (said_share >= 0.9) | ((said_share >= 0.3) & (said_share >= 2 * F.col("p")))
+        short = counted.filter(sure & (F.col("slot") == F.col("best")) & often & (F.col("a") != F.col("b"))).select("country", "slot", "a", "b")
 
         # spelling: unknown words of addresses without a place against streets and towns of buildings of their number; where only
         # the town is open, against towns
