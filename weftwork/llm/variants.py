@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.addresses import fold, spread
 from weftwork.llm.names import Trades, distance, is_latin, name_words, reference_reading, stands_for_trade, trade_fits, trades_of, typed_readings
+from weftwork.operators.cells import beside
 from weftwork.session import cut
 
 Q = 3
@@ -152,17 +154,92 @@ def read_names(records: DataFrame, trades: dict[str, list[str]], longest: int |
     return names.mapInPandas(read, "name_id long, country string, name string, latin boolean, key string, trade string, words string")
 
 
-def _buckets(keys: DataFrame) -> DataFrame:
-    """``id, country, bucket``: a row a band of each of ``keys`` (id, country, key)."""
-
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 4096):
-                part = pdf.iloc[i : i + 4096]
-                h = band_hashes(part["key"].tolist())
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), h.shape[1]), "country": np.repeat(part["country"].to_numpy(), h.shape[1]), "bucket": h.ravel().view(np.int64)})
-
-    return keys.mapInPandas(buckets, "id long, country string, bucket long")
+#: Pairs of one bucket looked at together in Python.
+TOGETHER = 1 << 20
+
+
+def _letters(text: str) -> int:
+    """The letters of a text as bits, some sharing one."""
+    bits = 0
+    for c in set(text):
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+class Side:
+    """The readings of a table as arrays: bucket hashes, lengths and letters."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch):
+        keys, words, trades = (rows.column(c).to_pylist() for c in ("key", "words", "trade"))
+        self.rows = rows
+        self.buckets = np.concatenate([band_hashes(keys[i : i + 4096]) for i in range(0, len(keys), 4096)])
+        numbers = lambda of, made, kind: np.array([made(x) for x in of], dtype=kind)
+        self.key, self.trade = numbers(keys, len, np.int32), numbers(trades, len, np.int32)
+        self.key_letters, self.trade_letters = numbers(keys, _letters, np.uint64), numbers(trades, _letters, np.uint64)
+        texts = [w.replace(" ", "") for w in words]
+        self.text, self.letters = numbers(texts, len, np.int32), numbers(texts, _letters, np.uint64)
+        self.words = numbers(words, lambda w: len(w.split()), np.int32)
+        self.shortest = numbers(words, lambda w: min(map(len, w.split()), default=0), np.int32)
+
+
+class Centres(Side):
+    """A side with its buckets in order."""
+
+    def __init__(self, rows: pa.Table):
+        super().__init__(rows)
+        flat = self.buckets.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.buckets, self.owner = flat[order], (order // BANDS).astype(np.int32)
+
+
+def could_be(a: Side, i: np.ndarray, b: Side, j: np.ndarray) -> np.ndarray:
+    """Can ``likeness`` of the typed readings i of a and j of b reach ``ACCEPT``? What has no letter there is edited, so the letters
+    missing on the side of fewer words bound Monge-Elkan, as the lengths do; the same for a name typed as one word with its trade. The
+    likeness of two words stops short of a half, so a word that is small beside the name loses half its missing letters only."""
+    least = ACCEPT - 1e-9
+
+    def reach(n: np.ndarray, m: np.ndarray, missing: np.ndarray, shortest: np.ndarray) -> np.ndarray:
+        fits = np.minimum(1.0, (np.minimum(n, m) + 2) / np.maximum(np.maximum(n, m), 1))
+        lost = np.bitwise_count(missing) * np.where(shortest > 2 * (1 - least) * n, 1.0, 0.5)
+        return (n - lost) * fits >= least * n
+
+    n, m = a.text[i], b.text[j]
+    x, y = a.letters[i], b.letters[j]
+    few = a.words[i] <= b.words[j]
+    whole = reach(np.where(few, n, m), np.where(few, m, n), np.where(few, x & ~y, y & ~x), np.where(few, a.shortest[i], b.shortest[j]))
+    k, c, t = a.key[i], b.key[j], b.trade[j]
+    x, y = a.key_letters[i], b.key_letters[j]
+    joined = (a.trade[i] == 0) & (t > 0) & (a.words[i] == 1) & (((y & ~x == 0) & (c <= k)) | reach(k, c + t, x & ~(y | b.trade_letters[j]), k))
+    return whole | joined | ((k == c) & (x == y))
+
+
+def _meet(centres: Centres, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs that share a bucket and could be one name, each once, with both readings."""
+    side = Side(rows)
+    first, last = (np.searchsorted(centres.buckets, side.buckets.ravel(), s).reshape(side.buckets.shape) for s in ("left", "right"))
+    upto = np.cumsum((last - first).sum(axis=1))
+    begin = 0
+    while begin < len(upto):
+        done = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, done + TOGETHER, "right")))
+        a, n = first[begin:end].ravel(), (last - first)[begin:end].ravel()
+        i = np.repeat(np.repeat(np.arange(begin, end), BANDS), n)
+        j = centres.owner[np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        near = could_be(side, i, centres, j)
+        pair = np.unique(i[near] * len(centres.text) + j[near])
+        i, j = pair // len(centres.text), pair % len(centres.text)
+        theirs = pa.array(j)
+        mine = rows.take(pa.array(i))
+        columns = [mine.column("id"), *(mine.column(c) for c in ("key", "words", "trade")), *(centres.rows.column(c).take(theirs).combine_chunks() for c in ("id", "key", "words", "trade"))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "key", "words", "trade", "centre", "c_key", "c_words", "c_trade"])
+        begin = end
+
+
+def _met(nodes: DataFrame, centres: DataFrame) -> DataFrame:
+    """``node, key, words, trade, centre, c_key, c_words, c_trade`` of the pairs of ``nodes`` and ``centres`` (both id, country, key, words, trade) that share a bucket
+    and could be one name. Buckets meet in cells: chance alone gives pairs with the square of the names, and none of them is written."""
+    make = lambda rows: rows.select(F.col("country").alias("zone"), "id", "key", "words", "trade")
+    return beside(make(centres), make(nodes), Centres, _meet, "node long, key string, words string, trade string, centre long, c_key string, c_words string, c_trade string")
 
 
 def _verified(full: DataFrame) -> DataFrame:
@@ -201,11 +278,7 @@ def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[s
     nodes = open_names.select("country", "key", "trade", "words").dropDuplicates(["country", "key", "trade"]).withColumn("node", F.xxhash64("country", "key", "trade"))
     nodes = cut(nodes)
 
-    left = _buckets(nodes.select(F.col("node").alias("id"), "country", "key"))
-    right = _buckets(centre_keys.select(F.col("centre").alias("id"), "country", "key")).withColumnRenamed("id", "centre")
-    met = spread(left.join(right, ["country", "bucket"]).select(F.col("id").alias("node"), "centre"), "node")
-    full = met.join(nodes.select("node", "key", "words", "trade"), "node").join(centre_keys.select("centre", F.col("key").alias("c_key"), F.col("words").alias("c_words"), F.col("trade").alias("c_trade")), "centre")
-    near = _verified(full)
+    near = _verified(_met(nodes.withColumnRenamed("node", "id"), centre_keys.withColumnRenamed("centre", "id")))
     stars = open_names.withColumn("node", F.xxhash64("country", "key", "trade")).select("name_id", "node").join(near, "node").groupBy("name_id", "centre").agg(F.max("likeness").alias("likeness"))
     top = F.max("likeness").over(Window.partitionBy("name_id"))
     stars = stars.withColumn("top", top).filter("likeness >= top - 1e-9").select("name_id", "centre", "likeness")
@@ -266,10 +339,8 @@ def name_stars(reference: DataFrame, others: DataFrame) -> DataFrame:
     alone = others.select("country", F.col("business_name").alias("name")).filter("country IS NOT NULL AND name IS NOT NULL").distinct().join(known, ["country", "name"], "left_anti")
     read = cut(read_names(alone.withColumnRenamed("name", "business_name"), trades, 1 << 20).withColumn("node", F.xxhash64("country", "key", "trade")))
     nodes = cut(read.select("node", "country", "key", "trade", "words").dropDuplicates(["node"]))
-    rows = _buckets(nodes.select(F.col("node").alias("id"), "country", "key"))
-    met = rows.join(rows.withColumnRenamed("id", "other"), ["country", "bucket"]).filter("id < other").select(F.col("id").alias("node"), F.col("other").alias("centre"))
-    side = nodes.select(F.col("node").alias("centre"), F.col("key").alias("c_key"), F.col("words").alias("c_words"), F.col("trade").alias("c_trade"))
-    near = _verified(spread(met, "node").join(nodes.drop("country"), "node").join(side, "centre"))
+    sides = nodes.withColumnRenamed("node", "id")
+    near = _verified(_met(sides, sides).filter("node < centre"))
     # readings of one name belong together, too
     own = read.groupBy("name_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")).filter("a <> b")
     stars = star_clusters(near.select(F.col("node").alias("a"), F.col("centre").alias("b")).unionByName(own), nodes.select("node"))
