@@ -77,3 +77,35 @@ def test_could_be_loses_no_name():
     assert got[like >= variants.ACCEPT].all()
     mixed = np.roll(at, 1)
     assert variants.could_be(a, at, b, mixed).mean() < 0.3
+
+
+def test_text_candidates_shuffle_records_only(spark):
+    """300 texts beside 300 that share trigrams; before, each such pair was a row of a shuffle. Equal texts come by their ids."""
+    from weftwork.operators import blocking
+
+    names = words(3, "abcdef", 300, 9)
+    s1 = spark.createDataFrame([(2 * i + k, "US", w) for i, w in enumerate(names) for k in (1, 0)], "i1 int, country string, text string")
+    o = spark.createDataFrame([(f"o{i}", "US", w) for i, w in enumerate(names)], "io string, country string, text string")
+    out = []
+    assert shuffled(spark, lambda: out.extend(blocking.tfidf_candidates(s1, o, top_n=2, max_df=1.0, min_sim=0.5).collect())) < 15_000
+    best = {}
+    for r in out:
+        best.setdefault(r["io"], []).append((-r["tfidf_sim"], r["i1"]))
+    assert {io: [i for _, i in sorted(x)] for io, x in best.items()} == {f"o{i}": [2 * i, 2 * i + 1] for i in range(len(names))}
+
+
+@pytest.mark.parametrize("block", [3, 50])
+def test_cells_of_many_blocks_and_parts(spark, block):
+    """Every asking row beside every reference row of its zone once, however they are dealt; a null zone meets none."""
+    import pyarrow as pa
+
+    from weftwork.operators.cells import beside
+
+    rows = lambda n: spark.createDataFrame([(z, i) for z in ("a", "b", None) for i in range(n)], "zone string, id long")
+
+    def answer(ids, batch):
+        for x in batch.column("id").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(ids), pa.int64()), pa.array(ids, pa.int64())], names=["x", "y"])
+
+    got = beside(rows(10), rows(21), lambda t: t.column("id").to_pylist(), answer, "x long, y long", block=block, part=4).collect()
+    assert sorted((r["x"], r["y"]) for r in got) == sorted((x, y) for _ in "ab" for x in range(21) for y in range(10))

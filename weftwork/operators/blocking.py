@@ -9,9 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftwork.functions.text import address_tokens, name_tokens
 from weftwork.functions.wordlists import FILLER_WORDS, LEGAL_WORDS
+from weftwork.operators.cells import SHARED, Postings, beside, flat
 from weftwork.session import cut
 
 NAME_TOKENS, ADDRESS_POSITIONS, ADDRESS_KEYS = 4, 20, 10
@@ -159,24 +161,72 @@ def trigrams(text: Column) -> Column:
     return F.transform(starts, lambda i: F.substring(padded, i, F.lit(3)))
 
 
-def tfidf_vectors(texts: DataFrame, id_col: str, weights: DataFrame) -> DataFrame:
-    """``<id>, country, gram, w``: sublinear term frequency times idf, unit length."""
-    counts = texts.select(id_col, "country", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy(id_col, "country", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    raw = counts.join(weights, ["country", "gram"]).withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "country", "gram", (F.col("x") / F.col("norm")).alias("w"))
+class Vectors:
+    """The texts of a table as unit vectors of the known grams: row, term and weight, by row and term. Sublinear term frequency times idf."""
+
+    def __init__(self, grams: pa.Array, known: pa.Array, idf: np.ndarray):
+        row, gram = flat(grams)
+        term = pc.index_in(gram, value_set=known)
+        held = np.asarray(pc.is_valid(term))
+        pair, tf = np.unique(row[held] * max(1, len(known)) + np.asarray(term.filter(pa.array(held)), dtype=np.int64), return_counts=True)
+        self.row, self.term = pair // max(1, len(known)), pair % max(1, len(known))
+        x = (1 + np.log(tf)) * idf[self.term]
+        self.starts = np.searchsorted(self.row, np.arange(len(grams) + 1))
+        self.weight = x / np.sqrt(np.bincount(self.row, x * x, len(grams)))[self.row] if len(x) else x
 
 
 def tfidf_candidates(s1_texts: DataFrame, o_texts: DataFrame, top_n: int = 10, max_df: float = 0.02, min_sim: float = 0.3) -> DataFrame:
     """``io, i1, tfidf_sim``: cosine of character trigrams weighed within the country; trigrams in more than ``max_df`` of its
-    reference texts are left out, so no posting list grows beyond that share."""
+    reference texts are left out, so no posting list grows beyond that share. Records meet in cells: a row a record is shuffled, none a
+    gram or a pair, and a block of the reference gives its own best ``top_n``."""
     n = s1_texts.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = s1_texts.select("country", F.explode(F.array_distinct(trigrams(F.col("text")))).alias("gram")).groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(n, "country").filter(F.col("df") <= F.col("n") * max_df)
     weights = weights.select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    a = tfidf_vectors(o_texts, "io", weights)
-    b = tfidf_vectors(s1_texts, "i1", weights).withColumnRenamed("w", "w1")
-    sims = a.join(b, ["country", "gram"]).groupBy("io", "i1").agg(F.sum(F.col("w") * F.col("w1")).alias("tfidf_sim")).filter(F.col("tfidf_sim") >= min_sim)
+    kinds = s1_texts.schema["i1"].dataType, o_texts.schema["io"].dataType
+    made = lambda rows, id_col: cut(rows.filter(F.col(id_col).isNotNull()).groupBy(F.col("country").alias("zone"), F.col(id_col).alias("id")).agg(F.collect_list("text").alias("texts")))
+    a, b = made(o_texts, "io"), made(s1_texts, "i1")
+    # ids of either side in a column of their own, so that each keeps its type
+    blank = lambda kind: F.lit(None).cast(kind)
+    columns = lambda rows, i1, io, idf: rows.select("zone", "id", i1.alias("i1"), io.alias("io"), "texts", idf.cast("double").alias("idf"))
+    asking = columns(a.withColumn("io", F.col("id")).withColumn("id", F.xxhash64("id")), blank(kinds[0]), F.col("io"), blank("double"))
+    reference = columns(b.withColumn("i1", F.col("id")).withColumn("id", F.xxhash64("id")), F.col("i1"), blank(kinds[1]), blank("double"))
+    shared = columns(weights.select(F.col("country").alias("zone"), F.xxhash64("gram").alias("id"), F.array("gram").alias("texts"), "idf"), blank(kinds[0]), blank(kinds[1]), F.col("idf"))
+
+    def build(table: pa.Table):
+        weighed = pc.equal(table.column("side"), SHARED)
+        terms, rows = table.filter(weighed), table.filter(pc.invert(weighed)).combine_chunks()
+        known, idf = flat(terms.column("grams").combine_chunks())[1], terms.column("idf").to_numpy()
+        order = np.asarray(pc.sort_indices(known))
+        known, idf = known.take(pa.array(order)), idf[order]
+        ids, grams = rows.column("i1").combine_chunks(), rows.column("grams").combine_chunks()
+        order = pc.sort_indices(ids)  # ties go to the smaller id
+        v = Vectors(grams.take(order), known, idf)
+        return known, idf, ids.take(order), Postings(v.term, v.row, len(known), v.weight)
+
+    def answer(index, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known, idf, ids, postings = index
+        v = Vectors(batch.column("grams"), known, idf)
+        terms, weights, bounds = v.term.tolist(), v.weight.tolist(), v.starts.tolist()
+        scores = np.zeros(len(ids))
+        asked, items, sims = [], [], []
+        for i, (x, y) in enumerate(zip(bounds, bounds[1:])):
+            if x == y:
+                continue
+            postings.add(scores, terms[x:y], weights[x:y])
+            hits = np.flatnonzero(scores >= min_sim) if min_sim > 0 else np.flatnonzero(scores)
+            if len(hits):
+                best = hits[np.lexsort((hits, -scores[hits]))[:top_n]]
+                asked.append(np.full(len(best), i))
+                items.append(best)
+                sims.append(scores[best])
+            scores.fill(0)
+        if asked:
+            yield pa.RecordBatch.from_arrays([batch.column("io").take(pa.array(np.concatenate(asked))), ids.take(pa.array(np.concatenate(items))), pa.array(np.concatenate(sims))], names=["io", "i1", "tfidf_sim"])
+
+    grams = F.when(F.col("side") == SHARED, F.col("texts")).otherwise(F.flatten(F.transform("texts", trigrams)))
+    schema = T.StructType([T.StructField("io", kinds[1]), T.StructField("i1", kinds[0]), T.StructField("tfidf_sim", T.DoubleType())])
+    sims = beside(reference, asking, build, answer, schema, shared, block=1 << 16, derive={"grams": grams})
     return top_candidates(sims, top_n, "tfidf_sim")
 
 
