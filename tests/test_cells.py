@@ -109,3 +109,16 @@ def test_cells_of_many_blocks_and_parts(spark, block):
 
     got = beside(rows(10), rows(21), lambda t: t.column("id").to_pylist(), answer, "x long, y long", block=block, part=4).collect()
     assert sorted((r["x"], r["y"]) for r in got) == sorted((x, y) for _ in "ab" for x in range(21) for y in range(10))
+
+
+def test_linkage_shuffles_no_names_met_by_chance(spark):
+    """The same 400 x 400 names under problem 3, each at a building of its own."""
+    from weftwork.llm import linkage
+
+    schema = "entity_id string, business_name string, business_address string, country string"
+    rows = lambda s, names: spark.createDataFrame([(f"{s}-{i}", n, f"{i + 1} Polokade Street, Setroville, Oregon", "US") for i, n in enumerate(names)], schema)
+    s1 = rows("S1", ["zenithal foods", *("abcdefghijkl" + w for w in words(1, "mnopqr", 400, 12))])
+    s3 = rows("S3", ["zenithol foods", *("abcdefghijkl" + w for w in words(2, "stuvwx", 400, 12))])
+    out = []
+    assert shuffled(spark, lambda: out.extend(linkage.link_records(s1, s3).filter("name_level >= 2").collect())) < 100_000
+    assert [(r["s1_id"], r["s3_id"]) for r in out] == [("S1-0", "S3-0")]
