@@ -122,3 +122,15 @@ def test_linkage_shuffles_no_names_met_by_chance(spark):
     out = []
     assert shuffled(spark, lambda: out.extend(linkage.link_records(s1, s3).filter("name_level >= 2").collect())) < 100_000
     assert [(r["s1_id"], r["s3_id"]) for r in out] == [("S1-0", "S3-0")]
+
+
+def test_all_keys_shuffles_records_only(spark, tmp_path):
+    """A key of 200 records beside 200: 40,000 pairs, before a row of a shuffle each. An id in two countries adds up both."""
+    from weftwork.plans import catalog
+
+    rows = [(i, s, c, "n|all") for i in range(200) for s, c in ((1, "US"), (2, "US"))] + [(7, 1, "FR", "a|x"), (9, 2, "FR", "a|x"), (7, 1, None, "n|all"), (None, 2, "FR", "a|x")]
+    spark.createDataFrame(rows, "id long, src byte, country string, key string").write.parquet(str(tmp_path / "blocking_keys.parquet"))
+    query = next(r.queries["jn2_all_keys"] for r in catalog.registries() if "jn2_all_keys" in r.queries)
+    out = []
+    assert shuffled(spark, lambda: out.extend(query(spark, str(tmp_path)).collect())) < 10_000
+    assert sorted((r["io"] or -1, r["i1"], r["n_shared"]) for r in out) == sorted([(x or -1, y, 1 + (x == 9 and y == 7)) for x in range(200) for y in range(200)] + [(-1, 7, 1)])
