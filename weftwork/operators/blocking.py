@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from weftwork.functions.text import address_tokens, name_tokens
 from weftwork.functions.wordlists import FILLER_WORDS, LEGAL_WORDS
-from weftwork.operators.cells import SHARED, Postings, beside, flat
+from weftwork.operators.cells import SHARED, Postings, flat, in_turns
 from weftwork.session import cut
 
 NAME_TOKENS, ADDRESS_POSITIONS, ADDRESS_KEYS = 4, 20, 10
@@ -182,7 +182,7 @@ def tfidf_candidates(s1_texts: DataFrame, o_texts: DataFrame, top_n: int = 10, m
     n = s1_texts.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = s1_texts.select("country", F.explode(F.array_distinct(trigrams(F.col("text")))).alias("gram")).groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(n, "country").filter(F.col("df") <= F.col("n") * max_df)
-    weights = weights.select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = cut(weights.select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
     kinds = s1_texts.schema["i1"].dataType, o_texts.schema["io"].dataType
     made = lambda rows, id_col: cut(rows.filter(F.col(id_col).isNotNull()).groupBy(F.col("country").alias("zone"), F.col(id_col).alias("id")).agg(F.collect_list("text").alias("texts")))
     a, b = made(o_texts, "io"), made(s1_texts, "i1")
@@ -226,8 +226,7 @@ def tfidf_candidates(s1_texts: DataFrame, o_texts: DataFrame, top_n: int = 10, m
 
     grams = F.when(F.col("side") == SHARED, F.col("texts")).otherwise(F.flatten(F.transform("texts", trigrams)))
     schema = T.StructType([T.StructField("io", kinds[1]), T.StructField("i1", kinds[0]), T.StructField("tfidf_sim", T.DoubleType())])
-    sims = beside(reference, asking, build, answer, schema, shared, block=1 << 16, derive={"grams": grams})
-    return top_candidates(sims, top_n, "tfidf_sim")
+    return in_turns(reference, asking, build, answer, schema, shared, block=1 << 16, part=1 << 16, derive={"grams": grams}, then=lambda sims: top_candidates(sims, top_n, "tfidf_sim"))
 
 
 def merge_passes(by_key: DataFrame, by_text: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ into it, an index of the block is built in Python and the part streams past, so
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,12 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.session import shuffle_width
+from weftwork.session import shuffle_width, store
 
 #: What a row is to its cell: of all blocks, of the block, or asking.
 SHARED, REFERENCE, ASKING = -1, 0, 1
 #: Asking records of a part at least, so that small tables make no empty work.
 LEAST = 1024
+#: Rows dealt in one turn, as a multiple of those of all sides, and so many at least.
+TURN, TURN_LEAST = 3, 1 << 20
+
+
+def _sizes(reference: DataFrame, asking: DataFrame, block: int, part: int) -> DataFrame:
+    """``zone, n, m, blocks, parts``: as many parts as keep all tasks busy, and more where they would be too large."""
+    width = shuffle_width(reference.sparkSession)
+    count = lambda rows, name: rows.groupBy("zone").agg(F.count(F.lit(1)).alias(name))
+    blocks = F.ceil(F.col("n") / block)
+    parts = F.greatest(F.ceil(F.col("m") / part), F.least(F.ceil(F.lit(width) / blocks), F.ceil(F.col("m") / LEAST)))
+    return count(reference, "n").join(count(asking, "m"), "zone").select("zone", "n", "m", blocks.cast("int").alias("blocks"), parts.cast("int").alias("parts"))
 
 
 def beside(
@@ -32,20 +44,21 @@ def beside(
     block: int = 1 << 17,
     part: int = 1 << 14,
     derive: dict | None = None,
+    sizes: DataFrame | None = None,
+    turn: tuple[int, int] = (0, 1),
 ) -> DataFrame:
     """What ``answer`` makes of each batch of ``asking`` and of what ``build`` made of a block of ``reference``, for all blocks of the zone.
 
     All have ``zone, id`` and the same other columns; both sides are read twice. ``shared`` goes to every block of its zone, with ``side`` -1 in the
-    table given to ``build``. A null zone meets none. ``derive`` are columns made from the others when rows are in their cells."""
+    table given to ``build``. A null zone meets none. ``derive`` are columns made from the others when rows are in their cells. ``turn`` (k, of): only
+    each of-th part, from the k-th."""
     width = shuffle_width(reference.sparkSession)
-    count = lambda rows, name: rows.groupBy("zone").agg(F.count(F.lit(1)).alias(name))
-    parts = F.greatest(F.ceil(F.col("m") / part), F.least(F.lit(width), F.ceil(F.col("m") / LEAST)))
-    sizes = count(reference, "n").join(count(asking, "m"), "zone").select("zone", F.ceil(F.col("n") / block).cast("int").alias("blocks"), parts.cast("int").alias("parts"))
+    sizes = (_sizes(reference, asking, block, part) if sizes is None else sizes).select("zone", "blocks", "parts")
     own, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [c for c in reference.columns if c != "zone"]
 
     def dealt(rows: DataFrame, side: int, of_block, of_part) -> DataFrame:
-        rows = rows.join(sizes, "zone").withColumn("_b", of_block("blocks")).withColumn("_p", of_part("parts"))
+        rows = rows.join(sizes, "zone").withColumn("_p", of_part("parts")).filter(F.col("_p") % turn[1] == turn[0]).withColumn("_b", of_block("blocks"))
         return rows.select(F.concat_ws(".", F.col("_b").cast("string"), F.col("_p").cast("string"), "zone").alias("cell"), F.lit(side).alias("side"), *columns)
 
     rows = dealt(reference, REFERENCE, own, every).unionByName(dealt(asking, ASKING, every, own))
@@ -76,6 +89,32 @@ def beside(
     return rows.withColumns(derive or {}).mapInArrow(run, schema)
 
 
+def in_turns(
+    reference: DataFrame,
+    asking: DataFrame,
+    build: Callable[[pa.Table], object],
+    answer: Callable[[object, pa.RecordBatch], Iterator[pa.RecordBatch]],
+    schema: T.StructType | str,
+    shared: DataFrame | None = None,
+    block: int = 1 << 17,
+    part: int = 1 << 14,
+    derive: dict | None = None,
+    then: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """``then`` of what ``beside`` gives, stored. Cells are more than in proportion to the records, so they are dealt some parts at a time, each
+    time about ``TURN`` times the records, and let go before the next. ``then`` gets all answers to the records of a part at once."""
+    sizes = store(_sizes(reference, asking, block, part))
+    terms = 0 if shared is None else shared.count()
+    dealt = F.sum(F.col("n") * F.col("parts") + F.col("m") * F.col("blocks")) + F.sum(F.col("parts") * F.col("blocks")) / F.count(F.lit(1)) * terms
+    seen = sizes.agg(dealt.alias("dealt"), F.sum(F.col("n") + F.col("m")).alias("rows"), F.max("parts").alias("parts")).first()
+    turns = max(1, min(seen["parts"] or 1, math.ceil((seen["dealt"] or 0) / max(TURN_LEAST, TURN * ((seen["rows"] or 0) + terms)))))
+    out = None
+    for k in range(turns):
+        rows = store(then(beside(reference, asking, build, answer, schema, shared, block, part, derive, sizes, (k, turns))))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 class Postings:
     """For each of ``n_terms`` terms the rows that hold it, and with what weight."""
 
