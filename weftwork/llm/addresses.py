@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftwork.llm.lookalikes import transducer
-from weftwork.session import cut, shuffle_width
+from weftwork.session import drop, scoped, shuffle_width, store
 
 #: Words before the number or letter of a room inside the building, and those that stand before a landmark.
 INSIDE = re.compile(
@@ -248,7 +248,7 @@ def _read(others: DataFrame, sites: DataFrame, longest: int) -> tuple[DataFrame,
             yield pd.DataFrame({"aid": pdf["aid"], "country": pdf["country"], "num": [n for n, _ in parsed], "words": [w for _, w in parsed], "runs": [runs_of(w, longest) for _, w in parsed]})
 
     texts = spread(rows.select("aid", "country", "business_address"), "aid").dropDuplicates(["aid"])
-    parsed = cut(texts.mapInPandas(parse, "aid long, country string, num string, words array<string>, runs array<string>"))
+    parsed = store(texts.mapInPandas(parse, "aid long, country string, num string, words array<string>, runs array<string>"))
     entries = F.explode(F.array(*[F.struct(F.col(s).alias("val"), F.lit(s).alias("slot")) for s in SLOTS]))
     vocabulary = sites.select("country", entries.alias("x")).select("country", "x.val", "x.slot").filter("val <> ''").groupBy("country", "val").agg(F.collect_set("slot").alias("slots"))
     said = parsed.select("aid", "country", F.explode("runs").alias("val")).join(vocabulary, ["country", "val"]).groupBy("aid").agg(F.collect_list(F.struct("val", "slots")).alias("said"))
@@ -260,7 +260,9 @@ def _read(others: DataFrame, sites: DataFrame, longest: int) -> tuple[DataFrame,
     of = lambda slot: F.transform(F.filter("said", lambda x: F.array_contains(x["slots"], slot)), lambda x: x["val"])
     vals = F.transform("said", lambda x: x["val"])
     full = full.select("aid", "country", "num", (F.size("words") >= 1).alias("some"), (F.size("words") >= 2).alias("several"), of("street").alias("streets"), of("town").alias("towns"), of("state").alias("states"), of("kind").alias("kinds"), F.pandas_udf(unknown, T.ArrayType(T.StringType()))("words", vals).alias("unknown"), F.lit(0).alias("turn"))
-    return rows.select(F.col("entity_id").alias("s3_id"), "aid").distinct(), cut(full)
+    said = store(full)
+    drop(parsed)
+    return rows.select(F.col("entity_id").alias("s3_id"), "aid").distinct(), said
 
 
 def _place(said: DataFrame, sites: DataFrame) -> DataFrame:
@@ -302,31 +304,31 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
     Every round learns at least one new pair of the finitely many near ones, so the rounds end by themselves; only addresses that a
     rewrite has changed ask again. ``mine`` False
     leaves the mining out."""
-    parsed = cut(reference_buildings(reference))
+    parsed = store(reference_buildings(reference))
     building = F.xxhash64("country", "num", "street", "town").alias("site")
-    sites = cut(parsed.groupBy("country", "num", "street", "town").agg(F.min("kind").alias("kind"), F.min("state").alias("state")).withColumn("site", building))
+    sites = store(parsed.groupBy("country", "num", "street", "town").agg(F.min("kind").alias("kind"), F.min("state").alias("state")).withColumn("site", building))
     sizes = sites.agg(F.max(F.greatest(*[F.length(s) for s in SLOTS])).alias("n"), F.array_union(F.collect_set(F.length("street")), F.collect_set(F.length("town"))).alias("lengths")).first()
     longest, lengths = sizes["n"] or 0, frozenset(sizes["lengths"])  # as many lengths at most as the longest has letters
     records, said = _read(others, sites, longest)
     members = parsed.select(F.col("id").alias("s1_id"), building).distinct()
     rewrites = said.sparkSession.createDataFrame([], "country string, slot string, a string, b string")
-    placed = cut(_place(said, sites))
+    placed = store(_place(said, sites))
     if not mine:
         return Matched(sites, members, said, records, placed.select("aid", "site").distinct(), rewrites)
 
     # how many comparisons chance has: of every context, and of every entry in it, over the addresses as first read
     at = ["ctx", "country", "num", "val"]
-    shelf = cut(_site_contexts(sites))
+    shelf = store(_site_contexts(sites))
     says = said.filter("num IS NOT NULL").select("country", "num", F.explode(F.concat(_contexts(F.col("towns"), F.col("streets"), F.expr("array()")), F.transform("states", lambda v: F.struct(F.lit("P").alias("ctx"), v.alias("val"))))).alias("x")).select("x.ctx", "country", "num", "x.val")
-    places = cut(shelf.groupBy(at).agg(F.count(F.lit(1)).alias("n_sites")).join(says.groupBy(at).agg(F.count(F.lit(1)).alias("n_addr")), at, "left").fillna(0, ["n_addr"]))
+    places = store(shelf.groupBy(at).agg(F.count(F.lit(1)).alias("n_sites")).join(says.groupBy(at).agg(F.count(F.lit(1)).alias("n_addr")), at, "left").fillna(0, ["n_addr"]))
     n = places.groupBy("ctx", "country").agg(F.sum(F.col("n_sites") * F.col("n_addr")).alias("n"))
     n_b = shelf.join(places, at).groupBy("ctx", "country", "b").agg(F.sum("n_addr").alias("n_b")).join(n, ["ctx", "country"])
     keys = shelf.join(n_b, ["ctx", "country", "b"]).withColumn("piece", F.explode(_entry_pieces("b"))).select(F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"), "site", "slot", "b", "n_b", "n")
-    keys = cut(keys)
+    keys = store(keys)
     pieces_of = _word_pieces(lengths)
     # how often a state or a street type stands in the list
     share = lambda slot: F.count(F.lit(1)).over(Window.partitionBy("country", slot)) / F.count(F.lit(1)).over(Window.partitionBy("country"))
-    common = cut(sites.select("site", "country", "state", "kind", share("state").alias("state_share"), share("kind").alias("kind_share")))
+    common = store(sites.select("site", "country", "state", "kind", share("state").alias("state_share"), share("kind").alias("kind_share")))
     asking = answers = None
     turn = 0
     while True:
@@ -350,18 +352,19 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
         context = _contexts(F.col("towns"), F.col("streets"), F.col("states"))
         context = F.when(F.col("whole").isNull(), context).otherwise(F.filter(context, lambda x: x["ctx"] == "T"))
         asks = waiting.select("aid", "country", "num", "unknown", F.explode(context).alias("x")).select("aid", "country", "num", "x.ctx", "x.val", F.explode("unknown").alias("a"))
-        asks = cut(asks.join(places.drop("n_addr"), at).withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a")))
+        asks = store(asks.join(places.drop("n_addr"), at).withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a")))
         asking = asks if asking is None else asking.unionByName(asks)
         met = asks.drop("aid").dropDuplicates(["q"]).withColumn("piece", F.explode(pieces_of("a"))).select("q", "ctx", "country", "a", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
         met = met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "site", "slot", "b", "n_b", "n")
-        answers = cut((met if answers is None else answers.unionByName(met)).distinct())
+        before, answers = answers, store((met if answers is None else answers.unionByName(met)).distinct())
+        drop(before)
         questions = asking.groupBy("q", "ctx", "country", "a", "n_sites").agg(F.countDistinct("aid").alias("n_q"))
         n_ab = answers.join(questions.select("q", "n_q"), "q").groupBy("ctx", "country", "a", "slot", "b", "n_b", "n").agg(F.sum("n_q").alias("n_ab"))
         n_a = questions.groupBy("ctx", "country", "a").agg(F.sum(F.col("n_q") * F.col("n_sites")).alias("n_a"))
         spelt = n_ab.join(n_a, ["ctx", "country", "a"])
         spelt = spelt.filter(likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT_NEAR).select("country", "slot", "a", "b")
 
-        fresh = cut(short.unionByName(spelt).distinct().join(rewrites, ["country", "slot", "a", "b"], "left_anti"))
+        fresh = store(short.unionByName(spelt).distinct().join(rewrites, ["country", "slot", "a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         rewrites = rewrites.unionByName(fresh)
@@ -374,8 +377,11 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
         nearest = nearest.withColumn("least", F.min("d").over(Window.partitionBy("aid", "slot"))).filter("d = least").select("aid", "slot", "a", "b")
         more = more.unionByName(nearest).groupBy("aid").agg(*[F.collect_set(F.when(F.col("slot") == s, F.col("b"))).alias(f"new_{s}") for s in SLOTS], F.collect_set("a").alias("used"))
         both = lambda old, new: F.when(F.col(new).isNull(), F.col(old)).otherwise(F.array_union(old, new)).alias(old)
-        said = cut(said.join(more, "aid", "left").select("aid", "country", "num", "some", "several", both("streets", "new_street"), both("towns", "new_town"), both("states", "new_state"), both("kinds", "new_kind"), F.when(F.col("used").isNull(), F.col("unknown")).otherwise(F.array_except("unknown", "used")).alias("unknown"), F.when(F.col("used").isNull(), F.col("turn")).otherwise(turn).alias("turn")))
-        placed = cut(_place(said, sites))
+        before = said, placed
+        said = store(said.join(more, "aid", "left").select("aid", "country", "num", "some", "several", both("streets", "new_street"), both("towns", "new_town"), both("states", "new_state"), both("kinds", "new_kind"), F.when(F.col("used").isNull(), F.col("unknown")).otherwise(F.array_except("unknown", "used")).alias("unknown"), F.when(F.col("used").isNull(), F.col("turn")).otherwise(turn).alias("turn")))
+        placed = store(_place(said, sites))
+        drop(*before)
+    drop(shelf, places, keys, common, answers)
     return Matched(sites, members, said, records, placed.select("aid", "site").distinct(), rewrites)
 
 
@@ -387,11 +393,13 @@ def pairs_of(found: Matched, labels: DataFrame | None = None) -> DataFrame:
     return found.placed.join(members, "site").join(found.records, "aid").select("s1_id", "s3_id").distinct()
 
 
+@scoped
 def same_building(reference: DataFrame, others: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``s1_id, s3_id`` at one building, without the labelled reference records."""
     return pairs_of(match_buildings(reference, others), labels)
 
 
+@scoped
 def building_classes(reference: DataFrame, others: DataFrame) -> DataFrame:
     """``id, class_id, n_links``: one row for each record of either side that stands at a building of the list; ``class_id`` is the smallest
     reference id there and ``n_links`` the number of records of the other side at the buildings it may stand at. Linear in the records."""

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from weftwork.llm.addresses import fold, match_buildings, spread
 from weftwork.llm.names import ALIAS, DOMAIN, HANDLE, Trades, name_words, reference_reading, tokens_of, trades_of, transliterate, typed_readings
 from weftwork.llm.variants import link_names, trade_words, word_similarity
-from weftwork.session import cut
+from weftwork.session import drop, scoped, store
 
 #: Levels of names: 0 different, 1 alike in sound, 2 one star but nearly spelt alike, 3 one star, 4 and 5 the same where the star holds
 #: one reference record only: a rare name says more.
@@ -134,28 +134,28 @@ def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndar
     # both sides once: stars of names, buildings of addresses
     one_site = found.members.groupBy("s1_id").agg(F.min("site").alias("site"))
     left = ref.select(F.col("entity_id").alias("s1_id"), "country", name_id).join(one_site, "s1_id", "left").join(found.sites.select("site", "street", "town"), "site", "left")
-    left = cut(left.join(centres.groupBy("name_id").agg(F.collect_set("centre").alias("centres")), "name_id", "left"))
+    left = store(left.join(centres.groupBy("name_id").agg(F.collect_set("centre").alias("centres")), "name_id", "left"))
     says = found.addresses.join(found.placed.groupBy("aid").agg(F.collect_set("site").alias("sites")), "aid", "left")
     named = F.col("num").isNotNull() & F.col("several")
     says = says.select("aid", named.alias("named"), F.coalesce("some", F.lit(False)).alias("some"), "sites", F.array_union("streets", "towns").alias("parts"))
     right = oth.select(F.col("entity_id").alias("s3_id"), "country", name_id, F.xxhash64("country", "business_address").alias("aid")).join(says, "aid", "left")
     stars = links.groupBy("name_id").agg(F.collect_set("centre").alias("centres"), (F.max("likeness") >= 0.99).alias("same"))
-    right = cut(right.join(stars, "name_id", "left"))
+    right = store(right.join(stars, "name_id", "left"))
 
     star1 = left.select("s1_id", "site", "street", "town", F.explode("centres").alias("centre"))
     star3 = right.select("s3_id", "named", "some", "same", "sites", "parts", F.explode("centres").alias("centre"))
     size1 = star1.groupBy("centre").agg(F.countDistinct("s1_id").alias("n1"), F.min("s1_id").alias("first"))
     level = F.when(F.col("same"), 3).otherwise(2) + F.when(F.col("n1") == 1, 2).otherwise(0)
-    star3 = cut(star3.join(size1, "centre").withColumn("name_level", level))
+    star3 = store(star3.join(size1, "centre").withColumn("name_level", level))
     # reference records that a star has at one building are one row, for which the smallest stands
     heads = lambda *by: star1.groupBy("centre", *by).agg(F.countDistinct("s1_id").alias("ties"), F.min("s1_id").alias("s1_id"))
     fold = lambda rows, at: rows.groupBy("s3_id", "s1_id").agg(F.max("name_level").alias("name_level"), F.max("ties").alias("ties")).withColumn("address_level", F.lit(at))
-    both = cut(fold(star3.select("s3_id", "name_level", "centre", F.explode("sites").alias("site")).join(heads("site"), ["centre", "site"]), 4))
+    both = store(fold(star3.select("s3_id", "name_level", "centre", F.explode("sites").alias("site")).join(heads("site"), ["centre", "site"]), 4))
     # a record without a building may say where: in the street or town of some of its star
     vague = star3.filter("NOT coalesce(named, false) AND sites IS NULL").select("s3_id", "centre", "name_level", "some", "parts", "n1", "first")
     part = F.explode(F.array_distinct(F.array("street", "town"))).alias("part")
     spots = star1.select("centre", "s1_id", part).filter("part IS NOT NULL").groupBy("centre", "part").agg(F.countDistinct("s1_id").alias("ties"), F.min("s1_id").alias("s1_id"))
-    near = cut(fold(vague.select("s3_id", "name_level", "centre", F.explode("parts").alias("part")).join(spots, ["centre", "part"]), 3))
+    near = store(fold(vague.select("s3_id", "name_level", "centre", F.explode("parts").alias("part")).join(spots, ["centre", "part"]), 3))
     alone = vague.join(near.select("s3_id").distinct(), "s3_id", "left_anti").groupBy("s3_id").agg(
         F.max("name_level").alias("name_level"), F.max(F.when(F.col("some"), 1).otherwise(2)).alias("address_level"), F.sum("n1").alias("ties"), F.min("first").alias("s1_id"))
 
@@ -168,10 +168,11 @@ def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndar
     names1 = ref.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("n1")).join(found.members, "s1_id").groupBy(F.col("site").alias("at"), "n1").agg(F.collect_set("s1_id").alias("ids"))
     names3 = oth.select(name_id, F.col("business_name").alias("n3")).dropDuplicates(["name_id"])
     tries = spread(tries.join(names1, "at").join(names3, "name_id").select("name_id", "site", "here", "country", "n1", "n3", "ids"), "name_id")
-    heard = cut(_hear(tries, trades))
+    heard = store(_hear(tries, trades))
     sound = rest.join(heard.filter("here AND alike").select("name_id", "site", F.explode("ids").alias("s1_id")), ["name_id", "site"]).select("s3_id", "s1_id", F.lit(1).alias("name_level"), F.lit(4).alias("address_level")).distinct()
     cols = ["s3_id", "s1_id", "name_level", "address_level", "ties"]
-    candidates = cut(both.select(cols).unionByName(sound.withColumn("ties", F.lit(1).cast("long")).select(cols)).unionByName(near.select(cols)).unionByName(alone.select(cols)))
+    candidates = store(both.select(cols).unionByName(sound.withColumn("ties", F.lit(1).cast("long")).select(cols)).unionByName(near.select(cols)).unionByName(alone.select(cols)))
+    drop(both, near)
 
     # counted in one job; what comes back is a row a pair of levels
     row = lambda what, i, j, n: (F.lit(what).alias("what"), i.cast("int").alias("i"), j.cast("int").alias("j"), n.cast("double").alias("n"))
@@ -198,6 +199,7 @@ def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndar
             tried[r["i"]] += n
         else:
             shares[r["i"]] = n
+    drop(left, right, star3, heard)
     counts[2:, 0] = np.maximum(counts[2:, 0] - counts[2:, 4], 0)
     counts[2:, 1] = np.maximum(counts[2:, 1] - counts[2:, 3], 0)
     counts[0, 4] = max(0.0, pairs_at_sites - counts[1:, 4].sum())
@@ -223,6 +225,7 @@ def other_trade(clean: str, typed: str, trades: Trades) -> bool:
     return bool(said) and not own & said
 
 
+@scoped
 def link_records(reference: DataFrame, others: DataFrame) -> DataFrame:
     """``s1_id, s3_id, name_level, address_level, ties, confidence``: for every record that has a candidate its best one. Where several reference
     records fit equally well, the smallest stands for them, ``ties`` says how many they are, and the confidence is divided by them.

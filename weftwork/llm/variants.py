@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.addresses import fold, spread
 from weftwork.llm.names import Trades, distance, is_latin, name_words, reference_reading, stands_for_trade, trade_fits, trades_of, typed_readings
-from weftwork.operators.cells import beside
-from weftwork.session import cut
+from weftwork.operators.cells import in_turns
+from weftwork.session import drop, scoped, store
 
 Q = 3
 ROWS = 3
@@ -235,11 +235,12 @@ def _meet(centres: Centres, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def _met(nodes: DataFrame, centres: DataFrame) -> DataFrame:
-    """``node, key, words, trade, centre, c_key, c_words, c_trade`` of the pairs of ``nodes`` and ``centres`` (both id, country, key, words, trade) that share a bucket
-    and could be one name. Buckets meet in cells: chance alone gives pairs with the square of the names, and none of them is written."""
+def _near(nodes: DataFrame, centres: DataFrame, which: str = "true") -> DataFrame:
+    """``node, centre, likeness`` of the pairs of ``nodes`` and ``centres`` (both id, country, key, words, trade) that share a bucket and are one name, where ``which``
+    holds for node and centre. Buckets meet in cells: chance alone gives pairs with the square of the names, and none of them is written."""
     make = lambda rows: rows.select(F.col("country").alias("zone"), "id", "key", "words", "trade")
-    return beside(make(centres), make(nodes), Centres, _meet, "node long, key string, words string, trade string, centre long, c_key string, c_words string, c_trade string")
+    met = "node long, key string, words string, trade string, centre long, c_key string, c_words string, c_trade string"
+    return in_turns(make(centres), make(nodes), Centres, _meet, met, then=lambda rows: _verified(rows.filter(which)))
 
 
 def _verified(full: DataFrame) -> DataFrame:
@@ -266,27 +267,29 @@ def link_names(reference: DataFrame, others: DataFrame, trades: dict[str, list[s
     country, name, latin, centre, likeness``, the star of each other name that is near enough to one. A star holds the
     names of one reading; ties between equally near stars keep all."""
     trades = trades if trades is not None else trade_words(reference)
-    s1 = cut(read_names(reference, trades).withColumn("centre", F.xxhash64("country", "key", "trade")))
+    s1 = store(read_names(reference, trades).withColumn("centre", F.xxhash64("country", "key", "trade")))
     longest = s1.agg(F.max(F.length("key") + F.length("trade")).alias("n")).first()["n"] or 0
-    s3 = cut(read_names(others, trades, int(longest / ACCEPT) + 3))
-    centre_keys = s1.select("country", "key", "trade", "words", "centre").dropDuplicates(["centre"])
+    s3 = store(read_names(others, trades, int(longest / ACCEPT) + 3))
+    centre_keys = store(s1.select("country", "key", "trade", "words", "centre").dropDuplicates(["centre"]))
     # a reading that is the centre's own collides in every band: the same node
     own = s3.join(centre_keys.select("country", "key", F.col("trade").alias("t"), "centre"), ["country", "key"])
     own = own.filter((F.col("trade") == "") | (F.col("t") == "") | F.array_contains(F.split("trade", r"\|"), F.col("t")))
-    own = cut(own.select("name_id", "centre", F.lit(1.0).alias("likeness")).distinct())
+    own = store(own.select("name_id", "centre", F.lit(1.0).alias("likeness")).distinct())
     open_names = s3.join(own.select("name_id").distinct(), "name_id", "left_anti")
     nodes = open_names.select("country", "key", "trade", "words").dropDuplicates(["country", "key", "trade"]).withColumn("node", F.xxhash64("country", "key", "trade"))
-    nodes = cut(nodes)
+    nodes = store(nodes)
 
-    near = _verified(_met(nodes.withColumnRenamed("node", "id"), centre_keys.withColumnRenamed("centre", "id")))
+    near = _near(nodes.withColumnRenamed("node", "id"), centre_keys.withColumnRenamed("centre", "id"))
     stars = open_names.withColumn("node", F.xxhash64("country", "key", "trade")).select("name_id", "node").join(near, "node").groupBy("name_id", "centre").agg(F.max("likeness").alias("likeness"))
     top = F.max("likeness").over(Window.partitionBy("name_id"))
     stars = stars.withColumn("top", top).filter("likeness >= top - 1e-9").select("name_id", "centre", "likeness")
     names = s3.select("name_id", "country", "name", "latin").distinct()
-    links = cut(names.join(own.unionByName(stars), "name_id"))
+    links = store(names.join(own.unionByName(stars), "name_id"))
+    drop(s3, own, nodes, centre_keys)
     return s1.select("name_id", "country", "name", "centre").distinct(), links
 
 
+@scoped
 def variant_pairs(reference: DataFrame, others: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``s1_id, s3_id``: records of one country whose names stand for one business name and differ as stored, where the other
     name reads as Latin script. Null names, ids and countries are in no pair; repeated rows count once."""
@@ -306,22 +309,22 @@ def star_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     centres at once, so that a round decides far more than one; a round always decides the first of all, so rounds end by themselves."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     rank = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.struct(F.col("n"), (-F.col("a")).alias("id")).alias("rank"))
-    both = cut(both.join(rank.select(F.col("a").alias("b"), F.col("rank").alias("b_rank")), "b").join(rank.withColumnRenamed("rank", "a_rank"), "a"))
+    both = store(both.join(rank.select(F.col("a").alias("b"), F.col("rank").alias("b_rank")), "b").join(rank.withColumnRenamed("rank", "a_rank"), "a"))
     single = nodes.join(both.select(F.col("a").alias("node")), "node", "left_anti").select("node", F.col("node").alias("star"))
-    done = [cut(single)]
+    done = [store(single)]
     while not both.isEmpty():
         lead = both.groupBy("a", "a_rank").agg(F.max("b_rank").alias("top")).filter("a_rank > top").select(F.col("a").alias("star"))
-        lead = cut(lead)
+        lead = store(lead)
         # a satellite of two centres goes to the one of higher rank
         with_star = both.join(lead, F.col("b") == F.col("star")).groupBy(F.col("a").alias("node")).agg(F.max_by("star", "b_rank").alias("star"))
-        settled = cut(with_star.unionByName(lead.select(F.col("star").alias("node"), "star")))
+        settled = store(with_star.unionByName(lead.select(F.col("star").alias("node"), "star")))
         done.append(settled)
         # whoever is left alone by this is a centre of its own
         gone = settled.select(F.col("node").alias("g"))
         rest = both.join(gone, F.col("a") == F.col("g"), "left_anti")
-        left = cut(rest.join(gone, F.col("b") == F.col("g"), "left_anti"))
+        left = store(rest.join(gone, F.col("b") == F.col("g"), "left_anti"))
         lonely = rest.select(F.col("a").alias("node")).distinct().join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-        done.append(cut(lonely.select("node", F.col("node").alias("star"))))
+        done.append(store(lonely.select("node", F.col("node").alias("star"))))
         both = left
     out = done[0]
     for more in done[1:]:
@@ -329,6 +332,7 @@ def star_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
+@scoped
 def name_stars(reference: DataFrame, others: DataFrame) -> DataFrame:
     """``country, name, star, referenced``: one row for each different name of either side. Names of the reference lead their stars; names near to none
     form stars among themselves, by the same bands, verifier and rule, so no variant is left out for lack of a reference."""
@@ -337,10 +341,10 @@ def name_stars(reference: DataFrame, others: DataFrame) -> DataFrame:
     near = links.groupBy("country", "name").agg(F.max_by("centre", F.struct("likeness", "centre")).alias("star"))
     known = centres.groupBy("country", "name").agg(F.min("centre").alias("star")).unionByName(near).groupBy("country", "name").agg(F.min("star").alias("star"))
     alone = others.select("country", F.col("business_name").alias("name")).filter("country IS NOT NULL AND name IS NOT NULL").distinct().join(known, ["country", "name"], "left_anti")
-    read = cut(read_names(alone.withColumnRenamed("name", "business_name"), trades, 1 << 20).withColumn("node", F.xxhash64("country", "key", "trade")))
-    nodes = cut(read.select("node", "country", "key", "trade", "words").dropDuplicates(["node"]))
+    read = store(read_names(alone.withColumnRenamed("name", "business_name"), trades, 1 << 20).withColumn("node", F.xxhash64("country", "key", "trade")))
+    nodes = store(read.select("node", "country", "key", "trade", "words").dropDuplicates(["node"]))
     sides = nodes.withColumnRenamed("node", "id")
-    near = _verified(_met(sides, sides).filter("node < centre"))
+    near = _near(sides, sides, "node < centre")
     # readings of one name belong together, too
     own = read.groupBy("name_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")).filter("a <> b")
     stars = star_clusters(near.select(F.col("node").alias("a"), F.col("centre").alias("b")).unionByName(own), nodes.select("node"))
