@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftwork.llm import addresses, linkage, names, variants
 
@@ -240,3 +242,25 @@ def test_star_clusters(spark):
     got = {r["node"]: r["star"] for r in variants.star_clusters(df, spark.range(60).withColumnRenamed("id", "node")).collect()}
     assert {x for x, s in got.items() if x == s} == {x for x, s in want.items() if x == s}
     assert set(got) == set(want) and all(x == s or s in near[x] for x, s in got.items())
+
+
+def test_pieces_are_not_broadcast(spark):
+    """p3_found: a question has many pieces, which the size of the stored questions doesn't tell, so they must not go through the driver."""
+    asks = spark.createDataFrame([(1, "S", "US", "7", "austin", "lakewod", 1, 11)], "aid long, ctx string, country string, num string, val string, a string, n_sites long, q long")
+    keys = spark.createDataFrame([("S", "US", "7", "austin", p, 5, "street", "lakewood", 1, 9) for p in addresses.entry_pieces("lakewood")], "ctx string, country string, num string, val string, piece string, site long, slot string, b string, n_b long, n long")
+    keys = keys.select(F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"), "site", "slot", "b", "n_b", "n")
+    met = addresses._meet(asks, keys, addresses._word_pieces(frozenset([8])))
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert {(r["q"], r["a"], r["b"]) for r in met.collect()} == {(11, "lakewod", "lakewood")}
+
+
+def test_linkage_runs_plans_of_bounded_size(spark, business):
+    """p3_found: the driver holds all that a plan runs at once, so large ones are cut."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    linkage.link_records(*business).count()
+    done = store.executionsList()
+    tree = lambda x: x.physicalPlanDescription().split("\n\n")[0].split("Initial Plan")[0]
+    plans = [tree(done.apply(i)) for i in range(before, done.size())]
+    assert len(plans) > 30
+    assert max(len(re.findall(r"\bExchange \(", p)) for p in plans) <= 8

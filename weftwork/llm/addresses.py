@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -297,6 +297,13 @@ def _site_contexts(sites: DataFrame) -> DataFrame:
     return sites.select("country", "num", "site", rows.alias("x")).select("x.ctx", "country", "num", "x.val", "site", "x.slot", "x.b")
 
 
+def _meet(asks: DataFrame, keys: DataFrame, pieces_of: Callable[[str], Column]) -> DataFrame:
+    """``q, ctx, country, a, site, slot, b, n_b, n``: what is looked for in the places of each question and is near to its words in spelling. Either
+    side has a row a piece, many times what the planner takes from the size of the stored rows, so neither may be broadcast."""
+    pieces = asks.drop("aid").dropDuplicates(["q"]).withColumn("piece", F.explode(pieces_of("a"))).select("q", "ctx", "country", "a", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
+    return pieces.join(keys.hint("merge"), "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "site", "slot", "b", "n_b", "n")
+
+
 def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True) -> Matched:
     """Where the addresses of ``others`` stand among the buildings of ``reference`` (both: entity_id, business_address, country).
 
@@ -343,7 +350,7 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
         # and it says so: in three places of ten and twice as often as any word, or nearly always
         said_share = F.col("n_ab") / F.col("n_a")
         often = (said_share >= 0.9) | ((said_share >= 0.3) & (said_share >= 2 * F.col("p")))
-        short = counted.filter(sure & (F.col("slot") == F.col("best")) & often & (F.col("a") != F.col("b"))).select("country", "slot", "a", "b")
+        short = store(counted.filter(sure & (F.col("slot") == F.col("best")) & often & (F.col("a") != F.col("b"))).select("country", "slot", "a", "b"))
 
         # spelling: unknown words of addresses without a place against streets and towns of buildings of their number; where only
         # the town is open, against towns
@@ -354,17 +361,17 @@ def match_buildings(reference: DataFrame, others: DataFrame, mine: bool = True)
         asks = waiting.select("aid", "country", "num", "unknown", F.explode(context).alias("x")).select("aid", "country", "num", "x.ctx", "x.val", F.explode("unknown").alias("a"))
         asks = store(asks.join(places.drop("n_addr"), at).withColumn("q", F.xxhash64("country", "num", "ctx", "val", "a")))
         asking = asks if asking is None else asking.unionByName(asks)
-        met = asks.drop("aid").dropDuplicates(["q"]).withColumn("piece", F.explode(pieces_of("a"))).select("q", "ctx", "country", "a", F.xxhash64("country", "num", "ctx", "val", "piece").alias("key"))
-        met = met.join(keys, "key").filter(near(F.col("a"), F.col("b"))).select("q", "ctx", "country", "a", "site", "slot", "b", "n_b", "n")
+        met = _meet(asks, keys, pieces_of)
         before, answers = answers, store((met if answers is None else answers.unionByName(met)).distinct())
         drop(before)
-        questions = asking.groupBy("q", "ctx", "country", "a", "n_sites").agg(F.countDistinct("aid").alias("n_q"))
+        questions = store(asking.groupBy("q", "ctx", "country", "a", "n_sites").agg(F.countDistinct("aid").alias("n_q")))
         n_ab = answers.join(questions.select("q", "n_q"), "q").groupBy("ctx", "country", "a", "slot", "b", "n_b", "n").agg(F.sum("n_q").alias("n_ab"))
         n_a = questions.groupBy("ctx", "country", "a").agg(F.sum(F.col("n_q") * F.col("n_sites")).alias("n_a"))
         spelt = n_ab.join(n_a, ["ctx", "country", "a"])
         spelt = spelt.filter(likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")) >= SIGNIFICANT_NEAR).select("country", "slot", "a", "b")
 
         fresh = store(short.unionByName(spelt).distinct().join(rewrites, ["country", "slot", "a", "b"], "left_anti"))
+        drop(short, questions)
         if fresh.isEmpty():
             break
         rewrites = rewrites.unionByName(fresh)

@@ -160,21 +160,22 @@ def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndar
         F.max("name_level").alias("name_level"), F.max(F.when(F.col("some"), 1).otherwise(2)).alias("address_level"), F.sum("n1").alias("ties"), F.min("first").alias("s1_id"))
 
     # names at one building that share no star there are compared by sound, and, to know how often others sound alike, with those of another
-    rest = right.filter("sites IS NOT NULL").join(both.select("s3_id").distinct(), "s3_id", "left_anti").select("s3_id", "country", "name_id", F.explode("sites").alias("site"))
+    rest = store(right.filter("sites IS NOT NULL").join(both.select("s3_id").distinct(), "s3_id", "left_anti").select("s3_id", "country", "name_id", F.explode("sites").alias("site")))
     shelf = Window.partitionBy("country", F.pmod(F.xxhash64("site"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.col("shelves"))).orderBy("site")
     shelves = found.sites.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / 16).alias("shelves"))
     others_at = found.sites.select("country", "site").join(shelves, "country").withColumn("other", F.lead("site").over(shelf)).filter("other IS NOT NULL").select("site", "other")
-    tries = rest.select("country", "name_id", "site", F.lit(True).alias("here"), F.col("site").alias("at")).unionByName(rest.join(others_at, "site").select("country", "name_id", "site", F.lit(False).alias("here"), F.col("other").alias("at"))).distinct()
+    tries = rest.select("country", "name_id", "site", F.lit(True).alias("here"), F.col("site").alias("at")).unionByName(rest.join(others_at, "site").select("country", "name_id", "site", F.lit(False).alias("here"), F.col("other").alias("at")))
+    tries = store(tries.distinct())
     names1 = ref.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("n1")).join(found.members, "s1_id").groupBy(F.col("site").alias("at"), "n1").agg(F.collect_set("s1_id").alias("ids"))
     names3 = oth.select(name_id, F.col("business_name").alias("n3")).dropDuplicates(["name_id"])
-    tries = spread(tries.join(names1, "at").join(names3, "name_id").select("name_id", "site", "here", "country", "n1", "n3", "ids"), "name_id")
-    heard = store(_hear(tries, trades))
+    heard = spread(tries.join(names1, "at").join(names3, "name_id").select("name_id", "site", "here", "country", "n1", "n3", "ids"), "name_id")
+    heard = store(_hear(heard, trades))
     sound = rest.join(heard.filter("here AND alike").select("name_id", "site", F.explode("ids").alias("s1_id")), ["name_id", "site"]).select("s3_id", "s1_id", F.lit(1).alias("name_level"), F.lit(4).alias("address_level")).distinct()
     cols = ["s3_id", "s1_id", "name_level", "address_level", "ties"]
     candidates = store(both.select(cols).unionByName(sound.withColumn("ties", F.lit(1).cast("long")).select(cols)).unionByName(near.select(cols)).unionByName(alone.select(cols)))
-    drop(both, near)
+    drop(both, near, rest, tries)
 
-    # counted in one job; what comes back is a row a pair of levels
+    # a job a count, as the driver holds the plans of all that runs at once; what comes back is a row a pair of levels
     row = lambda what, i, j, n: (F.lit(what).alias("what"), i.cast("int").alias("i"), j.cast("int").alias("j"), n.cast("double").alias("n"))
     placed = candidates.filter("address_level >= 3").groupBy("name_level", "address_level").agg(F.sum("ties").alias("n")).select(*row("cell", F.col("name_level"), F.col("address_level"), F.col("n")))
     where = F.when(F.coalesce("named", F.lit(False)) | F.col("sites").isNotNull(), 0).when(F.col("some"), 1).otherwise(2).alias("w")
@@ -189,7 +190,7 @@ def compare(reference: DataFrame, others: DataFrame) -> tuple[DataFrame, np.ndar
     falls = kinds.join(sides, "country").select(F.explode(F.array(*[F.struct(*row("all", F.lit(i), F.lit(0), x)) for i, x in enumerate((every, every * F.col("named"), every * F.col("some") / F.col("towns"), every * F.col("some")))])).alias("x")).select("x.*").groupBy("what", "i", "j").agg(F.sum("n").alias("n"))
     counts = np.zeros((NAME_LEVELS, ADDRESS_LEVELS))
     tried, pairs_at_sites, shares = [0.0, 0.0], 0.0, [0.0] * 4
-    for r in placed.unionByName(starred).unionByName(together).unionByName(chance).unionByName(falls).collect():  # at most 40 rows
+    for r in (r for rows in (placed, starred, together, chance, falls) for r in rows.collect()):  # at most 40 rows
         n = r["n"] or 0.0
         if r["what"] in ("cell", "star"):
             counts[r["i"], r["j"]] += n

@@ -126,9 +126,10 @@ def trade_words(reference: DataFrame) -> dict[str, list[str]]:
             yield pd.DataFrame(rows, columns=["country", "word", "before"])
 
     ends = spread(reference.filter("country IS NOT NULL").select("country", "business_name"), "business_name").mapInPandas(last, "country string, word string, before string")
-    ends = ends.groupBy("country", "word").agg(F.countDistinct("before").alias("n"))
+    ends = store(ends.groupBy("country", "word").agg(F.countDistinct("before").alias("n")))
     total = ends.groupBy("country").agg(F.sum("n").alias("total"))
     rows = ends.join(total, "country").filter((F.col("n") >= 3) & (F.col("n") >= F.col("total") * TRADE_SHARE)).select("country", "word").collect()
+    drop(ends)
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["country"], []).append(r["word"])
