@@ -173,15 +173,29 @@ class Vectors:
         x = (1 + np.log(tf)) * idf[self.term]
         self.starts = np.searchsorted(self.row, np.arange(len(grams) + 1))
         self.weight = x / np.sqrt(np.bincount(self.row, x * x, len(grams)))[self.row] if len(x) else x
+        #: Terms of a text on average.
+        self.mean = len(x) / max(1, len(grams))
 
+    def dot(self, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Products of the texts ``rows``, each of which has terms, with ``other`` (a weight a term)."""
+        if not len(rows):
+            return np.zeros(0)
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        at = np.arange(first[-1] + sizes[-1]) + np.repeat(self.starts[rows] - first, sizes)
+        return np.add.reduceat(other[self.term[at]] * self.weight[at], first)
 
-def tfidf_candidates(s1_texts: DataFrame, o_texts: DataFrame, top_n: int = 10, max_df: float = 0.02, min_sim: float = 0.3) -> DataFrame:
+
+def tfidf_candidates(s1_texts: DataFrame, o_texts: DataFrame, top_n: int | None = 10, max_df: float | None = 0.02, min_sim: float = 0.3) -> DataFrame:
     """``io, i1, tfidf_sim``: cosine of character trigrams weighed within the country; trigrams in more than ``max_df`` of its
-    reference texts are left out, so no posting list grows beyond that share. Records meet in cells: a row a record is shuffled, none a
-    gram or a pair, and a block of the reference gives its own best ``top_n``."""
+    reference texts are left out, none without it, and all partners stay without ``top_n``. Records meet in cells: a row a record is shuffled,
+    none a gram or a pair, and a block of the reference gives its own best ``top_n``. Common trigrams weigh little: those of a text that
+    can't reach ``min_sim`` by themselves find no partner, they are only added up for partners that others found, so the cosines are exact."""
     n = s1_texts.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = s1_texts.select("country", F.explode(F.array_distinct(trigrams(F.col("text")))).alias("gram")).groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.join(n, "country").filter(F.col("df") <= F.col("n") * max_df)
+    weights = df.join(n, "country")
+    if max_df is not None:
+        weights = weights.filter(F.col("df") <= F.col("n") * max_df)
     weights = cut(weights.select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
     kinds = s1_texts.schema["i1"].dataType, o_texts.schema["io"].dataType
     made = lambda rows, id_col: cut(rows.filter(F.col(id_col).isNotNull()).groupBy(F.col("country").alias("zone"), F.col(id_col).alias("id")).agg(F.collect_list("text").alias("texts")))
@@ -202,31 +216,52 @@ def tfidf_candidates(s1_texts: DataFrame, o_texts: DataFrame, top_n: int = 10, m
         ids, grams = rows.column("i1").combine_chunks(), rows.column("grams").combine_chunks()
         order = pc.sort_indices(ids)  # ties go to the smaller id
         v = Vectors(grams.take(order), known, idf)
-        return known, idf, ids.take(order), Postings(v.term, v.row, len(known), v.weight)
+        return known, idf, ids.take(order), v, Postings(v.term, v.row, len(known), v.weight)
 
     def answer(index, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known, idf, ids, postings = index
+        known, idf, ids, reference, postings = index
         v = Vectors(batch.column("grams"), known, idf)
-        terms, weights, bounds = v.term.tolist(), v.weight.tolist(), v.starts.tolist()
-        scores = np.zeros(len(ids))
-        asked, items, sims = [], [], []
-        for i, (x, y) in enumerate(zip(bounds, bounds[1:])):
-            if x == y:
-                continue
-            postings.add(scores, terms[x:y], weights[x:y])
-            hits = np.flatnonzero(scores >= min_sim) if min_sim > 0 else np.flatnonzero(scores)
-            if len(hits):
-                best = hits[np.lexsort((hits, -scores[hits]))[:top_n]]
-                asked.append(np.full(len(best), i))
-                items.append(best)
-                sims.append(scores[best])
-            scores.fill(0)
-        if asked:
-            yield pa.RecordBatch.from_arrays([batch.column("io").take(pa.array(np.concatenate(asked))), ids.take(pa.array(np.concatenate(items))), pa.array(np.concatenate(sims))], names=["io", "i1", "tfidf_sim"])
+        rarest = np.lexsort((v.term, -idf[v.term], v.row))
+        terms, weights = v.term[rarest], v.weight[rarest]
+        # what a term and those behind it reach at most: reference vectors are of length 1
+        ahead = np.r_[0.0, np.cumsum(weights * weights)]
+        reach = np.sqrt(np.maximum(0, ahead[v.starts[v.row + 1]] - ahead[:-1]))
+        finds = np.r_[0, np.cumsum(reach >= min_sim - 1e-6)]
+        bounds, heads = v.starts.tolist(), (v.starts[:-1] + finds[v.starts[1:]] - finds[v.starts[:-1]]).tolist()
+        lists = np.diff(postings.starts)
+        scores, own = np.zeros(len(ids)), np.zeros(len(known))
+        asked, items, sims, n = [], [], [], 0
+        for i, (x, y, z) in enumerate(zip(bounds, heads, bounds[1:])):
+            if x < z:
+                postings.add(scores, terms[x:y].tolist(), weights[x:y].tolist())
+                hits = np.flatnonzero(scores)
+                if y < z and len(hits):
+                    hits = hits[scores[hits] >= min_sim - reach[y] - 1e-6]
+                if y < z and reference.mean * len(hits) < lists[terms[y:z]].sum():
+                    own[terms[x:z]] = weights[x:z]
+                    found = reference.dot(hits, own)
+                    own[terms[x:z]] = 0
+                else:
+                    postings.add(scores, terms[y:z].tolist(), weights[y:z].tolist())
+                    found = scores[hits]
+                scores.fill(0)
+                found = np.round(found, 12)  # sums of one value in another order tie
+                kept = found >= min_sim
+                hits, found = hits[kept], found[kept]
+                if top_n is not None and len(hits):
+                    best = np.lexsort((hits, -found))[:top_n]
+                    hits, found = hits[best], found[best]
+                asked.append(np.full(len(hits), i))
+                items.append(hits)
+                sims.append(found)
+                n += len(hits)
+            if n and (n >= 1 << 18 or i + 1 == batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column("io").take(pa.array(np.concatenate(asked))), ids.take(pa.array(np.concatenate(items))), pa.array(np.concatenate(sims))], names=["io", "i1", "tfidf_sim"])
+                asked, items, sims, n = [], [], [], 0
 
     grams = F.when(F.col("side") == SHARED, F.col("texts")).otherwise(F.flatten(F.transform("texts", trigrams)))
     schema = T.StructType([T.StructField("io", kinds[1]), T.StructField("i1", kinds[0]), T.StructField("tfidf_sim", T.DoubleType())])
-    return in_turns(reference, asking, build, answer, schema, shared, block=1 << 16, part=1 << 16, derive={"grams": grams}, then=lambda sims: top_candidates(sims, top_n, "tfidf_sim"))
+    return in_turns(reference, asking, build, answer, schema, shared, block=1 << 16, part=1 << 16, derive={"grams": grams}, then=lambda sims: sims if top_n is None else top_candidates(sims, top_n, "tfidf_sim"))
 
 
 def merge_passes(by_key: DataFrame, by_text: DataFrame) -> DataFrame:

@@ -508,8 +508,9 @@ def sm6b(spark, d):
 
 @q("sm7_sparse_cosine")
 def sm7(spark, d):
+    """Every pair of a country from a cosine of 0.5 on, over all trigrams, however common, and with all partners."""
     s1, o = _core_texts(spark, d)
-    return blocking.tfidf_candidates(s1, o, top_n=1, min_sim=0.5).select("io", "i1", F.round("tfidf_sim", 6).alias("tfidf_sim"))
+    return blocking.tfidf_candidates(s1, o, top_n=None, max_df=None, min_sim=0.5).select("io", "i1", F.round("tfidf_sim", 6).alias("tfidf_sim"))
 
 
 def _prepared(spark, d) -> tuple[DataFrame, DataFrame]:
