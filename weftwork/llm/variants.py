@@ -157,6 +157,8 @@ def read_names(records: DataFrame, trades: dict[str, list[str]], longest: int |
 
 #: Pairs of one bucket looked at together in Python.
 TOGETHER = 1 << 20
+#: Readings of a part: they stream past the centres, whose buckets each part hashes anew, so parts are few.
+PART = 1 << 17
 
 
 def _letters(text: str) -> int:
@@ -241,7 +243,7 @@ def _near(nodes: DataFrame, centres: DataFrame, which: str = "true") -> DataFram
     holds for node and centre. Buckets meet in cells: chance alone gives pairs with the square of the names, and none of them is written."""
     make = lambda rows: rows.select(F.col("country").alias("zone"), "id", "key", "words", "trade")
     met = "node long, key string, words string, trade string, centre long, c_key string, c_words string, c_trade string"
-    return in_turns(make(centres), make(nodes), Centres, _meet, met, then=lambda rows: _verified(rows.filter(which)))
+    return in_turns(make(centres), make(nodes), Centres, _meet, met, part=PART, then=lambda rows: _verified(rows.filter(which)))
 
 
 def _verified(full: DataFrame) -> DataFrame:

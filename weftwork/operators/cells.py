@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,13 @@ TURN, TURN_LEAST = 3, 1 << 20
 
 
 def _sizes(reference: DataFrame, asking: DataFrame, block: int, part: int) -> DataFrame:
-    """``zone, n, m, blocks, parts``: as many parts as keep all tasks busy, and more where they would be too large."""
+    """``zone, n, m, blocks, parts``: as many parts as keep all tasks busy, which the zones share, and more where they would be too large. What is made
+    of a block is made for each part again."""
     width = shuffle_width(reference.sparkSession)
     count = lambda rows, name: rows.groupBy("zone").agg(F.count(F.lit(1)).alias(name))
     blocks = F.ceil(F.col("n") / block)
-    parts = F.greatest(F.ceil(F.col("m") / part), F.least(F.ceil(F.lit(width) / blocks), F.ceil(F.col("m") / LEAST)))
+    share = F.least(F.lit(1.0), 2 * F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(0))))
+    parts = F.greatest(F.ceil(F.col("m") / part), F.least(F.ceil(width * share / blocks), F.ceil(F.col("m") / LEAST)))
     return count(reference, "n").join(count(asking, "m"), "zone").select("zone", "n", "m", blocks.cast("int").alias("blocks"), parts.cast("int").alias("parts"))
 
 
